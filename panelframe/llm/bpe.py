@@ -5,8 +5,11 @@ distinct words, each with its number, and the stream of these numbers by positio
 the part that their hash names, where each distinct word is encoded once, and return
 with their ids to their block, which puts the ids in order of position. Words of a
 block that go to one part travel as one packed row, so that a frequent word costs one
-entry a block and never gathers its positions in one place; streams pass the word
-shuffle spread by block.
+entry a block and never gathers its positions in one place. Streams go to their block
+at once; for that the texts are split twice, once for the words and once for the
+streams, which costs less than to carry the streams through the word shuffle. A block's two
+halves carry the digest of its words, and encoding fails if they differ (the input
+changed between two reads).
 
 Decoding looks every id up in the token-byte table, an array of at most the vocabulary's
 size, which every task holds.
@@ -29,7 +32,6 @@ import regex
 import tiktoken
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -86,40 +88,46 @@ def _unpack(blob: bytes, numbers: int) -> list:
     return out
 
 
-def _pretokens(docs: DataFrame, pattern: str, parts: int, block_bytes: int) -> DataFrame:
+def _pretokens(docs: DataFrame, pattern: str, parts: int, block_bytes: int, streams: bool) -> DataFrame:
+    """Rows of the blocks' words by part, or (streams) one row a block with its lengths, stream and ids of documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, number = regex.compile(pattern).findall, 0
+        find = regex.compile(pattern).findall
         for batch in batches:
             for piece in W.slices(batch, "text", block_bytes):
-                block = TaskContext.get().partitionId() << 32 | number
-                number += 1
-                found = [find(x) if x else [] for x in piece.column("text").to_pylist()]
-                lengths = np.array([len(x) for x in found])
-                flat = pa.array([w for x in found for w in x], pa.large_string())
-                del found
-                coded = flat.dictionary_encode()
-                counts = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
+                data, offsets = W.utf8(piece.column("text"))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, piece.select(["doc_id"]).schema) as writer:
+                    writer.write_batch(piece.select(["doc_id"]))
+                header = sink.getvalue().to_pybytes()
+                block = (xxhash.xxh64_intdigest(data) ^ xxhash.xxh64_intdigest(header + np.diff(offsets).tobytes(), 1)) >> 1
+                lengths, flat = [], []
+                for x in piece.column("text").to_pylist():
+                    found = find(x) if x else []
+                    lengths.append(len(found))
+                    flat.append(pa.array(found, pa.large_string()))
+                coded = pa.concat_arrays([*flat, pa.array([], pa.large_string())]).dictionary_encode()
+                del flat
+                indices = coded.indices.to_numpy(zero_copy_only=False)
+                counts = np.bincount(indices, minlength=len(coded.dictionary))
                 order = np.argsort(-counts, kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                stream = rank[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
                 words = [x.encode() for x in coded.dictionary.take(pa.array(order)).to_pylist()]
-                part = np.array([xxhash.xxh32_intdigest(x) % parts for x in words], np.int64)
-                by_part = np.argsort(part, kind="stable")
-                edges = np.flatnonzero(np.diff(part[by_part], prepend=-1)).tolist() + [len(words)]
-                kinds, to, payload = [1], [xxhash.xxh32_intdigest(block.to_bytes(8, "little")) + parts], []
-                ids = piece.select(["doc_id"])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, ids.schema) as writer:
-                    writer.write_batch(ids)
-                payload.append(_pack(lengths, stream, sink.getvalue().to_pybytes()))
-                for lo, hi in zip(edges, edges[1:], strict=False):
-                    at = by_part[lo:hi]
-                    own = [words[i] for i in at.tolist()]
-                    kinds.append(0)
-                    to.append(int(part[at[0]]))
-                    payload.append(_pack(at, np.array([len(x) for x in own]), b"".join(own)))
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(to, pa.int64()), pa.array([block] * len(to), pa.int64()), pa.array(payload, pa.binary())], names=["kind", "part", "block", "payload"])
+                digest = xxhash.xxh64_intdigest(b"\0".join(words)) >> 1
+                if streams:
+                    rank = np.empty(len(order), np.int64)
+                    rank[order] = np.arange(len(order))
+                    to, payload = [digest], [_pack(np.array(lengths), rank[indices], header)]
+                else:
+                    part = np.array([xxhash.xxh32_intdigest(x) % parts for x in words], np.int64)
+                    by_part = np.argsort(part, kind="stable")
+                    edges = np.flatnonzero(np.diff(part[by_part], prepend=-1)).tolist() + [len(words)]
+                    to, payload = [], []
+                    for lo, hi in zip(edges, edges[1:], strict=False):
+                        at = by_part[lo:hi]
+                        own = [words[i] for i in at.tolist()]
+                        to.append(int(part[at[0]]))
+                        payload.append(_pack(np.array([digest >> 32, digest & 0xFFFFFFFF]), at, np.array([len(x) for x in own]), b"".join(own)))
+                yield pa.RecordBatch.from_arrays([pa.array([int(streams)] * len(to), pa.int32()), pa.array(to, pa.int64()), pa.array([block] * len(to), pa.int64()), pa.array(payload, pa.binary())], names=["kind", "part", "block", "payload"])
 
     return docs.mapInArrow(run, _PACKED)
 
@@ -127,21 +135,17 @@ def _pretokens(docs: DataFrame, pattern: str, parts: int, block_bytes: int) -> D
 def _encode_part(vocabulary):
     def run(rows: pa.Table) -> pa.Table:
         coder, known, out = _tokens(vocabulary.value)[0]._core_bpe.encode_single_piece, {}, []
-        for kind, payload in zip(rows.column("kind").to_pylist(), rows.column("payload").to_pylist(), strict=True):
-            if kind:
-                out.append(payload)
-                continue
-            at, lengths, body = _unpack(payload, 2)
-            ends = np.cumsum(lengths).tolist()
+        for payload in rows.column("payload"):
+            digest, at, lengths, body = _unpack(payload.as_py(), 3)
             found, lo = [], 0
-            for hi in ends:
+            for hi in np.cumsum(lengths).tolist():
                 word = body[lo:hi]
                 lo = hi
                 ids = known.get(word)
                 if ids is None:
                     ids = known[word] = coder(word)
                 found.append(ids)
-            out.append(_pack(at, np.array([len(x) for x in found]), np.array([i for x in found for i in x])))
+            out.append(_pack(digest, at, np.array([len(x) for x in found]), np.array([i for x in found for i in x])))
         return rows.set_column(rows.schema.get_field_index("payload"), "payload", pa.array(out, pa.binary()))
 
     return run
@@ -149,22 +153,30 @@ def _encode_part(vocabulary):
 
 def _assemble(id_type: pa.DataType):
     def run(rows: pa.Table) -> pa.Table:
-        stream, ats, sizes, ids = None, [], [], []
-        for kind, payload in zip(rows.column("kind").to_pylist(), rows.column("payload").to_pylist(), strict=True):
+        ats, sizes, ids, digests, blocks = [], [], [], set(), []
+        for kind, part, payload in zip(*(rows.column(c).to_pylist() for c in ("kind", "part", "payload")), strict=True):
             if kind:
-                lengths, stream, header = _unpack(payload, 2)
-                keys = pa.ipc.open_stream(header).read_all().column("doc_id").combine_chunks()
+                blocks.append(_unpack(payload, 2))
+                digests.add(part)
             else:
-                for to, x in zip((ats, sizes, ids), _unpack(payload, 3), strict=True):
+                digest, *got = _unpack(payload, 4)
+                digests.add(int(digest[0]) << 32 | int(digest[1]))
+                for to, x in zip((ats, sizes, ids), got, strict=True):
                     to.append(x)
         at, size = (np.concatenate([*x, np.zeros(0, np.uint32)]).astype(np.int64) for x in (ats, sizes))
         pool = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)
-        begin = np.cumsum(size) - size
-        by_word, n = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-        by_word[at], n[at] = begin, size
-        out, counts = gather(pool, by_word[stream], n[stream])
-        edges = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)]
-        return pa.table([keys.cast(id_type), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(out))], names=["doc_id", "ids"])
+        words = int(at.max()) + 1 if len(at) else 0
+        by_word, n, there = np.zeros(words, np.int64), np.zeros(words, np.int64), np.zeros(words, bool)
+        by_word[at], n[at], there[at] = np.cumsum(size) - size, size, True
+        if len(digests) != 1 or not blocks or not there.all():
+            raise RuntimeError("the texts of a block differ between two reads of the input")
+        out = []
+        for lengths, stream, header in blocks:  # more than one: blocks equal in all ids and texts
+            keys = pa.ipc.open_stream(header).read_all().column("doc_id").combine_chunks()
+            found, counts = gather(pool, by_word[stream], n[stream])
+            edges = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)]
+            out.append(pa.table([keys.cast(id_type), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(found))], names=["doc_id", "ids"]))
+        return pa.concat_tables(out)
 
     return run
 
@@ -181,8 +193,8 @@ def encode(df: DataFrame, vocabulary: bytes, pattern: str, doc_id: str = "doc_id
     spark = df.sparkSession
     docs = narrow(df, doc_id=doc_id, text=text).withColumn("text", F.col("text").cast("string"))
     raw = spark.sparkContext.broadcast(vocabulary)
-    packed = _pretokens(docs, pattern, 4 * partitions(spark), block_bytes)
-    coded = packed.groupBy("part").applyInArrow(_encode_part(raw), _PACKED)
+    words, streams = (_pretokens(docs, pattern, 4 * partitions(spark), block_bytes, x) for x in (False, True))
+    coded = words.groupBy("part").applyInArrow(_encode_part(raw), _PACKED).unionByName(streams)
     kind = docs.schema["doc_id"].dataType
     schema = docs.select("doc_id").schema.add("ids", ArrayType(IntegerType()))
     return coded.groupBy("block").applyInArrow(_assemble(to_arrow_type(kind)), schema)
@@ -192,12 +204,11 @@ def decode(spark, ids: Column | str, vocabulary: bytes) -> Column:
     """The bytes of a column of ids."""
     raw = spark.sparkContext.broadcast(vocabulary)
 
-    def run(column: pa.Array) -> pa.Array:
+    def some(column: pa.Array) -> pa.Array:
         _, pool, at = _tokens(raw.value)
-        column = column.fill_null([]) if column.null_count else column
         flat = column.flatten()
         bad = np.asarray(flat.is_null()) if flat.null_count else np.zeros(len(flat), bool)
-        x = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        x = flat.fill_null(0).to_numpy(zero_copy_only=False).copy()
         bad |= (x < 0) | (x >= len(at) - 1)
         x[bad] = 0
         size = np.where(bad, 0, at[x + 1] - at[x])
@@ -205,8 +216,17 @@ def decode(spark, ids: Column | str, vocabulary: bytes) -> Column:
         edge = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
         total, wrong = (np.concatenate([[0], np.cumsum(v)])[edge] for v in (size, bad))
         out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(total.astype(np.int64).tobytes()), pa.py_buffer(body.tobytes())])
-        none = pa.array(np.diff(wrong) > 0)
-        return pc.if_else(none, pa.scalar(None, pa.large_binary()), out).cast(pa.binary())
+        return pc.if_else(pa.array(np.diff(wrong) > 0), pa.scalar(None, pa.large_binary()), out).cast(pa.binary())
+
+    def run(column: pa.Array) -> pa.Array:
+        column = column.fill_null([]) if column.null_count else column
+        edge = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+        out, lo = [], 0
+        while lo < len(column):
+            hi = max(lo + 1, int(np.searchsorted(edge, (edge[lo - 1] if lo else 0) + (1 << 19), "right")))
+            out.append(some(column.slice(lo, hi - lo)))
+            lo = hi
+        return pa.concat_arrays([*out, pa.array([], pa.binary())])
 
     return F.arrow_udf(run, "binary")(ids)
 
