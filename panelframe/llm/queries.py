@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelframe.llm import bpe, cascade, linededup, mixing, simhash
+from panelframe.llm import bpe, cascade, chat, html, linededup, media, mixing, ngram_lm, rule_ensemble, simhash
 from panelframe.llm.stats import counts_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -21,6 +21,42 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    trie = ngram_lm.train(docs.where(~ngram_lm.held_out("doc_id")))
+    scored = docs.select("doc_id", ngram_lm.held_out("doc_id").alias("held_out"), ngram_lm.score(trie, "text").alias("s"))
+    return scored.select("doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "s.base_score", "s.score")
+
+
+def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
+
+
+def op4_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    stored = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), media.store("text").alias("media"))
+    back = stored.withColumn("back", media.reread("media"))
+    payload = F.col("back.payload")
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -media.UNIT, media.UNIT)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.col("back.feature").alias("feature"),
+    )
+
+
+def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = rule_ensemble.with_statistics(_table(spark, sf_dir, "documents"))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = rule_ensemble.fit(stats.where(~rule_ensemble.held_out()).join(labels, "doc_id"))
+    scored = stats.select("doc_id", rule_ensemble.held_out().alias("held_out"), model.column().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     order = cascade.ordered(cascade.estimate(docs))
@@ -52,6 +88,11 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
 
 
+def op9_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     gone = linededup.removed_lines(docs)
@@ -60,5 +101,53 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op6_quality_cascade, op7_bpe_round_trip, op8_source_mixing, op10_line_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op2_elias_fano_lm,
+        op3_chat_perspectives,
+        op4_media_sniffing,
+        op5_rule_ensemble,
+        op6_quality_cascade,
+        op7_bpe_round_trip,
+        op8_source_mixing,
+        op9_template_removal,
+        op10_line_dedup,
+    )
+}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_perspectives": """
+        WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+        who AS (SELECT DISTINCT conv_id, speaker AS perspective FROM m WHERE speaker <> 'system'),
+        r AS (SELECT m.conv_id, perspective, turn, speaker, text,
+                CASE WHEN speaker = 'system' THEN '<|system|>' || chr(10) WHEN speaker = perspective THEN '<|assistant|>' || chr(10)
+                     ELSE '<|user:' || speaker || '|>' || chr(10) END AS head
+              FROM m JOIN who ON m.conv_id IS NOT DISTINCT FROM who.conv_id),
+        s AS (SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM r),
+        o AS (SELECT *, sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg_end FROM s)
+        SELECT conv_id, perspective, turn, speaker, segment, CAST(seg_end - length(segment) AS BIGINT) AS seg_start, CAST(seg_end AS BIGINT) AS seg_end,
+               CAST(CASE WHEN speaker = perspective THEN seg_end - length(segment) + length(head) ELSE seg_end END AS BIGINT) AS mask_start,
+               CAST(seg_end AS BIGINT) AS mask_end FROM o""",
+    "op6_quality_cascade": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+        g AS (SELECT doc_id, rid, i, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS gram
+              FROM (SELECT doc_id, rid, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT *, row_number() OVER () AS rid FROM d) WHERE len(w) >= 5)),
+        twice AS (SELECT doc_id, rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+        rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) AS r(k) GROUP BY doc_id),
+        l AS (SELECT doc_id, line, n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, 1 AS n FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        ld AS (SELECT doc_id, sum(c) AS lines, sum(c - 1) AS dups FROM (SELECT doc_id, line, count(*) AS c FROM l GROUP BY ALL) GROUP BY doc_id),
+        c AS (SELECT d.doc_id, text, CAST(len(w) AS BIGINT) AS n_words,
+                CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                CAST(coalesce(dups, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lines, 0) AS n_lines,
+                len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_adjacent,
+                length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS upper, length(text) - length(regexp_replace(text, '\p{{Ll}}', '', 'g')) AS lower
+              FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id LEFT JOIN ld ON d.doc_id = ld.doc_id)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 50 * n_symbols > length(text) OR upper > lower OR 10 * n_adjacent > 3 * n_words
+                    OR 2 * n_dup_lines > n_lines OR NOT regexp_matches(text, '\p{{L}}')) AS kept FROM c""",
+}
