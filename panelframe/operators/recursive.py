@@ -1,0 +1,27 @@
+"""Order-recursive smoothing: exponentially weighted means, one pass per entity.
+
+y0 = x0, y = a*x + (1-a)*y; over a gap of g nulls the old value weighs (1-a)**(g+1)
+against a, and null rows carry y. An entity's history is one group (thousands of rows).
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+
+def ewm_columns(df: DataFrame, columns: dict[str, tuple[str, float]], entity: str = "entity", order: str = "d") -> DataFrame:
+    """Adds name: (column, alpha) for each."""
+    schema = StructType([*df.schema.fields, *(StructField(name, DoubleType()) for name in columns)])
+
+    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        return rows.assign(**{name: rows[x].astype(float).ewm(alpha=a, adjust=False).mean() for name, (x, a) in columns.items()})
+
+    return df.groupBy(entity).applyInPandas(smooth, schema)
+
+
+def ewm_over_refits(df: DataFrame, value: str, key: str, order: str, weight: float = 0.3, out: str = "smoothed") -> DataFrame:
+    """Importances or weights averaged over refits: weight * new + (1 - weight) * old, by key."""
+    return ewm_columns(df, {out: (value, weight)}, key, order)
