@@ -38,7 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType
 
 from panelframe.llm import words as W
-from panelframe.llm.shared import narrow, partitions
+from panelframe.llm.shared import bounded_batches, narrow, partitions
 
 _PACKED = "kind int, part long, block long, payload binary"
 _tables: dict[bytes, tuple] = {}
@@ -188,9 +188,10 @@ def gather(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.nd
     return pool[np.arange(len(shift)) + shift], size
 
 
-def encode(df: DataFrame, vocabulary: bytes, pattern: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def encode(df: DataFrame, vocabulary: bytes, pattern: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id and ids (array of int), a row for each of df."""
     spark = df.sparkSession
+    bounded_batches(spark)
     docs = narrow(df, doc_id=doc_id, text=text).withColumn("text", F.col("text").cast("string"))
     raw = spark.sparkContext.broadcast(vocabulary)
     words, streams = (_pretokens(docs, pattern, 4 * partitions(spark), block_bytes, x) for x in (False, True))

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelframe.llm.shared import free_name, saved
+from panelframe.llm.shared import bounded_batches, free_name, saved
 from panelframe.llm.stats import counts_of
 
 
@@ -95,8 +95,7 @@ def estimate(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", s
 
     counts names a struct column with the counts if df has it already; they then cost nothing more.
     """
-    if df.sparkSession is None or not rules:
-        return []
+    bounded_batches(df.sparkSession)
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     picked = df.where(F.pmod(F.xxhash64(F.lit("cascade"), t), F.lit(1 << 20)) < int(share * (1 << 20)))
     picked = picked.select(t.alias("text"), *([F.col(f"`{counts}`").alias("counts")] if counts else []))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelframe.llm.shared import narrow
+from panelframe.llm.shared import bounded_batches, narrow
 
 # Element names and words of classes, in the sense of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -231,6 +231,7 @@ def template_subtrees(pages: DataFrame, min_pages: int = 10, share: float = 0.2)
 
 def extract(df: DataFrame, url: str = "url", page: str = "html", min_pages: int = 10, share: float = 0.2) -> DataFrame:
     """df's columns but the page's source, and text."""
+    bounded_batches(df.sparkSession)
     keep = [c for c in df.columns if c != page]
     key = F.xxhash64(*[F.col(f"`{c}`") for c in (url, page)])
     own = narrow(df, url=url, html=page).select(F.xxhash64("url", "html").alias("page"), F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"), F.col("html").cast("string").alias("html"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelframe.llm import words as W
-from panelframe.llm.shared import narrow, saved
+from panelframe.llm.shared import bounded_batches, narrow, saved
 
 _LINE = "doc_id long, line int, whole long, halves array<long>"
 _LONG = "doc_id long, line int, words string, variants array<long>"
@@ -133,6 +133,7 @@ def _verified(x: pa.Array, y: pa.Array) -> pa.Array:
 
 def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 10) -> DataFrame:
     """(doc_id, line) of every line, counted from 0, that an earlier line duplicates within one word edit."""
+    bounded_batches(df.sparkSession)
     docs = narrow(df, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = saved(lines_of(docs, min_words), "lines")
     place = F.struct("doc_id", "line")

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelframe.llm import words as W
-from panelframe.llm.shared import new_path
+from panelframe.llm.shared import bounded_batches, new_path
 
 U64 = np.uint64
 SCALE = 2048.0  # steps to the bit of quantised probabilities: 32 bits in 16
@@ -349,6 +349,7 @@ def _starts(made: list, shards: int) -> tuple[int, ...]:
 def train(docs: DataFrame, order: int = 2, shard_tokens: int = 1 << 21) -> Trie:
     """The trie of the texts (column text) of docs. A shard takes about shard_tokens tokens."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = new_path(spark, "ngrams")
     local = folder.removeprefix("file://") if folder.startswith("file:///") else folder.removeprefix("file:")
     if "://" in local:

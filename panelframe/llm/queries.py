@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelframe.llm import bpe, cascade, chat, html, linededup, media, mixing, ngram_lm, rule_ensemble, simhash
+from panelframe.llm.shared import bounded_batches
 from panelframe.llm.stats import counts_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -33,6 +34,7 @@ def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     stored = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), media.store("text").alias("media"))
     back = stored.withColumn("back", media.reread("media"))

@@ -25,7 +25,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelframe.llm.shared import narrow, saved
+from panelframe.llm.shared import bounded_batches, narrow, saved
 from panelframe.llm.stats import counts_of
 
 #: Statistics: name, numerator and denominator among the counts (1: the number itself).
@@ -57,6 +57,7 @@ def statistics(counts: Column) -> list[Column]:
 
 def with_statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and the statistics of the text, computed once."""
+    bounded_batches(df.sparkSession)
     docs = narrow(df, doc_id=doc_id, text=text).select("doc_id", F.col("text").cast("string").alias("text"))
     return saved(docs.withColumn("counts", counts_of("text")).select("doc_id", *statistics(F.col("counts"))), "rule-statistics")
 

@@ -22,6 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Arrow batches by bytes, unless the session has a limit of its own: texts may be long, and rows say little about size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, most)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

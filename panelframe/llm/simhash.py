@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from panelframe.llm import words as W
 from panelframe.llm.components import components
-from panelframe.llm.shared import narrow, saved
+from panelframe.llm.shared import bounded_batches, narrow, saved
 
 
 def _fingerprints(column: pa.Array, size: int, seed: int) -> np.ndarray:
@@ -158,6 +158,7 @@ def link_fingerprints(reps: DataFrame, radius: int = 2, tile: int = 2048, bands:
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, seed: int = 42, radius: int = 2, **how) -> DataFrame:
     """doc_id, fp (long) and component_id, the least doc_id that links of at most radius bits reach: a row for each of df."""
+    bounded_batches(df.sparkSession)
     own = narrow(df, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text").cast("string"), size, seed).alias("fp"))
     own = saved(own, "simhash-fingerprints")
     reps = own.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null")
