@@ -180,7 +180,7 @@ def stream_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
-    events = increment.without_repeats(increment.stream_files(spark, f"{sf_dir}/events.parquet", schema), "event_id", "ts", "3650 days")
+    events = increment.without_repeats(increment.stream_files(spark, f"{sf_dir}/events*.parquet", schema), "event_id", "ts", "3650 days")
     increment.run_available(events, f"{path}/progress", each).awaitTermination()
     rows = spark.read.schema(schema).parquet(f"{path}/rows")
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
