@@ -142,8 +142,9 @@ def ts_argmin(s: Spec, x: Column, n: int) -> Column:
 
 def _ranked(x: Column, *by: str) -> Column:
     h = _held(x)
-    rank = F.rank().over(Window.partitionBy(*by).orderBy(h.asc_nulls_last()))
-    peers = F.count(F.lit(1)).over(Window.partitionBy(*by, h))
+    w = Window.partitionBy(*by).orderBy(h.asc_nulls_last())  # one sort serves ranks and ties
+    rank = F.rank().over(w)
+    peers = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
     return F.when(x.isNotNull(), (rank + (peers - 1) / 2.0) / F.count(x).over(Window.partitionBy(*by)))
 
 

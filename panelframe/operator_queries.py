@@ -21,9 +21,9 @@ from panelframe.plans import panels as P
 from panelframe.queries import bars_sql, query
 
 
-def _round(df: DataFrame, n: int = 6, **other: int) -> DataFrame:
-    """Doubles rounded, without negative zero."""
-    return df.select(*[(F.round(c, other.get(c, n)) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def _round(df: DataFrame, n: int = 6, **other: int | None) -> DataFrame:
+    """Doubles rounded, without negative zero; None: left as they are."""
+    return df.select(*[(F.round(c, other.get(c, n)) + F.lit(0.0)).alias(c) if t == "double" and other.get(c, n) is not None else F.col(c) for c, t in df.dtypes])
 
 
 def _r(names: str, n: int = 6) -> str:
@@ -698,11 +698,11 @@ def cohort_virtual_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.virtual_stop(B.cohort_returns(_trades(spark, sf_dir), "signal"), "signal", "ret").select("signal", "stop")
 
 
-@query(f"WITH {_M}, b AS (SELECT entity, d, close_hfq FROM m WHERE month(d) IN (1, 4)), s AS (SELECT entity, d AS sell_date, close_hfq AS sell_price FROM m WHERE month(d) IN (4, 10)) SELECT b.entity, b.d, round(b.close_hfq, 4) AS close_hfq, sell_date, round(sell_price, 4) AS sell_price, round(sell_price / b.close_hfq - 1, 6) + 0.0 AS ret, CAST(sell_date - b.d AS INTEGER) AS days FROM b ASOF JOIN s ON b.entity = s.entity AND b.d <= s.sell_date")
+@query(f"WITH {_M}, b AS (SELECT entity, d, close_hfq FROM m WHERE month(d) IN (1, 4)), s AS (SELECT entity, d AS sell_date, close_hfq AS sell_price FROM m WHERE month(d) IN (4, 10)) SELECT b.entity, b.d, b.close_hfq, sell_date, sell_price, round(sell_price / b.close_hfq - 1, 6) + 0.0 AS ret, CAST(sell_date - b.d AS INTEGER) AS days FROM b ASOF JOIN s ON b.entity = s.entity AND b.d <= s.sell_date")
 def cohort_pair_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = P.bars(spark, sf_dir, "month").select("entity", "d", "close_hfq")
     out = B.pair_trades(m.where(F.month("d").isin(1, 4)), m.where(F.month("d").isin(4, 10)), "entity", "d", "close_hfq")
-    return _round(out, 6, close_hfq=4, sell_price=4)
+    return _round(out, 6, close_hfq=None, sell_price=None)
 
 
 @query(f"WITH {_W} SELECT DISTINCT entity FROM w WHERE d = (SELECT min(d) FROM w) AND entity NOT IN (SELECT entity FROM w WHERE d = (SELECT max(d) FROM w))")

@@ -14,7 +14,8 @@ from panelframe.functions.kernels import TINY, div
 def average_rank(x: str, *by: str) -> Column:
     """Rank with ties averaged, to nine decimals."""
     h = F.round(F.col(x), 9)
-    return F.rank().over(Window.partitionBy(*by).orderBy(h)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, h)) - 1) / 2.0
+    w = Window.partitionBy(*by).orderBy(h)
+    return F.rank().over(w) + (F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2.0
 
 
 def safe_corr(x: str | Column, y: str | Column) -> Column:
