@@ -723,3 +723,53 @@ def signal_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = s.select("d").distinct().withColumn("ratio", F.lit(1.0))
     out = B.snapshot(s, _calendar(spark, sf_dir), full, "d", "entity", "score")
     return _round(out.select("entity", "signal_date", "score"))
+
+
+@query(
+    f"""WITH {_IND}, mk AS (SELECT d, avg(ret) AS r FROM rr GROUP BY d), mz AS (SELECT d, sum(r) OVER (ORDER BY d ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS v FROM mk)
+    SELECT rr.entity, rr.d, round(f.ind_ret_5d, 6) + 0.0 AS ind_ret_5d, round(f.ind_up_5d, 6) + 0.0 AS ind_up_5d, round(CASE WHEN count(v) OVER w >= 0 THEN v END, 6) + 0.0 AS mkt FROM rr JOIN f USING (d, industry) JOIN mz USING (d) WINDOW w AS (ORDER BY rr.d)"""
+)
+def market_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _returns(_monthly(spark, sf_dir))
+    ind = XS.industry_features(r, "d", "industry", "ret", "flow", "circ_mv", "turnover_rate_x")
+    mkt = r.groupBy("d").agg(F.avg("ret").alias("r")).select("d", F.sum("r").over(Window.orderBy("d").rowsBetween(-4, 0)).alias("mkt"))
+    return _round(XS.attach(r, ind, mkt, "d", "industry").select("entity", "d", "ind_ret_5d", "ind_up_5d", "mkt"))
+
+
+_AL = f"{_S}, p AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY score DESC, entity) AS p FROM sc), al AS (SELECT d, (max(score) FILTER (p = 5) - avg(score)) / CASE WHEN stddev_samp(score) > 1e-9 THEN stddev_samp(score) END AS alias, avg(label) FILTER (p <= 5) / 100 AS profit FROM p GROUP BY d)"
+
+
+def _alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _scores(spark, sf_dir)
+    profit = E.top_returns(s, "d", "score", "label", "entity", (5,)).select("d", (F.col("top5") / 100).alias("profit"))
+    return E.dispersion(s, "d", "score", "entity", 5).join(profit, "d")
+
+
+@query(
+    f"""WITH {_AL}, e AS (SELECT quantile_cont(alias, 0.25) AS a, quantile_cont(alias, 0.5) AS b, quantile_cont(alias, 0.75) AS c FROM al), x AS (SELECT d, alias, profit, CAST(1 + (alias > a)::INT + (alias > b)::INT + (alias > c)::INT AS INTEGER) AS quartile,
+      CASE WHEN alias IS NOT NULL THEN profit END AS pp, CASE WHEN profit IS NOT NULL THEN alias END AS aa FROM al CROSS JOIN e)
+    SELECT d, round(alias, 6) + 0.0 AS alias, round(profit, 6) + 0.0 AS profit, quartile, round(CASE WHEN count(aa) OVER w >= 3 AND stddev_pop(aa) OVER w > 1e-9 AND stddev_pop(pp) OVER w > 1e-9 THEN covar_pop(aa, pp) OVER w / (stddev_pop(aa) OVER w * stddev_pop(pp) OVER w) END, 6) + 0.0 AS corr,
+      round(product(1 + coalesce(profit, 0)) OVER (ORDER BY d) - 1, 6) + 0.0 AS cumulative FROM x WINDOW w AS (ORDER BY d ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"""
+)
+def perf_dispersion_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(B.dispersion_table(_alias(spark, sf_dir), "d", "alias", "profit"))
+
+
+@query(
+    f"""WITH {_AL}, y AS (SELECT *, CAST(year(d) AS INTEGER) AS year FROM al WHERE alias IS NOT NULL AND profit IS NOT NULL), k AS (SELECT *, rank() OVER (PARTITION BY year ORDER BY alias) + (count(*) OVER (PARTITION BY year, alias) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY year ORDER BY profit) + (count(*) OVER (PARTITION BY year, profit) - 1) / 2.0 AS ry FROM y)
+    SELECT year, round(avg(profit), 6) + 0.0 AS mean_profit, round(avg(CASE WHEN profit > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, count(*) AS n, round(corr(alias, profit), 6) + 0.0 AS pearson, round(corr(rx, ry), 6) + 0.0 AS spearman, round(regr_slope(profit, alias), 6) + 0.0 AS slope, round(regr_intercept(profit, alias), 6) + 0.0 AS intercept FROM k GROUP BY year"""
+)
+def perf_dispersion_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _alias(spark, sf_dir).where("alias is not null and profit is not null").withColumn("year", F.year("d"))
+    return _round(B.bin_summary(a, ["year"], "alias", "profit"))
+
+
+@query(f"WITH {_S}, p AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY score DESC, entity) AS p FROM sc) SELECT d, {_r('max mean min std spread')} FROM (SELECT d, max(score) AS max, avg(score) AS mean, min(score) AS min, stddev_samp(score) AS std, max(score) - min(score) AS spread FROM p WHERE p <= 10 GROUP BY d)")
+def perf_pick_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    picks = B.pick(_scores(spark, sf_dir), "d", "entity", "score", 10)
+    return _round(B.pick_aggregates(picks, "d", "score"))
+
+
+@query(f"WITH {_IDX}, {_TWO}, c AS (SELECT {_corr_sql(10)} AS corr FROM two), g AS (SELECT CASE WHEN corr > 0.6 THEN 'converged' WHEN corr < -0.2 THEN 'diverged' WHEN corr IS NOT NULL THEN 'neutral' END AS regime, count(*) AS n FROM c GROUP BY 1) SELECT regime, n, round(n / sum(n) OVER (), 6) AS share FROM g")
+def perf_regime_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(B.regime_shares(G.style(_index(spark, sf_dir), "d", "ra", "rb"), "regime"))

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelframe.functions import kernels as K
 from panelframe.functions.kernels import TINY, div
 from panelframe.operators.joins import asof, calendar_index, pairs_before
+from panelframe.operators.relational import correlations
 
 
 def rebalance_calendar(calendar: DataFrame, day: str, holding: int) -> DataFrame:
@@ -223,3 +225,29 @@ def snapshot(scores: DataFrame, calendar: DataFrame, exposure: DataFrame, day: s
     best = scores.join(last, day).orderBy(F.desc(score), entity).limit(n)
     out = best.join(i, day).join(nxt, "idx", "left").join(exposure, day, "left")
     return out.select(F.col(day).alias("signal_date"), "buy_date", entity, score, F.coalesce("ratio", F.lit(1.0)).alias("ratio"))
+
+
+def pick_aggregates(picks: DataFrame, day: str, score: str) -> DataFrame:
+    """Extremes, mean, deviation and spread of the picked scores by date."""
+    return picks.groupBy(day).agg(F.max(score).alias("max"), F.avg(score).alias("mean"), F.min(score).alias("min"), F.stddev_samp(score).alias("std"), (F.max(score) - F.min(score)).alias("spread"))
+
+
+def dispersion_table(df: DataFrame, day: str, alias: str, profit: str, rows: int = 10) -> DataFrame:
+    """Quartile of the dispersion, rolling correlation with the profit and compounded profit, over one series of batches."""
+    s = K.Spec("_one", day)
+    edges = df.agg(F.percentile(alias, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_edges")).withColumn("_one", F.lit(1))
+    d = df.withColumn("_one", F.lit(1)).join(F.broadcast(edges), "_one")  # one row
+    d = d.withColumns({"quartile": F.size(F.filter("_edges", lambda e: e < F.col(alias))) + 1, "corr": K.corr(s, F.col(alias), F.col(profit), rows, 3), "cumulative": K.cum_prod(s, 1 + F.coalesce(F.col(profit), F.lit(0.0))) - 1})
+    return d.drop("_one", "_edges")
+
+
+def bin_summary(df: DataFrame, by: Sequence[str], x: str, profit: str) -> DataFrame:
+    """Number, mean and win rate by bin or month, rank correlation and linear trend of the profit on x."""
+    base = df.groupBy(*by).agg(F.avg(profit).alias("mean_profit"), F.avg((F.col(profit) > 0).cast("double")).alias("win_rate"))
+    return base.join(correlations(df, by, x, profit), list(by), "left")
+
+
+def regime_shares(df: DataFrame, regime: str) -> DataFrame:
+    """Days of each regime and their share."""
+    n = df.groupBy(regime).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row a regime

@@ -333,6 +333,15 @@ def quality(year: int = 252, quarter: int = 63) -> dict[str, Ex]:
     }
 
 
+RAW = {"open_hfq": "open", "high_hfq": "high", "low_hfq": "low", "close_hfq": "close_x"}
+
+
+def on_raw(named: dict[str, Ex]) -> dict[str, Ex]:
+    """The same factors on unadjusted prices."""
+    swap = lambda e: col(RAW.get(e.params[0], e.params[0])) if e.op == "col" else Ex(e.op, tuple(map(swap, e.args)), e.params)
+    return {n: swap(e) for n, e in named.items()}
+
+
 def columns_of(e: Ex) -> set[str]:
     return {e.params[0]} if e.op == "col" else set().union(*(columns_of(a) for a in e.args))
 

@@ -96,6 +96,8 @@ _family("factors_risk_long", {k: v for k, v in FX.risk().items() if "750" in k o
 _family("factors_liquidity", FX.liquidity(52, 104), dense, _DENSE)
 _family("factors_liquidity_long", {k: v for k, v in FX.liquidity().items() if "504" in k or "252d" in k}, dense, _DENSE)
 
+_family("factors_legacy_raw", {f"{k}_raw": v for k, v in FX.on_raw(_TECH).items() if k in ("rsi", "cci", "mfi", "volatility_20d", "reversal_5d", "high_low_spread", "macd_air_refuel")}, bars, _BARS)
+
 # ---- kernels -------------------------------------------------------------------------------
 
 _C, _V = col("close_hfq"), col("vol")
