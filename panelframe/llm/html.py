@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelframe.llm.shared import bounded_batches, narrow
+from panelframe.llm.shared import bounded_batches, narrow, saved
 
 # Element names and words of classes, in the sense of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -196,12 +196,14 @@ _BLOCKS = pa.list_(pa.list_(pa.struct([("said", pa.string()), ("around", pa.list
 
 
 def _subtrees(column: pa.Array) -> pa.Array:
-    whole, hashes = [], []
+    whole, hashes, around = [], [], []
     for v in column:
-        a, h, _ = read_page(v.as_py())
+        a, h, blocks = read_page(v.as_py())
         whole.append(a)
         hashes.append(h)
-    return pa.StructArray.from_arrays([pa.array(whole, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["article", "subtrees"])
+        around.append(sorted({x for b in blocks for _, near in b for x in near}))
+    kind = pa.list_(pa.int64())
+    return pa.StructArray.from_arrays([pa.array(whole, pa.int64()), pa.array(hashes, kind), pa.array(around, kind)], names=["article", "subtrees", "around"])
 
 
 def _blocks(column: pa.Array) -> pa.Array:
@@ -221,12 +223,14 @@ def _text(page: pa.Array, gone: pa.Array) -> pa.Array:
 
 def template_subtrees(pages: DataFrame, min_pages: int = 10, share: float = 0.2) -> DataFrame:
     """(page, host, html) to (page, gone): the hashes of subtrees of the page that are its host's template."""
-    found = pages.select("page", "host", F.arrow_udf(_subtrees, "article bigint, subtrees array<bigint>")("html").alias("f")).select("page", "host", "f.article", F.explode_outer("f.subtrees").alias("subtree"))
-    each = found.groupBy("host", "subtree", "article").agg(F.lit(1).alias("one"))
-    on = each.where("subtree is not null").groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages"))
+    found = pages.select("page", "host", F.arrow_udf(_subtrees, "article bigint, subtrees array<bigint>, around array<bigint>")("html").alias("f"))
+    found = saved(found.select("page", "host", "f.*"), "html-subtrees")
+    each = found.select("host", "article", F.explode("subtrees").alias("subtree")).distinct()
+    on = each.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages"))
     hosts = found.select("host", "article").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
     often = on.where(F.col("pages") >= min_pages).join(hosts, "host").where(F.col("pages") >= share * F.col("all")).select("host", "subtree")
-    return found.join(often, ["host", "subtree"]).groupBy("page").agg(F.collect_set("subtree").alias("gone"))
+    # only subtrees with text that would come out matter to a page
+    return found.select("page", "host", F.explode("around").alias("subtree")).join(often, ["host", "subtree"]).groupBy("page").agg(F.collect_set("subtree").alias("gone"))
 
 
 def extract(df: DataFrame, url: str = "url", page: str = "html", min_pages: int = 10, share: float = 0.2) -> DataFrame:
@@ -235,6 +239,7 @@ def extract(df: DataFrame, url: str = "url", page: str = "html", min_pages: int
     keep = [c for c in df.columns if c != page]
     key = F.xxhash64(*[F.col(f"`{c}`") for c in (url, page)])
     own = narrow(df, url=url, html=page).select(F.xxhash64("url", "html").alias("page"), F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"), F.col("html").cast("string").alias("html"))
-    gone = template_subtrees(own, min_pages, share).select(F.col("page").alias("\u0001page"), "gone")
+    # as a table of known size: Spark broadcasts it if it is small, else it sorts both sides
+    gone = saved(template_subtrees(own, min_pages, share), "html-template").select(F.col("page").alias("\u0001page"), "gone")
     out = df.withColumn("\u0001key", key).join(gone, F.col("\u0001key") == F.col("\u0001page"), "left")
     return out.select(*[F.col(f"`{c}`") for c in keep], F.arrow_udf(_text, "string")(F.col(f"`{page}`").cast("string"), F.col("gone")).alias("text"))
