@@ -1,8 +1,9 @@
 """Operator 10: near-duplicate lines by a deletion-neighbourhood join.
 
 A line (\\n-split) is its sequence of lower-cased (A-Z) words. Lines with at least
-min_words words are compared: two are duplicates within one word edit (one word
-changed, put in or left out). All variants of a line with one word deleted are
+min_words words are compared: two are duplicates if they are equal, or within one word edit (one word
+changed, put in or left out) that leaves more than half of the longer line's words, so that it
+has three or more: by the edit alone all lines of one word would be one. All variants of a line with one word deleted are
 emitted as hashed keys; lines that agree in a variant are joined, the edit distance of
 the pair is verified on the words, and of two duplicates the earlier by (doc_id, line
 number) stays. A line goes if any earlier line in the table duplicates it.
@@ -13,7 +14,7 @@ the edit leaves alone, so only lines whose half occurs in another line emit thei
 one edit of each other, and so do a line and the lines that become it by a deletion: each
 compares with the earliest one there, and a hot variant costs as many pairs as lines.
 
-Shorter lines and lines of documents without an id stay. A text that loses all its words goes as
+Lines below min_words and lines of documents without an id stay. A text that loses all its words goes as
 a document in `dedup_lines`; texts that had none stay as they are, null included. Rows that share
 doc_id and line number count as one line. An empty table gives an empty result.
 """
@@ -47,7 +48,10 @@ def _long_lines(column: pa.Array, least: int) -> tuple:
 
 
 def _half_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each line four keys: the halves that a line as long, or one word longer, or one shorter may share."""
+    """For each line four keys: the halves that a line as long, or one word longer, or one shorter may share.
+
+    Not all of them mean something: see _half_counts.
+    """
     n, out = b - a, []
     for shorter in (0, 1):
         m = n - shorter  # words of the shorter line of a pair
@@ -59,6 +63,11 @@ def _half_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+def _half_counts(n: np.ndarray) -> np.ndarray:
+    """How many of the four keys to take: the shorter line of a near pair has two words at least."""
+    return np.select([n < 2, n == 2], [0, 2], 4)
+
+
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, text) to the lines that are compared: hash of the words and keys of their halves."""
 
@@ -66,13 +75,15 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             for part in W.slices(batch, "text"):
                 _, hashes, rows, number, a, b, *_ = _long_lines(part.column("text"), least)
-                whole, keys = W.range_hash(hashes, a, b), _half_keys(hashes, a, b)
+                whole, keys, take = W.range_hash(hashes, a, b), _half_keys(hashes, a, b), _half_counts(b - a)
+                keys = keys[np.arange(4) < take[:, None]]
+                edge = np.concatenate([[0], np.cumsum(take)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").take(pa.array(rows)),
                         pa.array(number, pa.int32()),
                         pa.array(whole.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * 4, pa.int32()), pa.array(keys.reshape(-1).view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(keys.view(np.int64))),
                     ],
                     names=["doc_id", "line", "whole", "halves"],
                 )
@@ -94,6 +105,9 @@ def _variants_of(docs: DataFrame, least: int) -> DataFrame:
                 rows, number, a, b, first, last = (x[pick] for x in (rows, number, a, b, first, last))
                 lists, low = [], W.LOWER[data].tobytes()
                 for lo, hi in zip(a.tolist(), b.tolist(), strict=True):
+                    if hi - lo < 3:  # met as the shorter line only
+                        lists.append(np.zeros(0, np.uint64))
+                        continue
                     up, down = W.powers(hi - lo)
                     term = hashes[lo:hi] * up[: hi - lo]
                     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(term, dtype=np.uint64)])

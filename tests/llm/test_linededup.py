@@ -5,6 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from panelframe.llm import linededup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -75,3 +76,22 @@ def test_empty_null_and_repeated(spark):
     df = spark.createDataFrame([(1, long), (1, long), (None, long), (2, long)], "doc_id long, text string")
     assert [(r.doc_id, r.line) for r in linededup.repeated_lines(df).collect()] == [(2, 0)]
     assert sorted(str(r.doc_id) for r in linededup.dedup_lines(df).collect()) == ["1", "1", "None"]
+
+
+def test_lines_of_every_length_against_brute_force(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(12)]
+    docs = {i: "\n".join(" ".join(rng.choices(words, k=rng.choice([0, 1, 2, 3, 3, 4, 5, 6, 9, 10]))) for _ in range(rng.randint(1, 4))) for i in range(120)}
+    lines = [(i, n, WORD.findall(x)) for i, t in docs.items() for n, x in enumerate(t.split("\n")) if x]
+    near = lambda v, w: v == w or max(len(v), len(w)) >= 3 and distance(v, w) <= 1
+    want = {(i, n) for k, (i, n, w) in enumerate(lines) if any(near(v, w) for _, _, v in lines[:k])}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {(r.doc_id, r.line) for r in linededup.repeated_lines(df, min_words=1).collect()} == want
+    assert {len(w) for i, n, w in lines if (i, n) in want} >= {1, 2, 3, 4}
+
+
+def test_stage_leaves_no_remnant_of_a_copy(spark):
+    text = "Title\nA short line\none two three four five six seven eight nine ten eleven\n\nThe end"
+    df = spark.createDataFrame([(1, text, 9), (2, text, 9), (3, text.replace("A short line", "Something else"), 9), (4, text + "\nown", 9)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    assert got == {1: text, 3: "Something else\n", 4: "\nown"}
