@@ -1,10 +1,11 @@
 """Operator 9: main text of web pages by site template removal.
 
 A page is read once as a tree. The hash of an element's subtree covers its tag, class and
-text below. Spark counts by host on how many different articles' pages a hash occurs, and
-subtrees that recur on at least `min_pages` of them and `share` of the host's are template and
-go, besides what says itself what it is (nav, footer, aside, form, script, and classes
-or ids such as ad, menu, comments). What remains of the article (or main, or body) is
+text below. Spark counts by host on how many different articles' pages a hash occurs: containers
+that recur on at least `min_pages` of them are template and go, and so do passages (paragraphs, headings,
+list items, inline elements outside an article) on at least `min_passages`, since passages are quoted.
+Both are counts, so that a host's growth never makes text of its template. What says itself what it
+is goes too (nav, footer, aside, form, script, and classes or ids such as ad, menu, comments). What remains of the article (or main, or body) is
 split at block elements.
 
 Inside an article paragraphs, headings, list items, quotes and preformatted text are never taken for template:
@@ -87,7 +88,8 @@ def parse(page: str) -> tuple[list[tuple[str, list[_Node], int]], list[_Node]]:
         node = stack.pop()
         body = "\0".join(node.below)
         digest = xxhash.xxh64_hexdigest(f"{node.tag}\1{node.attrs}\1{body}")
-        node.hash = int(digest, 16) - (1 << 63)
+        # the last bit says whether it is a passage
+        node.hash = (int(digest, 16) - (1 << 63)) & ~1 | (node.tag in TEXTUAL)
         if stack and node.below:
             stack[-1].below.append(digest)
 
@@ -221,25 +223,25 @@ def _text(page: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.array(list(_joined(_blocks(page), gone)), pa.string())
 
 
-def template_subtrees(pages: DataFrame, min_pages: int = 10, share: float = 0.2) -> DataFrame:
+def template_subtrees(pages: DataFrame, min_pages: int = 3, min_passages: int = 10) -> DataFrame:
     """(page, host, html) to (page, gone): the hashes of subtrees of the page that are its host's template."""
     found = pages.select("page", "host", F.arrow_udf(_subtrees, "article bigint, subtrees array<bigint>, around array<bigint>")("html").alias("f"))
     found = saved(found.select("page", "host", "f.*"), "html-subtrees")
     each = found.select("host", "article", F.explode("subtrees").alias("subtree")).distinct()
     on = each.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages"))
-    hosts = found.select("host", "article").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
-    often = on.where(F.col("pages") >= min_pages).join(hosts, "host").where(F.col("pages") >= share * F.col("all")).select("host", "subtree")
+    least = F.when(F.col("subtree").bitwiseAND(F.lit(1)) == 1, min_passages).otherwise(min_pages)
+    often = on.where(F.col("pages") >= least).select("host", "subtree")
     # only subtrees with text that would come out matter to a page
     return found.select("page", "host", F.explode("around").alias("subtree")).join(often, ["host", "subtree"]).groupBy("page").agg(F.collect_set("subtree").alias("gone"))
 
 
-def extract(df: DataFrame, url: str = "url", page: str = "html", min_pages: int = 10, share: float = 0.2) -> DataFrame:
+def extract(df: DataFrame, url: str = "url", page: str = "html", min_pages: int = 3, min_passages: int = 10) -> DataFrame:
     """df's columns but the page's source, and text."""
     bounded_batches(df.sparkSession)
     keep = [c for c in df.columns if c != page]
     key = F.xxhash64(*[F.col(f"`{c}`") for c in (url, page)])
     own = narrow(df, url=url, html=page).select(F.xxhash64("url", "html").alias("page"), F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"), F.col("html").cast("string").alias("html"))
     # as a table of known size: Spark broadcasts it if it is small, else it sorts both sides
-    gone = saved(template_subtrees(own, min_pages, share), "html-template").select(F.col("page").alias("\u0001page"), "gone")
+    gone = saved(template_subtrees(own, min_pages, min_passages), "html-template").select(F.col("page").alias("\u0001page"), "gone")
     out = df.withColumn("\u0001key", key).join(gone, F.col("\u0001key") == F.col("\u0001page"), "left")
     return out.select(*[F.col(f"`{c}`") for c in keep], F.arrow_udf(_text, "string")(F.col(f"`{page}`").cast("string"), F.col("gone")).alias("text"))

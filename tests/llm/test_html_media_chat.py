@@ -109,3 +109,17 @@ def test_perspectives(spark):
         ann = "".join(r.segment for r in by[(1, "ann")])
         assert ann == "<|system|>\nbe kind<|end|>\n<|assistant|>\nhi<|end|>\n<|user:bob|>\nyo<|end|>\n<|assistant|>\né<|end|>\n"
     assert chat.rotate(df.limit(0)).count() == 0
+
+
+def test_template_by_count_on_large_and_small_hosts(spark):
+    def page(i, bar, quote):
+        return f"<body>{'<div class=x1><span>Follow us everywhere</span></div>' if bar else ''}{'<p>A quoted passage.</p>' if quote else ''}<p>Story {i} of the day.</p></body>"
+
+    rows = [(i, "http://large.example/p", page(i, i < 12, i < 10)) for i in range(200)]  # on 6 and 5 per cent of the pages
+    rows += [(1000 + i, "http://small.example/p", page(i, True, True)) for i in range(3)]
+    rows += [(2000 + i, "http://two.example/p", page(i, True, False)) for i in range(2)]
+    rows += [(3000, "http://same.example/p", page(0, True, False))] * 5  # five copies are one article
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "Story 0 of the day." and got[11] == "Story 11 of the day."
+    assert got[1001] == "A quoted passage.\n\nStory 1 of the day."
+    assert got[2001] == "Follow us everywhere\n\nStory 1 of the day." and got[3000] == "Follow us everywhere\n\nStory 0 of the day."
