@@ -1,23 +1,32 @@
 """Operator 9: main text of web pages by site template removal.
 
-A page is read once as a tree. The hash of an element's subtree covers its tag, class and
-text below. Spark counts by host on how many different articles' pages a hash occurs: containers
-that recur on at least `min_pages` of them are template and go, and so do passages (paragraphs, headings,
-list items, inline elements outside an article) on at least `min_passages`, since passages are quoted.
-Both are counts, so that a host's growth never makes text of its template. What says itself what it
-is goes too (nav, footer, aside, form, script, and classes or ids such as ad, menu, comments). What remains of the article (or main, or body) is
-split at block elements.
-
-Inside an article paragraphs, headings, list items, quotes and preformatted text are never taken for template:
-a passage that many articles quote is text. Null and empty pages have empty text. Equal
-rows are equal results. A null or odd url is the host ''. An empty table gives an empty result.
+A page is read once as a tree. The hash of an element's subtree covers its tag, class, id, role and
+text below. Spark counts by host on how many different articles' pages a hash occurs, over the whole page
+and before any name of an element or class is looked at:
+
+- beside an article (or main) a container, which is a block element that is no passage, that recurs on `min_beside` of them is template;
+- inside an article, or on pages without one, so is a container on `min_pages` of them;
+- on pages without an article, so is a passage (paragraph, heading, list item, inline element) on `min_passages`;
+- a place beside the article (the path of tags and classes down to a container) is a template slot if `min_pages` of
+  what stands there recurs, and a quarter of all that stands there: what stands there once goes too (rotating adverts).
+
+Thresholds are counts of articles, or shares of one place beside articles, so that a host's growth never makes text of its template.
+Copies of an article on a host count once. Inside an article passages are never template: a paragraph that many
+articles quote is text.
+
+What the counts leave goes by its role, since it can't be counted or a host has too few pages: script, style and
+form controls, nav, footer, aside (ROLES), and classes of adverts and of reader comments, which differ from page to page
+(CLASSES). Then the page's article is what stays, or else main, or else the body; it is split at
+block elements. `report` says how many code points went by which of the four.
+
+Null and empty pages have empty text. Equal rows are equal results. A null or odd url is the host ''. An empty table
+gives an empty result. df's own columns may have any names; one called as the result is replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -33,25 +42,26 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-PROSE = HEADING | frozenset("p li blockquote pre dd dt td th figcaption".split())
-NOISE = frozenset("nav footer aside form script style noscript iframe template dialog menu button select textarea input svg head title canvas object audio video search".split())
-HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup social share sharing related recommended comment comments disqus respond replies reply toolbar pagination pager masthead skip".split()
-)
-WHOLE = RAW | frozenset("html body main article".split())
-TEXTUAL = PROSE | frozenset("b i em strong a span u code br".split())
+PASSAGE = HEADING | frozenset("p li blockquote pre dd dt td th tr tbody thead tfoot summary figcaption".split())
+CONTAINER = BLOCK - PASSAGE - frozenset("html head body main article hr title".split())
+WHOLE = RAW | frozenset("html head body main article".split())
+ROLES = frozenset("nav footer aside form script style noscript iframe template dialog menu button select textarea input svg head title canvas object audio video search".split())
+CLASSES = frozenset("ad ads advert adverts advertisement adsense banner sponsored promo cookie consent newsletter popup share sidebar comment comments disqus respond replies reply".split())
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot body html head title".split())
 SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
+PEERS = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+# possessive: a tag is read once, whatever its quotes are
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)""", re.S)
 _WORD = re.compile("[a-z0-9]+")
 _MAIN = re.compile(r"""\brole\s*=\s*["']?main\b""", re.I)
-KEPT = frozenset("html body article main".split())
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_HALF = 1 << 63
 
 
 class _Node:
-    __slots__ = ("attrs", "below", "hash", "heading", "lead", "noise", "parent", "tag", "top")
+    __slots__ = ("attrs", "below", "by", "hash", "heading", "lead", "parent", "slot", "tag", "top")
 
     def __init__(self, tag: str, attrs: str, parent: _Node):
         self.tag, self.parent, self.attrs, words = tag, parent, "", ()
@@ -65,33 +75,47 @@ class _Node:
             self.top = self
         elif self.top is None and (tag == "main" or "main" in words and _MAIN.search(attrs)):
             self.top = self
-        self.noise = parent.noise or tag in NOISE or tag == "header" and parent.top is None or bool(words) and tag not in KEPT and not HINTS.isdisjoint(words)
+        self.by = parent.by  # what says itself what it is
+        if self.by is None and (tag in ROLES or tag == "header" and parent.top is None):
+            self.by = "role"
+        elif self.by is None and words and tag not in WHOLE and not CLASSES.isdisjoint(words):
+            self.by = "class"
         self.lead = parent.lead or tag == "header"
         self.heading = parent.heading or tag in HEADING
+        self.slot = xxhash.xxh64_intdigest(f"{tag}\1{self.attrs}", parent.slot)
         self.below: list[str] = []
         self.hash = 0
 
 
 class _Root:
-    tag, parent, top, noise, lead, heading, attrs = "#root", None, None, False, False, False, ""
+    tag, parent, top, by, lead, heading, attrs, slot = "#root", None, None, None, False, False, "", 0
 
     def __init__(self):
         self.below = []
 
 
-def parse(page: str) -> tuple[list[tuple[str, list[_Node], int]], list[_Node]]:
-    """(text, elements around it, number of its block) pieces and all elements of a page."""
-    root = _Root()
-    stack, nodes, pieces, block, at, n = [root], [], [], 0, 0, len(page)
+def parse(page: str) -> tuple[list[tuple[str, _Node, int]], list[_Node]]:
+    """(text, element around it, number of its block) pieces and all elements of a page, in document order.
+
+    `open_at` holds where in the stack the open elements of each name are, so that no end tag searches the stack.
+    """
+    stack, nodes, pieces, block, at, n = [_Root()], [], [], 0, 0, len(page)
+    open_at: dict[str, list[int]] = {}
+    blocks_to = [0]  # open block elements up to each place of the stack
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            node = stack.pop()
+            blocks_to.pop()
+            open_at[node.tag].pop()
+            digest = xxhash.xxh64_intdigest("\0".join((node.tag, node.attrs, *node.below)))
+            node.hash = digest - _HALF
+            if node.below:
+                stack[-1].below.append(f"{digest:016x}")
+                node.below = [""]  # something is below; the parts have been read
 
-    def close() -> None:
-        node = stack.pop()
-        body = "\0".join(node.below)
-        digest = xxhash.xxh64_hexdigest(f"{node.tag}\1{node.attrs}\1{body}")
-        # the last bit says whether it is a passage
-        node.hash = (int(digest, 16) - (1 << 63)) & ~1 | (node.tag in TEXTUAL)
-        if stack and node.below:
-            stack[-1].below.append(digest)
+    def last(*tags: str) -> int:
+        return max((at[-1] for t in tags if (at := open_at.get(t))), default=0)
 
     def text(raw: str) -> None:
         if raw:
@@ -101,6 +125,11 @@ def parse(page: str) -> tuple[list[tuple[str, list[_Node], int]], list[_Node]]:
             if plain:
                 stack[-1].below.append(plain)
 
+    def push(node: _Node) -> None:
+        open_at.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+        blocks_to.append(blocks_to[-1] + (node.tag in BLOCK))
+
     while at < n:
         m = _TAG.search(page, at)
         if not m:
@@ -108,33 +137,25 @@ def parse(page: str) -> tuple[list[tuple[str, list[_Node], int]], list[_Node]]:
             break
         text(page[at : m.start()])
         at, tag = m.end(), (m[2] or "").lower()
-        if m[0].startswith("<![CDATA["):
-            continue
         if not tag:
             continue
         if m[1]:
             if tag in BLOCK:
                 block += 1
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth and not (tag not in BLOCK and any(x.tag in BLOCK for x in stack[depth + 1 :])):
-                while len(stack) > depth:
-                    close()
+            depth = last(tag)
+            if depth and (tag in BLOCK or blocks_to[-1] == blocks_to[depth]):
+                close(depth)
             elif tag == "p":
                 block += 1
             continue
         if tag in CLOSES_P:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
-            if depth and not any(x.tag in ("table", "button", "object") for x in stack[depth + 1 :]):
-                while len(stack) > depth:
-                    close()
+            depth = last("p")
+            if depth > last("table", "button", "object"):
+                close(depth)
         if tag in SAME:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in SAME[tag]:
-                    break
-                if stack[i].tag == tag or {stack[i].tag, tag} in ({"dt", "dd"}, {"td", "th"}):
-                    while len(stack) > i:
-                        close()
-                    break
+            depth = last(*PEERS.get(tag, (tag,)))
+            if depth > last(*SAME[tag]):
+                close(depth)
         if tag in BLOCK:
             block += 1
         node = _Node(tag, m[3] or "", stack[-1])
@@ -146,102 +167,136 @@ def parse(page: str) -> tuple[list[tuple[str, list[_Node], int]], list[_Node]]:
                 block += 1
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            end = _RAW_END[tag].search(page, at)
+            push(node)
             node.below.append(page[at : end.start() if end else n])
-            stack.append(node)
-            close()
+            close(len(stack) - 1)
             at = end.end() if end else n
             continue
-        if (m[3] or "").rstrip().endswith("/") and tag not in BLOCK and tag in ("svg", "path", "use"):
+        if (m[3] or "").rstrip().endswith("/") and tag in ("svg", "path", "use"):
             continue
-        stack.append(node)
-    while len(stack) > 1:
-        close()
+        push(node)
+    close(1)
     return pieces, nodes
 
 
-def read_page(page: str | None) -> tuple[int, list[int], list[list[list]]]:
-    """Hash of the article, hashes of the subtrees that may be template, and the blocks as [text, hashes around it] pieces."""
-    if not page:
-        return 0, [], []
-    pieces, nodes = parse(page)
-    pieces = [x for x in pieces if not x[1].noise and (x[1].heading or not x[1].lead)]
+def _scope(pieces: list[tuple[str, _Node, int]]) -> _Node | None:
+    """The article with most text, or else the main; None if there is neither."""
     sizes: dict[_Node, int] = {}
     for said, node, _ in pieces:
-        if node.top is not None:
+        if node.top is not None and node.by is None:
             sizes[node.top] = sizes.get(node.top, 0) + len(said.strip())
     articles = {k: v for k, v in sizes.items() if k.tag == "article"} or sizes
-    scope = max(articles, key=articles.get) if articles else None
-    if scope is not None:
-        pieces = [x for x in pieces if x[1].top is scope]
-    eligible = {x: x.hash for x in nodes if x.below and x is not scope and x.tag not in WHOLE and not (scope is not None and x.top is scope and x.tag in TEXTUAL)}
-    blocks: list[tuple[int, list[list]]] = []
-    for said, node, block in pieces:
-        around = []
-        while node.parent is not None:
-            if node in eligible:
-                around.append(node.hash)
-            node = node.parent
-        if blocks and blocks[-1][0] == block:
-            last = blocks[-1][1]
-            if last[-1][1] == around:
-                last[-1][0] += said
-            else:
-                last.append([said, around])
-        else:
-            blocks.append((block, [[said, around]]))
-    whole = xxhash.xxh64_intdigest("\0".join(" ".join("".join(p[0] for p in b).split()) for _, b in blocks)) - (1 << 63)
-    return whole, sorted(set(eligible.values())), [b for _, b in blocks]
+    return max(articles, key=articles.get) if articles else None
+
+
+def _around(scope: _Node | None) -> set[_Node]:
+    """The article and what it stands in, which is never template."""
+    out = set()
+    while scope is not None and scope.parent is not None:
+        out.add(scope)
+        scope = scope.parent
+    return out
+
+
+# the last two bits of a key say what it is
+PASSAGES, INSIDE, BESIDE, SLOT = range(4)
+
+
+def _may(x: _Node, scope: _Node | None) -> bool:
+    return x.tag in CONTAINER or scope is None and x.tag not in WHOLE
 
 
-_BLOCKS = pa.list_(pa.list_(pa.struct([("said", pa.string()), ("around", pa.list_(pa.int64()))])))
+def _key(x: _Node, scope: _Node | None) -> int:
+    """The subtree with its kind."""
+    return x.hash & ~3 | (PASSAGES if x.tag not in CONTAINER else INSIDE if scope is None or x.top is scope else BESIDE)
+
+
+def _slot(x: _Node, scope: _Node | None) -> int:
+    """The place beside an article, else 0."""
+    return x.slot - _HALF | SLOT if x.tag in CONTAINER and scope is not None and x.top is not scope else 0
+
+
+def read_page(page: str | None) -> tuple[int, list[tuple[int, int]]]:
+    """Hash of the article, and (subtree, slot) of what may be template."""
+    if not page:
+        return 0, []
+    pieces, nodes = parse(page)
+    scope = _scope(pieces)
+    around = _around(scope)
+    own = "".join(f" {said}" for said, node, _ in pieces if scope is None or node.top is scope)
+    found = {(_key(x, scope), _slot(x, scope)) for x in nodes if x.below and x not in around and _may(x, scope)}
+    return xxhash.xxh64_intdigest(" ".join(own.split())) - _HALF, sorted(found)
+
+
+def main_text(page: str | None, gone: set[int]) -> tuple[str, int, int, int, int]:
+    """The main text without the template subtrees and slots, and the code points that went by count, role, class and place."""
+    went = {"count": 0, "role": 0, "class": 0, "place": 0}
+    if not page:
+        return "", 0, 0, 0, 0
+    pieces, nodes = parse(page)
+    scope, dead = _scope(pieces), set()
+    around = _around(scope)
+    for x in nodes:  # parents come first
+        if x.parent in dead or gone and x not in around and _may(x, scope) and (_key(x, scope) in gone or _slot(x, scope) in gone):
+            dead.add(x)
+    blocks: list[tuple[int, list[str]]] = []
+    for said, node, block in pieces:
+        why = "count" if node in dead else node.by or ("role" if node.lead and not node.heading else "place" if scope is not None and node.top is not scope else None)
+        if why:
+            went[why] += len(" ".join(said.split()))
+        elif blocks and blocks[-1][0] == block:
+            blocks[-1][1].append(said)
+        else:
+            blocks.append((block, [said]))
+    parts = (" ".join("".join(x).split()) for _, x in blocks)
+    return "\n\n".join(p for p in parts if p), *went.values()
 
 
 def _subtrees(column: pa.Array) -> pa.Array:
-    whole, hashes, around = [], [], []
+    whole, found = [], []
     for v in column:
-        a, h, blocks = read_page(v.as_py())
+        a, pairs = read_page(v.as_py())
         whole.append(a)
-        hashes.append(h)
-        around.append(sorted({x for b in blocks for _, near in b for x in near}))
-    kind = pa.list_(pa.int64())
-    return pa.StructArray.from_arrays([pa.array(whole, pa.int64()), pa.array(hashes, kind), pa.array(around, kind)], names=["article", "subtrees", "around"])
+        found.append([{"subtree": h, "slot": s} for h, s in pairs])
+    kind = pa.list_(pa.struct([("subtree", pa.int64()), ("slot", pa.int64())]))
+    return pa.StructArray.from_arrays([pa.array(whole, pa.int64()), pa.array(found, kind)], names=["article", "subtrees"])
 
 
-def _blocks(column: pa.Array) -> pa.Array:
-    return pa.array([[[{"said": s, "around": a} for s, a in b] for b in read_page(v.as_py())[2]] for v in column], _BLOCKS)
-
-
-def _joined(blocks: pa.Array, gone: pa.Array) -> Iterator[str]:
-    for b, g in zip(blocks.to_pylist(), gone.to_pylist(), strict=True):
-        drop = set(g or ())
-        parts = (" ".join("".join(p["said"] for p in x if not drop.intersection(p["around"])).split()) for x in b or ())
-        yield "\n\n".join(p for p in parts if p)
+_SAID = "struct<text:string,by_count:bigint,by_role:bigint,by_class:bigint,by_place:bigint>"
 
 
 def _text(page: pa.Array, gone: pa.Array) -> pa.Array:
-    return pa.array(list(_joined(_blocks(page), gone)), pa.string())
+    rows = [main_text(p.as_py(), set(g.as_py() or ())) for p, g in zip(page, gone, strict=True)]
+    kinds = [pa.string(), *[pa.int64()] * 4]
+    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(5)], names=["text", "by_count", "by_role", "by_class", "by_place"])
 
 
-def template_subtrees(pages: DataFrame, min_pages: int = 3, min_passages: int = 10) -> DataFrame:
-    """(page, host, html) to (page, gone): the hashes of subtrees of the page that are its host's template."""
-    found = pages.select("page", "host", F.arrow_udf(_subtrees, "article bigint, subtrees array<bigint>, around array<bigint>")("html").alias("f"))
+def template_keys(pages: DataFrame, min_beside: int = 2, min_pages: int = 3, min_passages: int = 10) -> DataFrame:
+    """(page, host, html) to (page, gone): the subtrees and slots of the page that are its host's template."""
+    found = pages.select("page", "host", F.arrow_udf(_subtrees, "article bigint, subtrees array<struct<subtree:bigint,slot:bigint>>")("html").alias("f"))
     found = saved(found.select("page", "host", "f.*"), "html-subtrees")
-    each = found.select("host", "article", F.explode("subtrees").alias("subtree")).distinct()
-    on = each.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages"))
-    least = F.when(F.col("subtree").bitwiseAND(F.lit(1)) == 1, min_passages).otherwise(min_pages)
-    often = on.where(F.col("pages") >= least).select("host", "subtree")
-    # only subtrees with text that would come out matter to a page
-    return found.select("page", "host", F.explode("around").alias("subtree")).join(often, ["host", "subtree"]).groupBy("page").agg(F.collect_set("subtree").alias("gone"))
-
-
-def extract(df: DataFrame, url: str = "url", page: str = "html", min_pages: int = 3, min_passages: int = 10) -> DataFrame:
-    """df's columns but the page's source, and text."""
+    each = found.select("host", "article", F.explode("subtrees").alias("s")).groupBy("host", "article", "s.subtree").agg(F.min("s.slot").alias("slot"))
+    on = saved(each.groupBy("host", "subtree", "slot").agg(F.count(F.lit(1)).alias("pages")), "html-counts")
+    least = F.element_at(F.array(*map(F.lit, (min_passages, min_pages, min_beside))), F.col("subtree").bitwiseAND(F.lit(3)).cast("int") + 1)
+    often = on.groupBy("host", "subtree").agg(F.sum("pages").alias("n")).where(F.col("n") >= least).select("host", "subtree")
+    slots = on.where("slot <> 0").join(often.withColumn("often", F.lit(True)), ["host", "subtree"], "left").groupBy("host", F.col("slot").alias("key"))
+    slots = slots.agg(F.sum("pages").alias("n"), F.sum(F.when(F.col("often"), F.col("pages")).otherwise(0)).alias("recur")).where((F.col("recur") >= min_pages) & (4 * F.col("recur") >= F.col("n")))
+    keys = often.withColumnRenamed("subtree", "key").unionByName(slots.select("host", "key"))
+    own = found.select("page", "host", F.explode(F.array_distinct(F.concat(F.col("subtrees.subtree"), F.col("subtrees.slot")))).alias("key"))
+    return own.join(keys, ["host", "key"]).groupBy("page").agg(F.collect_set("key").alias("gone"))
+
+
+def extract(df: DataFrame, url: str = "url", page: str = "html", min_beside: int = 2, min_pages: int = 3, min_passages: int = 10, out: str = "text", report: str | None = None) -> DataFrame:
+    """df's columns but the page's source, and its main text as `out`; `report` names a struct of what went by count, role, class and place."""
     bounded_batches(df.sparkSession)
-    keep = [c for c in df.columns if c != page]
+    made = [out, *([report] if report else [])]
+    keep = [c for c in df.columns if c != page and c not in made]
     key = F.xxhash64(*[F.col(f"`{c}`") for c in (url, page)])
     own = narrow(df, url=url, html=page).select(F.xxhash64("url", "html").alias("page"), F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"), F.col("html").cast("string").alias("html"))
     # as a table of known size: Spark broadcasts it if it is small, else it sorts both sides
-    gone = saved(template_subtrees(own, min_pages, min_passages), "html-template").select(F.col("page").alias("\u0001page"), "gone")
-    out = df.withColumn("\u0001key", key).join(gone, F.col("\u0001key") == F.col("\u0001page"), "left")
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.arrow_udf(_text, "string")(F.col(f"`{page}`").cast("string"), F.col("gone")).alias("text"))
+    gone = saved(template_keys(own, min_beside, min_pages, min_passages), "html-template").select(F.col("page").alias("\u0001page"), F.col("gone").alias("\u0001gone"))
+    found = df.withColumn("\u0001key", key).join(gone, F.col("\u0001key") == F.col("\u0001page"), "left")
+    found = found.withColumn("\u0001said", F.arrow_udf(_text, _SAID)(F.col(f"`{page}`").cast("string"), F.col("\u0001gone")))
+    said = F.col("\u0001said")
+    return found.select(*[F.col(f"`{c}`") for c in keep], said["text"].alias(out), *([said.dropFields("text").alias(report)] if report else []))

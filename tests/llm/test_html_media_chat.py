@@ -11,7 +11,7 @@ from panelframe.llm import chat, html, media
 
 
 def text_of(page):
-    return "\n\n".join(x for x in (" ".join("".join(p[0] for p in b).split()) for b in html.read_page(page)[2]) if x)
+    return html.main_text(page, set())[0]
 
 
 def test_article_without_the_rest():
