@@ -1,11 +1,11 @@
 """Operator 10: near-duplicate lines by a deletion-neighbourhood join.
 
 A line (\\n-split) is its sequence of lower-cased (A-Z) words. Lines with at least
-min_words words are compared: two are duplicates if they are equal, or within one word edit (one word
+min_words words are compared (1: all that have a word): two are duplicates if they are equal, or within one word edit (one word
 changed, put in or left out) that leaves more than half of the longer line's words, so that it
 has three or more: by the edit alone all lines of one word would be one. All variants of a line with one word deleted are
 emitted as hashed keys; lines that agree in a variant are joined, the edit distance of
-the pair is verified on the words, and of two duplicates the earlier by (doc_id, line
+the pair is verified on the words, and of two duplicates the earlier by (doc_id, row, line
 number) stays. A line goes if any earlier line in the table duplicates it.
 
 Equal lines are counted as one first. Two near lines share the half of their words that
@@ -15,8 +15,10 @@ one edit of each other, and so do a line and the lines that become it by a delet
 compares with the earliest one there, and a hot variant costs as many pairs as lines.
 
 Lines below min_words and lines of documents without an id stay. A text that loses all its words goes as
-a document in `dedup_lines`; texts that had none stay as they are, null included. Rows that share
-doc_id and line number count as one line. An empty table gives an empty result.
+a document in `dedup_lines`; texts that had none stay as they are, null included. The id is an integer (else it
+must cast to one). Where ids repeat, `row` tells different texts of one id apart (the hash of the text; 0 where no id repeats):
+each loses its own lines only, and rows equal in id and text lose the same. An empty table gives an empty result. Columns of df
+may have any names.
 """
 
 from __future__ import annotations
@@ -26,14 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelframe.llm import words as W
 from panelframe.llm.shared import bounded_batches, narrow, saved
 
-_LINE = "doc_id long, line int, whole long, halves array<long>"
-_LONG = "doc_id long, line int, words string, variants array<long>"
+_LINE = "doc_id long, row long, line int, whole long, halves array<long>"
+_LONG = "doc_id long, row long, line int, words string, variants array<long>"
 
 
 def _long_lines(column: pa.Array, least: int) -> tuple:
@@ -69,7 +71,7 @@ def _half_counts(n: np.ndarray) -> np.ndarray:
 
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, text) to the lines that are compared: hash of the words and keys of their halves."""
+    """(doc_id, row, text) to the lines that are compared: hash of the words and keys of their halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,18 +83,19 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").take(pa.array(rows)),
+                        part.column("row").take(pa.array(rows)),
                         pa.array(number, pa.int32()),
                         pa.array(whole.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(keys.view(np.int64))),
                     ],
-                    names=["doc_id", "line", "whole", "halves"],
+                    names=["doc_id", "row", "line", "whole", "halves"],
                 )
 
     return docs.where("doc_id is not null").mapInArrow(run, _LINE)
 
 
 def _variants_of(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, text, lines wanted) to those lines' words and the hash of each one-word deletion."""
+    """(doc_id, row, text, lines wanted) to those lines' words and the hash of each one-word deletion."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,11 +120,12 @@ def _variants_of(docs: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").take(pa.array(rows)),
+                        part.column("row").take(pa.array(rows)),
                         pa.array(number, pa.int32()),
                         pa.array(texts, pa.binary()).cast(pa.string()),
                         pa.ListArray.from_arrays(pa.array(at), pa.array((np.concatenate(lists) if lists else np.zeros(0, np.uint64)).view(np.int64))),
                     ],
-                    names=["doc_id", "line", "words", "variants"],
+                    names=["doc_id", "row", "line", "words", "variants"],
                 )
 
     return docs.mapInArrow(run, _LONG)
@@ -145,24 +149,31 @@ def _verified(x: pa.Array, y: pa.Array) -> pa.Array:
     return pa.array([within_one(a.split(" "), b.split(" ")) for a, b in zip(*(c.to_pylist() for c in clean), strict=True)], pa.bool_())
 
 
-def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 10) -> DataFrame:
-    """(doc_id, line) of every line, counted from 0, that an earlier line duplicates within one word edit."""
+def _row(df: DataFrame, doc_id: str, text: str) -> Column:
+    """What tells the texts of a repeated id apart: 0 if no id occurs twice."""
+    twice = narrow(df, doc_id=doc_id).where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    return F.lit(0).cast("long") if twice.isEmpty() else F.xxhash64(F.col(f"`{text}`").cast("string"))
+
+
+def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 1, row: Column | None = None) -> DataFrame:
+    """(doc_id, row, line) of every line, counted from 0, that an earlier line duplicates within one word edit."""
     bounded_batches(df.sparkSession)
-    docs = narrow(df, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    row = _row(df, doc_id, text) if row is None else row
+    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), row.alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
     lines = saved(lines_of(docs, min_words), "lines")
-    place = F.struct("doc_id", "line")
+    place = F.struct("doc_id", "row", "line")
     one = lines.groupBy("whole").agg(F.min(place).alias("first"), F.first("halves").alias("halves"))
     one = saved(one, "lines-distinct")
 
     halves = one.select("whole", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("lo <> hi").select("half")
     some = halves.join(shared, "half", "left_semi").select("whole").distinct()
-    some = one.select("whole", "first").join(some, "whole", "left_semi").select("first.doc_id", "first.line")
-    asked = some.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
-    near = saved(_variants_of(docs.join(asked, "doc_id"), min_words).dropDuplicates(["doc_id", "line"]), "lines-variants")
+    some = one.select("whole", "first").join(some, "whole", "left_semi").select("first.doc_id", "first.row", "first.line")
+    asked = some.groupBy("doc_id", "row").agg(F.collect_set("line").alias("wanted"))
+    near = saved(_variants_of(docs.join(asked, ["doc_id", "row"]), min_words).dropDuplicates(["doc_id", "row", "line"]), "lines-variants")
 
-    rows = near.select("doc_id", "line", F.posexplode("variants").alias("at", "key"))
-    longer = near.select("doc_id", "line", F.lit(-1).alias("at"), F.arrow_udf(_sequence_hash, "long")("words").alias("key"))
+    rows = near.select("doc_id", "row", "line", F.posexplode("variants").alias("at", "key"))
+    longer = near.select("doc_id", "row", "line", F.lit(-1).alias("at"), F.arrow_udf(_sequence_hash, "long")("words").alias("key"))
     rows = rows.unionByName(longer)
     same = rows.groupBy("key", "at").agg(F.min(place).alias("earlier"), F.count(F.lit(1)).alias("n"))
     is_line = F.col("at") == -1
@@ -172,9 +183,9 @@ def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     found = found.unionByName(crossed).where("earlier < own").distinct()
     words = near.select(place.alias("p"), "words")
     pairs = found.join(words.select(F.col("p").alias("own"), F.col("words").alias("x")), "own").join(words.select(F.col("p").alias("earlier"), F.col("words").alias("y")), "earlier")
-    close = pairs.where(F.arrow_udf(_verified, "boolean")("x", "y")).select("own.doc_id", "own.line").distinct()
+    close = pairs.where(F.arrow_udf(_verified, "boolean")("x", "y")).select("own.doc_id", "own.row", "own.line").distinct()
 
-    copies = lines.select("doc_id", "line", "whole").join(one.select("whole", "first"), "whole").where(place != F.col("first")).select("doc_id", "line")
+    copies = lines.select("doc_id", "row", "line", "whole").join(one.select("whole", "first"), "whole").where(place != F.col("first")).select("doc_id", "row", "line")
     return copies.unionByName(close).distinct()
 
 
@@ -186,20 +197,20 @@ def _sequence_hash(column: pa.Array) -> pa.Array:
     return pa.array(W.range_hash(W.range_hash(data, starts, ends, W.BYTE_LOWER), edge[:-1], edge[1:]).view(np.int64))
 
 
-def removed_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 10) -> DataFrame:
-    """(doc_id, removed): the sorted numbers of the lines that go, for documents that lose any."""
-    gone = repeated_lines(df, doc_id, text, min_words)
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("removed"))
+def with_removed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 1, out: str = "removed") -> DataFrame:
+    """df and an array `out` of the sorted numbers of the lines that go, empty where none does."""
+    row = _row(df, doc_id, text)
+    gone = repeated_lines(df, doc_id, text, min_words, row).groupBy(F.col("doc_id").alias("\u0001id"), F.col("row").alias("\u0001row")).agg(F.array_sort(F.collect_list("line")).alias("\u0001gone"))
+    found = df.withColumn("\u0001own", row).join(gone, (F.col(f"`{doc_id}`").cast("long") == F.col("\u0001id")) & (F.col("\u0001own") == F.col("\u0001row")), "left")
+    return found.select(*[F.col(f"`{c}`") for c in df.columns if c != out], F.coalesce("\u0001gone", F.array().cast("array<int>")).alias(out))
 
 
-def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 10) -> DataFrame:
+def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 1) -> DataFrame:
     """df without repeated lines and without documents that lose all their words by it, with df's columns."""
-    columns = df.columns
-    gone = removed_lines(df, doc_id, text, min_words).select(F.col("doc_id").alias("\u0001id"), F.col("removed").alias("\u0001gone"))
+    found = with_removed(df, doc_id, text, min_words, "\u0001gone")
     t, g = F.col(f"`{text}`").cast("string"), F.col("\u0001gone")
-    split = F.split(t, "\n", -1)
+    split, none = F.split(t, "\n", -1), F.size(g) == 0
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), g), lambda i: F.element_at(split, i + 1))
-    out = df.join(gone, F.col(f"`{doc_id}`").cast("long") == F.col("\u0001id"), "left")
-    out = out.withColumn("\u0001text", F.when(g.isNull(), t).otherwise(F.array_join(left, "\n")))
-    out = out.where(g.isNull() | F.col("\u0001text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*[F.col("\u0001text").alias(c) if c == text else F.col(f"`{c}`") for c in columns])
+    out = found.withColumn("\u0001text", F.when(none, t).otherwise(F.array_join(left, "\n")))
+    out = out.where(none | F.col("\u0001text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*[F.col("\u0001text").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])

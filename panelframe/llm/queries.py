@@ -97,11 +97,8 @@ def op9_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    gone = linededup.removed_lines(docs, min_words=1)
-    lines = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
-    out = lines.join(gone, "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
-    return out.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed")
+    found = linededup.with_removed(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"), F.size("removed").alias("n_removed"), "removed")
 
 
 QUERIES = {

@@ -48,8 +48,8 @@ def test_against_brute_force(spark):
     lines = [x for x in lines if len(x[2]) >= 10]
     want = {(i, n) for k, (i, n, w) in enumerate(lines) if any(distance(v, w) <= 1 for _, _, v in lines[:k])}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").withColumn("line", F.lit(1))
-    assert {(r.doc_id, r.line) for r in linededup.repeated_lines(df).collect()} == want and want
-    out = linededup.dedup_lines(df)
+    assert {(r.doc_id, r.line) for r in linededup.repeated_lines(df, min_words=10).collect()} == want and want
+    out = linededup.dedup_lines(df, min_words=10)
     assert out.columns == df.columns
     got = {r.doc_id: r.text for r in out.collect()}
     for i, t in docs.items():
@@ -82,11 +82,12 @@ def test_lines_of_every_length_against_brute_force(spark):
     rng = random.Random(6)
     words = [f"w{i}" for i in range(12)]
     docs = {i: "\n".join(" ".join(rng.choices(words, k=rng.choice([0, 1, 2, 3, 3, 4, 5, 6, 9, 10]))) for _ in range(rng.randint(1, 4))) for i in range(120)}
+    docs |= {200 + i: " ".join(rng.choices(words[:2], k=i % 12 + 1)) for i in range(36)}
     lines = [(i, n, WORD.findall(x)) for i, t in docs.items() for n, x in enumerate(t.split("\n")) if x]
     near = lambda v, w: v == w or max(len(v), len(w)) >= 3 and distance(v, w) <= 1
     want = {(i, n) for k, (i, n, w) in enumerate(lines) if any(near(v, w) for _, _, v in lines[:k])}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    assert {(r.doc_id, r.line) for r in linededup.repeated_lines(df, min_words=1).collect()} == want
+    assert {(r.doc_id, r.line) for r in linededup.repeated_lines(df).collect()} == want
     assert {len(w) for i, n, w in lines if (i, n) in want} >= {1, 2, 3, 4}
 
 
@@ -95,3 +96,12 @@ def test_stage_leaves_no_remnant_of_a_copy(spark):
     df = spark.createDataFrame([(1, text, 9), (2, text, 9), (3, text.replace("A short line", "Something else"), 9), (4, text + "\nown", 9)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
     assert got == {1: text, 3: "Something else\n", 4: "\nown"}
+
+
+def test_one_id_with_different_texts(spark):
+    """Each text of a repeated id loses its own lines only; rows equal in both lose the same."""
+    rows = [(1, "Read more here"), (2, "Read more here"), (2, "Read more here"), (2, "Quite another text stands here\nand goes on"), (3, "and goes on\nown words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(5), "removed": F.lit("mine")})
+    got = sorted((r.doc_id, r.text, r.row, r.removed) for r in linededup.dedup_lines(df).collect())
+    assert got == [(1, "Read more here", 5, "mine"), (2, "Quite another text stands here\nand goes on", 5, "mine"), (3, "own words", 5, "mine")]
+    assert sorted((r.doc_id, r.removed) for r in linededup.with_removed(df, out="gone").withColumnRenamed("removed", "x").withColumnRenamed("gone", "removed").collect()) == [(1, []), (2, []), (2, [0]), (2, [0]), (3, [0])]

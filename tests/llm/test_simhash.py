@@ -82,5 +82,15 @@ def test_one_of_each_group_stays(spark):
 
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
-    got = {r.node: r.component for r in components(edges).collect()}
-    assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
+    for local in (0, 1 << 18):  # by rounds, and in one task
+        got = {r.node: r.component for r in components(edges, local).collect()}
+        assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
+
+
+def test_rounds_and_the_local_pass_agree(spark):
+    rng = np.random.default_rng(8)
+    for n, m in ((1, 0), (60, 25), (60, 60), (300, 280)):
+        pairs = [(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2))] + [(n + 1, n + 1)]
+        edges = spark.createDataFrame(pairs, "a long, b long")
+        by_rounds, at_once = (sorted(components(edges, local).collect()) for local in (0, 1 << 18))
+        assert by_rounds == at_once
