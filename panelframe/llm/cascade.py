@@ -1,8 +1,11 @@
 """Operator 6: a short-circuit cascade of quality rules.
 
 Each rule's cost and selectivity are estimated on a sample (a share of the rows,
-chosen by hash; every rule is timed on it), then the rules are ordered by
-rejections per second. The cascade evaluates a later rule only for what the
+chosen by hash). The least of several runs is a rule's time, after a run that warms up and without what an empty
+job takes; the counts that some rules share are timed apart and charged once, to the first of these rules that is
+chosen. One job counts which rules reject together, so that every step of the order knows what the
+rules before it left: the next rule is the one with most rejections, among the rows that are left, per second that these rows take.
+The cascade evaluates a later rule only for what the
 earlier ones left: as one CASE expression (verdict) or as a chain of filters
 (keep). The order changes what is paid for, never which rows are rejected; the
 rule named for a row rejected by several is the first of the order.
@@ -80,41 +83,69 @@ class Estimate:
     rows: int
     rejected: int
 
-    @property
-    def gain(self) -> float:
-        """Rejections per second of work."""
-        return self.rejected / max(self.seconds, 1e-9)
+
+@dataclass(frozen=True)
+class Estimates:
+    """Of each rule; seconds for the counts; how many rows each set of rules (bits in the order given) rejects."""
+
+    rules: tuple[Estimate, ...]
+    counts_seconds: float
+    together: dict[int, int]
 
 
 def _condition(rule: Rule, text: Column, counted: Column) -> Column:
     return F.coalesce(rule.reject(text, counted), F.lit(False))
 
 
-def estimate(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", share: float = 1 / 64, counts: str | None = None) -> list[Estimate]:
-    """Cost and selectivity of each rule on the rows whose text's hash falls in the share.
+def _seconds(df: DataFrame, what: Column, repeats: int) -> float:
+    """The least time of several runs of a job that evaluates a boolean for every row, after one that warms up."""
+    took = []
+    for _ in range(repeats + 1):
+        began = time.perf_counter()
+        df.agg(F.count_if(what)).first()
+        took.append(time.perf_counter() - began)
+    return min(took[1:])
+
+
+def estimate(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", share: float = 1 / 64, counts: str | None = None, repeats: int = 2) -> Estimates:
+    """Cost and selectivity of the rules on the rows whose text's hash falls in the share.
 
     counts names a struct column with the counts if df has it already; they then cost nothing more.
     """
     bounded_batches(df.sparkSession)
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     picked = df.where(F.pmod(F.xxhash64(F.lit("cascade"), t), F.lit(1 << 20)) < int(share * (1 << 20)))
-    picked = picked.select(t.alias("text"), *([F.col(f"`{counts}`").alias("counts")] if counts else []))
-    sample = saved(picked, "cascade-sample")
-    out = []
-    for rule in rules:
-        own = sample if counts or not rule.counted else sample.withColumn("counts", counts_of("text"))
-        began = time.perf_counter()
-        c = F.col("counts") if counts or rule.counted else F.lit(None)
-        row = own.agg(F.count(F.lit(1)).alias("n"), F.count_if(_condition(rule, F.col("text"), c)).alias("r")).first()
-        out.append(Estimate(rule, time.perf_counter() - began, row["n"], row["r"]))
+    sample = saved(picked.select(t.alias("text"), (F.col(f"`{counts}`") if counts else counts_of(t)).alias("counts")), "cascade-sample")
+    hits = [_condition(r, F.col("text"), F.col("counts")) for r in rules]
+    bits = sum((F.when(h, F.lit(1 << i)).otherwise(0) for i, h in enumerate(hits)), F.lit(0))
+    together = {r["bits"]: r["n"] for r in sample.groupBy(bits.alias("bits")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2 ** rules rows
+    n = sum(together.values())
+    bare = _seconds(sample, F.col("text").isNotNull(), repeats)
+    own = [max(_seconds(sample, h, repeats) - bare, 1e-6) for h in hits]
+    shared = 0.0 if counts or not any(r.counted for r in rules) else max(_seconds(sample, counts_of(F.col("text"))["n_words"] >= 0, repeats) - bare, 0.0)
+    return Estimates(tuple(Estimate(r, s, n, sum(k for b, k in together.items() if b >> i & 1)) for i, (r, s) in enumerate(zip(rules, own, strict=True))), shared, together)
+
+
+def ordered(found: Estimates) -> list[Rule]:
+    """Step by step the rule with most rejections per second among the rows that the rules before it left."""
+    left, places, out, paid = dict(found.together), list(range(len(found.rules))), [], False
+    total = max(sum(left.values()), 1)
+    while places:
+        rows = sum(left.values()) / total
+
+        def gain(i: int, rows=rows, left=left, paid=paid) -> float:
+            e = found.rules[i]
+            cost = e.seconds + (found.counts_seconds if e.rule.counted and not paid else 0.0)
+            return sum(n for bits, n in left.items() if bits >> i & 1) / max(cost * rows, 1e-9)
+
+        best = max(places, key=gain)  # the first of equals
+        places.remove(best)
+        out.append(found.rules[best].rule)
+        paid |= found.rules[best].rule.counted
+        left = {bits: n for bits, n in left.items() if not bits >> best & 1}
     return out
 
 
-def ordered(estimates: Sequence[Estimate]) -> list[Rule]:
-    """By rejections per second, largest first."""
-    return [e.rule for e in sorted(estimates, key=lambda e: -e.gain)]
-
-
 def verdict(df: DataFrame, rules: Sequence[Rule], text: str = "text", counts: str = "counts", out: str = "rejected_by") -> DataFrame:
     """Adds the name of the first rule that rejects the row, null if none does; df has the counts.
 

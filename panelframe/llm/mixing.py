@@ -5,7 +5,8 @@ is its source's target over its source's size; the whole part is given, and the
 fractions are rounded dependently: two documents of a source exchange probability
 mass, weighted by their sizes, at random until one of them is 0 or 1. The exchange
 keeps the source's expected words, so that each block of rows ends with one open
-fraction a source; these residuals meet in a tree, `fan` blocks at a time, and only
+fraction a source; these residuals meet in a tree, `fan` blocks at a time and dealt out by
+hash of the source (sources never exchange mass), so that no task holds the residuals of all sources, and only
 the last one is rounded alone. So a source misses its target by less than the size
 of one document; larger documents are paired first, which leaves a small one last.
 
@@ -103,7 +104,7 @@ def _round_block(rows: pd.DataFrame, last: bool, seed: int) -> pd.DataFrame:
     if last:
         p[is_open] = draw[is_open] < p[is_open]
         is_open[:] = False
-    return rows.assign(p=p, open=is_open).drop(columns="_none")
+    return rows.assign(p=p, open=is_open).drop(columns=["_none", "bucket"])
 
 
 def decide(df: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source", block_rows: int = 4096, fan: int = 64, seed: int = 17) -> DataFrame:
@@ -114,6 +115,7 @@ def decide(df: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3,
     sources = saved(source_targets(items.groupBy("source").agg(F.sum(F.col("size") * F.col("same")).alias("source_size")), weights, cap), "mix-targets")
     n = items.count()
     blocks = max(1, -(-n // block_rows))
+    buckets = max(1, -(-sources.count() * fan // block_rows))
     fair = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     t = sources.withColumnRenamed("source", "of")
     level = (
@@ -123,9 +125,11 @@ def decide(df: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3,
     )
     done, depth = None, 0
     while True:
-        last = blocks == 1
+        last = blocks == 1  # every source that is still open has one block
         salt = (seed + 0x9E3779B97F4A7C15 * (depth + 1)) % 2**63
-        rounded = level.groupBy("block").applyInPandas(_rounder(last, salt), _ITEM)
+        # a block of the first level has block_rows rows; above it, fan residuals of each source of a bucket
+        bucket = F.pmod(F.xxhash64("source"), F.lit(buckets)) if depth else F.lit(0)
+        rounded = level.withColumn("bucket", bucket).groupBy("block", "bucket").applyInPandas(_rounder(last, salt), _ITEM)
         rounded = saved(rounded, f"mix-level-{depth}")
         closed = rounded.where(~F.col("open"))
         done = closed if done is None else done.unionByName(closed)

@@ -36,10 +36,13 @@ def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    stored = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), media.store("text").alias("media"))
-    back = stored.withColumn("back", media.reread("media"))
-    payload = F.col("back.payload")
-    return back.select(
+    stored = docs.select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), media.store("text").alias("media"), F.lit("text/plain").alias("declared"))
+    typed = media.correct_types(stored.withColumn("back", media.reread("media")), "media", "declared", found="found", out="media_type")
+    # the text with its stored form attached, as a message that carries media: the form is found in it and carved out
+    mail = F.concat(F.encode("text", "UTF-8"), F.encode(F.lit("\n"), "UTF-8"), F.col("media"), F.encode(F.lit("\n"), "UTF-8"))
+    mailed = typed.withColumn("mail", mail).withColumn("pieces", media.pieces(F.col("mail"), media.sniff("mail")))
+    payload, at = F.col("back.payload"), F.get(F.filter("pieces", lambda p: p["offset"] == F.col("n_bytes") + 1), 0)
+    return mailed.select(
         "doc_id",
         "n_bytes",
         F.octet_length(payload).cast("long").alias("payload_bytes"),
@@ -48,6 +51,12 @@ def op4_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         F.col("back.feature").alias("feature"),
+        "declared",
+        "media_type",
+        "media_type_wrong",
+        F.size("pieces").alias("n_carved"),
+        at["kind"].alias("carved_type"),
+        F.sha2(at["bytes"], 256).alias("carved_sha256"),
     )
 
 

@@ -6,8 +6,8 @@ logistic regression with lasso penalty over the rules' truth values keeps a few
 them, and rules and weights compile into one Spark column expression over the statistics:
 scoring needs no model object.
 
-The fit takes at most `most_rows` labelled rows, by order of the hash of their ids (a
-documented bound); scoring covers every row. Null and empty texts have statistics 0 and
+The fit takes at most `most_rows` labelled rows, those of the least hashes of their ids (a
+documented bound): a threshold from their count leaves a twentieth more, and only these are put in order; scoring covers every row. Null and empty texts have statistics 0 and
 get a score like any other. Without labels of both classes the score is the share of
 label 1 (0.5 without any). Labels of ids that occur several times count each time; an
 id with a null label or none is not learnt from. An empty table gives an empty result.
@@ -118,7 +118,8 @@ class Ensemble:
 
 def fit(rows: DataFrame, label: str = "label", most_rows: int = 20_000, trees: int = 24, depth: int = 3, penalty: float = 0.002, seed: int = 5) -> Ensemble:
     """rows: the statistics and a label 0 or 1, and doc_id."""
-    picked = rows.where(F.col(label).isin(0, 1)).orderBy(F.xxhash64("doc_id", F.lit(seed)), *NAMES).limit(most_rows)
+    picked = rows.where(F.col(label).isin(0, 1)).withColumn("\u0001hash", F.xxhash64("doc_id", F.lit(seed)))
+    picked = _least(picked, most_rows).orderBy("\u0001hash", *NAMES).limit(most_rows)
     picked = saved(picked.select(*NAMES, F.col(label).cast("double").alias("label")).repartition(4), "rule-training")
     n, ones = picked.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if ones in (0, n):
@@ -142,6 +143,12 @@ def fit(rows: DataFrame, label: str = "label", most_rows: int = 20_000, trees: i
     return Ensemble(float(lasso.intercept), tuple((r, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-6))
 
 
+def _least(rows: DataFrame, most: int) -> DataFrame:
+    """The rows whose hash is below a threshold that leaves about most and a twentieth, and some more for small numbers."""
+    n, wanted = rows.count(), most + most // 20 + 8 * math.isqrt(most)
+    return rows if n <= wanted else rows.where(F.col("\u0001hash") <= int(2**64 * wanted / n) - 2**63)
+
+
 def held_out(doc_id: str = "doc_id", modulus: int = 5) -> Column:
     """Rows that are never learnt from: crc32 of the id as text divides by the modulus; null ids too."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == 0, F.lit(True))

@@ -1,3 +1,6 @@
+import math
+import re
+
 from pyspark.sql import functions as F
 
 from panelframe.llm import cascade, rule_ensemble
@@ -21,16 +24,26 @@ def test_verdicts_do_not_depend_on_order(spark):
     assert seen == [{1, 10}, {1, 10}] and {r.doc_id for r in kept.collect()} == {1, 10}
 
 
-def test_order_is_by_rejections_per_second():
-    rules = cascade.RULES[:3]
-    e = [cascade.Estimate(r, s, 100, n) for r, s, n in zip(rules, (1.0, 0.1, 2.0), (10, 5, 50), strict=True)]
-    assert [r.name for r in cascade.ordered(e)] == [rules[i].name for i in (1, 2, 0)]
+def test_order_is_by_rejections_per_second_of_what_is_left():
+    e = [cascade.Estimate(r, s, 100, n) for r, s, n in zip(cascade.RULES[:3], (1.0, 0.1, 2.0), (10, 5, 50), strict=True)]
+    order = lambda rules, counts, together: [r.name for r in cascade.ordered(cascade.Estimates(tuple(rules), counts, together))]
+    names = [r.name for r in cascade.RULES]
+    assert order(e, 0.0, {0: 35, 1: 10, 2: 5, 4: 50}) == [names[i] for i in (1, 2, 0)]
+    # the second rejects nothing that the third leaves, so that the first comes before it
+    assert order(e, 0.0, {0: 45, 1: 4, 4: 40, 6: 5, 5: 6}) == [names[i] for i in (1, 2, 0)]
+    assert order(e, 0.0, {0: 40, 1: 10, 4: 45, 6: 5}) == [names[i] for i in (1, 2, 0)]
+    assert order(e[:1] + e[2:], 0.0, {0: 40, 1: 1, 3: 9, 2: 50}) == [names[i] for i in (2, 0)]
+    # counts are paid for once: by the first rule that reads them
+    c = [cascade.Estimate(r, 0.1, 100, n) for r, n in zip(cascade.RULES[2:5], (5, 20, 10), strict=True)]
+    assert order(c, 0.0, {0: 65, 1: 5, 2: 20, 4: 10}) == [names[i] for i in (3, 4, 2)]
+    assert order(c, 10.0, {0: 65, 1: 5, 2: 20, 4: 10}) == [names[i] for i in (2, 3, 4)]
 
 
 def test_estimates_cover_the_sample(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string")
-    e = {x.rule.name: x for x in cascade.estimate(df, share=1.0)}
-    assert e["few_words"].rows == len(ROWS) and e["few_words"].rejected == 3 and e["symbols"].rejected >= 1
+    found = cascade.estimate(df, share=1.0)
+    e = {x.rule.name: x for x in found.rules}
+    assert e["few_words"].rows == len(ROWS) == sum(found.together.values()) and e["few_words"].rejected == 3 and e["symbols"].rejected >= 1
     assert cascade.keep(df.limit(0)).count() == 0
 
 
@@ -70,6 +83,39 @@ def test_held_out_accuracy(spark):
     assert test and all((r.score >= 0.3) == (r.label == 1) for r in test)
 
 
+def test_score_by_walking_the_rules(spark):
+    """The compiled column against the rules walked one by one, the statistics against plain Python, the rules against the forest."""
+    rows = labelled() + [(6000, "Odd\n\nlines. Odd\n!? 12 &&", 1), (6001, None, 0), (6002, "x " * 500, 0)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, label int")
+    stats = rule_ensemble.with_statistics(df)
+    model = rule_ensemble.fit(stats.join(labels, "doc_id"), trees=5)
+    got = {r.doc_id: r for r in stats.select("*", model.column().alias("score")).collect()}
+    texts = {i: t or "" for i, t, _ in rows}
+    for i, r in got.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", texts[i])
+        n = max(len(words), 1)
+        assert r.words == len(words) and r.distinct_words == len(set(words)) / n and r.word_length == sum(map(len, words)) / n
+        assert r.adjacent_words == sum(a == b for a, b in zip(words, words[1:], strict=False)) / n and r.symbols == sum(c in "#*$%&|<>" for c in texts[i]) / n
+        z = model.intercept
+        for rule, weight in model.rules:
+            hit = True
+            for c in rule:
+                x = r[rule_ensemble.NAMES[c.feature]]
+                hit = hit and (x > c.threshold if c.above else x <= c.threshold)
+            z += weight * hit
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
+    assert all(len({(c.feature, c.above) for c in rule}) == len(rule) for rule, _ in model.rules)
+
+
+def test_fit_takes_the_least_hashes(spark):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.xxhash64("id", F.lit(5)).alias("\u0001hash"))
+    some = rule_ensemble._least(df, 500)
+    assert 500 <= some.count() < 1000
+    assert {r.doc_id for r in some.orderBy("\u0001hash").limit(500).collect()} == {r.doc_id for r in df.orderBy("\u0001hash").limit(500).collect()}
+    assert rule_ensemble._least(df, 5000).count() == 5000
+
+
 def test_one_class_only(spark):
     df = spark.createDataFrame([(1, CLEAN), (2, "x")], "doc_id long, text string")
     stats = rule_ensemble.with_statistics(df)

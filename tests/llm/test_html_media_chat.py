@@ -2,12 +2,16 @@ import gzip
 import hashlib
 import io
 import struct
+import time
+import wave
 import zipfile
 import zlib
 
 from pyspark.sql import functions as F
 
-from panelframe.llm import chat, html, media
+from panelframe.llm import chat, html, media, queries
+
+SF = "/root/testdata/sf0.001"
 
 
 def text_of(page):
@@ -68,6 +72,36 @@ def test_validators():
     assert media.find_media(b"BM PK\x03\x04 RIFF GIF8 %PDF- \xff\xd8\xff \x1f\x8b\x08") == []
 
 
+def test_long_values_full_of_magic_bytes():
+    """Half a megabyte of starts without ends takes about its length."""
+    starts = [b"%PDF-1", b"PK\x03\x04", b"\xff\xd8\xff\xe0\x00\x02", b"\x1f\x8b\x08\0\0\0\0\0\0\0\x01\x04\0\xfb\xffabcd", b"GIF89a\0\0\0\0\0\0\0!\x01\0", b"\x89PNG\r\n\x1a\n\0\0\0\x0dIHDR", b"BM RIFF"]
+    for s in starts:
+        began = time.perf_counter()
+        assert media.find_media(s * (500_000 // len(s))) == []
+        assert time.perf_counter() - began < 20, s
+    twice = gzip.compress(b"x" * 100_000) + png() * 2
+    assert [k for k, *_ in media.find_media(twice)] == ["gzip", "png", "png"]
+
+
+def test_query_stores_types_and_carves(spark):
+    """op4 by the standard library: digests, tail, type and the carved attachment."""
+    got = queries.op4_media_sniffing(spark, SF).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert len(got) == len(texts)
+    for r in got:
+        raw = texts[r.doc_id].encode()
+        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        stored = io.BytesIO()
+        with wave.open(stored, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(1)
+            w.setframerate(8000)
+            w.writeframes(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored.getvalue()), hashlib.sha256(stored.getvalue()).hexdigest())
+        assert (r.declared, r.media_type, r.media_type_wrong, r.carved_type, r.carved_sha256) == ("text/plain", "wav", True, "wav", r.media_sha256) and r.n_carved >= 1
+
+
 def test_types_and_carving(spark):
     rows = [(1, "image/png", media.to_wav(b"abc")), (2, "png", png()), (3, "text", b"xx" + png() + media.to_wav(b"q")), (4, None, None), (5, "JPG", b"")]
     df = spark.createDataFrame(rows, "id int, declared string, value binary").withColumn("kind", F.lit("clash"))
@@ -76,6 +110,8 @@ def test_types_and_carving(spark):
     assert (got[1].media_type, got[1].media_type_wrong) == ("wav", True) and (got[2].media_type, got[2].media_type_wrong) == ("png", False)
     assert got[3].media_type is None and len(got[3].media) == 2 and got[4].media_type is None and got[5].media == []
     cut = media.carve(out, "value").collect()
+    clash = media.carve(out.withColumns({"kind": F.lit("mine"), "offset": F.lit(1)}), "value")
+    assert clash.columns == [*out.columns, "kind", "offset", "length", "bytes"] and clash.count() == len(cut)
     assert {(r.kind, bytes(r.bytes)) for r in cut} == {("png", png()), ("wav", media.to_wav(b"q"))}
 
 
