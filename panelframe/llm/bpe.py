@@ -7,9 +7,12 @@ with their ids to their block, which puts the ids in order of position. Words of
 block that go to one part travel as one packed row, so that a frequent word costs one
 entry a block and never gathers its positions in one place. Streams go to their block
 at once; for that the texts are split twice, once for the words and once for the
-streams, which costs less than to carry the streams through the word shuffle. A block's two
-halves carry the digest of its words, and encoding fails if they differ (the input
-changed between two reads).
+streams, which costs less than to carry the streams through the word shuffle. So the input has to read the same
+twice: `encode` saves it first, unless the caller says that it is stable (a table as it lies in files). A block's two
+halves carry the digest of its words, and encoding fails if they differ.
+
+The numbers of parts and of shuffle partitions follow from the bytes of text; the rows of a part are encoded as they
+stream by, and a task remembers a bounded number of words.
 
 Decoding looks every id up in the token-byte table, an array of at most the vocabulary's
 size, which every task holds.
@@ -38,9 +41,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType
 
 from panelframe.llm import words as W
-from panelframe.llm.shared import bounded_batches, narrow, partitions
+from panelframe.llm.shared import bounded_batches, narrow, partitions, saved
 
 _PACKED = "kind int, part long, block long, payload binary"
+_KNOWN = 1 << 19  # words that a task remembers with their ids
 _tables: dict[bytes, tuple] = {}
 
 
@@ -133,20 +137,24 @@ def _pretokens(docs: DataFrame, pattern: str, parts: int, block_bytes: int, stre
 
 
 def _encode_part(vocabulary):
-    def run(rows: pa.Table) -> pa.Table:
-        coder, known, out = _tokens(vocabulary.value)[0]._core_bpe.encode_single_piece, {}, []
-        for payload in rows.column("payload"):
-            digest, at, lengths, body = _unpack(payload.as_py(), 3)
-            found, lo = [], 0
-            for hi in np.cumsum(lengths).tolist():
-                word = body[lo:hi]
-                lo = hi
-                ids = known.get(word)
-                if ids is None:
-                    ids = known[word] = coder(word)
-                found.append(ids)
-            out.append(_pack(digest, at, np.array([len(x) for x in found]), np.array([i for x in found for i in x])))
-        return rows.set_column(rows.schema.get_field_index("payload"), "payload", pa.array(out, pa.binary()))
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, known = _tokens(vocabulary.value)[0]._core_bpe.encode_single_piece, {}
+        for batch in rows:
+            out = []
+            for payload in batch.column("payload"):
+                digest, at, lengths, body = _unpack(payload.as_py(), 3)
+                found, lo = [], 0
+                for hi in np.cumsum(lengths).tolist():
+                    word = body[lo:hi]
+                    lo = hi
+                    ids = known.get(word)
+                    if ids is None:
+                        if len(known) >= _KNOWN:
+                            known.clear()
+                        ids = known[word] = coder(word)
+                    found.append(ids)
+                out.append(_pack(digest, at, np.array([len(x) for x in found]), np.array([i for x in found for i in x])))
+            yield batch.set_column(batch.schema.get_field_index("payload"), "payload", pa.array(out, pa.binary()))
 
     return run
 
@@ -188,17 +196,24 @@ def gather(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.nd
     return pool[np.arange(len(shift)) + shift], size
 
 
-def encode(df: DataFrame, vocabulary: bytes, pattern: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id and ids (array of int), a row for each of df."""
+def _tasks(spark, size: int) -> int:
+    """Shuffle partitions for so many bytes of text: of 16 MB each up to 10,000 of them, then larger, of 1 GB at most."""
+    return max(partitions(spark), min(size >> 24, 10_000), size >> 30)
+
+
+def encode(df: DataFrame, vocabulary: bytes, pattern: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20, stable: bool = False) -> DataFrame:
+    """doc_id and ids (array of int), a row for each of df. stable: df gives the same rows in the same order whenever it is read."""
     spark = df.sparkSession
     bounded_batches(spark)
     docs = narrow(df, doc_id=doc_id, text=text).withColumn("text", F.col("text").cast("string"))
+    docs = docs if stable else saved(docs, "bpe-input")
+    tasks = _tasks(spark, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     raw = spark.sparkContext.broadcast(vocabulary)
-    words, streams = (_pretokens(docs, pattern, 4 * partitions(spark), block_bytes, x) for x in (False, True))
-    coded = words.groupBy("part").applyInArrow(_encode_part(raw), _PACKED).unionByName(streams)
+    words, streams = (_pretokens(docs, pattern, 4 * tasks, block_bytes, x) for x in (False, True))
+    coded = words.repartition(tasks, "part").groupBy("part").applyInArrow(_encode_part(raw), _PACKED).unionByName(streams)
     kind = docs.schema["doc_id"].dataType
     schema = docs.select("doc_id").schema.add("ids", ArrayType(IntegerType()))
-    return coded.groupBy("block").applyInArrow(_assemble(to_arrow_type(kind)), schema)
+    return coded.repartition(tasks, "block").groupBy("block").applyInArrow(_assemble(to_arrow_type(kind)), schema)
 
 
 def decode(spark, ids: Column | str, vocabulary: bytes) -> Column:

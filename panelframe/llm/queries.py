@@ -84,7 +84,7 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
-    coded = bpe.encode(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, stable=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -7,7 +7,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from panelframe.llm import bpe
+from panelframe.llm import bpe, queries
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 TEXTS = [None, "", " ", "  \n\t x  'S a's 中文  😀  ", "Hello world, hello  world\n\n\nagain", "a" * 5000, "one two " * 3000, " nbsp em", "don't we'll I'M", "x\n y\r\n z"]
@@ -46,3 +46,23 @@ def test_ids_outside_and_empty_table(spark):
     assert [r.b if r.b is None else bytes(r.b) for r in df.select(bpe.decode(spark, "ids", vocabulary).alias("b")).collect()] == [None, b"", b"", None]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(empty, vocabulary, P.PATTERN).count() == 0
+
+
+def test_input_out_of_a_shuffle(spark, coder):
+    """An input whose rows come in another order at each read is saved once."""
+    rows = [(i, f"row {i} of many\n" * (i % 9)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("r", F.rand()).repartition(5, "r").select("doc_id", "text")
+    got = {r.doc_id: r.ids for r in bpe.encode(df, bpe.read_vocabulary(PATH), P.PATTERN, block_bytes=2000).collect()}
+    assert got == {i: coder.encode_ordinary(t) for i, t in rows}
+
+
+def test_query_digests(spark, coder):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in queries.op7_bpe_round_trip(spark, "/root/testdata/sf0.001").collect():
+        ids = coder.encode_ordinary(docs[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_tasks_follow_the_text(spark):
+    assert bpe._tasks(spark, 0) == 4 and bpe._tasks(spark, 1 << 34) == 1024 and bpe._tasks(spark, 10**14) == 10**14 >> 30

@@ -81,3 +81,14 @@ def test_empty_and_wordless(spark):
     assert mixing.decide(e).count() == 0 and mixing.mix(e).count() == 0
     w = spark.createDataFrame([(1, None, "a"), (2, " ", "b")], "doc_id long, text string, source string")
     assert [r.copies for r in mixing.decide(w).collect()] == [0, 0]
+
+
+def test_many_sources(spark):
+    """As many open fractions as sources: they meet in buckets of sources."""
+    data = [(i, " ".join(["w"] * (1 + i * 7 % 11)), f"s{i % 500}") for i in range(3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    taken, target, largest = collections.Counter(), {}, collections.Counter()
+    for r in mixing.decide(df, block_rows=128, fan=4).collect():
+        taken[r.source] += r.copies * r.size
+        target[r.source], largest[r.source] = r.target, max(largest[r.source], r.size)
+    assert len(target) == 500 and all(abs(taken[s] - target[s]) <= largest[s] + 1e-6 for s in target)
