@@ -5,16 +5,19 @@ their exact counts; a word's id is its rank. Level k holds for every context (a
 level k-1) the ids that follow it: an Elias-Fano sequence of context-relative values
 (context times vocabulary plus id, which only rises), an Elias-Fano sequence of pointers
 to where each context begins, and in 16 bits each the discounted probability of every
-successor and the back-off weight of every context. A query searches the successor
-within its context's range.
+successor and the back-off weight of every context; a shard's head holds the step that its least probability asks for. A query
+searches the successor within its context's range.
 
 Probabilities interpolate: p_k = discounted_k + weight_k * p_(k-1), with absolute
 discounting; p_1 = (c + 1) / (N + V + 1), so that unknown words get a share.
 
 Counts are made in Spark: tasks count what they read and send sorted keys, packed, to
-the shard of the context's range; a shard is built by one task and written under the
+cells, which are narrow ranges of contexts; large pieces are dealt out by hash of the gram as well, so that a
+frequent context's partial counts meet in several tasks, and a task folds them as they stream by: it holds distinct grams only.
+Neighbouring cells then make shards of about equal numbers of grams; a shard is built by one task and written under the
 shared folder, which workers map into memory: it has to be a folder that they
-can open (a plain path or file:). The number of shards grows with the number of tokens.
+can open (a plain path or file:); a mark that the driver leaves there has to be seen by tasks. What one context has of distinct
+successors lies in one shard. The number of shards grows with the number of tokens.
 
 Null and empty texts have no words and one end. Documents with a null doc_id have no
 remainder: they are held out. An empty training set leaves every token unknown. Extra
@@ -36,12 +39,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelframe.llm import words as W
-from panelframe.llm.shared import bounded_batches, new_path
+from panelframe.llm.shared import bounded_batches, new_path, partitions, saved
 
 U64 = np.uint64
-SCALE = 2048.0  # steps to the bit of quantised probabilities: 32 bits in 16
 END = np.uint64(0x5BD1E9955BD1E995)  # the hash that stands for the end of a text
 _SELECT = np.array([[([i for i in range(8) if b >> i & 1] + [8] * 8)[k] for k in range(8)] for b in range(256)], np.int64)
+_ONES, _TOPS = U64(0x0101010101010101), U64(0x8080808080808080)
 
 
 def _set_bits(at: np.ndarray, n_words: int) -> np.ndarray:
@@ -59,7 +62,7 @@ def ef_build(values: np.ndarray, universe: int, name: str) -> dict[str, np.ndarr
     size = n + (max(universe - 1, 0) >> low_bits) + 2
     n_words = -(-size // 512) * 8
     bits = _set_bits(high + np.arange(n), n_words)
-    ones = np.bitwise_count(bits).reshape(-1, 8).sum(1, dtype=np.int64)
+    ones = np.bitwise_count(bits)
     low = np.zeros(n * low_bits // 64 + 2, U64)
     if low_bits and n:
         part = values & U64((1 << low_bits) - 1)
@@ -67,8 +70,20 @@ def ef_build(values: np.ndarray, universe: int, name: str) -> dict[str, np.ndarr
         shift = (at & 63).astype(U64)
         np.add.at(low, at >> 6, part << shift)
         np.add.at(low, (at >> 6) + 1, (part >> U64(1)) >> (U64(63) - shift))
-    before = np.concatenate([[0], np.cumsum(ones)[:-1]])
-    return {f"{name}.low": low, f"{name}.high": bits, f"{name}.ones": before, f"{name}.zeros": np.arange(len(ones)) * 512 - before, f"{name}.bits": np.array([low_bits, n])}
+    before = np.cumsum(ones, dtype=np.int64) - ones
+    if n_words << 6 >= 2**32:
+        raise ValueError("a sequence of this length asks for more shards")
+    return {f"{name}.low": low, f"{name}.high": bits, f"{name}.ones": before.astype(np.uint32), f"{name}.zeros": (np.arange(n_words) * 64 - before).astype(np.uint32), f"{name}.bits": np.array([low_bits, n])}
+
+
+def _place(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th (from 0) one of each word: prefix counts of its bytes, all eight at once."""
+    c = words - (words >> U64(1) & U64(0x5555555555555555))
+    c = (c & U64(0x3333333333333333)) + (c >> U64(2) & U64(0x3333333333333333))
+    c = (c + (c >> U64(4)) & U64(0x0F0F0F0F0F0F0F0F)) * _ONES
+    byte = np.minimum(np.bitwise_count((k * _ONES | _TOPS) - c & _TOPS), 7).astype(U64) << U64(3)
+    rest = k - (c << U64(8) >> byte & U64(0xFF))
+    return byte.astype(np.int64) + _SELECT[(words >> byte & U64(0xFF)).astype(np.int64), np.minimum(rest, U64(7)).astype(np.int64)]
 
 
 class EliasFano:
@@ -79,20 +94,18 @@ class EliasFano:
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """Place of the k-th (from 0) one or zero."""
         directory = self.ones if ones else self.zeros
-        block = np.searchsorted(directory, k, "right") - 1
-        rest = k - directory[block]
-        words = self.high[block[:, None] * 8 + np.arange(8)]
-        if not ones:
-            words = ~words
-        total = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        word = np.minimum((total <= rest[:, None]).sum(1), 7)
-        i = np.arange(len(k))
-        rest = rest - np.where(word > 0, total[i, word - 1], 0)
-        eight = np.ascontiguousarray(words[i, word]).view(np.uint8).reshape(-1, 8)
-        total = np.cumsum(np.bitwise_count(eight), axis=1, dtype=np.int64)
-        byte = np.minimum((total <= rest[:, None]).sum(1), 7)
-        rest = rest - np.where(byte > 0, total[i, byte - 1], 0)
-        return block * 512 + word * 64 + byte * 8 + _SELECT[eight[i, byte], np.clip(rest, 0, 7)]
+        word = np.searchsorted(directory, k.astype(np.uint32), "right") - 1
+        words = self.high[word]
+        return word * 64 + _place(words if ones else ~words, (k - directory[word]).astype(U64))
+
+    def _next_zero(self, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Place of the zero after the k-th, which is at `at`."""
+        rest = ~self.high[at >> 6] >> (at & 63).astype(U64) >> U64(1)
+        out = at + 1 + np.bitwise_count((rest & (~rest + U64(1))) - U64(1))
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            out[far] = self._select(k[far] + 1, False)
+        return out
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         at = i * self.bits
@@ -109,8 +122,9 @@ class EliasFano:
         if not self.n or not len(x):
             return np.full(len(x), -1, np.int64)
         high = (x >> U64(self.bits)).astype(np.int64)
-        b = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1 - high, 0)
-        e = self._select(high, False) - high
+        zero = self._select(np.maximum(high - 1, 0), False)
+        b = np.where(high > 0, zero + 1 - high, 0)
+        e = np.where(high > 0, self._next_zero(zero, np.maximum(high - 1, 0)) - high, zero)
         if lo is not None:
             b, e = np.maximum(b, lo), np.minimum(e, hi)
         end, want = e.copy(), x & U64((1 << self.bits) - 1)
@@ -153,10 +167,10 @@ def map_arrays(path: str) -> dict[str, np.ndarray]:
 
 @dataclass(frozen=True)
 class Level:
-    """Where each shard's ranks begin (one more than shards), and how many contexts and values there are."""
+    """Where each shard's ranks begin and where its contexts begin (each one more than shards)."""
 
     starts: tuple[int, ...]
-    contexts: int
+    edges: tuple[int, ...] = ()
 
     @property
     def shards(self) -> int:
@@ -181,7 +195,7 @@ def _shard(folder: str, level: int, shard: int) -> dict:
     path = f"{folder}/{level}-{shard}"
     if path not in _open:
         arrays = map_arrays(path)
-        _open[path] = {"arrays": arrays, "keys": EliasFano(arrays, "keys"), "pointers": EliasFano(arrays, "pointers") if "pointers.low" in arrays else None}
+        _open[path] = {"arrays": arrays, "keys": EliasFano(arrays, "keys"), "pointers": EliasFano(arrays, "pointers") if "pointers.low" in arrays else None, "scale": float(arrays["scale"][0]) if "scale" in arrays else 1.0}
     return _open[path]
 
 
@@ -215,26 +229,35 @@ def follow(trie: Trie, level: int, contexts: np.ndarray, ids: np.ndarray) -> tup
     rank, p, weight = np.full(len(ids), -1, np.int64), np.zeros(len(ids)), np.ones(len(ids))
     here, span = trie.levels[level - 1], trie.words + 1
     known = np.flatnonzero(contexts >= 0)
-    width = -(-here.contexts // here.shards)
-    for s, at in _by_shard(contexts[known] // width):
-        at = known[at]
-        if here.starts[s] == here.starts[s + 1]:
-            continue
-        own = _shard(trie.folder, level, s)
-        c = contexts[at] - s * width
-        weight[at] = np.exp2(own["arrays"]["weights"][c] / -SCALE)
-        seen = ids[at] >= 0
-        at, c = at[seen], c[seen]
-        edge = own["pointers"].access(np.concatenate([c, c + 1])).astype(np.int64)
-        place = own["keys"].find(c.astype(U64) * U64(span) + ids[at].astype(U64), edge[: len(c)], edge[len(c) :])
+    each, back = np.unique(contexts[known], return_inverse=True)  # few contexts make many tokens
+    shards = np.searchsorted(np.array(here.edges), each, "right") - 1
+    first, size = np.zeros(len(each), np.int64), np.zeros(len(each), np.int64)
+    back_off = np.ones(len(each))
+    for s, at in _by_shard(shards):
+        if here.starts[s] < here.starts[s + 1]:
+            own, c = _shard(trie.folder, level, s), each[at] - here.edges[s]
+            edge = own["pointers"].access(np.concatenate([c, c + 1])).astype(np.int64)
+            first[at], size[at] = edge[: len(c)], edge[len(c) :] - edge[: len(c)]
+            back_off[at] = np.exp2(own["arrays"]["weights"][c] / -own["scale"])
+    weight[known] = back_off[back]
+    seen = (ids[known] >= 0) & (size[back] > 0)
+    at, context, back = known[seen], contexts[known[seen]], back[seen]
+    for s, some in _by_shard(shards[back]):
+        own, at_, of = _shard(trie.folder, level, s), at[some], back[some]
+        key = (context[some] - here.edges[s]).astype(U64) * U64(span) + ids[at_].astype(U64)
+        place = own["keys"].find(key, first[of], first[of] + size[of])
         ok = place >= 0
-        rank[at[ok]] = place[ok] + here.starts[s]
-        p[at[ok]] = np.exp2(own["arrays"]["values"][place[ok]] / -SCALE)
+        rank[at_[ok]] = place[ok] + here.starts[s]
+        p[at_[ok]] = np.exp2(own["arrays"]["values"][place[ok]] / -own["scale"])
     return rank, p, weight
 
 
-def _quantised(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-np.log2(np.maximum(x, 2.0**-31)) * SCALE), 0, 65535).astype(np.uint16)
+def _bits(x: np.ndarray) -> np.ndarray:
+    return -np.log2(x)
+
+
+def _quantised(bits: np.ndarray, scale: float) -> np.ndarray:
+    return np.rint(bits * scale).astype(np.uint16)
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -273,18 +296,19 @@ def _ranks(trie: Trie, ids: np.ndarray, rows: np.ndarray, level: int) -> np.ndar
     return follow(trie, level, past, before)[0]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    gaps = np.diff(keys, prepend=U64(0))
-    planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T)
-    small = np.ascontiguousarray(np.minimum(counts, 2**32 - 1).astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=1).compress(len(keys).to_bytes(8, "little") + planes.tobytes() + small.tobytes())
+    """Sorted keys as gaps, and counts, in byte planes: eight each, of which most are zeros."""
+    return zstandard.ZstdCompressor(level=1).compress(len(keys).to_bytes(8, "little") + _planes(np.diff(keys, prepend=U64(0))) + _planes(counts))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     body = zstandard.ZstdDecompressor().decompress(blob)
     n = int.from_bytes(body[:8], "little")
-    gaps = np.ascontiguousarray(np.frombuffer(body, np.uint8, 8 * n, 8).reshape(8, n).T).view(U64).reshape(-1)
-    counts = np.ascontiguousarray(np.frombuffer(body, np.uint8, 4 * n, 8 + 8 * n).reshape(4, n).T).view("<u4").reshape(-1)
+    gaps, counts = (np.ascontiguousarray(np.frombuffer(body, np.uint8, 8 * n, 8 + at).reshape(8, n).T).view("<u8").reshape(-1) for at in (0, 8 * n))
     return np.cumsum(gaps, dtype=U64), counts.astype(np.int64)
 
 
@@ -296,16 +320,28 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[at], np.add.reduceat(c, at) if len(at) else c
 
 
-_PART = "shard long, payload binary"
+_PART = "cell long, bucket int, payload binary"
+_LARGE = 1 << 14  # keys of a piece that is dealt out by hash as well
 
 
-def _counted(docs: DataFrame, keys_of, shard_of, most: int = 4_000_000) -> DataFrame:
-    """Packed (key, count) rows by shard: keys_of an Arrow text column, counted in the task before they are sent."""
+def _pieces(cell: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    if len(keys) < _LARGE:
+        yield cell, -1, _pack(keys, counts)
+        return
+    for bucket, at in _by_shard((W.mix(keys) >> U64(60)).astype(np.int64)):
+        yield cell, bucket, _pack(keys[at], counts[at])
+
+
+def _rows(rows: list, names=("cell", "bucket", "payload"), kinds=(pa.int64(), pa.int32(), pa.binary())) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=list(names))
+
+
+def _counted(docs: DataFrame, keys_of, cell_of, most: int = 4_000_000) -> DataFrame:
+    """Packed (key, count) pieces by cell: keys_of an Arrow text column, counted in the task before they are sent."""
 
     def flush(keys: list, counts: list) -> pa.RecordBatch:
         k, c = _merged(keys, counts)
-        rows = [(s, _pack(k[np.sort(at)], c[np.sort(at)])) for s, at in _by_shard(shard_of(k))] if len(k) else []
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["shard", "payload"])
+        return _rows([x for cell, at in _by_shard(cell_of(k)) for x in _pieces(cell, k[np.sort(at)], c[np.sort(at)])] if len(k) else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
@@ -324,17 +360,42 @@ def _counted(docs: DataFrame, keys_of, shard_of, most: int = 4_000_000) -> DataF
     return docs.mapInArrow(run, _PART)
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of packed rows, merged whenever as many have come as are held."""
+    keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
+    more, held = ([], []), 0
+    for batch in batches:
+        for payload in batch.column("payload"):
+            k, c = _unpack(payload.as_py())
+            more[0].append(k)
+            more[1].append(c)
+            held += len(k)
+            if held > max(len(keys), 1 << 18):
+                keys, counts = _merged([keys, *more[0]], [counts, *more[1]])
+                more, held = ([], []), 0
+    return _merged([keys, *more[0]], [counts, *more[1]])
+
+
+def _merge(parts: DataFrame, name: str) -> DataFrame:
+    """The partial counts of each cell and bucket as one row: cell, n (its distinct keys) and payload; saved."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = _folded(batches)
+        yield _rows([(key[0].as_py(), len(keys), _pack(keys, counts))], ("cell", "n", "payload"), (pa.int64(), pa.int64(), pa.binary()))
+
+    return saved(parts.groupBy("cell", "bucket").applyInArrow(run, "cell long, n long, payload binary"), name)
+
+
 _MADE = "shard long, size long, total long"
 
 
 def _build(parts: DataFrame, build) -> list:
-    """Builds each shard's file; (shard, size, total) rows, as many as there are shards."""
+    """Builds each shard's file from its packed rows; (shard, size, total) rows, as many as there are shards."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        shard = rows.column("shard")[0].as_py()
-        keys, counts = zip(*(_unpack(x) for x in rows.column("payload").to_pylist()), strict=True)
-        keys, counts = _merged(list(keys), list(counts))
-        return pa.table([[shard], [build(shard, keys, counts)], [int(counts.sum())]], schema=pa.schema([("shard", pa.int64()), ("size", pa.int64()), ("total", pa.int64())]))
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = _folded(batches)
+        shard = key[0].as_py()
+        yield _rows([(shard, build(shard, keys, counts), int(counts.sum()))], ("shard", "size", "total"), (pa.int64(),) * 3)
 
     return parts.groupBy("shard").applyInArrow(run, _MADE).collect()
 
@@ -346,15 +407,37 @@ def _starts(made: list, shards: int) -> tuple[int, ...]:
     return tuple(int(x) for x in np.concatenate([[0], np.cumsum(sizes)]))
 
 
-def train(docs: DataFrame, order: int = 2, shard_tokens: int = 1 << 21) -> Trie:
-    """The trie of the texts (column text) of docs. A shard takes about shard_tokens tokens."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+def _cut(sizes: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each cell: neighbours together, about equal in grams; a cell above the mean stands alone or ends a shard."""
+    mean = max(1, -(-int(sizes.sum()) // shards))
+    before = np.cumsum(sizes) - sizes
+    return np.unique(before // mean, return_inverse=True)[1]
+
+
+def _folder(spark) -> str:
+    """A new folder that tasks can open, in the shared one."""
     folder = new_path(spark, "ngrams")
     local = folder.removeprefix("file://") if folder.startswith("file:///") else folder.removeprefix("file:")
     if "://" in local:
         raise ValueError(f"workers map the levels into memory; {folder} is not a folder that they can open")
     os.makedirs(local, exist_ok=True)
+    with open(f"{local}/mark", "w") as f:
+        f.write(local)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.path.exists(f"{local}/mark")] * batch.num_rows)], names=["seen"])
+
+    if not spark.range(partitions(spark), numPartitions=partitions(spark)).mapInArrow(run, "seen boolean").agg(F.min("seen")).first()[0]:
+        raise ValueError(f"{local} is not shared: a task does not see what the driver wrote there")
+    return local
+
+
+def train(docs: DataFrame, order: int = 3, shard_tokens: int = 1 << 21) -> Trie:
+    """The trie of the texts (column text) of docs. A shard takes about shard_tokens tokens, or one frequent context."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    local = _folder(spark)
     # about one token to six bytes; the size sets the shards alone
     length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = 1 << max(3, (length // 6 // shard_tokens).bit_length())
@@ -365,15 +448,17 @@ def train(docs: DataFrame, order: int = 2, shard_tokens: int = 1 << 21) -> Trie:
         write_arrays(f"{local}/1-{shard}", ef_build(keys, 1 << (64 - bits), "keys") | {"counts": counts})
         return len(keys)
 
-    made = _build(_counted(docs, lambda t: _tokens(t)[0], lambda k: (k >> U64(64 - bits)).astype(np.int64)), first)
-    trie = Trie(local, (Level(_starts(made, shards), 0),), sum(r["total"] for r in made))
+    parts = _counted(docs, lambda t: _tokens(t)[0], lambda k: (k >> U64(64 - bits)).astype(np.int64))
+    made = _build(parts.select(F.col("cell").alias("shard"), "payload"), first)
+    trie = Trie(local, (Level(_starts(made, shards)),), sum(r["total"] for r in made))
     for level in range(2, order + 1):
         if not trie.words:
             break
         contexts, span = trie.levels[-1].starts[-1], trie.words + 1
         if contexts * span >= 2**64:
             raise ValueError("grams of this order pass 64 bits")
-        width = -(-contexts // shards)
+        cells = min(contexts, 16 * shards)
+        width = -(-contexts // cells)
 
         def keys_of(column: pa.Array, trie=trie, level=level, span=span) -> np.ndarray:
             ids, _, rows = _coded(trie, column)
@@ -381,21 +466,30 @@ def train(docs: DataFrame, order: int = 2, shard_tokens: int = 1 << 21) -> Trie:
             ok = past >= 0
             return past[ok].astype(U64) * U64(span) + ids[ok].astype(U64)
 
-        def build(shard: int, keys: np.ndarray, counts: np.ndarray, level=level, span=span, width=width, contexts=contexts) -> int:
-            context = (keys // U64(span)).astype(np.int64) - shard * width
-            n = min(width, contexts - shard * width)
+        merged = _merge(_counted(docs, keys_of, lambda k, span=span, width=width: (k // U64(span)).astype(np.int64) // width), f"ngrams-{level}")
+        sizes = np.zeros(cells, np.int64)
+        for row in merged.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a row a cell, 16 to a shard
+            sizes[row["cell"]] = row["n"]
+        shard_of = _cut(sizes, shards)
+        edges = tuple(int(x) * width for x in np.searchsorted(shard_of, np.arange(shard_of[-1] + 1))) + (contexts,)
+        starts_at = spark.createDataFrame([(int(c), int(x)) for c, x in enumerate(shard_of)], "cell long, shard long")
+
+        def build(shard: int, keys: np.ndarray, counts: np.ndarray, level=level, span=span, edges=edges) -> int:
+            context = (keys // U64(span)).astype(np.int64) - edges[shard]
+            n = edges[shard + 1] - edges[shard]
             once, twice = int((counts == 1).sum()), int((counts == 2).sum())
             discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
             total, kinds = np.bincount(context, counts, n), np.bincount(context, minlength=n)
-            weights = np.where(kinds > 0, discount * kinds / np.maximum(total, 1), 1.0)
-            arrays = ef_build(keys - U64(shard * width) * U64(span), n * span, "keys")
+            values, weights = _bits((counts - discount) / total[context]), _bits(np.where(kinds > 0, discount * kinds / np.maximum(total, 1), 1.0))
+            scale = min(4096.0, 65535 / max(float(values.max(initial=0)), float(weights.max(initial=0)), 1e-9))
+            arrays = ef_build(keys - U64(edges[shard]) * U64(span), n * span, "keys")
             arrays |= ef_build(np.concatenate([[0], np.cumsum(kinds)]), len(keys) + 1, "pointers")
-            arrays |= {"values": _quantised((counts - discount) / total[context]), "weights": _quantised(weights)}
+            arrays |= {"values": _quantised(values, scale), "weights": _quantised(weights, scale), "scale": np.array([scale])}
             write_arrays(f"{local}/{level}-{shard}", arrays)
             return len(keys)
 
-        made = _build(_counted(docs, keys_of, lambda k, span=span, width=width: (k // U64(span)).astype(np.int64) // width), build)
-        trie = Trie(local, (*trie.levels, Level(_starts(made, shards), contexts)), trie.tokens)
+        made = _build(merged.join(starts_at, "cell").select("shard", "payload"), build)
+        trie = Trie(local, (*trie.levels, Level(_starts(made, len(edges) - 1), edges)), trie.tokens)
     return trie
 
 

@@ -4,12 +4,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from panelframe.llm import ngram_lm as L
+from panelframe.llm import queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -89,8 +91,6 @@ def test_probabilities_sum_to_one(spark, order):
 
 def _prefix(spark, trie, text):
     """log10 probability of the words without the end: from the per-token scores of the text and its shortening."""
-    import pyarrow as pa
-
     ids, counts, rows = L._coded(trie, pa.array([text]))
     p = (counts + 1) / (trie.tokens + trie.words + 1)
     past, first = L._ranks(trie, ids, rows, 1), np.arange(len(rows)) == 0
@@ -101,6 +101,93 @@ def _prefix(spark, trie, text):
     return float(np.log10(p[:-1]).sum())
 
 
+def test_counts_keep_their_size():
+    keys, counts = np.array([3, 9, 2**63], np.uint64), np.array([1, 2**40, 2**62])
+    k, c = L._unpack(L._pack(keys, counts))
+    assert (k == keys).all() and (c == counts).all()
+
+
+def test_large_pieces_are_dealt_out_and_folded():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 2**63, 40_000, dtype=np.uint64))
+    rows = list(L._pieces(5, keys, np.arange(len(keys)))) + list(L._pieces(5, keys[:100], np.ones(100, np.int64)))
+    assert len(rows) > 8 and {r[0] for r in rows} == {5} and rows[-1][1] == -1
+    k, c = L._folded([L._rows(rows[:3]), L._rows(rows[3:])])
+    assert (k == keys).all() and (c == np.arange(len(keys)) + (np.arange(len(keys)) < 100)).all()
+
+
+def test_shards_by_grams():
+    sizes = np.array([5, 0, 5, 90, 1, 1, 1, 90, 5])
+    shard = L._cut(sizes, 4)
+    assert (np.diff(shard) >= 0).all() and shard[0] == 0 and set(np.diff(shard)) <= {0, 1}
+    assert max(sizes[shard == s].sum() for s in set(shard.tolist())) < 110
+
+
+@pytest.mark.parametrize("total", [10, 2**20, 2**33, 2**60])
+def test_least_probabilities_keep_their_size(total):
+    """The step follows the least probability of a shard, so that none is cut off."""
+    values = L._bits(np.array([0.1 / total, 0.5, 1.0]))
+    scale = min(4096.0, 65535 / values.max())
+    back = np.exp2(L._quantised(values, scale) / -scale)
+    assert np.allclose(back, [0.1 / total, 0.5, 1.0], rtol=1e-3)
+
+
+def test_trigram_against_plain_dicts(spark):
+    """The query's order: every token's probability from counts in dicts, with the shards' own discounts."""
+    docs = documents()
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    trie = L.train(df, 3)
+    got = {r.doc_id: r.s.score for r in df.select("doc_id", L.score(trie, "text").alias("s")).collect()}
+    one, grams = collections.Counter(), {2: collections.Counter(), 3: collections.Counter()}
+    for t in docs.values():
+        w = tokens(t)
+        one.update(w)
+        for i, x in enumerate(w):
+            grams[2][(w[i - 1] if i else None, x)] += 1
+            if i:
+                grams[3][(w[i - 2] if i > 1 else None, w[i - 1], x)] += 1
+    n, v = sum(one.values()), len(one)
+    discount = {}
+    for k in (2, 3):
+        for s in range(trie.levels[k - 1].shards):  # what a shard's counts give
+            discount[k, s] = None
+    ids = {w: int(L.word_ids(trie, L._tokens(pa.array([w or ""]))[0][:1])[0][0]) for w in one}
+    ranks = {g: i for i, g in enumerate(sorted(grams[2], key=lambda g: (ids[g[0]], ids[g[1]])))}
+    place = {2: lambda g: ids[g[0]], 3: lambda g: ranks[g[:2]]}
+    shard = lambda k, g: int(np.searchsorted(trie.levels[k - 1].edges, place[k](g), "right")) - 1
+    for k in (2, 3):
+        for s in range(trie.levels[k - 1].shards):
+            c = [x for g, x in grams[k].items() if shard(k, g) == s]
+            discount[k, s] = min(max(c.count(1) / max(c.count(1) + 2 * c.count(2), 1), 0.1), 0.9)
+    kinds, total = collections.Counter(), collections.Counter()
+    for k in (2, 3):
+        for g, c in grams[k].items():
+            kinds[g[:-1]] += 1
+            total[g[:-1]] += c
+    for i, t in docs.items():
+        w, want = tokens(t), 0.0
+        for j, x in enumerate(w):
+            p = (one[x] + 1) / (n + v + 1)
+            past = [(w[j - 1] if j else None,)] + ([(w[j - 2] if j > 1 else None, w[j - 1])] if j else [])
+            for k, context in enumerate(past, 2):
+                if total[context]:
+                    d, c = discount[k, shard(k, (*context, x))], grams[k][(*context, x)]
+                    p = max(c - d, 0) / total[context] + d * kinds[context] / total[context] * p
+            want += math.log10(p)
+        assert got[i] == pytest.approx(want, rel=2e-3, abs=2e-3), i
+
+
+def test_query_columns(spark):
+    """op2 as registered: trigram, counts and base by brute force, held-out rows not learnt."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    own = [t for i, t in docs.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    want = brute(own, docs)
+    for r in queries.op2_elias_fano_lm(spark, sf).collect():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (want[r.doc_id][0], want[r.doc_id][1], want[r.doc_id][3])
+        assert r.base_score == pytest.approx(want[r.doc_id][2], rel=1e-9) and r.score <= 0 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+
+
 def test_empty_training(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     trie = L.train(df.limit(0))
