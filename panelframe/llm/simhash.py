@@ -53,17 +53,19 @@ def _fingerprints(column: pa.Array, size: int, seed: int) -> np.ndarray:
     of, s, e = rows[begin], at[starts[begin]], at[ends[close]]
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(text[a:b], seed) for a, b in zip(s.tolist(), e.tolist(), strict=True)], np.uint64)
-    out = np.zeros(n, np.uint64)
-    edge = np.searchsorted(of, np.arange(n + 1))
-    step = 1 << 16
-    ones, total = np.zeros((n, 64), np.int64), np.diff(edge)
+    return majority(hashes, of, n)
+
+
+def majority(hashes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the bits that are set in over half its hashes; `of` is the row of each hash, in order."""
+    step, total = 1 << 16, np.diff(np.searchsorted(of, np.arange(n + 1)))
+    ones = np.zeros((n, 64), np.int64)
     for lo in range(0, len(hashes), step):
         bits = np.unpackbits(hashes[lo : lo + step].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         part = of[lo : lo + step]
         cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         ones[part[cuts]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
-    out[:] = np.packbits(2 * ones > total[:, None], axis=1).view(">u8").reshape(-1) if n else out
-    return out
+    return np.packbits(2 * ones > total[:, None], axis=1).view(">u8").reshape(-1).astype(np.uint64) if n else np.zeros(0, np.uint64)
 
 
 def fingerprint(text: Column | str, size: int = 3, seed: int = 42) -> Column:
