@@ -33,10 +33,13 @@ def _r(names: str, n: int = 6) -> str:
 _DIM = "dim AS (SELECT s_suppkey AS entity, s_name AS name, r_name AS industry, s_nationkey AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 _M = bars_sql("month", "m")
 _W = bars_sql("week", "w")
-_FIL = """fil AS (SELECT nation, CAST(q + INTERVAL 3 MONTH AS DATE) - 1 AS end_date, CAST(q + INTERVAL 3 MONTH AS DATE) - 1 + CAST(30 + nation % 15 AS INTEGER) AS f_ann_date,
-   total_revenue, n_income, round(sum(total_revenue) OVER (PARTITION BY nation ORDER BY q), 2) AS total_assets FROM (
-   SELECT c_nationkey AS nation, date_trunc('quarter', o_orderdate) AS q, round(sum(o_totalprice), 2) AS total_revenue,
-   round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 0), 2) AS n_income FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL))"""
+_FIL = """fq AS (SELECT c_nationkey AS nation, date_trunc('quarter', o_orderdate) AS q, round(sum(o_totalprice), 2) AS total_revenue,
+   round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 0), 2) AS n_income, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'F' AND o_orderpriority[1] <> '1'), 0), 2) AS n_income_attr_p,
+   round(coalesce(sum(o_totalprice) FILTER (o_orderstatus <> 'O'), 0), 2) AS oper_cost, round(coalesce(sum(o_totalprice) FILTER (o_orderpriority[1] = '1'), 0), 2) AS cash,
+   round(coalesce(sum(o_totalprice) FILTER (o_orderpriority[1] = '2'), 0), 2) AS debt FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+   fr AS (SELECT *, round(sum(total_revenue) OVER r, 2) AS total_assets, round(sum(debt) OVER r, 2) AS total_liab, round(sum(cash) OVER r, 2) AS money_cap FROM fq WINDOW r AS (PARTITION BY nation ORDER BY q)),
+   fil AS (SELECT nation, CAST(q + INTERVAL 3 MONTH AS DATE) - 1 AS end_date, CAST(q + INTERVAL 3 MONTH AS DATE) - 1 + CAST(30 + nation % 15 AS INTEGER) AS f_ann_date, total_revenue, n_income, total_assets,
+   n_income_attr_p, oper_cost, total_liab, money_cap, CASE WHEN nation % 7 <> 3 THEN debt END AS st_borr, round(total_assets - total_liab, 2) AS equity FROM fr)"""
 
 
 def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,11 +135,12 @@ def join_dimension_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {_FIL}, f AS (SELECT a.*, b.total_revenue AS rev_ya, b.n_income AS inc_ya, b.total_assets AS ass_ya FROM fil a LEFT JOIN fil b ON a.nation = b.nation AND b.end_date = last_day(CAST(a.end_date - INTERVAL 12 MONTH AS DATE)))
     SELECT nation, end_date, {_r("roe_ttm revenue_growth_yoy profit_growth_yoy asset_growth_yoy accruals gross_margin debt_ratio")} FROM (SELECT nation, end_date,
-      coalesce(sum(n_income) OVER w4 / avg(total_assets) OVER w4, 0) AS roe_ttm,
+      coalesce(sum(n_income_attr_p) OVER w4 / nullif(avg(equity) OVER w4, 0), 0) AS roe_ttm,
       coalesce((total_revenue - rev_ya) / CASE WHEN rev_ya <> 0 THEN abs(rev_ya) END, 0) AS revenue_growth_yoy,
       coalesce((n_income - inc_ya) / CASE WHEN inc_ya <> 0 THEN abs(inc_ya) END, 0) AS profit_growth_yoy,
       coalesce((total_assets - ass_ya) / CASE WHEN ass_ya <> 0 THEN abs(ass_ya) END, 0) AS asset_growth_yoy,
-      coalesce((total_assets - lag(total_assets) OVER w) / ((total_assets + lag(total_assets) OVER w) / 2), 0) AS accruals, 0.0 AS gross_margin, 0.0 AS debt_ratio
+      coalesce((((total_assets - money_cap) - (total_liab - st_borr)) - lag((total_assets - money_cap) - (total_liab - st_borr)) OVER w) / ((total_assets + lag(total_assets) OVER w) / 2), 0) AS accruals,
+      coalesce((total_revenue - oper_cost) / nullif(total_revenue, 0), 0) AS gross_margin, coalesce(total_liab / nullif(total_assets, 0), 0) AS debt_ratio
       FROM f WINDOW w AS (PARTITION BY nation ORDER BY end_date), w4 AS (PARTITION BY nation ORDER BY end_date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))"""
 )
 def statement_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +163,7 @@ def statement_single_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT nation, end_date, f_ann_date, total_revenue, n_income FROM v QUALIFY row_number() OVER (PARTITION BY nation, end_date ORDER BY f_ann_date DESC, (total_revenue IS NOT NULL)::INT + (n_income IS NOT NULL)::INT DESC, total_revenue DESC, n_income DESC) = 1"""
 )
 def statement_best_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = P.filings(spark, sf_dir).drop("total_assets")
+    f = P.filings(spark, sf_dir).select("nation", "end_date", "f_ann_date", "total_revenue", "n_income")
     v = f.withColumn("n_income", F.when(F.col("nation") % 2 == 0, F.col("n_income"))).unionByName(f.where("nation % 3 = 0").withColumn("total_revenue", F.col("total_revenue") + 1))
     return pit.best_version(v, ["nation", "end_date"], "f_ann_date", ["total_revenue", "n_income"])
 
@@ -181,27 +185,40 @@ def statement_by_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quality_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = P.with_values(P.bars(spark, sf_dir)).join(F.broadcast(P.dimension(spark, sf_dir).select("entity", "nation")), "entity")
-    own = pit.statement_factors(P.filings(spark, sf_dir), "nation", "end_date")
-    names = ["total_revenue", "n_income", "total_assets", "roe_ttm"]
+    """Weekly bars with what the supplier's nation had disclosed; measures that the tables lack are made from those they have."""
+    w = P.with_values(P.bars(spark, sf_dir)).join(P.dimension(spark, sf_dir).select("entity", "nation"), "entity")
+    own = pit.statement_factors(P.filings(spark, sf_dir), "nation", "end_date").withColumnsRenamed({"total_hldr_eqy_exc_min_int": "equity"})
+    own = own.withColumns({n: F.expr(e) for n, e in _MADE.items()})
+    names = ["total_revenue", "n_income", "total_assets", "total_liab", "equity", "roe_ttm", "gross_margin", "debt_ratio", "accruals", "revenue_growth_yoy", "profit_growth_yoy", "asset_growth_yoy", *_MADE]
     return pit.known_at(w, own, "nation", "d", "f_ann_date", names)
 
 
+_MADE = {"eps": "n_income / 1e6", "n_cashflow_act": "n_income - oper_cost / 4", "free_cashflow": "n_income - oper_cost / 2", "total_cur_assets": "money_cap + total_revenue", "total_cur_liab": "coalesce(st_borr, 0) + oper_cost", "inventories": "oper_cost / 3"}
+_YEAR, _QUARTER = 52, 13
+_Q0 = {"sales_to_market": "total_revenue / v", "earnings_to_price": "eps / nullif(close_x, 0)", "book_to_market": "equity / v", "ocf_to_market": "n_cashflow_act / v", "fcf_to_market": "free_cashflow / v",
+       "q_roe_ttm": "roe_ttm", "roa_ttm": "n_income / nullif(total_assets, 0)", "q_gross_margin": "gross_margin", "net_margin": "margin", "debt_to_assets": "debt_ratio", "current_ratio": "total_cur_assets / nullif(total_cur_liab, 0)",
+       "quick_ratio": "(total_cur_assets - inventories) / nullif(total_cur_liab, 0)", "cash_flow_to_debt": "n_cashflow_act / nullif(total_liab, 0)", "q_accruals": "accruals", "earnings_quality": "n_cashflow_act / nullif(n_income, 0)",
+       "q_revenue_growth_yoy": "revenue_growth_yoy", "q_profit_growth_yoy": "profit_growth_yoy", "q_asset_growth_yoy": "asset_growth_yoy"}
+_Q1 = {"roe_growth_yoy": ("roe_ttm", _YEAR), "eps_growth_yoy": ("eps", _YEAR), "revenue_growth_qoq": ("total_revenue", _QUARTER), "profit_growth_qoq": ("n_income", _QUARTER), "gross_margin_growth": ("gross_margin", _YEAR), "net_margin_growth": ("margin", _YEAR), "ocf_growth_yoy": ("n_cashflow_act", _YEAR)}
+_STATED = "total_revenue n_income total_assets total_liab equity roe_ttm gross_margin debt_ratio accruals revenue_growth_yoy profit_growth_yoy asset_growth_yoy".split()
+
+
 @query(
-    f"""WITH {bars_sql("week", "w")}, {_DIM}, {_FIL}, own AS (SELECT *, coalesce(sum(n_income) OVER w4 / avg(total_assets) OVER w4, 0) AS roe FROM fil WINDOW w4 AS (PARTITION BY nation ORDER BY end_date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
-    base AS (SELECT w.*, coalesce(f.total_revenue, 0) AS total_revenue, coalesce(f.n_income, 0) AS n_income, coalesce(f.total_assets, 0) AS total_assets, coalesce(f.roe, 0) AS roe_ttm
-      FROM (SELECT w.*, nation FROM w JOIN dim USING (entity)) w ASOF LEFT JOIN own f ON w.nation = f.nation AND w.d >= f.f_ann_date),
-    g AS (SELECT *, CASE WHEN total_revenue <> 0 THEN n_income / total_revenue END AS margin FROM base),
-    h AS (SELECT *, lag(roe_ttm, 252) OVER w AS r0, lag(total_revenue, 63) OVER w AS t0, lag(n_income, 63) OVER w AS i0, lag(margin, 252) OVER w AS m0 FROM g WINDOW w AS (PARTITION BY entity ORDER BY d))
-    SELECT entity, d, {_r("sales_to_market roa_ttm net_margin q_roe_ttm roe_growth_yoy revenue_growth_qoq profit_growth_qoq net_margin_growth")}, 0.0 AS current_ratio FROM (SELECT entity, d,
-      coalesce(total_revenue / (total_mv * 1e4), 0) AS sales_to_market, coalesce(CASE WHEN total_assets <> 0 THEN n_income / total_assets END, 0) AS roa_ttm, coalesce(margin, 0) AS net_margin, roe_ttm AS q_roe_ttm,
-      coalesce(CASE WHEN abs(r0) > 1e-12 THEN (roe_ttm - r0) / abs(r0) END, 0) AS roe_growth_yoy, coalesce(CASE WHEN abs(t0) > 1e-12 THEN (total_revenue - t0) / abs(t0) END, 0) AS revenue_growth_qoq,
-      coalesce(CASE WHEN abs(i0) > 1e-12 THEN (n_income - i0) / abs(i0) END, 0) AS profit_growth_qoq, coalesce(CASE WHEN abs(m0) > 1e-12 THEN (margin - m0) / abs(m0) END, 0) AS net_margin_growth FROM h)"""
+    f"""WITH {bars_sql("week", "w")}, {_DIM}, {_FIL},
+    fy AS (SELECT a.*, b.total_revenue AS rev_ya, b.n_income AS inc_ya, b.total_assets AS ass_ya FROM fil a LEFT JOIN fil b ON a.nation = b.nation AND b.end_date = last_day(CAST(a.end_date - INTERVAL 12 MONTH AS DATE))),
+    own AS (SELECT *, coalesce(sum(n_income_attr_p) OVER w4 / nullif(avg(equity) OVER w4, 0), 0) AS roe_ttm, coalesce((total_revenue - oper_cost) / nullif(total_revenue, 0), 0) AS gross_margin, coalesce(total_liab / nullif(total_assets, 0), 0) AS debt_ratio,
+      coalesce((((total_assets - money_cap) - (total_liab - st_borr)) - lag((total_assets - money_cap) - (total_liab - st_borr)) OVER w1) / nullif((total_assets + lag(total_assets) OVER w1) / 2, 0), 0) AS accruals,
+      coalesce((total_revenue - rev_ya) / nullif(abs(rev_ya), 0), 0) AS revenue_growth_yoy, coalesce((n_income - inc_ya) / nullif(abs(inc_ya), 0), 0) AS profit_growth_yoy, coalesce((total_assets - ass_ya) / nullif(abs(ass_ya), 0), 0) AS asset_growth_yoy,
+      {", ".join(f"{e} AS {n}" for n, e in _MADE.items())} FROM fy WINDOW w1 AS (PARTITION BY nation ORDER BY end_date), w4 AS (PARTITION BY nation ORDER BY end_date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+    base AS (SELECT w.entity, w.d, close_x, total_mv * 1e4 AS v, {", ".join(f"coalesce(f.{n}, 0) AS {n}" for n in (*_STATED, *_MADE))} FROM (SELECT w.*, nation FROM w JOIN dim USING (entity)) w ASOF LEFT JOIN own f ON w.nation = f.nation AND w.d >= f.f_ann_date),
+    g AS (SELECT *, CASE WHEN total_revenue <> 0 THEN n_income / total_revenue END AS margin FROM base)
+    SELECT entity, d, {", ".join(f"round(coalesce({e}, 0), 6) + 0.0 AS {n}" for n, e in _Q0.items())},
+      {", ".join(f"round(coalesce(CASE WHEN abs(lag({c}, {k}) OVER w) > 1e-12 THEN ({c} - lag({c}, {k}) OVER w) / abs(lag({c}, {k}) OVER w) END, 0), 6) + 0.0 AS {n}" for n, (c, k) in _Q1.items())} FROM g WINDOW w AS (PARTITION BY entity ORDER BY d)"""
 )
 def factors_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns that the panel lacks (current assets, here) give the constant 0."""
-    names = ["sales_to_market", "roa_ttm", "net_margin", "q_roe_ttm", "roe_growth_yoy", "revenue_growth_qoq", "profit_growth_qoq", "net_margin_growth", "current_ratio"]
-    return FX.add(_quality_panel(spark, sf_dir), FX.quality(), names, digits={"": 6}).select("entity", "d", *names)
+    """All statement factors, growth over 52 and 13 weeks."""
+    made = FX.quality(_YEAR, _QUARTER)
+    return FX.add(_quality_panel(spark, sf_dir), made, digits={"": 6}).select("entity", "d", *made)
 
 
 # ---- cross-section ---------------------------------------------------------------------------
@@ -431,7 +448,7 @@ def eval_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_S}, {_IC}, imp AS (SELECT d, f AS factor, CASE WHEN (month(d) * f) % 3 = 0 THEN 0 ELSE f END AS importance FROM ic CROSS JOIN range(1, 6) r(f)),
     a AS (SELECT factor, count(*) FILTER (importance > 0) AS active, count(*) FILTER (importance <= 0) AS inactive, avg(ic) FILTER (importance > 0) - avg(ic) FILTER (importance <= 0) AS i, avg(n) FILTER (importance > 0) - avg(n) FILTER (importance <= 0) AS t FROM imp JOIN ic USING (d) GROUP BY factor)
     SELECT factor, active, inactive, round(i, 6) + 0.0 AS ic_diff, round(t, 6) + 0.0 AS n_diff, inactive >= 10 AS reliable,
-      CASE WHEN inactive < 10 THEN 'unreliable' WHEN (i > 0.01 AND t >= -0.01) OR (t > 0.01 AND i >= -0.01) THEN 'positive' WHEN (i < -0.01 AND t <= 0.01) OR (t < -0.01 AND i <= 0.01) THEN 'harmful' WHEN i * t < 0 THEN 'trade_off' ELSE 'neutral' END AS kind FROM a"""
+      CASE WHEN inactive < 10 THEN 'unreliable' WHEN i > 0.01 THEN 'positive' WHEN i < -0.01 AND t < 0 THEN 'harmful' WHEN i < -0.01 THEN 'trade_off' ELSE 'neutral' END AS kind FROM a"""
 )
 def eval_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ic = E.rank_ic(_scores(spark, sf_dir), ["d"], "score", "label")
@@ -470,10 +487,10 @@ _TWO = "two AS (SELECT * FROM idx WHERE ra IS NOT NULL AND rb IS NOT NULL)"
 @query(
     f"""WITH {_IDX}, {_TWO}, c AS (SELECT d, ra, rb, {_corr_sql(10)} AS corr, product(1 + ra) OVER {_win(100000)} AS nav_a, product(1 + rb) OVER {_win(100000)} AS nav_b, sum(ra - rb) OVER {_win(100000)} AS spread,
       CASE WHEN count(ra) OVER {_win(5)} >= 5 THEN sum(ra) OVER {_win(5)} END AS sum_a, CASE WHEN count(rb) OVER {_win(5)} >= 5 THEN sum(rb) OVER {_win(5)} END AS sum_b FROM two)
-    SELECT d, {_r("corr nav_a nav_b spread sum_a sum_b")}, CASE WHEN corr > 0.6 THEN 'converged' WHEN corr < -0.2 THEN 'diverged' WHEN corr IS NOT NULL THEN 'neutral' END AS regime FROM c"""
+    SELECT d, {_r("corr spread sum_a sum_b")}, {_r("nav_a nav_b", 2)}, CASE WHEN corr > 0.6 THEN 'converged' WHEN corr < -0.2 THEN 'diverged' WHEN corr IS NOT NULL THEN 'neutral' END AS regime FROM c"""
 )
 def exposure_style(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(G.style(_index(spark, sf_dir), "d", "ra", "rb").select("d", "corr", "nav_a", "nav_b", "spread", "sum_a", "sum_b", "regime"))
+    return _round(G.style(_index(spark, sf_dir), "d", "ra", "rb").select("d", "corr", "nav_a", "nav_b", "spread", "sum_a", "sum_b", "regime"), 6, nav_a=2, nav_b=2)
 
 
 _CONV = f"conv AS (SELECT d, CASE WHEN {_corr_sql(5)} > 0.2 AND count(ra) OVER {_win(5)} >= 5 AND sum(ra) OVER {_win(5)} < 0 AND sum(rb) OVER {_win(5)} < 0 THEN 0.0 ELSE 1.0 END AS ratio FROM two)"
@@ -484,10 +501,12 @@ def exposure_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.style_convergence(_index(spark, sf_dir), "d", "ra", "rb", bound=0.2)
 
 
-_BLIND = f"""b1 AS (SELECT *, {_corr_sql(7)} AS c, CASE WHEN count(ra) OVER {_win(7)} >= 7 THEN stddev_samp(ra) OVER {_win(7)} END AS v, CASE WHEN count(close) OVER {_win(20)} >= 20 THEN avg(close) OVER {_win(20)} END AS ma FROM two),
-  b2 AS (SELECT *, CASE WHEN count(c) OVER {_win(80)} >= 40 THEN quantile_cont(c, 0.2) OVER {_win(80)} END AS qc, CASE WHEN count(v) OVER {_win(80)} >= 40 THEN quantile_cont(v, 1 / 3.0) OVER {_win(80)} END AS qv FROM b1),
-  b3 AS (SELECT d, CASE WHEN (c < qc OR v < qv) AND NOT coalesce(close > ma, false) THEN 0.3 ELSE 1.0 END AS r FROM b2),
-  blind AS (SELECT d, CAST(coalesce(lag(r) OVER (ORDER BY d), 1.0) AS DOUBLE) AS ratio FROM b3)"""
+_BLIND = f"""b0 AS (SELECT *, {_corr_sql(7)} AS c, CASE WHEN count(rb) OVER {_win(7)} >= 7 THEN stddev_samp(rb) OVER {_win(7)} END AS v FROM two),
+  b1 AS (SELECT *, CASE WHEN count(close) OVER {_win(20)} >= 20 THEN avg(close) OVER {_win(20)} END AS ma FROM b0 WHERE c IS NOT NULL AND v IS NOT NULL),
+  b2 AS (SELECT *, CASE WHEN count(c) OVER {_win(80)} >= 40 THEN quantile_cont(c, 0.2) OVER {_win(80)} END AS qc, CASE WHEN count(v) OVER {_win(80)} >= 40 THEN quantile_cont(v, 0.33) OVER {_win(80)} END AS qv,
+    coalesce(lag(close) OVER (ORDER BY d) > lag(ma) OVER (ORDER BY d), false) AS calm FROM b1),
+  b3 AS (SELECT d, CASE WHEN coalesce(c < qc, false) OR (coalesce(v < qv, false) AND NOT calm) THEN 0.0 ELSE 1.0 END AS r FROM b2),
+  blind AS (SELECT b0.d, CAST(coalesce(x.r, 1.0) AS DOUBLE) AS ratio FROM b0 LEFT JOIN (SELECT d, lag(r) OVER (ORDER BY d) AS r FROM b3) x ON b0.d = x.d)"""
 
 
 @query(f"WITH {_IDX}, {_TWO}, {_BLIND} SELECT d, ratio FROM blind")
@@ -503,7 +522,7 @@ def exposure_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.volatility_regime(_index(spark, sf_dir), "d", "ra")
 
 
-@query(f"WITH {_IDX}, {_TWO}, {_CONV}, {_BLIND} SELECT d, CAST(CASE WHEN b.ratio < 1 AND c.ratio < 1 THEN 0 WHEN b.ratio < 1 THEN 0.5 WHEN c.ratio < 1 THEN 0.3 ELSE 1 END AS DOUBLE) AS ratio FROM blind b JOIN conv c USING (d)")
+@query(f"WITH {_IDX}, {_TWO}, {_CONV}, {_BLIND} SELECT d, CAST(CASE WHEN b.ratio < 1 AND c.ratio < 1 THEN 0 WHEN b.ratio < 1 THEN 0.3 WHEN c.ratio < 1 THEN 0.5 ELSE 1 END AS DOUBLE) AS ratio FROM blind b JOIN conv c USING (d)")
 def exposure_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = _index(spark, sf_dir)
     return G.hybrid(G.blind_window(i, "d", "ra", "rb", "close"), G.style_convergence(i, "d", "ra", "rb", bound=0.2), "d")
@@ -511,22 +530,22 @@ def exposure_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _drift_part(f: str) -> str:
     t, b = "(ORDER BY d ROWS BETWEEN 39 PRECEDING AND 6 PRECEDING)", "(ORDER BY d ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
-    return f"CASE WHEN stddev_samp({f}) OVER {t} > 1e-9 THEN abs(avg({f}) OVER {b} - avg({f}) OVER {t}) / stddev_samp({f}) OVER {t} END"
+    return f"abs(avg({f}) OVER {b} - avg({f}) OVER {t}) / CASE WHEN stddev_samp({f}) OVER {t} < 1e-8 THEN 1e-8 ELSE stddev_samp({f}) OVER {t} END"
 
 
 @query(
     f"""WITH {_W}, a AS (SELECT d, avg(vol) AS vol, avg(turnover_rate_x) AS turnover_rate_x, avg(adj_factor) AS adj_factor FROM w GROUP BY d),
     p AS (SELECT d, {_drift_part("vol")} AS p1, {_drift_part("adj_factor")} AS p2 FROM a), r AS (SELECT d, (coalesce(p1, 0) + coalesce(p2, 0)) / nullif((p1 IS NOT NULL)::INT + (p2 IS NOT NULL)::INT, 0) AS drift FROM p),
-    q AS (SELECT *, CASE WHEN count(drift) OVER {_win(80)} >= 40 THEN quantile_cont(drift, 0.75) OVER {_win(80)} END AS q FROM r)
-    SELECT d, round(drift, 6) + 0.0 AS drift, CAST(coalesce(lag(CASE WHEN drift >= q THEN 0.3 ELSE 1.0 END) OVER (ORDER BY d), 1.0) AS DOUBLE) AS ratio FROM q"""
+    q AS (SELECT *, CASE WHEN count(drift) OVER {_win(40)} >= 10 THEN quantile_cont(drift, 0.75) OVER {_win(40)} END AS q FROM r)
+    SELECT d, round(drift, 6) + 0.0 AS drift, CAST(coalesce(lag(CASE WHEN drift >= q THEN 0.0 ELSE 1.0 END) OVER (ORDER BY d), 1.0) AS DOUBLE) AS ratio FROM q"""
 )
 def exposure_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(G.factor_drift(G.factor_means(P.bars(spark, sf_dir), "d", ["vol", "adj_factor"]), "d", ["vol", "adj_factor"]))
 
 
 @query(
-    f"""WITH {_IDX}, g AS (SELECT d, ra, sum(CASE WHEN ra > 0 THEN 1 ELSE 0 END) OVER (ORDER BY d) AS g FROM idx), n AS (SELECT d, sum(CASE WHEN ra < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY d) AS n FROM g)
-    SELECT d, greatest(pow(0.5, n), 0.25) AS ratio FROM n"""
+    f"""WITH {_IDX}, g AS (SELECT d, ra, sum(CASE WHEN ra >= 0 THEN 1 ELSE 0 END) OVER (ORDER BY d) AS g FROM idx), n AS (SELECT d, sum(CASE WHEN ra < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY d) AS n FROM g)
+    SELECT d, pow(0.5, n) AS ratio FROM n"""
 )
 def exposure_after_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.after_losses(_index(spark, sf_dir).select("d", "ra"), "d", "ra")
@@ -655,7 +674,7 @@ def perf_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_S} SELECT d, {", ".join(f"count(*) FILTER (circ_mv / 1e4 >= {lo} AND circ_mv / 1e4 < {hi}) AS {n}" for lo, hi, n in ((0, 20, "micro"), (20, 50, "small"), (50, 100, "mid"), (100, 500, "large"), (500, 1e300, "mega")))},
+    f"""WITH {_S} SELECT d, {", ".join(f"count(*) FILTER (circ_mv / 1e4 >= {lo} AND circ_mv / 1e4 < {hi}) AS {n}" for lo, hi, n in ((0, 20, "micro"), (20, 50, "small"), (50, 100, "mid"), (100, 300, "large"), (300, 1000, "giant"), (1000, 1e300, "mega")))},
     {", ".join(f"round(quantile_cont(circ_mv / 1e4, {p}), 4) AS {n}" for p, n in ((0.1, "p10"), (0.25, "p25"), (0.75, "p75"), (0.9, "p90")))} FROM sc GROUP BY d"""
 )
 def perf_size_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -693,9 +712,18 @@ def cohort_batch_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(B.batch_profit(t, t.where("sell_date is not null"), "entry", "sell_date", "amount", "proceeds"), 6, bought=2, sold=2)
 
 
-@query(f"WITH {_TRADES}, {_RET}, c AS (SELECT signal, avg(ret) AS ret FROM ret GROUP BY signal) SELECT signal, coalesce(sum(CASE WHEN ret < -0.05 THEN 1 ELSE 0 END) OVER (ORDER BY signal ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) >= 2 AS stop FROM c")
+@query(
+    f"""WITH {_S}, i AS (SELECT d, row_number() OVER (ORDER BY d) AS i FROM (SELECT DISTINCT d FROM m)), pi AS (SELECT entity, i, close_hfq AS p FROM m JOIN i USING (d) WHERE close_hfq IS NOT NULL),
+    pk AS (SELECT entity, i FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY score DESC, entity) AS place FROM sc WHERE score IS NOT NULL) JOIN i USING (d) WHERE place <= 5),
+    vr AS (SELECT pk.i, avg(s.p / b.p - 1) AS ret FROM pk JOIN pi b ON b.entity = pk.entity AND b.i = pk.i + 1 JOIN pi s ON s.entity = pk.entity AND s.i = pk.i + 4 WHERE b.p > 0 GROUP BY pk.i),
+    lost AS (SELECT s.i, k, row_number() OVER (PARTITION BY s.i ORDER BY k) AS nth FROM i s CROSS JOIN range(1, 4) r(k) JOIN vr ON vr.i = s.i - 4 + k WHERE ret < -0.02 AND (s.i - 1) % 3 = 0)
+    SELECT a.d, b.d AS stop_day FROM i a LEFT JOIN (SELECT lost.i, lost.i + k AS at FROM lost WHERE nth = 2 AND k - 1 < 3) x ON x.i = a.i LEFT JOIN i b ON b.i = x.at WHERE (a.i - 1) % 3 = 0"""
+)
 def cohort_virtual_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.virtual_stop(B.cohort_returns(_trades(spark, sf_dir), "signal"), "signal", "ret").select("signal", "stop")
+    m, s, cal = P.bars(spark, sf_dir, "month"), _scores(spark, sf_dir), _calendar(spark, sf_dir)
+    virtual = B.virtual_returns(B.pick(s, "d", "entity", "score", 5), m, cal, "d", "entity", "close_hfq", 4)
+    signals = B.rebalance_calendar(cal, "d", 3).select(F.col("signal").alias("d"))
+    return B.virtual_stop(signals, virtual, cal, "d", 4, 3, 3, -0.02)
 
 
 @query(f"WITH {_M}, b AS (SELECT entity, d, close_hfq FROM m WHERE month(d) IN (1, 4)), s AS (SELECT entity, d AS sell_date, close_hfq AS sell_price FROM m WHERE month(d) IN (4, 10)) SELECT b.entity, b.d, b.close_hfq, sell_date, sell_price, round(sell_price / b.close_hfq - 1, 6) + 0.0 AS ret, CAST(sell_date - b.d AS INTEGER) AS days FROM b ASOF JOIN s ON b.entity = s.entity AND b.d <= s.sell_date")

@@ -70,10 +70,28 @@ def marks(held: DataFrame, prices: DataFrame, calendar: DataFrame, entity: str,
     return out.withColumn("value", F.col("shares") * F.coalesce("_p", "buy_price")).drop("_p")
 
 
-def virtual_stop(cohorts: DataFrame, day_index: str, ret: str, bound: float = -0.05, back: int = 3, least: int = 2) -> DataFrame:
-    """A cohort leaves when at least `least` of the `back` cohorts before it lost more than the bound."""
-    w = Window.orderBy(day_index).rowsBetween(-back, -1)
-    return cohorts.withColumn("stop", F.coalesce(F.count_if(F.col(ret) < bound).over(w), F.lit(0)) >= least)
+def virtual_returns(picks: DataFrame, prices: DataFrame, calendar: DataFrame, day: str, entity: str, price: str, ahead: int = 6) -> DataFrame:
+    """(idx, ret): for each signal date, by its calendar number, the mean return of its picks from the next date on to `ahead` dates after it."""
+    i = calendar_index(calendar, day)
+    p = prices.where(F.col(price).isNotNull()).join(i, day).select(entity, "idx", F.col(price).alias("_price"))
+    own = picks.join(i, day).select(entity, "idx")
+    at = lambda k, name: p.select(entity, (F.col("idx") - k).alias("idx"), F.col("_price").alias(name))
+    return own.join(at(1, "_buy"), [entity, "idx"]).join(at(ahead, "_sell"), [entity, "idx"]).where("_buy > 0").groupBy("idx").agg(F.avg(F.col("_sell") / F.col("_buy") - 1).alias("ret"))
+
+
+def virtual_stop(signals: DataFrame, virtual: DataFrame, calendar: DataFrame, day: str, ahead: int = 6, holding: int = 5, check: int = 3, bound: float = -0.05, least: int = 2) -> DataFrame:
+    """(day, stop_day) for each real signal date: when its cohort, bought the date after, is given up early, or null.
+
+    The `check` virtual cohorts picked last before the signal, of the signal dates ahead - 1 to ahead - check before it, end on the dates
+    after it, one a date; as soon as `least` of them have lost more than the bound, before the holding time is over, the cohort is sold.
+    """
+    i = calendar_index(calendar, day)
+    s = signals.select(day).distinct().join(i, day).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(check))))
+    lost = s.join(virtual.select(F.col("idx").alias("_at"), "ret"), F.col("_at") == F.col("idx") - ahead + F.col("_k")).where(F.col("ret") < bound)
+    # the least-th of at most `check` losses, in order of their ends
+    nth = lost.groupBy(day, "idx").agg(F.get(F.array_sort(F.collect_list("_k")), F.lit(least - 1)).alias("_k")).where(F.col("_k").isNotNull() & (F.col("_k") - 1 < holding))
+    stops = nth.select(day, (F.col("idx") + F.col("_k")).alias("idx")).join(i.withColumnRenamed(day, "stop_day"), "idx").select(day, "stop_day")
+    return signals.select(day).distinct().join(stops, day, "left")
 
 
 def cohort_returns(trades: DataFrame, batch: str, buy: str = "buy_price", sell: str = "sell_price") -> DataFrame:
@@ -90,11 +108,13 @@ def batch_profit(buys: DataFrame, sells: DataFrame, buy_day: str, sell_day: str,
 
 
 def pair_trades(buys: DataFrame, sells: DataFrame, entity: str, day: str, price: str) -> DataFrame:
-    """Every buy with the first sell of its entity at or after it, return and days held."""
-    s = sells.select(F.col(entity), F.col(day).alias("sell_date"), F.col(price).alias("sell_price"))
-    j = buys.join(s, entity, "left").where(F.col("sell_date").isNull() | (F.col("sell_date") >= F.col(day)))
-    out = j.groupBy(*buys.columns).agg(F.min(F.struct("sell_date", "sell_price")).alias("_s"))
-    return out.select(*buys.columns, "_s.sell_date", "_s.sell_price").withColumns({"ret": F.col("sell_price") / F.col(price) - 1, "days": F.datediff("sell_date", day)})
+    """Every buy with the first sell of its entity at or after it, return and days held. A forward as-of: one sort by entity and day."""
+    least = sells.groupBy(entity, day).agg(F.min(price).alias("_price"))
+    s = least.select(F.col(entity), F.col(day).alias("_at"), F.lit(1).alias("_side"), F.struct(F.col(day).alias("sell_date"), F.col("_price").alias("sell_price")).alias("_sold"))
+    b = buys.withColumns({"_at": F.col(day), "_side": F.lit(0), "_sold": F.lit(None).cast(s.schema["_sold"].dataType), "_own": F.lit(True)})
+    w = Window.partitionBy(entity).orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    out = b.unionByName(s, allowMissingColumns=True).withColumn("_sold", F.last("_sold", ignorenulls=True).over(w)).where("_own")
+    return out.select(*buys.columns, "_sold.sell_date", "_sold.sell_price").withColumns({"ret": F.col("sell_price") / F.col(price) - 1, "days": F.datediff("sell_date", day)})
 
 
 def nav_metrics(nav: DataFrame, day: str, value: str, year: int = 252, trim: bool = False) -> DataFrame:
@@ -178,7 +198,8 @@ def tails(trades: DataFrame, day: str, ret: str, bound: float = 0.1) -> DataFram
     return trades.groupBy(F.year(day).alias("year")).agg(F.count_if(F.col(ret) > bound).alias("n"))
 
 
-TIERS = ((0, 20, "micro"), (20, 50, "small"), (50, 100, "mid"), (100, 500, "large"), (500, float("inf"), "mega"))
+#: Bounds of the size tiers, in hundreds of millions.
+TIERS = ((0, 20, "micro"), (20, 50, "small"), (50, 100, "mid"), (100, 300, "large"), (300, 1000, "giant"), (1000, float("inf"), "mega"))
 
 
 def size_tiers(picks: DataFrame, day: str, mv: str, tiers=TIERS) -> DataFrame:

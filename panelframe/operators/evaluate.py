@@ -80,9 +80,9 @@ def activity(importances: DataFrame, metrics: DataFrame, day: str, factor: str,
 
 
 def classify(df: DataFrame, ic_diff: str, top_diff: str, bound: float = 0.01) -> DataFrame:
-    """E09"""
-    a, b = F.col(ic_diff), F.col(top_diff)
-    kind = F.when(~F.col("reliable"), "unreliable").when((a > bound) & (b >= -bound) | (b > bound) & (a >= -bound), "positive").when((a < -bound) & (b <= bound) | (b < -bound) & (a <= bound), "harmful").when((a * b) < 0, "trade_off").otherwise("neutral")
+    """By the difference of the rank correlation; a harmful factor whose best names still earn more is a trade-off."""
+    a = F.col(ic_diff)
+    kind = F.when(~F.col("reliable"), "unreliable").when(a > bound, "positive").when((a < -bound) & (F.col(top_diff) < 0), "harmful").when((a < -bound) & (F.col(top_diff) >= 0), "trade_off").otherwise("neutral")
     return df.withColumn("kind", kind)
 
 

@@ -42,14 +42,20 @@ def style_convergence(df: DataFrame, day: str, a: str, b: str, avoid: float = 0.
     return st.select(day, F.when(bad, F.lit(avoid)).otherwise(F.lit(1.0)).alias("ratio"))
 
 
-def blind_window(df: DataFrame, day: str, a: str, b: str, close: str, avoid: float = 0.3, n: int = 7, history: int = 80, p_corr: float = 0.2, p_vol: float = 1 / 3, trend: int = 20) -> DataFrame:
-    """Correlation or volatility below its own low quantile, unless the close is above its trend; known the row before."""
-    d, s = _spec(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), day)
-    d = d.withColumns({"_c": K.corr(s, F.col(a), F.col(b), n), "_v": K.std(s, F.col(a), n), "_m": K.mean(s, F.col(close), trend)})
-    d = d.withColumns({"_qc": K.quantile(s, F.col("_c"), p_corr, history, history // 2), "_qv": K.quantile(s, F.col("_v"), p_vol, history, history // 2)})
-    blind = ((F.col("_c") < F.col("_qc")) | (F.col("_v") < F.col("_qv"))) & ~F.coalesce(F.col(close) > F.col("_m"), F.lit(False))
-    d = d.withColumn("_r", F.when(blind, F.lit(avoid)).otherwise(F.lit(1.0)))
-    return d.select(day, F.coalesce(K.lag(s, F.col("_r"), 1), F.lit(1.0)).alias("ratio"))
+def blind_window(df: DataFrame, day: str, small: str, large: str, close: str, avoid: float = 0.0, n: int = 7, history: int = 80, p_corr: float = 0.2, p_vol: float = 0.33, trend: int = 20) -> DataFrame:
+    """Correlation of two returns or volatility of the large one below its own low quantile; known the row before.
+
+    Low volatility alone is no reason while the small index's close stood above its trend the row before; low correlation always is.
+    Quantiles and trend run over the rows that have both statistics; the others are fully exposed.
+    """
+    d, s = _spec(df.where(F.col(small).isNotNull() & F.col(large).isNotNull()), day)
+    d = d.withColumns({"_c": K.corr(s, F.col(small), F.col(large), n), "_v": K.std(s, F.col(large), n)})
+    d, s = d.withColumn("_ok", F.col("_c").isNotNull() & F.col("_v").isNotNull()), K.Spec("_ok", day)
+    d = d.withColumns({"_qc": K.quantile(s, F.col("_c"), p_corr, history, history // 2), "_qv": K.quantile(s, F.col("_v"), p_vol, history, history // 2), "_m": K.mean(s, F.col(close), trend) if trend else F.lit(None).cast("double")})
+    calm = F.coalesce(K.lag(s, F.col(close), 1) > K.lag(s, F.col("_m"), 1), F.lit(False))
+    apart, quiet = F.coalesce(F.col("_c") < F.col("_qc"), F.lit(False)), F.coalesce(F.col("_v") < F.col("_qv"), F.lit(False))
+    d = d.withColumn("_r", F.when(apart | (quiet & ~calm), F.lit(avoid)).otherwise(F.lit(1.0)))
+    return d.select(day, F.when(F.col("_ok"), F.coalesce(K.lag(s, F.col("_r"), 1), F.lit(1.0))).otherwise(F.lit(1.0)).alias("ratio"))
 
 
 def factor_means(panel: DataFrame, day: str, factors: Sequence[str]) -> DataFrame:
@@ -57,17 +63,14 @@ def factor_means(panel: DataFrame, day: str, factors: Sequence[str]) -> DataFram
     return panel.groupBy(day).agg(*[F.avg(f).alias(f) for f in factors])
 
 
-def factor_drift(means: DataFrame, day: str, factors: Sequence[str], window: int = 40, ahead: int = 6, history: int = 80, p: float = 0.75, avoid: float = 0.3) -> DataFrame:
-    """Mean distance of recent factor means from those of the training rows, in their deviations, against its own quantile."""
+def factor_drift(means: DataFrame, day: str, factors: Sequence[str], window: int = 40, ahead: int = 6, history: int = 40, p: float = 0.75, avoid: float = 0.0) -> DataFrame:
+    """Mean distance of recent factor means from those of the training rows, in their deviations (1e-8 at least), against its own quantile."""
     d, s = _spec(means, day)
     train, blind = s.rows.rowsBetween(-window + 1, -ahead), s.rows.rowsBetween(-ahead + 1, 0)
-    parts = []
-    for f in factors:
-        sd = F.stddev_samp(f).over(train)
-        parts.append(F.when(sd > K.TINY, F.abs(F.avg(f).over(blind) - F.avg(f).over(train)) / sd))
+    parts = [F.abs(F.avg(f).over(blind) - F.avg(f).over(train)) / F.when(F.stddev_samp(f).over(train).isNotNull(), F.greatest(F.stddev_samp(f).over(train), F.lit(1e-8))) for f in factors]
     known = sum((F.when(x.isNotNull(), 1).otherwise(0) for x in parts), F.lit(0))
     d = d.withColumn("drift", K.div(sum((F.coalesce(x, F.lit(0.0)) for x in parts), F.lit(0.0)), F.when(known > 0, known)))
-    d = d.withColumn("_q", K.quantile(s, F.col("drift"), p, history, history // 2))
+    d = d.withColumn("_q", K.quantile(s, F.col("drift"), p, history, max(5, history // 4)))
     d = d.withColumn("_r", F.when(F.col("drift") >= F.col("_q"), F.lit(avoid)).otherwise(F.lit(1.0)))
     return d.select(day, "drift", F.coalesce(K.lag(s, F.col("_r"), 1), F.lit(1.0)).alias("ratio"))
 
@@ -81,17 +84,17 @@ def volatility_regime(df: DataFrame, day: str, ret: str, n: int = 6, history: in
     return d.select(day, F.coalesce(K.lag(s, F.col("_r"), 1), F.lit(1.0)).alias("ratio"))
 
 
-def hybrid(blind: DataFrame, converged: DataFrame, day: str) -> DataFrame:
-    """Both clear 1, one of them .5 or .3, both against 0."""
+def hybrid(blind: DataFrame, converged: DataFrame, day: str, partial_blind: float = 0.3, partial_style: float = 0.5) -> DataFrame:
+    """Both clear 1; only the blind window against .3, only the styles against .5, both against 0."""
     j = blind.select(day, F.col("ratio").alias("_b")).join(converged.select(day, F.col("ratio").alias("_c")), day)
     b, c = F.col("_b") < 1, F.col("_c") < 1
-    return j.select(day, F.when(b & c, 0.0).when(b, 0.5).when(c, 0.3).otherwise(1.0).alias("ratio"))
+    return j.select(day, F.when(b & c, 0.0).when(b, partial_blind).when(c, partial_style).otherwise(1.0).alias("ratio"))
 
 
-def after_losses(batches: DataFrame, day: str, profit: str, half: float = 0.5, floor: float = 0.25) -> DataFrame:
-    """Every loss since the last gain halves the next ratio, down to a floor."""
+def after_losses(batches: DataFrame, day: str, profit: str, half: float = 0.5, floor: float = 0.0) -> DataFrame:
+    """Every loss in a row multiplies the next ratio by `half`, down to a floor; a batch without loss resets it to full."""
     d, s = _spec(batches, day)
-    d = d.withColumn("_g", K.cum_sum(s, F.when(F.col(profit) > 0, 1).otherwise(0)))
+    d = d.withColumn("_g", K.cum_sum(s, F.when(F.col(profit) >= 0, 1).otherwise(0)))
     d = d.withColumn("_n", F.sum(F.when(F.col(profit) < 0, 1).otherwise(0)).over(Window.partitionBy("_g").orderBy(day).rowsBetween(Window.unboundedPreceding, 0)))
     return d.select(day, F.greatest(F.pow(F.lit(half), F.col("_n")), F.lit(floor)).alias("ratio"))
 

@@ -54,18 +54,22 @@ def growth(now: Column, before: Column) -> Column:
 
 
 def statement_factors(df: DataFrame, entity: str, end: str) -> DataFrame:
-    """P06-P13 on quarterly rows with total_revenue, n_income, total_assets and, where they exist, oper_cost, total_liab, equity."""
+    """P06-P13 on quarterly rows; what a column that df lacks enters is 0.
+
+    Return on equity: parent's net profit of four rows over their mean equity. Accruals: change of net operating assets,
+    (assets - cash) - (liabilities - short borrowings), over mean assets; 0 where a part is missing.
+    """
     have, w = set(df.columns), Window.partitionBy(entity).orderBy(end)
     four = w.rowsBetween(-3, 0)
     c = lambda n: F.col(n) if n in have else F.lit(None).cast("double")
     out = year_ago(df, entity, end, [x for x in ("total_revenue", "n_income", "total_assets") if x in have])
-    noa = c("total_assets") - F.coalesce(c("money_cap"), F.lit(0.0)) - F.coalesce(c("total_liab"), F.lit(0.0))
+    noa = (c("total_assets") - c("money_cap")) - (c("total_liab") - c("st_borr"))
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     return out.withColumns(
         {
             "gross_margin": zero(div(c("total_revenue") - c("oper_cost"), c("total_revenue"))),
             "debt_ratio": zero(div(c("total_liab"), c("total_assets"))),
-            "roe_ttm": zero(div(F.sum(c("n_income")).over(four), F.avg(F.coalesce(c("equity"), c("total_assets"))).over(four))),
+            "roe_ttm": zero(div(F.sum(c("n_income_attr_p")).over(four), F.avg(c("total_hldr_eqy_exc_min_int")).over(four))),
             "revenue_growth_yoy": growth(c("total_revenue"), F.col("total_revenue_ya")),
             "profit_growth_yoy": growth(c("n_income"), F.col("n_income_ya")),
             "asset_growth_yoy": growth(c("total_assets"), F.col("total_assets_ya")),

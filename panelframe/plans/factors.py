@@ -66,9 +66,10 @@ def cci(n: int = 14) -> Ex:
     return ((tp - mean(tp, n)) / (0.015 * mad(tp, n))).fill(0.0)
 
 
-def force_index(window: int = 2) -> dict[str, Ex]:
+def force_index(window: int = 1) -> dict[str, Ex]:
+    """unsmoothed (the last known value) unless the window is longer."""
     raw = V * delta(C, 1)
-    smooth = ewm(raw, span(window)) if window > 1 else raw
+    smooth = ewm(raw, span(window)) if window > 1 else ffill(raw)
     return {"raw_force_index": raw, "force_index_smoothed": smooth, "force_index": smooth.fill(0.0)}
 
 

@@ -56,12 +56,23 @@ def dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quarterly statements by nation: revenue, profit, running assets, disclosure 30 days and more after the period's end."""
+    """Quarterly statements by nation from orders by status and priority, running balances, disclosure 30 days and more after the period's end."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    some = lambda which: F.round(F.coalesce(F.sum(F.when(which, F.col("o_totalprice"))), F.lit(0)), 2).cast("double")
+    urgent, high = F.col("o_orderpriority").startswith("1"), F.col("o_orderpriority").startswith("2")
     q = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("nation"), F.trunc("o_orderdate", "quarter").alias("q")).agg(
         F.round(F.sum("o_totalprice"), 2).cast("double").alias("total_revenue"),
-        F.round(F.coalesce(F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))), F.lit(0)), 2).cast("double").alias("n_income"),
+        some(F.col("o_orderstatus") == "F").alias("n_income"),
+        some((F.col("o_orderstatus") == "F") & ~urgent).alias("n_income_attr_p"),
+        some(F.col("o_orderstatus") != "O").alias("oper_cost"),
+        some(urgent).alias("_cash"),
+        some(high).alias("_debt"),
     )
     run = Window.partitionBy("nation").orderBy("q").rowsBetween(Window.unboundedPreceding, 0)
     end = F.date_sub(F.add_months("q", 3), 1)
-    return q.select("nation", end.alias("end_date"), F.date_add(end, (F.lit(30) + F.col("nation") % 15).cast("int")).alias("f_ann_date"), "total_revenue", "n_income", F.round(F.sum("total_revenue").over(run), 2).alias("total_assets"))
+    sofar = lambda x: F.round(F.sum(x).over(run), 2)
+    q = q.withColumns({"total_assets": sofar("total_revenue"), "total_liab": sofar("_debt"), "money_cap": sofar("_cash")})
+    return q.select(
+        "nation", end.alias("end_date"), F.date_add(end, (F.lit(30) + F.col("nation") % 15).cast("int")).alias("f_ann_date"), "total_revenue", "n_income", "total_assets",
+        "n_income_attr_p", "oper_cost", "total_liab", "money_cap", F.when(F.col("nation") % 7 != 3, F.col("_debt")).alias("st_borr"), F.round(F.col("total_assets") - F.col("total_liab"), 2).alias("total_hldr_eqy_exc_min_int"),
+    )

@@ -68,7 +68,7 @@ def dense(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
 
 _DIGITS = {"": 6} | dict.fromkeys(
     "dif dea macd kdj_k kdj_d kdj_j raw_force_index force_index_smoothed force_index vwap positive_flow negative_flow ma_20d amount_ma_20d alpha101_9 alpha101_12 alpha101_23 alpha101_41 alpha101_52 alpha101_53 alpha101_57 smb_squared smb_squared_mom price_dist turnover_amplitude_ratio mad cum_vol kdj_k_chg_5d kdj_d_chg_5d kdj_j_chg_5d macd_chg_5d kdj_k_chg_10d kdj_d_chg_10d kdj_j_chg_10d macd_chg_10d mean_10 sum_10 std_10 quantile_20 mad_10 corr_10 cov_10 slope_18".split(), 3
-) | {"force_index": 2, "force_index_smoothed": 2, "amount_ma_20d": 4} | dict.fromkeys("lag_2 lead_3 delta_5 min_10_1 max_10 alpha101_9 alpha101_12 alpha101_23 alpha101_41 vwap positive_flow negative_flow raw_force_index price_dist mtm_margin_balance_change alpha101_11 alpha101_20 alpha101_11_x alpha101_20_x".split())  # exact: not rounded
+) | {"amount_ma_20d": 4} | dict.fromkeys("lag_2 lead_3 delta_5 min_10_1 max_10 alpha101_9 alpha101_12 alpha101_23 alpha101_41 vwap positive_flow negative_flow raw_force_index force_index force_index_smoothed price_dist mtm_margin_balance_change alpha101_11 alpha101_20 alpha101_11_x alpha101_20_x".split())  # exact: not rounded
 
 
 def _family(name: str, named: dict[str, Ex], panel: Callable, sql: str) -> None:

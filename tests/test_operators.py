@@ -95,7 +95,7 @@ def test_training_dates_keep_the_embargo(spark):
 
 def test_after_losses(spark):
     df = spark.createDataFrame([(day(i), v) for i, v in enumerate([-1.0, -1.0, -1.0, 2.0, -1.0])], "d date, p double")
-    assert [r.ratio for r in exposure.after_losses(df, "d", "p").orderBy("d").collect()] == [0.5, 0.25, 0.25, 1.0, 0.5]
+    assert [r.ratio for r in exposure.after_losses(df, "d", "p").orderBy("d").collect()] == [0.5, 0.25, 0.125, 1.0, 0.5]
 
 
 def test_exit_waits_for_a_tradable_day(spark):
