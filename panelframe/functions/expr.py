@@ -139,7 +139,9 @@ def signed_power(x: Ex, p: float) -> Ex:
 
 def streak(up: Ex, stop: Ex) -> Ex:
     """Length of the run of `up` since the last `stop`; rows that are neither leave it as it is, and give 0."""
-    return where(up, run_sum(where(up, 1.0, 0.0), cum_sum(where(stop, 1.0, 0.0))), 0.0)
+    one = where(up, 1.0, 0.0)
+    so_far = cum_sum(one)
+    return where(up, so_far - ffill(where(stop, so_far - one)).fill(0.0), 0.0)
 
 
 def compound(x: Ex, n: int) -> Ex:
@@ -189,11 +191,13 @@ def to_column(e: Ex, spec: K.Spec) -> Column:
     return K.SCALAR[e.op](*args)
 
 
-def _recursive(e: Ex) -> Iterable[Ex]:
-    if e.op == "ewm":
+def _by_history(e: Ex) -> Iterable[Ex]:
+    from panelframe.operators.recursive import by_history
+
+    if e.windowed and by_history(e.op, e.params):
         yield e
     for a in e.args:
-        yield from _recursive(a)
+        yield from _by_history(a)
 
 
 def _replaced(e: Ex, by: dict[str, str]) -> Ex:
@@ -202,14 +206,14 @@ def _replaced(e: Ex, by: dict[str, str]) -> Ex:
 
 def apply(df: DataFrame, named: dict[str, Ex], entity: str = "entity", order: str = "d", digits: dict[str, int | None] | None = None) -> DataFrame:
     """df with the named expressions added."""
-    from panelframe.operators.recursive import ewm_columns
+    from panelframe.operators.recursive import history_columns
 
     spec, known, done = K.Spec(entity, order), list(df.columns), {}
     for step in layers(named):
-        smooth = {x.key: x for e in step.values() for x in _recursive(e) if x.key not in done}
-        if smooth:
-            done |= {key: f"_e{len(done) + i}" for i, key in enumerate(smooth)}
-            df = ewm_columns(df, {done[k]: (x.args[0].params[0], x.params[0]) for k, x in smooth.items()}, entity, order)
+        wanted = {x.key: x for e in step.values() for x in _by_history(e) if x.key not in done}
+        if wanted:
+            done |= {key: f"_e{len(done) + i}" for i, key in enumerate(wanted)}
+            df = history_columns(df, {done[k]: (x.op, tuple(a.params[0] for a in x.args), x.params) for k, x in wanted.items()}, entity, order)
         df = df.withColumns({n: to_column(_replaced(e, done), spec) for n, e in step.items()})
     return df.select(*[c for c in known if c not in named], *[_rounded(n, digits) for n in named])
 

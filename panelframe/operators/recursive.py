@@ -1,25 +1,184 @@
-"""Order-recursive smoothing: exponentially weighted means, one pass per entity.
+"""Columns that need an entity's ordered history at once: exponentially weighted means, long and list-valued frames.
 
-y0 = x0, y = a*x + (1-a)*y; over a gap of g nulls the old value weighs (1-a)**(g+1)
-against a, and null rows carry y. An entity's history is one group (thousands of rows).
+Spark recomputes a sliding frame for every row, which is right for short frames and costs rows times window for long
+ones; ranks and places in a frame would need its values as a list. So frames from LONG rows on, and those that look at single
+values of the frame, are vectorised over one entity's history (one group, thousands of rows), sent as Arrow batches.
+
+Exponentially weighted: y0 = x0, y = a*x + (1-a)*y; over a gap of g nulls the old value weighs (1-a)**(g+1)
+against a, and null rows carry y. All others give what the kernels of the same name give.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from panelframe.functions.kernels import TINY
 
-def ewm_columns(df: DataFrame, columns: dict[str, tuple[str, float]], entity: str = "entity", order: str = "d") -> DataFrame:
-    """Adds name: (column, alpha) for each."""
+LONG = 40
+_ROWS = 1 << 21  # values of frames that are looked at together
+
+
+def _frames(n: int, *columns: np.ndarray) -> Iterator[tuple[slice, tuple[np.ndarray, ...]]]:
+    """Pieces of rows with their frames of n values, oldest first; not-a-number before the first row."""
+    padded = [np.concatenate([np.full(n - 1, np.nan), x]) for x in columns]
+    views = [np.lib.stride_tricks.sliding_window_view(x, n) for x in padded] if len(columns[0]) else []
+    step = max(1, _ROWS // n)
+    for lo in range(0, len(columns[0]), step):
+        at = slice(lo, min(lo + step, len(columns[0])))
+        yield at, tuple(v[at] for v in views)
+
+
+def _by_frame(f):
+    """A kernel over (frames..., params): f gives a value for each frame and the number of values that count."""
+
+    def kernel(*args) -> np.ndarray:
+        columns = [a for a in args if isinstance(a, np.ndarray)]
+        n, least = args[len(columns)], args[len(columns) + 1] if len(args) > len(columns) + 1 else args[len(columns)]
+        out = np.full(len(columns[0]), np.nan)
+        for at, frames in _frames(n, *columns):
+            value, count = f(n, *frames)
+            out[at] = np.where(count >= least, value, np.nan)
+        return out
+
+    return kernel
+
+
+def _moments(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number, mean and differences from the mean (0 where there is no value)."""
+    ok = ~np.isnan(v)
+    k = ok.sum(1)
+    mean = np.where(ok, v, 0.0).sum(1) / np.maximum(k, 1)
+    return k, mean, np.where(ok, v - mean[:, None], 0.0)
+
+
+def _mean(n: int, v: np.ndarray):
+    k, mean, _ = _moments(v)
+    return mean, k
+
+
+def _sum(n: int, v: np.ndarray):
+    ok = ~np.isnan(v)
+    return np.where(ok, v, 0.0).sum(1), ok.sum(1)
+
+
+def _std(n: int, v: np.ndarray):
+    k, _, gap = _moments(v)
+    s = np.sqrt((gap * gap).sum(1) / np.where(k > 1, k - 1, np.nan))
+    return np.where(s < TINY, 0.0, s), k
+
+
+def _low(n: int, v: np.ndarray):
+    return np.where(np.isnan(v), np.inf, v).min(1), (~np.isnan(v)).sum(1)
+
+
+def _high(n: int, v: np.ndarray):
+    return np.where(np.isnan(v), -np.inf, v).max(1), (~np.isnan(v)).sum(1)
+
+
+def _pairs(x: np.ndarray, y: np.ndarray):
+    both = ~(np.isnan(x) | np.isnan(y))
+    (k, mx, gx), (_, my, gy) = (_moments(np.where(both, v, np.nan)) for v in (x, y))
+    return k, (mx, gx), (my, gy)
+
+
+def _corr(n: int, x: np.ndarray, y: np.ndarray):
+    k, (_, gx), (_, gy) = _pairs(x, y)
+    some = np.maximum(k, 1)
+    sx, sy = np.sqrt((gx * gx).sum(1) / some), np.sqrt((gy * gy).sum(1) / some)
+    ok = (sx > TINY) & (sy > TINY)
+    return np.where(ok, (gx * gy).sum(1) / some / np.where(ok, sx * sy, 1.0), np.nan), k
+
+
+def _cov(n: int, x: np.ndarray, y: np.ndarray):
+    k, (_, gx), (_, gy) = _pairs(x, y)
+    return (gx * gy).sum(1) / np.where(k > 1, k - 1, np.nan), k
+
+
+def _slope(y: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(len(y), np.nan)
+    for at, (fy, fx) in _frames(n, y, x):
+        k, (_, gx), (_, gy) = _pairs(fx, fy)
+        xx = (gx * gx).sum(1)
+        ok = (k >= 2) & (np.sqrt(xx / np.maximum(k, 1)) > TINY) & (np.arange(at.start, at.stop) >= n - 1)
+        out[at] = np.where(ok, (gx * gy).sum(1) / np.where(ok, xx, 1.0), np.nan)
+    return out
+
+
+def _quantile(x: np.ndarray, p: float, n: int, least: int | None = None) -> np.ndarray:
+    out = np.full(len(x), np.nan)
+    for at, (v,) in _frames(n, x):
+        k, order = (~np.isnan(v)).sum(1), np.sort(v, axis=1)  # no value sorts last
+        place = p * np.maximum(k - 1, 0)
+        lo = np.floor(place).astype(int)
+        a, b = (np.take_along_axis(order, i[:, None], 1)[:, 0] for i in (lo, np.minimum(lo + 1, np.maximum(k - 1, 0))))
+        out[at] = np.where(k >= (n if least is None else least), a + (b - a) * (place - lo), np.nan)
+    return out
+
+
+def _mad(n: int, v: np.ndarray):
+    k, _, gap = _moments(v)
+    return np.abs(gap).sum(1) / n, k
+
+
+def _held(v: np.ndarray) -> np.ndarray:
+    return np.round(v, 9)
+
+
+def _ts_rank(n: int, v: np.ndarray):
+    v = _held(v)
+    here = v[:, -1:]
+    return ((v < here).sum(1) + ((v == here).sum(1) + 1) / 2) / n, (~np.isnan(v)).sum(1)
+
+
+def _ts_argmax(n: int, v: np.ndarray):
+    return _held(np.where(np.isnan(v), -np.inf, v)).argmax(1).astype(float), (~np.isnan(v)).sum(1)
+
+
+def _ts_argmin(n: int, v: np.ndarray):
+    return _held(np.where(np.isnan(v), np.inf, v)).argmin(1).astype(float), (~np.isnan(v)).sum(1)
+
+
+def _ewm(x: np.ndarray, alpha: float) -> np.ndarray:
+    return pd.Series(x).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+
+
+KERNELS = {"ewm": _ewm, "slope": _slope, "quantile": _quantile} | {
+    name: _by_frame(f)
+    for name, f in {"mean": _mean, "sum": _sum, "std": _std, "min": _low, "max": _high, "corr": _corr, "cov": _cov, "mad": _mad, "ts_rank": _ts_rank, "ts_argmax": _ts_argmax, "ts_argmin": _ts_argmin}.items()
+}
+#: Kernels that look at single values of a frame, whatever its length.
+LISTED = frozenset(("ewm", "quantile", "mad", "ts_rank", "ts_argmax", "ts_argmin"))
+
+
+def by_history(op: str, params: tuple) -> bool:
+    """Whether a windowed operation is computed over whole histories."""
+    return op in LISTED or op in KERNELS and params[0] >= LONG
+
+
+def history_columns(df: DataFrame, columns: dict[str, tuple[str, tuple[str, ...], tuple]], entity: str = "entity", order: str = "d") -> DataFrame:
+    """Adds name: (operation, columns that it reads, parameters) for each."""
     schema = StructType([*df.schema.fields, *(StructField(name, DoubleType()) for name in columns)])
 
-    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        return rows.assign(**{name: rows[x].astype(float).ewm(alpha=a, adjust=False).mean() for name, (x, a) in columns.items()})
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(order)
+        read = {c: rows.column(c).cast(pa.float64()).to_numpy() for _, cs, _ in columns.values() for c in cs}
+        with np.errstate(all="ignore"):
+            for name, (op, cs, params) in columns.items():
+                rows = rows.append_column(name, pa.array(KERNELS[op](*(read[c] for c in cs), *params), pa.float64(), from_pandas=True))
+        return rows
+
+    return df.groupBy(entity).applyInArrow(run, schema)
 
-    return df.groupBy(entity).applyInPandas(smooth, schema)
+
+def ewm_columns(df: DataFrame, columns: dict[str, tuple[str, float]], entity: str = "entity", order: str = "d") -> DataFrame:
+    """Adds name: (column, alpha) for each."""
+    return history_columns(df, {name: ("ewm", (x,), (a,)) for name, (x, a) in columns.items()}, entity, order)
 
 
 def ewm_over_refits(df: DataFrame, value: str, key: str, order: str, weight: float = 0.3, out: str = "smoothed") -> DataFrame:
