@@ -191,6 +191,10 @@ def to_column(e: Ex, spec: K.Spec) -> Column:
     return K.SCALAR[e.op](*args)
 
 
+def _read(e: Ex) -> set[str]:
+    return {e.params[0]} if e.op == "col" else set().union(*map(_read, e.args))
+
+
 def _by_history(e: Ex) -> Iterable[Ex]:
     from panelframe.operators.recursive import by_history
 
@@ -209,12 +213,16 @@ def apply(df: DataFrame, named: dict[str, Ex], entity: str = "entity", order: st
     from panelframe.operators.recursive import history_columns
 
     spec, known, done = K.Spec(entity, order), list(df.columns), {}
-    for step in layers(named):
+    steps = layers(named)
+    for i, step in enumerate(steps):
         wanted = {x.key: x for e in step.values() for x in _by_history(e) if x.key not in done}
         if wanted:
-            done |= {key: f"_e{len(done) + i}" for i, key in enumerate(wanted)}
+            done |= {key: f"_e{len(done) + k}" for k, key in enumerate(wanted)}
             df = history_columns(df, {done[k]: (x.op, tuple(a.params[0] for a in x.args), x.params) for k, x in wanted.items()}, entity, order)
         df = df.withColumns({n: to_column(_replaced(e, done), spec) for n, e in step.items()})
+        # what a pass over histories sends is all that it gets: only columns that are read later stay
+        read = set().union(*(_read(_replaced(e, done)) for later in steps[i + 1 :] for e in later.values()))
+        df = df.select(*[c for c in df.columns if c in read or c in named or c in known])
     return df.select(*[c for c in known if c not in named], *[_rounded(n, digits) for n in named])
 
 

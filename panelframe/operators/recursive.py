@@ -148,12 +148,16 @@ def _ewm(x: np.ndarray, alpha: float) -> np.ndarray:
     return pd.Series(x).ewm(alpha=alpha, adjust=False).mean().to_numpy()
 
 
-KERNELS = {"ewm": _ewm, "slope": _slope, "quantile": _quantile} | {
+def _prank(x: np.ndarray) -> np.ndarray:
+    return pd.Series(_held(x)).rank(pct=True).to_numpy()
+
+
+KERNELS = {"ewm": _ewm, "prank": _prank, "slope": _slope, "quantile": _quantile} | {
     name: _by_frame(f)
     for name, f in {"mean": _mean, "sum": _sum, "std": _std, "min": _low, "max": _high, "corr": _corr, "cov": _cov, "mad": _mad, "ts_rank": _ts_rank, "ts_argmax": _ts_argmax, "ts_argmin": _ts_argmin}.items()
 }
-#: Kernels that look at single values of a frame, whatever its length.
-LISTED = frozenset(("ewm", "quantile", "mad", "ts_rank", "ts_argmax", "ts_argmin"))
+#: Kernels that look at single values of a frame or at the whole history, whatever its length.
+LISTED = frozenset(("ewm", "prank", "quantile", "mad", "ts_rank", "ts_argmax", "ts_argmin"))
 
 
 def by_history(op: str, params: tuple) -> bool:
