@@ -93,3 +93,22 @@ def next_open(calendar: DataFrame, day: str, after, is_open: str = "is_open"):
 
 def latest_open(calendar: DataFrame, day: str, upto, is_open: str = "is_open"):
     return calendar.where((F.col(is_open) == 1) & (F.col(day) <= F.lit(upto))).agg(F.max(day)).first()[0]
+
+
+def scaled(df: DataFrame, factors: dict[str, float]) -> DataFrame:
+    """Columns in other units: each times its factor (thousands to ones, lots to shares)."""
+    return df.withColumns({c: F.col(c) * F.lit(float(k)) for c, k in factors.items() if c in df.columns})
+
+
+def eligible_view(df: DataFrame, names: DataFrame, key: str, features: DataFrame | None = None, keys: Sequence[str] = (), board: bool = False, **how) -> DataFrame:
+    """Rows whose entity is listed, with its name and attached features, without special or small names, of the main board if asked."""
+    out = df.join(names, key)
+    if features is not None:
+        out = out.join(features, list(keys), "left")
+    out = eligible(out, **how)
+    return out.where(main_board(F.col(key))) if board else out
+
+
+def only_listed(df: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """Rows whose key the list has; the list's columns are not added."""
+    return df.join(names.select(key).distinct(), key, "left_semi")

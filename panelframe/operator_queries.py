@@ -18,7 +18,7 @@ from panelframe.operators import relational as H
 from panelframe.operators import xsection as XS
 from panelframe.plans import factors as FX
 from panelframe.plans import panels as P
-from panelframe.queries import bars_sql, query
+from panelframe.queries import ORACLE_SQL, bars_sql, query
 
 
 def _round(df: DataFrame, n: int = 6, **other: int | None) -> DataFrame:
@@ -44,7 +44,7 @@ _FIL = """fq AS (SELECT c_nationkey AS nation, date_trunc('quarter', o_orderdate
 
 def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month bars with industry."""
-    return P.with_values(P.bars(spark, sf_dir, "month")).join(F.broadcast(P.dimension(spark, sf_dir).select("entity", "industry")), "entity")
+    return P.with_values(P.bars(spark, sf_dir, "month")).join(P.dimension(spark, sf_dir).select("entity", "industry"), "entity")
 
 
 _MI = f"{_M}, {_DIM}, mi AS (SELECT m.*, industry FROM m JOIN dim USING (entity))"
@@ -68,7 +68,7 @@ def join_outer_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT w.*, nation FROM w JOIN dim USING (entity)) w ASOF LEFT JOIN fil f ON w.nation = f.nation AND w.d >= f.f_ann_date"""
 )
 def join_asof_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = P.bars(spark, sf_dir).select("entity", "d").join(F.broadcast(P.dimension(spark, sf_dir).select("entity", "nation")), "entity")
+    w = P.bars(spark, sf_dir).select("entity", "d").join(P.dimension(spark, sf_dir).select("entity", "nation"), "entity")
     fil = P.filings(spark, sf_dir)
     return pit.known_at(w, fil, "nation", "d", "f_ann_date", ["total_revenue", "n_income"]).drop("nation")
 
@@ -124,7 +124,7 @@ def join_keep_old(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_DIM}, {_M} SELECT m.entity, d, name, CASE WHEN vol > 500 THEN coalesce(industry, '') ELSE industry END AS industry, coalesce(x.big, 0) AS big FROM m JOIN dim USING (entity) LEFT JOIN (SELECT entity, d, CAST(1 AS INTEGER) AS big FROM m WHERE vol > 500) x USING (entity, d)")
 def join_dimension_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = P.bars(spark, sf_dir, "month").select("entity", "d", "vol")
-    named = m.join(F.broadcast(P.dimension(spark, sf_dir).select("entity", "name", "industry")), "entity")
+    named = m.join(P.dimension(spark, sf_dir).select("entity", "name", "industry"), "entity")
     big = m.where("vol > 500").select("entity", "d", F.lit(1).alias("big"))
     return N.left_with_default(named, big, ["entity", "d"], {"big": 0}).drop("vol")
 
@@ -742,7 +742,7 @@ def perf_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def perf_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.bootstrap(_keyed(spark, sf_dir).select("ret", "key"), "ret", "key", 500)
+    return B.bootstrap(_keyed(spark, sf_dir).select("ret", "key"), "ret", "key")
 
 
 @query(f"WITH {_S} SELECT entity, CAST(d AS DATE) AS signal_date, round(score, 6) AS score FROM sc WHERE d = (SELECT max(d) FROM sc) ORDER BY score DESC, entity LIMIT 10")
@@ -801,3 +801,52 @@ def perf_pick_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_IDX}, {_TWO}, c AS (SELECT {_corr_sql(10)} AS corr FROM two), g AS (SELECT CASE WHEN corr > 0.6 THEN 'converged' WHEN corr < -0.2 THEN 'diverged' WHEN corr IS NOT NULL THEN 'neutral' END AS regime, count(*) AS n FROM c GROUP BY 1) SELECT regime, n, round(n / sum(n) OVER (), 6) AS share FROM g")
 def perf_regime_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(B.regime_shares(G.style(_index(spark, sf_dir), "d", "ra", "rb"), "regime"))
+
+
+@query(f"SELECT d, n, ic, q1, q2, q3, q4, q5, long_short, market, top3, top10, top3_excess, top10_excess, ndcg FROM ({ORACLE_SQL['eval_rank_ic']}) JOIN ({ORACLE_SQL['eval_quintiles']}) USING (d) JOIN ({ORACLE_SQL['eval_top_returns']}) USING (d) LEFT JOIN ({ORACLE_SQL['eval_ndcg']}) USING (d)")
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily table of all metrics, for any model's scores."""
+    return _round(E.report(_scores(spark, sf_dir), "d", "entity", "score", "label", (3, 10)))
+
+
+@query(f"WITH {_S}, t AS (SELECT *, max(score) OVER (PARTITION BY d) AS top, row_number() OVER (PARTITION BY d ORDER BY score DESC, entity) AS place FROM sc) SELECT d, entity, CAST(place AS INTEGER) AS place, 250000.0 AS notional FROM t WHERE top >= 0.5 AND place <= 4")
+def cohort_score_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No cohort on dates whose best score is below the gate."""
+    return B.pick(_scores(spark, sf_dir), "d", "entity", "score", 4, 1e6, 0.5).select("d", "entity", "place", "notional")
+
+
+@query(f"WITH {_TRADES} SELECT tr.entity, signal, cal.d, shares * coalesce(m.close_hfq, buy_price) AS value FROM tr JOIN cal ON cal.d BETWEEN entry AND exit LEFT JOIN m ON m.entity = tr.entity AND m.d = cal.d")
+def cohort_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every position on every date it is held, at the close or else at its buy price."""
+    held = _trades(spark, sf_dir).select("entity", "signal", "entry", "exit", "shares", "buy_price")
+    out = B.marks(held, P.bars(spark, sf_dir, "month"), _calendar(spark, sf_dir), "entity", "entry", "exit", "d", "close_hfq")
+    return out.select("entity", "signal", "d", "value")
+
+
+@query(f"WITH {_TRADES} SELECT entity, signal, CAST(CASE WHEN buy_price > sell_price THEN 0.25 ELSE 1 END AS DOUBLE) AS keep_ratio, CAST(shares - floor(shares * CASE WHEN buy_price > sell_price THEN 0.25 ELSE 1 END) AS BIGINT) AS sold FROM tr WHERE sell_price IS NOT NULL")
+def cohort_sell_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule of one's own: losers are cut to a quarter."""
+    t = _trades(spark, sf_dir).where("sell_price is not null").withColumn("price", F.col("sell_price"))
+    return B.sell_down(t, F.when(F.col("buy_price") > F.col("price"), 0.25)).select("entity", "signal", "keep_ratio", F.col("sold").cast("long").alias("sold"))
+
+
+@query(f"WITH {_NAV}, r AS (SELECT d, nav, nav / lag(nav) OVER (ORDER BY d) - 1 AS r FROM nav), a AS (SELECT min(d) - 1 AS first FROM r WHERE abs(r) > 1e-9), t AS (SELECT r.* FROM r, a WHERE d >= first) SELECT round(arg_max(nav, d) / arg_min(nav, d) - 1, 6) AS total, count(r) AS n, round(stddev_samp(r) * sqrt(252), 6) AS volatility FROM t")
+def perf_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the idle rows before the first move."""
+    return _round(B.nav_metrics(_nav(spark, sf_dir), "d", "nav", trim=True).select("total", "n", "volatility"))
+
+
+@query(f"WITH {_NAV} SELECT round(ln(arg_max(nav, d) FILTER (d BETWEEN DATE '1996-01-01' AND DATE '1996-12-31') / arg_min(nav, d) FILTER (d BETWEEN DATE '1996-01-01' AND DATE '1996-12-31')) / ln(arg_max(nav, d) / arg_min(nav, d)), 6) AS share, round(arg_max(nav, d) / arg_min(nav, d) - 1, 4) AS ret FROM nav")
+def perf_log_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of one year in the whole log return, and the whole return."""
+    nav = _nav(spark, sf_dir)
+    return _round(B.log_share(nav, "d", "nav", dt.date(1996, 1, 1), dt.date(1996, 12, 31)).crossJoin(B.total_return(nav, "d", "nav")), 6, ret=4)  # one row each
+
+
+@query(f"WITH {_MI}, i AS (SELECT d, industry, avg(vol) AS ind_vol FROM mi GROUP BY ALL), k AS (SELECT d, avg(vol) AS mkt_vol FROM mi GROUP BY d), a AS (SELECT mi.entity, mi.d, CASE WHEN mi.entity % 7 <> 0 THEN ind_vol END AS ind_vol, mkt_vol FROM mi JOIN i USING (d, industry) JOIN k USING (d)) SELECT entity, d, round(CASE WHEN stddev_samp(ind_vol) OVER w > 1e-9 THEN coalesce((ind_vol - avg(ind_vol) OVER w) / stddev_samp(ind_vol) OVER w, 0) ELSE ind_vol END, 6) + 0.0 AS ind_vol, round(mkt_vol, 6) AS mkt_vol FROM a WINDOW w AS (PARTITION BY d)")
+def market_zscored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attached industry and market features by date; the market's are constant and stay."""
+    mi = _monthly(spark, sf_dir)
+    ind, mkt = mi.groupBy("d", "industry").agg(F.avg("vol").alias("ind_vol")), mi.groupBy("d").agg(F.avg("vol").alias("mkt_vol"))
+    a = XS.attach(mi.select("entity", "d", "industry"), ind, mkt, "d", "industry").withColumn("ind_vol", F.when(F.col("entity") % 7 != 0, F.col("ind_vol")))
+    return _round(XS.zscore_attached(a, "d", ["ind_vol", "mkt_vol"]).select("entity", "d", "ind_vol", "mkt_vol"))

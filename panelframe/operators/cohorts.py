@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -168,10 +168,11 @@ def robustness(trades: DataFrame, ret: str, order: str, drops: Sequence[int] = (
 
 
 def bootstrap(trades: DataFrame, ret: str, key: str, reps: int = 5000, seed: int = 7) -> DataFrame:
-    """Percentile interval of the mean: every row gets a Poisson(1) weight per replicate, drawn by hash."""
+    """Percentile interval of the mean over replicates. A row's weight in a replicate is Poisson(1), drawn by hash, in place of n draws with
+    replacement, whose counts tend to it: no replicate needs the number of rows. Weights beyond 16 have a probability of 1e-15 and count as 16."""
     u = F.pmod(F.xxhash64(F.col(key), F.col("rep"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     cuts, p, acc = [], 2.718281828459045**-1, 0.0
-    for k in range(1, 9):
+    for k in range(1, 17):
         acc += p
         cuts.append(acc)
         p /= k
@@ -268,6 +269,18 @@ def bin_summary(df: DataFrame, by: Sequence[str], x: str, profit: str) -> DataFr
     return base.join(correlations(df, by, x, profit), list(by), "left")
 
 
+def sell_down(held: DataFrame, keep: Column, shares: str = "shares", price: str = "price") -> DataFrame:
+    """A rule of one's own, given as the share of a position to keep (null: all of it): what is sold, kept and paid out."""
+    k = F.least(F.greatest(F.coalesce(keep, F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
+    sold = F.col(shares) - F.floor(F.col(shares) * k)
+    return held.withColumns({"keep_ratio": k, "sold": sold, "kept": F.col(shares) - sold, "proceeds": sold * F.col(price)})
+
+
+def total_return(series: DataFrame, day: str, value: str) -> DataFrame:
+    """Last over first."""
+    return series.agg((F.max_by(value, day) / F.min_by(value, day) - 1).alias("ret"))
+
+
 def regime_shares(df: DataFrame, regime: str) -> DataFrame:
     """Days of each regime and their share."""
     n = df.groupBy(regime).agg(F.count(F.lit(1)).alias("n"))

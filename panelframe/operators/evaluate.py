@@ -93,6 +93,6 @@ def dispersion(df: DataFrame, day: str, score: str, entity: str, n: int) -> Data
     return df.where(F.col(score).isNotNull()).withColumn("_p", place).groupBy(day).agg(div(F.max(F.when(F.col("_p") == n, F.col(score))) - F.avg(score), F.when(s > TINY, s)).alias("alias"))
 
 
-def report(df: DataFrame, day: str, entity: str, score: str, label: str) -> DataFrame:
+def report(df: DataFrame, day: str, entity: str, score: str, label: str, tops: Sequence[int] = (10, 50, 100)) -> DataFrame:
     """The daily table of all metrics for any scored rows."""
-    return rank_ic(df, [day], score, label).join(quintiles(df, day, score, label), day).join(top_returns(df, day, score, label, entity), day).join(ndcg(df, day, score, label, entity), day, "left")
+    return rank_ic(df, [day], score, label).join(quintiles(df, day, score, label), day).join(top_returns(df, day, score, label, entity, tops), day).join(ndcg(df, day, score, label, entity), day, "left")

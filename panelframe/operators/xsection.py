@@ -102,3 +102,14 @@ def attach(df: DataFrame, industries: DataFrame, market: DataFrame, day: str, in
     added = [c for c in (*industries.columns, *market.columns) if c not in (day, industry)]
     out = df.withColumn("_ind", key).join(industries.withColumnRenamed(industry, "_ind"), [day, "_ind"], "left").join(market, day, "left").drop("_ind")
     return out.withColumns({c: F.when(F.abs(F.col(c)) != float("inf"), F.col(c)) for c in added})
+
+
+def zscore_attached(df: DataFrame, day: str, columns: Sequence[str]) -> DataFrame:
+    """Attached features by date, missing as 0; those that are constant on a date (the market's) stay as they are."""
+    w = Window.partitionBy(day)
+
+    def one(c: str) -> Column:
+        s = F.stddev_samp(c).over(w)
+        return F.when(s > TINY, F.coalesce((F.col(c) - F.avg(c).over(w)) / s, F.lit(0.0))).otherwise(F.col(c))
+
+    return df.withColumns({c: one(c) for c in columns})

@@ -6,6 +6,7 @@ whole partitions, so that a rerun of a date gives the same table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from panelframe.functions.scalar import normal_date
-from panelframe.operators.joins import keep_old
+from panelframe.operators.joins import keep_old, outer_join
 from panelframe.operators.relational import upsert
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str, tolerant: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | str, tolerant: bool = False) -> DataFrame:
     """A folder of CSV files with headers; tolerant: rows and files that can't be read are left out."""
     r = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
     if tolerant:
@@ -26,10 +27,10 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, tolerant:
 
 
 def read_csv_since(spark: SparkSession, path: str, schema: StructType | str, since: str) -> DataFrame:
-    """Only files named by a later date (YYYYMMDD), or all if none is."""
-    df = read_csv(spark, path, schema).withColumn("_file", F.regexp_extract(F.input_file_name(), r"(\d{8})[^/]*$", 1))
-    later = df.where(F.col("_file") > since)
-    return (df if later.isEmpty() else later).drop("_file")
+    """Only files named by a later date (YYYYMMDD), or all if none is. The names are listed, no other file is opened."""
+    names = spark.read.format("binaryFile").load(path).select("path").withColumn("_at", F.regexp_extract("path", r"(\d{8})[^/]*(/part-[^/]*)?$", 1))  # a file, or a folder of parts
+    later = [r["path"] for r in names.where(F.col("_at") > since).collect()]  # a file a date
+    return read_csv(spark, later or path, schema)
 
 
 def column_names(df: DataFrame) -> list[str]:
@@ -92,9 +93,11 @@ def entities(df: DataFrame, entity: str = "entity") -> DataFrame:
 
 def upsert_dates(spark: SparkSession, new: DataFrame, path: str, keys: Sequence[str] = ("entity", "d"), day: str = "d") -> None:
     """New rows win by key inside the partitions they touch; others are not read."""
-    touched = [r[0] for r in new.select(day).distinct().collect()]  # the dates of one increment
-    old = read_dates(spark, path).where(F.col(day).isin(touched))
-    write_dates(upsert(old, new, keys).checkpoint(), path, day)  # the table that it reads is the one it writes
+    old = read_dates(spark, path).join(new.select(day).distinct(), day, "left_semi")
+    aside = f"{path.rstrip('/')}-upsert-{uuid.uuid4().hex}"
+    merged = upsert(old, new, keys)
+    merged.write.parquet(aside)  # whole before the table changes; the same call again gives the same table
+    write_dates(spark.read.schema(merged.schema).parquet(aside), path, day)
 
 
 def merge_columns(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -114,7 +117,8 @@ def drop_date(spark: SparkSession, path: str, target: str, value, day: str = "d"
 
 def stats(df: DataFrame, day: str = "d") -> DataFrame:
     """Dates, rows, entities' files and the last date."""
-    return df.agg(F.count_distinct(day).alias("dates"), F.count(F.lit(1)).alias("rows"), F.count_distinct(F.input_file_name()).alias("files"), F.max(day).alias("latest"))
+    own = df.select(day, F.input_file_name().alias("_file"))
+    return own.agg(F.count_distinct(day).alias("dates"), F.count(F.lit(1)).alias("rows"), F.count_distinct("_file").alias("files"), F.max(day).alias("latest"))
 
 
 def footer_columns(spark: SparkSession, path: str) -> list[str]:
@@ -157,3 +161,16 @@ def since_last(calendar: DataFrame, n: int, day: str = "d"):
 
 def col_or(df: DataFrame, name: str, default) -> Column:
     return F.col(name) if name in df.columns else F.lit(default)
+
+
+def extend_panel(old: DataFrame, sources: Sequence[DataFrame], keys: Sequence[str], day: str = "d") -> DataFrame:
+    """The wide panel with the rows of its sources after its last date: only these are joined; old rows stay as they are."""
+    last = latest_date(old, day)
+    newer = sources if last is None else [s.where(F.col(day) > F.lit(last)) for s in sources]
+    return keep_old(old, outer_join(newer, keys), keys)
+
+
+def lookback_start(calendar: DataFrame, start, rows: int, day: str = "d"):
+    """The date so many calendar rows before the first one from `start` on, or the first there is."""
+    row = calendar.select(day).distinct().where(F.col(day) < F.lit(start)).orderBy(F.desc(day)).limit(rows).agg(F.min(day)).first()
+    return row[0] if row[0] is not None else start

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,11 +47,11 @@ def train_head_weight_top_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_S}, q AS (SELECT d, quantile_cont(label, 0.1) AS lo, quantile_cont(label, 0.9) AS hi, count(*) AS n FROM sc GROUP BY d HAVING count(*) >= 10),
-    c AS (SELECT entity, d, n, round(least(greatest(label, lo), hi), 9) AS c FROM sc JOIN q USING (d)) SELECT entity, d, CAST(ceil(row_number() OVER (PARTITION BY d ORDER BY c, entity) * 1 / n) - 1 AS INTEGER) AS y FROM c"""
+    f"""WITH {_S}, q AS (SELECT d, quantile_cont(label, 0.1) AS lo, quantile_cont(label, 0.9) AS hi, count(*) AS n FROM sc GROUP BY d HAVING count(*) >= 50),
+    c AS (SELECT entity, d, n, round(least(greatest(label, lo), hi), 9) AS c FROM sc JOIN q USING (d)) SELECT entity, d, CAST(ceil(row_number() OVER (PARTITION BY d ORDER BY c, entity) * 5 / n) - 1 AS INTEGER) AS y FROM c"""
 )
 def train_graded_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.graded_label(_scores(spark, sf_dir), "d", "entity", "label", 1).select("entity", "d", "y")
+    return T.graded_label(_scores(spark, sf_dir), "d", "entity", "label", 5).select("entity", "d", "y")
 
 
 @query(f"WITH {_S}, c AS (SELECT d, percent_rank() OVER (ORDER BY d) AS p FROM (SELECT DISTINCT d FROM sc)), b AS (SELECT min(d) AS cut FROM c WHERE p >= 0.8) SELECT d, count(*) AS n, d >= cut AS valid FROM sc CROSS JOIN b GROUP BY ALL")
@@ -71,11 +72,21 @@ def train_ic_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(T.ic_weights(df, "d", ["score", "vol", "circ_mv"], "label"))
 
 
-@query()
+_ICW = f"""l AS (SELECT d, label, 'score' AS factor, score AS value FROM sc UNION ALL SELECT d, label, 'vol', vol FROM sc UNION ALL SELECT d, label, 'circ_mv', circ_mv FROM sc),
+    k AS (SELECT d, factor, {_rk("value", "d, factor")} AS rs, {_rk("label", "d, factor")} AS rl FROM l WHERE d < DATE '1997-01-01'),
+    ics AS (SELECT d, factor, covar_pop(rs, rl) / CASE WHEN stddev_pop(rs) * stddev_pop(rl) > 1e-9 THEN stddev_pop(rs) * stddev_pop(rl) END AS ic FROM k GROUP BY ALL HAVING count(*) >= 2),
+    wm AS (SELECT factor, avg(least(greatest(ic, -0.15), 0.15)) FILTER (ic IS NOT NULL) AS m FROM ics GROUP BY factor), wt AS (SELECT factor, m / sum(abs(m)) OVER () AS weight FROM wm)"""
+_ZC = "CASE WHEN count(*) OVER (PARTITION BY l.d, l.factor) >= 5 AND stddev_pop(value) OVER (PARTITION BY l.d, l.factor) > 1e-8 THEN least(greatest((value - avg(value) OVER (PARTITION BY l.d, l.factor)) / stddev_pop(value) OVER (PARTITION BY l.d, l.factor), -3), 3) ELSE 0 END"
+
+
+@query(
+    f"""WITH {_S}, {_ICW}, le AS (SELECT entity, d, 'score' AS factor, score AS value FROM sc UNION ALL SELECT entity, d, 'vol', vol FROM sc UNION ALL SELECT entity, d, 'circ_mv', circ_mv FROM sc),
+    z AS (SELECT entity, l.d, factor, {_ZC} AS z FROM le l WHERE l.d >= DATE '1997-01-01') SELECT d, entity, round(sum(z * weight), 6) + 0.0 AS score FROM z JOIN wt USING (factor) GROUP BY d, entity"""
+)
 def train_ic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, names = _scores(spark, sf_dir), ["score", "vol", "circ_mv"]
     w = T.ic_weights(df.where("d < '1997-01-01'"), "d", names, "label")
-    return T.ic_score(df.where("d >= '1997-01-01'"), w, "d", "entity", names, 5)
+    return _round(T.ic_score(df.where("d >= '1997-01-01'"), w, "d", "entity", names, 5))
 
 
 _FEATURES = ("score", "vol", "circ_mv")
@@ -97,19 +108,42 @@ def model_elastic_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     early, late = T.chronological_split(_scores(spark, sf_dir), "d")
     y = T.head_weight(T.rank_label(early, "d", "label", 5), "d", "label")
-    return _evaluated(T.fit_trees(y, _FEATURES, "y", "w", rounds=8), late)
+    return _evaluated(T.fit_trees(y, _FEATURES, "y", "w"), late)
 
 
 @query()
 def model_boosted_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     early, late = T.chronological_split(_scores(spark, sf_dir), "d")
     y = T.balance(T.top_label(early, "d", "label", 0.2))
-    return _evaluated(T.fit_trees(y, _FEATURES, "y", "w", classify=True, rounds=5), late)
+    return _evaluated(T.fit_trees(y, _FEATURES, "y", "w", classify=True, rounds=60), late)
 
 
 @query()
 def model_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.walk_forward(_scores(spark, sf_dir), _FEATURES, "d", "entity", "label", _BASES, lambda d, f, y: T.fit_trees(d, f, y, rounds=4), 24, 2)
+    return T.walk_forward(_scores(spark, sf_dir), _FEATURES, "d", "entity", "label", _BASES, lambda d, f, y: T.fit_trees(d, f, y, rounds=60), 24, 2)
+
+
+@query()
+def model_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees on graded labels, one group a date, judged by NDCG on the late dates."""
+    early, late = T.chronological_split(_scores(spark, sf_dir), "d")
+    graded = T.graded_label(T.sample_dates(early, "d", "entity", 500), "d", "entity", "label", 5)
+    s = T.score(T.fit_trees(graded, _FEATURES, "y", rounds=60), late, _FEATURES, "d", "entity").join(late.select("d", "entity", "label"), ["d", "entity"])
+    return E.ndcg(s, "d", "score", "label", "entity")
+
+
+@query()
+def model_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elastic nets over two settings, by mean rank correlation on late dates; best first."""
+    fit = lambda d, f, y, l1, penalties: T.fit_elastic_net(d, f, y, (l1,), penalties)
+    found = T.grid_search(_scores(spark, sf_dir), _FEATURES, "d", "entity", "label", fit, {"l1": (0.1, 0.5, 0.9), "penalties": (10, 50)})
+    return spark.createDataFrame([(i, how["l1"], how["penalties"], ic) for i, (how, ic) in enumerate(found)], "place int, l1 double, penalties int, ic double")
+
+
+@query(f"WITH {_S}, p AS (SELECT d, count(*) AS n FROM sc GROUP BY d) SELECT d, least(n, 7) AS n FROM p")
+def train_sampled_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most seven rows a date."""
+    return T.sample_dates(_scores(spark, sf_dir), "d", "entity", 7).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- scalar helpers, upkeep, stream -------------------------------------------------------------------
@@ -130,7 +164,7 @@ def scalar_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_W}, {_DIM} SELECT w.entity, d, name FROM w JOIN dim USING (entity) WHERE circ_mv >= 50000 AND NOT upper(name) LIKE '%ST%'")
 def filter_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = P.with_values(P.bars(spark, sf_dir)).join(F.broadcast(P.dimension(spark, sf_dir).select("entity", "name")), "entity")
+    w = P.with_values(P.bars(spark, sf_dir)).join(P.dimension(spark, sf_dir).select("entity", "name"), "entity")
     return C.eligible(w, least=50000).select("entity", "d", "name")
 
 
@@ -150,12 +184,73 @@ def _folder(spark: SparkSession, name: str) -> str:
 def store_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written by date, some dates replaced, read back by a pruned range."""
     path = _folder(spark, "store")
-    m = P.bars(spark, sf_dir, "month").select("entity", "d", "vol").where("d >= '1997-01-01'")
+    m = P.bars(spark, sf_dir, "month").select("entity", "d", "vol")
     store.write_dates(m, path)
     store.write_dates(m.where("d >= '1998-01-01'").withColumn("vol", F.col("vol") + 1), path)
     return store.read_window(spark, path, dt.date(1998, 6, 1), dt.date(1997, 6, 1), ["entity", "vol"])
 
 
+@query(f"""WITH {_M}, a AS (SELECT entity, d, CASE WHEN d >= DATE '1998-01-01' THEN vol + 1 ELSE vol END AS vol FROM m WHERE d <> (SELECT min(d) FROM m))
+    SELECT 'rows' AS what, count(*) AS n FROM a UNION ALL SELECT 'dates', count(DISTINCT d) FROM a UNION ALL SELECT 'entities', count(DISTINCT entity) FROM a UNION ALL SELECT 'one day', count(*) FROM a WHERE d = DATE '1997-03-01'
+    UNION ALL SELECT 'one entity', count(*) FROM a WHERE entity = 3 AND d >= DATE '1996-01-01' UNION ALL SELECT 'changed', count(*) FROM a WHERE d >= DATE '1998-01-01' UNION ALL SELECT 'files', count(DISTINCT d) FROM a
+    UNION ALL SELECT 'sorted', count(*) FROM a UNION ALL SELECT 'columns', 3 UNION ALL SELECT 'after latest', CAST(max(d) + 1 - DATE '1990-01-01' AS BIGINT) FROM a""")
+def store_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written by date, upserted, compacted, a date dropped, read by day and entity, exported."""
+    path = _folder(spark, "upkeep")
+    m = P.bars(spark, sf_dir, "month").select("entity", "d", "vol")
+    store.write_dates(m, f"{path}/t")
+    store.upsert_dates(spark, m.where("d >= '1998-01-01'").withColumn("vol", F.col("vol") + 1), f"{path}/t")
+    store.drop_date(spark, f"{path}/t", f"{path}/u", m.agg(F.min("d")).first()[0])
+    store.compact(spark, f"{path}/u", f"{path}/v")
+    t = store.read_dates(spark, f"{path}/v")
+    store.export_sorted(t, f"{path}/w", ["d", "entity"])
+    changed = t.join(m.withColumnRenamed("vol", "was"), ["entity", "d"]).where("vol = was + 1")
+    one = lambda what, df: df.agg(F.lit(what).alias("what"), F.count(F.lit(1)).alias("n"))
+    rows = [one("rows", t), one("dates", store.dates(t)), one("entities", store.entities(t)), one("one day", store.read_day(spark, f"{path}/v", dt.date(1997, 3, 1))), one("one entity", store.read_entity(spark, f"{path}/v", 3, start=dt.date(1996, 1, 1))), one("changed", changed), one("sorted", spark.read.parquet(f"{path}/w"))]
+    rows.append(store.stats(t).select(F.lit("files").alias("what"), F.col("files").alias("n")))
+    facts = [("columns", len(store.column_names(t.select(*store.footer_columns(spark, f"{path}/v"))))), ("after latest", (store.next_start(t) - dt.date(1990, 1, 1)).days)]
+    return reduce(DataFrame.unionByName, rows, spark.createDataFrame(facts, "what string, n long"))
+
+
+@query(f"WITH {_M} SELECT CAST(entity AS BIGINT) AS entity, d, vol, d >= DATE '1997-01-01' AS late FROM m WHERE d >= DATE '1996-01-01'")
+def store_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file a year with its last date in its name, read strictly, from a date on, and tolerantly with a broken row."""
+    path, schema = _folder(spark, "csv"), "entity bigint, d string, vol double"
+    m = P.bars(spark, sf_dir, "month").select("entity", F.date_format("d", "yyyyMMdd").alias("d"), "vol")
+    years = [r[0] for r in m.select(F.substring("d", 1, 4).alias("y")).distinct().orderBy("y").collect()]
+    for y in years:
+        m.where(F.col("d").startswith(y)).coalesce(1).write.option("header", True).csv(f"{path}/raw/{y}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(f"{path}/raw")
+    names = {r["path"].split("/")[-2]: r["path"] for r in files.select("path").collect()}
+    store.write_results({f"bars_{y}1231.csv": spark.read.option("header", True).schema(schema).csv(names[y]).coalesce(1) for y in years}, f"{path}/named")
+    later = store.read_csv_since(spark, f"{path}/named/*", schema, "19961231")
+    broken = spark.createDataFrame([("entity,d,vol",), ("x,not a date,oops",)], "value string")
+    broken.coalesce(1).write.text(f"{path}/named/bars_19961230.csv")
+    early = store.read_csv(spark, f"{path}/named/bars_199612*.csv", schema, tolerant=True)
+    both = store.parse_dates(early, "d").withColumn("late", F.lit(False)).unionByName(store.parse_dates(later, "d").withColumn("late", F.lit(True)))
+    return both.select(*[c for c in ("entity", "d", "vol", "late")])
+
+
+@query(f"WITH {_W} SELECT coalesce(a.entity, b.entity) AS entity, coalesce(a.d, b.d) AS d, a.vol AS vol, b.amount_x AS amount FROM (SELECT * FROM w WHERE vol > 60) a FULL JOIN (SELECT * FROM w WHERE vol < 90) b ON a.entity = b.entity AND a.d = b.d")
+def incremental_wide_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide panel built up to a date and then extended by what its sources have since: the same as built at once."""
+    w, keys = P.bars(spark, sf_dir), ["entity", "d"]
+    sources = [w.where("vol > 60").select(*keys, "vol"), w.where("vol < 90").select(*keys, F.col("amount_x").alias("amount"))]
+    old = store.extend_panel(store.outer_join([s.where("d <= '1996-06-01'") for s in sources], keys), [s.where("d <= '1997-01-01'") for s in sources], keys)
+    return store.extend_panel(old, sources, keys)
+
+
+@query(f"WITH {_W}, {_DIM}, c AS (SELECT DISTINCT d FROM w), s AS (SELECT min(d) AS d FROM (SELECT d FROM c WHERE d < DATE '1997-01-01' ORDER BY d DESC LIMIT 20)) SELECT entity, d, vol * 100 AS shares, name FROM w JOIN dim USING (entity) WHERE entity IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 12) AND d >= (SELECT d FROM s) AND circ_mv >= 1000")
+def filter_listed_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed names only, lots as shares, from 20 rows before a start on."""
+    w = P.with_values(P.bars(spark, sf_dir))
+    dim = P.dimension(spark, sf_dir)
+    start = store.lookback_start(w, dt.date(1997, 1, 1), 20)
+    listed = C.only_listed(w.where(F.col("d") >= F.lit(start)), dim.where("nation < 12"), "entity")
+    view = C.eligible_view(C.scaled(listed.withColumn("shares", F.col("vol")), {"shares": 100}), dim.select("entity", "name"), "entity", least=1000)
+    return view.select("entity", "d", "shares", "name")
+
+
 _VOL_MA = X.mean(X.col("vol"), 20)
 
 

@@ -109,3 +109,65 @@ def test_drawdown(spark):
     nav = spark.createDataFrame([(day(i), v) for i, v in enumerate([1.0, 2.0, 1.0, 3.0])], "d date, v double")
     m = cohorts.nav_metrics(nav, "d", "v").first()
     assert m.total == 2 and m.max_drawdown == -0.5 and m.peak_date == day(1) and m.trough_date == day(2)
+
+
+def test_elastic_net_meets_its_conditions(spark):
+    """Weights from sums alone: subgradient conditions of the objective, and the known weights of a near noiseless model."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (400, 5)) * [1, 2, 1, 0.5, 1]
+    y = 3 + 2 * x[:, 0] - x[:, 1] + 0.01 * rng.normal(0, 1, 400)
+    names = [f"f{i}" for i in range(5)]
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)], ", ".join(f"{n} double" for n in names) + ", y double").repartition(5)
+    parts = train.grams(df, names, "y", 3)
+    m = np.column_stack([np.ones(400), x, y])
+    assert np.allclose(sum(parts.values()), m.T @ m) and len(parts) == 3
+    for l1, p in ((0.5, 0.3), (1.0, 0.1), (0.1, 1.0)):
+        w = train.descend(sum(parts.values()), l1, p)
+        xc, yc = x - x.mean(0), y - y.mean()
+        g = xc.T @ (yc - xc @ w) / 400 - p * (1 - l1) * w
+        assert all(abs(g[j] - p * l1 * np.sign(w[j])) < 1e-5 if w[j] else abs(g[j]) <= p * l1 + 1e-5 for j in range(5))
+    model = train.fit_elastic_net(df, names, "y")
+    assert np.allclose(model.weights, [2, -1, 0, 0, 0], atol=0.02) and abs(model.intercept - 3) < 0.02
+    s = {r.entity: r.score for r in train.score(model, df.withColumn("entity", F.monotonically_increasing_id()).withColumn("d", F.lit(1)), names, "d", "entity").collect()}
+    assert len(s) == 400 and train.fit_elastic_net(df.limit(10), names, "y") is None
+
+
+def test_boosted_trees_learn_an_order(spark):
+    rows = [(i % 20, i, float(i % 17), float((i * 7) % 11), float(i % 17) ** 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "d int, entity int, a double, b double, y double")
+    for model in (train.fit_trees(df, ["a", "b"], "y", rounds=5, rate=0.3), train.fit_trees(df.withColumn("y", (F.col("y") > 60).cast("int")), ["a", "b"], "y", classify=True, rounds=5)):
+        s = train.score(model, df, ["a", "b"], "d", "entity").join(df, ["d", "entity"])
+        assert s.stat.corr("score", "y") > 0.8
+        assert train.importances(model, ["a", "b"])[0][1] > 0.9
+    found = train.grid_search(df, ["a", "b"], "d", "entity", "y", lambda d, f, y, n: train.fit_elastic_net(d, f, y, (0.5,), n), {"n": (2, 5)})
+    assert len(found) == 2 and found[0][1] >= found[1][1] > 0.8
+
+
+def test_lists_names_and_smoothing(spark):
+    from panelframe.operators import recursive
+
+    df = spark.createDataFrame([(1, 1.0, None, "x", 2.0, 0.5)], "k int, a double, a_standard double, name string, label_1 double, b_neutral double")
+    assert train.feature_columns(df, ["a", "c"]) == ["a_standard"] and train.discover(df, ["k"]) == ["a"]
+    s = spark.createDataFrame([("f", i, v) for i, v in enumerate([1.0, 0.0, 0.0])], "f string, d int, v double")
+    assert [r.smoothed for r in recursive.ewm_over_refits(s, "v", "f", "d").orderBy("d").collect()] == pytest.approx([1, 0.7, 0.49])
+    t = spark.createDataFrame([(1, "a")], "k int, v string")
+    assert {r.k: r.v for r in joins.lookup(spark.createDataFrame([(1,), (2,)], "k int"), t, "k", "v", F.lit("none")).collect()} == {1: "a", 2: "none"}
+    cal = spark.createDataFrame([(day(i),) for i in (0, 2, 5)], "d date")
+    assert cohorts.align(cal, "d", day(1), day(9)) == (day(2), day(5)) and store.since_last(cal, 1) == day(2)
+    with pytest.raises(ValueError, match="no trading day"):
+        cohorts.align(cal, "d", day(3), day(4))
+    full = exposure.exposure_on(cal, cal.where(F.col("d") == day(2)).withColumn("ratio", F.lit(0.5)), "d")
+    assert [r.ratio for r in full.orderBy("d").collect()] == [1, 0.5, 1]
+    assert cal.select(exposure.combine(F.lit(0.5), F.lit(0.2)).alias("r")).first().r == pytest.approx(0.2)
+
+
+def test_bootstrap_interval(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(0.02, 0.1, 300)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "k int, r double")
+    b = cohorts.bootstrap(df, "r", "k", 1500).first()
+    half = 1.96 * x.std() / 300**0.5
+    assert b.mean == pytest.approx(x.mean(), abs=0.001) and b.lo == pytest.approx(x.mean() - half, abs=0.003) and b.hi == pytest.approx(x.mean() + half, abs=0.003)
