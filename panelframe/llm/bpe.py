@@ -44,7 +44,7 @@ from panelframe.llm import words as W
 from panelframe.llm.shared import bounded_batches, narrow, partitions, saved
 
 _PACKED = "kind int, part long, block long, payload binary"
-_KNOWN = 1 << 19  # words that a task remembers with their ids
+_KNOWN = 1 << 16  # words that a task remembers with their ids
 _tables: dict[bytes, tuple] = {}
 
 

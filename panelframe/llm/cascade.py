@@ -52,12 +52,17 @@ def _same_lines(text: Column, c: Column) -> Column:
     return 2 * c["n_dup_lines"] > c["n_lines"]
 
 
+def _number(text: Column, others: str) -> Column:
+    """How many characters are left without the runs of others: regexp_count would make a string of every match."""
+    return F.length(F.regexp_replace(text, F.lit(others), F.lit("")))
+
+
 def _symbols(text: Column, c: Column) -> Column:
-    return 50 * F.regexp_count(text, F.lit(r"[#*$%&|<>]")) > F.length(text)
+    return 50 * _number(text, r"[^#*$%&|<>]+") > F.length(text)
 
 
 def _capitals(text: Column, c: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\p{Lu}")) > F.regexp_count(text, F.lit(r"\p{Ll}"))
+    return _number(text, r"\P{Lu}+") > _number(text, r"\P{Ll}+")
 
 
 def _no_letter(text: Column, c: Column) -> Column:

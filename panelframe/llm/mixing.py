@@ -24,13 +24,19 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelframe.llm.shared import partitions, saved
 
-WORD = r"[^\x20\x09-\x0D]+"
+#: A word and the space after it, of which the first character stays; or space before all words.
+WORD = r"([^\x20\x09-\x0D])[^\x20\x09-\x0D]*+[\x20\x09-\x0D]*+|[\x20\x09-\x0D]++"
+
+
+def n_words(text: Column) -> Column:
+    """The number of words, each replaced by one character: regexp_count would make a string of every match."""
+    return F.length(F.regexp_replace(text, F.lit(WORD), F.lit("$1")))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
@@ -110,7 +116,7 @@ def _round_block(rows: pd.DataFrame, last: bool, seed: int) -> pd.DataFrame:
 def decide(df: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source", block_rows: int = 4096, fan: int = 64, seed: int = 17) -> DataFrame:
     """One row for each distinct row of df: doc_id, row_hash, source, size, same (how often it occurs), source_size, target, copies."""
     spark = df.sparkSession
-    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), row_hash(df).alias("row_hash"), F.col(f"`{source}`").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(f"`{text}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), row_hash(df).alias("row_hash"), F.col(f"`{source}`").cast("string").alias("source"), F.coalesce(n_words(F.col(f"`{text}`").cast("string")), F.lit(0)).cast("long").alias("size"))
     items = saved(rows.groupBy("doc_id", "row_hash", "source", "size").agg(F.count(F.lit(1)).alias("same")), "mix-items")
     sources = saved(source_targets(items.groupBy("source").agg(F.sum(F.col("size") * F.col("same")).alias("source_size")), weights, cap), "mix-targets")
     n = items.count()

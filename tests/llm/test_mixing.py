@@ -1,4 +1,5 @@
 import collections
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -92,3 +93,10 @@ def test_many_sources(spark):
         taken[r.source] += r.copies * r.size
         target[r.source], largest[r.source] = r.target, max(largest[r.source], r.size)
     assert len(target) == 500 and all(abs(taken[s] - target[s]) <= largest[s] + 1e-6 for s in target)
+
+
+def test_words_are_counted_like_a_scan(spark):
+    texts = [None, "", " ", "\n\t", "a", " a", "a ", "a\x0bb\x0cc", "é 😀😀 x\u00a0y", "  two  words  ", "w" * 100_000, "$1 \\ $"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.n for r in df.select("i", mixing.n_words(F.col("t")).alias("n")).collect()}
+    assert got == {i: None if t is None else len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in enumerate(texts)}
