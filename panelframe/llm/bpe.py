@@ -41,7 +41,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType
 
 from panelframe.llm import words as W
-from panelframe.llm.shared import bounded_batches, narrow, partitions, saved
+from panelframe.llm.shared import bounded_batches, freeing, freeing_after, narrow, partitions, saved
 
 _PACKED = "kind int, part long, block long, payload binary"
 _KNOWN = 1 << 16  # words that a task remembers with their ids
@@ -133,7 +133,7 @@ def _pretokens(docs: DataFrame, pattern: str, parts: int, block_bytes: int, stre
                         payload.append(_pack(np.array([digest >> 32, digest & 0xFFFFFFFF]), at, np.array([len(x) for x in own]), b"".join(own)))
                 yield pa.RecordBatch.from_arrays([pa.array([int(streams)] * len(to), pa.int32()), pa.array(to, pa.int64()), pa.array([block] * len(to), pa.int64()), pa.array(payload, pa.binary())], names=["kind", "part", "block", "payload"])
 
-    return docs.mapInArrow(run, _PACKED)
+    return docs.mapInArrow(freeing_after(run), _PACKED)
 
 
 def _encode_part(vocabulary):
@@ -210,10 +210,10 @@ def encode(df: DataFrame, vocabulary: bytes, pattern: str, doc_id: str = "doc_id
     tasks = _tasks(spark, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     raw = spark.sparkContext.broadcast(vocabulary)
     words, streams = (_pretokens(docs, pattern, 4 * tasks, block_bytes, x) for x in (False, True))
-    coded = words.repartition(tasks, "part").groupBy("part").applyInArrow(_encode_part(raw), _PACKED).unionByName(streams)
+    coded = words.repartition(tasks, "part").groupBy("part").applyInArrow(freeing_after(_encode_part(raw)), _PACKED).unionByName(streams)
     kind = docs.schema["doc_id"].dataType
     schema = docs.select("doc_id").schema.add("ids", ArrayType(IntegerType()))
-    return coded.repartition(tasks, "block").groupBy("block").applyInArrow(_assemble(to_arrow_type(kind)), schema)
+    return coded.repartition(tasks, "block").groupBy("block").applyInArrow(freeing(_assemble(to_arrow_type(kind))), schema)
 
 
 def decode(spark, ids: Column | str, vocabulary: bytes) -> Column:
@@ -244,7 +244,7 @@ def decode(spark, ids: Column | str, vocabulary: bytes) -> Column:
             lo = hi
         return pa.concat_arrays([*out, pa.array([], pa.binary())])
 
-    return F.arrow_udf(run, "binary")(ids)
+    return F.arrow_udf(freeing(run), "binary")(ids)
 
 
 def _digest(column: pa.Array) -> pa.Array:

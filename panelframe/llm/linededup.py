@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelframe.llm import words as W
-from panelframe.llm.shared import bounded_batches, narrow, saved
+from panelframe.llm.shared import bounded_batches, freeing_after, narrow, saved
 
 _LINE = "doc_id long, row long, line int, whole long, halves array<long>"
 _LONG = "doc_id long, row long, line int, words string, variants array<long>"
@@ -91,7 +91,7 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
                     names=["doc_id", "row", "line", "whole", "halves"],
                 )
 
-    return docs.where("doc_id is not null").mapInArrow(run, _LINE)
+    return docs.where("doc_id is not null").mapInArrow(freeing_after(run), _LINE)
 
 
 def _variants_of(docs: DataFrame, least: int) -> DataFrame:
@@ -128,7 +128,7 @@ def _variants_of(docs: DataFrame, least: int) -> DataFrame:
                     names=["doc_id", "row", "line", "words", "variants"],
                 )
 
-    return docs.mapInArrow(run, _LONG)
+    return docs.mapInArrow(freeing_after(run), _LONG)
 
 
 def within_one(x: list, y: list) -> bool:

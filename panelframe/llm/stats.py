@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from panelframe.llm import words as W
+from panelframe.llm.shared import freeing
 
 #: The symbols that count as markup or noise.
 SYMBOLS = b"#*$%&|<>"
@@ -117,4 +118,4 @@ def _struct(column: pa.Array) -> pa.Array:
 
 def counts_of(text: Column | str) -> Column:
     """COUNTS as a struct column; a null text counts as the empty one."""
-    return F.arrow_udf(_struct, ", ".join(f"{c} long" for c in COUNTS))(text)
+    return F.arrow_udf(freeing(_struct), ", ".join(f"{c} long" for c in COUNTS))(text)
