@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelframe.llm import bpe, cascade, chat, html, linededup, media, mixing, ngram_lm, rule_ensemble, simhash
+from panelframe.llm import bpe, cascade, chat, html, linededup, media, merkle, mixing, ngram_lm, rule_ensemble, simhash
 from panelframe.llm.shared import bounded_batches
 from panelframe.llm.stats import counts_of
 
@@ -110,6 +110,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"), F.size("removed").alias("n_removed"), "removed")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    more = [F.col("n_chars") + 1 if c == "n_chars" else F.col(c) for c in fields]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, merkle.leaf(more))
+    out = merkle.prove(_table(spark, sf_dir, "documents"), "lang", "doc_id", fields, tampered)
+    proof = F.sha2(F.concat_ws("", "proof"), 256).alias("proof_sha256")
+    return out.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -123,6 +132,7 @@ QUERIES = {
         op8_source_mixing,
         op9_template_removal,
         op10_line_dedup,
+        op13_merkle_manifest,
     )
 }
 
