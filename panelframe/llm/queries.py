@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelframe.llm import bpe, cascade, chat, html, linededup, media, merkle, mixing, ngram_lm, rule_ensemble, simhash
+from panelframe.llm import bpe, cascade, chat, html, linededup, media, merkle, mixing, ngram_lm, packing, rule_ensemble, simhash
 from panelframe.llm.shared import bounded_batches
 from panelframe.llm.stats import counts_of
 
@@ -110,6 +110,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"), F.size("removed").alias("n_removed"), "removed")
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = packing.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    packed = packing.pack(_table(spark, sf_dir, "documents"), tokenizer)
+    return packed.select("doc_id", "piece", "start", "length", F.col("crc").alias("ids_crc32"), F.col("sequence").alias("sequence_id"), "offset")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
     more = [F.col("n_chars") + 1 if c == "n_chars" else F.col(c) for c in fields]
@@ -132,6 +138,7 @@ QUERIES = {
         op8_source_mixing,
         op9_template_removal,
         op10_line_dedup,
+        op12_best_fit_packing,
         op13_merkle_manifest,
     )
 }
