@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelframe.llm import bpe, cascade, chat, html, linededup, media, merkle, mixing, ngram_lm, packing, rule_ensemble, simhash
+from panelframe.llm import bpe, cascade, chat, html, linededup, media, merkle, mixing, ngram_lm, packing, rule_ensemble, search, simhash
 from panelframe.llm.shared import bounded_batches
 from panelframe.llm.stats import counts_of
 
@@ -110,6 +110,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"), F.size("removed").alias("n_removed"), "removed")
 
 
+def op11_pair_bound_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.build(_table(spark, sf_dir, "documents"))
+    return search.search(index, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = packing.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
     packed = packing.pack(_table(spark, sf_dir, "documents"), tokenizer)
@@ -138,12 +143,14 @@ QUERIES = {
         op8_source_mixing,
         op9_template_removal,
         op10_line_dedup,
+        op11_pair_bound_search,
         op12_best_fit_packing,
         op13_merkle_manifest,
     )
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_perspectives": """
         WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
@@ -176,4 +183,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
                NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 50 * n_symbols > length(text) OR upper > lower OR 10 * n_adjacent > 3 * n_words
                     OR 2 * n_dup_lines > n_lines OR NOT regexp_matches(text, '\p{{L}}')) AS kept FROM c""",
+    "op11_pair_bound_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+        i AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS t FROM benchmark),
+        c AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+        s AS (SELECT count(*) AS docs, sum(len(t))::BIGINT AS total FROM d WHERE len(t) > 0),
+        w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM c, s GROUP BY term, docs),
+        a AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest(t) AS term FROM i) GROUP BY ALL),
+        f AS (SELECT q, item_id, r, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))))::BIGINT AS score
+              FROM a JOIN w USING (term) JOIN c USING (term), s GROUP BY ALL)
+        SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM f WHERE score > 0 QUALIFY rank <= 20""",
 }

@@ -88,12 +88,12 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[
         lo = hi
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word."""
+def spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word; between: which bytes belong to none."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    sep = SEP[data]
+    sep = between[data]
     before = np.ones(len(data), bool)
     before[1:] = sep[:-1]
     before[offsets[:-1][offsets[:-1] < len(data)]] = True
