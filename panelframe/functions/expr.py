@@ -196,9 +196,10 @@ def _read(e: Ex) -> set[str]:
 
 
 def _by_history(e: Ex) -> Iterable[Ex]:
-    from panelframe.operators.recursive import by_history
+    """The steps of a settled formula that take a pass over histories."""
+    from panelframe.operators.history import by_history
 
-    if e.windowed and by_history(e.op, e.params):
+    if e.windowed and by_history(e):
         yield e
     for a in e.args:
         yield from _by_history(a)
@@ -209,16 +210,27 @@ def _replaced(e: Ex, by: dict[str, str]) -> Ex:
 
 
 def apply(df: DataFrame, named: dict[str, Ex], entity: str = "entity", order: str = "d", digits: dict[str, int | None] | None = None) -> DataFrame:
-    """df with the named expressions added."""
-    from panelframe.operators.recursive import history_columns
-
-    spec, known, done = K.Spec(entity, order), list(df.columns), {}
+    """df with the named expressions added.
+
+    Short frames stay in Spark's windows. Formulas with recursions, long frames or order statistics run in one pass over
+    histories (panelframe.operators.history), all of them together, unless some look across entities: then only the
+    steps that windows can't do take a pass each.
+    """
+    from panelframe.operators import history
+
+    known = list(df.columns)
+    if any(map(history.by_history, named.values())) and history.able(named):
+        aside = {n: n + "\u0001" if n in known else n for n in named}  # a formula may read the column that it replaces
+        df = history.evaluate(df, {aside[n]: e for n, e in named.items()}, entity, order).drop(*[n for n in named if n in known])
+        df = df.withColumnsRenamed({a: n for n, a in aside.items()})
+        return df.select(*[c for c in known if c not in named], *[_rounded(n, digits) for n in named])
+    spec, done = K.Spec(entity, order), {}
     steps = layers(named)
     for i, step in enumerate(steps):
         wanted = {x.key: x for e in step.values() for x in _by_history(e) if x.key not in done}
         if wanted:
             done |= {key: f"_e{len(done) + k}" for k, key in enumerate(wanted)}
-            df = history_columns(df, {done[k]: (x.op, tuple(a.params[0] for a in x.args), x.params) for k, x in wanted.items()}, entity, order)
+            df = history.evaluate(df, {done[k]: x for k, x in wanted.items()}, entity, order)
         df = df.withColumns({n: to_column(_replaced(e, done), spec) for n, e in step.items()})
         # what a pass over histories sends is all that it gets: only columns that are read later stay
         read = set().union(*(_read(_replaced(e, done)) for later in steps[i + 1 :] for e in later.values()))

@@ -204,7 +204,7 @@ def x_quantile(s: Spec, x: Column, p: float) -> Column:
 
 
 def ewm(s: Spec, x: Column, alpha: float) -> Column:
-    raise TypeError("recursive: see panelframe.operators.recursive")
+    raise TypeError("recursive: see panelframe.operators.history")
 
 
 WINDOWED = {

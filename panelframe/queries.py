@@ -73,7 +73,8 @@ _DIGITS = {"": 6} | dict.fromkeys(
 
 def _family(name: str, named: dict[str, Ex], panel: Callable, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return X.apply(panel(spark, sf_dir), named, digits=_DIGITS).select("entity", "d", *named)
+        read = sorted(set().union(*map(FX.columns_of, named.values())))  # a pass over histories gets no other column
+        return X.apply(panel(spark, sf_dir).select("entity", "d", *read), named, digits=_DIGITS).select("entity", "d", *named)
 
     run.__name__ = name
     query(oracle.select(f"WITH {sql}", ["entity", "d"], named, _DIGITS))(run)

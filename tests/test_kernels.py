@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from panelframe.functions import expr as X
-from panelframe.operators.recursive import ewm_columns
+from panelframe.operators.history import ewm_columns
 
 N = 60
 

@@ -146,12 +146,12 @@ def test_boosted_trees_learn_an_order(spark):
 
 
 def test_lists_names_and_smoothing(spark):
-    from panelframe.operators import recursive
+    from panelframe.operators import history
 
     df = spark.createDataFrame([(1, 1.0, None, "x", 2.0, 0.5)], "k int, a double, a_standard double, name string, label_1 double, b_neutral double")
     assert train.feature_columns(df, ["a", "c"]) == ["a_standard"] and train.discover(df, ["k"]) == ["a"]
     s = spark.createDataFrame([("f", i, v) for i, v in enumerate([1.0, 0.0, 0.0])], "f string, d int, v double")
-    assert [r.smoothed for r in recursive.ewm_over_refits(s, "v", "f", "d").orderBy("d").collect()] == pytest.approx([1, 0.7, 0.49])
+    assert [r.smoothed for r in history.ewm_over_refits(s, "v", "f", "d").orderBy("d").collect()] == pytest.approx([1, 0.7, 0.49])
     t = spark.createDataFrame([(1, "a")], "k int, v string")
     assert {r.k: r.v for r in joins.lookup(spark.createDataFrame([(1,), (2,)], "k int"), t, "k", "v", F.lit("none")).collect()} == {1: "a", 2: "none"}
     cal = spark.createDataFrame([(day(i),) for i in (0, 2, 5)], "d date")
