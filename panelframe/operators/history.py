@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,7 @@ from pyspark.sql.types import ArrayType, DoubleType, MapType, StringType, Struct
 
 from panelframe.functions.expr import Ex, col, ewm
 from panelframe.functions.kernels import TINY
+from panelframe.sources.shared import saved
 
 LONG = 40
 SORTED = 64
@@ -536,7 +537,7 @@ def continued(df: DataFrame, named: dict[str, Ex], states: DataFrame | None = No
         raise ValueError("leads and ranks in a whole history change with later rows: they can't go on")
     schema = _schema(df, named, StructField(state, STATE))
 
-    def run(rows: pa.Table, old: pa.Table | None = None) -> pa.Table:
+    def go_on(rows: pa.Table, old: pa.Table | None) -> pa.Table:
         if not rows.num_rows:
             return pa.table([pa.array([], f.type) for f in rows.schema] + [pa.array([], pa.float64())] * len(named) + [pa.array([], pa.map_(pa.string(), pa.list_(pa.float64())))], names=[*rows.column_names, *named, state])
         rows = rows.sort_by(order)
@@ -545,8 +546,23 @@ def continued(df: DataFrame, named: dict[str, Ex], states: DataFrame | None = No
         return _with(rows, made).append_column(state, pa.array([None] * (rows.num_rows - 1) + [list(left.items())], pa.map_(pa.string(), pa.list_(pa.float64()))))
 
     if states is None:
-        return df.groupBy(entity).applyInArrow(run, schema)
-    return df.groupBy(entity).cogroup(states.select(entity, state).groupBy(entity)).applyInArrow(run, schema)
+        return df.groupBy(entity).applyInArrow(lambda rows: go_on(rows, None), schema)
+    return df.groupBy(entity).cogroup(states.select(entity, state).groupBy(entity)).applyInArrow(lambda rows, old: go_on(rows, old), schema)
+
+
+def in_ranges(df: DataFrame, named: dict[str, Ex], cuts: Sequence, entity: str = "entity", order: str = "d") -> tuple[DataFrame, DataFrame]:
+    """df with the formulas added, range after range of the order (each from a cut on), and the states at the end.
+
+    An entity's rows lie in a task a range, so that no history is one task; a range is saved and starts from the saved states of
+    the one before, which are as small as the formulas' windows.
+    """
+    edges, out, states = [None, *sorted(cuts), None], None, None
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        rows = df if lo is None else df.where(F.col(order) >= F.lit(lo))
+        done = saved(continued(rows if hi is None else rows.where(F.col(order) < F.lit(hi)), named, states, entity, order), "history-range")
+        states = saved(next_states(done, states, entity), "history-states")
+        out = done.drop("state") if out is None else out.unionByName(done.drop("state"))
+    return out, states
 
 
 def next_states(done: DataFrame, states: DataFrame | None = None, entity: str = "entity", state: str = "state") -> DataFrame:

@@ -1,13 +1,27 @@
-"""Daily increments as a stream: new raw files, dropped repeats, one upsert a batch."""
+"""Daily increments as a stream: files of raw rows, formulas that go on from each entity's state, one upsert a batch.
+
+`with_formulas` keeps for each entity what its formulas need of the past (the tails of windows, the last value of
+recursions) in Spark's state store, so that a batch costs its own rows, whatever the length of the histories. `daily` writes
+what comes out to a table with versions and standardises the dates that a batch has touched, each once they are whole.
+A batch that runs again after a failure finds its number in the manifest and changes nothing.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from panelframe.functions.expr import Ex
+from panelframe.operators.history import Program
+from panelframe.sources.versions import Versions
 
 
 def stream_files(spark: SparkSession, path: str, schema: StructType, form: str = "parquet", per_batch: int | None = None) -> DataFrame:
@@ -25,3 +39,51 @@ def without_repeats(events: DataFrame, key: str, at: str, within: str = "1 day")
 def run_available(events: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Works through what is there and stops; `each` gets every micro-batch and may be called again for one after a failure."""
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def with_formulas(events: DataFrame, named: dict[str, Ex], entity: str = "entity", order: str = "d") -> DataFrame:
+    """The stream with the formulas added, as over each entity's whole history.
+
+    Rows at or before the last one that an entity has seen are left out (they would change history), and of rows of one batch, entity and
+    place in the order the last one counts. The order has to be a date or a number.
+    """
+    program, kind = Program(named), events.schema[order].dataType.simpleString()
+    if program.whole:
+        raise ValueError("leads and ranks in a whole history change with later rows: they can't stream")
+    schema = StructType([*events.schema.fields, *(StructField(n, DoubleType()) for n in named)])
+    names = events.columns
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable").drop_duplicates(order, keep="last")
+        before = None
+        if state.exists:
+            last, said = state.get
+            before = json.loads(said)
+            rows = rows[rows[order] > last]
+        if not len(rows):
+            return
+        columns = {c: rows[c].to_numpy(dtype=float, na_value=np.nan) for c in program.reads}
+        made, left = program.run(columns, np.array([0, len(rows)]), before)
+        state.update((rows[order].iloc[-1], json.dumps(left)))
+        out = rows[names].reset_index(drop=True)
+        yield out.assign(**{n: pd.Series(v) for n, v in made.items()})
+
+    return events.groupBy(entity).applyInPandasWithState(run, schema, f"last {kind}, said string", "append", GroupStateTimeout.NoTimeout)
+
+
+def daily(factors: Versions, standard: Versions, keys: Sequence[str], standardize: Callable[[DataFrame], DataFrame], name: str = "daily") -> Callable[[DataFrame, int], None]:
+    """What foreachBatch calls: upserts a batch's rows, and replaces the cross-sections of its dates by those of all rows they have now."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            days = [r[0] for r in batch.select(factors.day).distinct().collect()]  # dates, not rows
+            if not days:
+                return
+            factors.upsert(batch, keys, (name, number))
+            whole = factors.read(min(days), max(days)).where(F.col(factors.day).isin(days))
+            standard.replace(standardize(whole), (name, number))
+        finally:
+            batch.unpersist()
+
+    return each

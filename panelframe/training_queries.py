@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +11,19 @@ from pyspark.sql.window import Window
 
 from panelframe.functions import expr as X
 from panelframe.functions import scalar as C
-from panelframe.operator_queries import _DIM, _S, _W, _round, _rk, _scores
+from panelframe.operator_queries import _DIM, _S, _W, _neutral_sql, _round, _rk, _scores
+from panelframe import oracle
 from panelframe.operators import evaluate as E
+from panelframe.operators import history as Y
 from panelframe.operators import train as T
+from panelframe.operators import xsection as XS
 from panelframe.operators.joins import keep_old
 from panelframe.plans import factors as FX
 from panelframe.plans import panels as P
-from panelframe.queries import QUERIES, bars, bars_sql, query
+from panelframe.queries import ORACLE_SQL, QUERIES, _DIGITS, bars, bars_sql, query
 from panelframe.sources import store
+from panelframe.sources.shared import shared_folder
+from panelframe.sources.versions import Versions
 from panelframe.streaming import increment
 
 _M = bars_sql("month", "m")
@@ -175,47 +178,65 @@ def store_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.rewind(store.record_progress(first, m), dt.date(1998, 1, 1)).select("entity", "start_date", "end_date")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelframe-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {_M} SELECT entity, d, CASE WHEN d >= DATE '1998-01-01' THEN vol + 1 ELSE vol END AS vol FROM m WHERE d BETWEEN DATE '1997-06-01' AND DATE '1998-06-01'")
 def store_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written by date, some dates replaced, read back by a pruned range."""
-    path = _folder(spark, "store")
+    path = shared_folder(spark, "store")
     m = P.bars(spark, sf_dir, "month").select("entity", "d", "vol")
     store.write_dates(m, path)
     store.write_dates(m.where("d >= '1998-01-01'").withColumn("vol", F.col("vol") + 1), path)
     return store.read_window(spark, path, dt.date(1998, 6, 1), dt.date(1997, 6, 1), ["entity", "vol"])
 
 
-@query(f"""WITH {_M}, a AS (SELECT entity, d, CASE WHEN d >= DATE '1998-01-01' THEN vol + 1 ELSE vol END AS vol FROM m WHERE d <> (SELECT min(d) FROM m))
-    SELECT 'rows' AS what, count(*) AS n FROM a UNION ALL SELECT 'dates', count(DISTINCT d) FROM a UNION ALL SELECT 'entities', count(DISTINCT entity) FROM a UNION ALL SELECT 'one day', count(*) FROM a WHERE d = DATE '1997-03-01'
-    UNION ALL SELECT 'one entity', count(*) FROM a WHERE entity = 3 AND d >= DATE '1996-01-01' UNION ALL SELECT 'changed', count(*) FROM a WHERE d >= DATE '1998-01-01' UNION ALL SELECT 'files', count(DISTINCT d) FROM a
-    UNION ALL SELECT 'sorted', count(*) FROM a UNION ALL SELECT 'columns', 3 UNION ALL SELECT 'after latest', CAST(max(d) + 1 - DATE '1990-01-01' AS BIGINT) FROM a""")
+_UP = f"""{_M}, a AS (SELECT entity, d, CASE WHEN d >= DATE '1998-01-01' THEN vol + 1 ELSE vol END AS vol FROM m WHERE d <> (SELECT min(d) FROM m))"""
+
+
+@query(f"""WITH {_UP} SELECT 'one day' AS what, entity, d, vol FROM a WHERE d = DATE '1997-03-01' UNION ALL SELECT 'one entity', entity, d, vol FROM a WHERE entity = 3 AND d >= DATE '1996-01-01'
+    UNION ALL SELECT 'sorted', entity, d, CAST(row_number() OVER (ORDER BY d, entity) AS DOUBLE) FROM a UNION ALL SELECT 'date', NULL, d, NULL FROM (SELECT DISTINCT d FROM a)
+    UNION ALL SELECT 'entity', entity, NULL, NULL FROM (SELECT DISTINCT entity FROM a) UNION ALL SELECT 'after latest', NULL, CAST(max(d) + 1 AS DATE), NULL FROM a UNION ALL SELECT 'before the change', entity, d, vol FROM m WHERE d >= DATE '1998-10-01'""")
 def store_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written by date, upserted, compacted, a date dropped, read by day and entity, exported."""
-    path = _folder(spark, "upkeep")
+    """Written by date, upserted, compacted, a date dropped, reset and rolled back; read by day, entity and version, exported in order."""
+    t = Versions(spark, shared_folder(spark, "upkeep"))
     m = P.bars(spark, sf_dir, "month").select("entity", "d", "vol")
-    store.write_dates(m, f"{path}/t")
-    store.upsert_dates(spark, m.where("d >= '1998-01-01'").withColumn("vol", F.col("vol") + 1), f"{path}/t")
-    store.drop_date(spark, f"{path}/t", f"{path}/u", m.agg(F.min("d")).first()[0])
-    store.compact(spark, f"{path}/u", f"{path}/v")
-    t = store.read_dates(spark, f"{path}/v")
-    store.export_sorted(t, f"{path}/w", ["d", "entity"])
-    changed = t.join(m.withColumnRenamed("vol", "was"), ["entity", "d"]).where("vol = was + 1")
-    one = lambda what, df: df.agg(F.lit(what).alias("what"), F.count(F.lit(1)).alias("n"))
-    rows = [one("rows", t), one("dates", store.dates(t)), one("entities", store.entities(t)), one("one day", store.read_day(spark, f"{path}/v", dt.date(1997, 3, 1))), one("one entity", store.read_entity(spark, f"{path}/v", 3, start=dt.date(1996, 1, 1))), one("changed", changed), one("sorted", spark.read.parquet(f"{path}/w"))]
-    rows.append(store.stats(t).select(F.lit("files").alias("what"), F.col("files").alias("n")))
-    facts = [("columns", len(store.column_names(t.select(*store.footer_columns(spark, f"{path}/v"))))), ("after latest", (store.next_start(t) - dt.date(1990, 1, 1)).days)]
-    return reduce(DataFrame.unionByName, rows, spark.createDataFrame(facts, "what string, n long"))
+    t.replace(m)
+    t.upsert(m.where("d >= '1998-01-01'").withColumn("vol", F.col("vol") + 1), ["entity", "d"])
+    t.drop(t.dates()[0])
+    t.compact()
+    t.rollback(t.reset().version - 1)
+    now, none = t.read(), F.lit(None)
+    store.export_sorted(now, f"{t.path}-export", ["d", "entity"])
+    # a row's place in the files as they lie: file, then place in the file
+    lies = spark.read.parquet(f"{t.path}-export").select("entity", "d", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
+    place = F.row_number().over(Window.orderBy("file", "line")).cast("double")  # some thousands of rows: the order of an export is what is looked at
+    parts = [
+        t.read("1997-03-01", "1997-03-01").select(F.lit("one day").alias("what"), "entity", "d", "vol"),
+        now.where("entity = 3 AND d >= '1996-01-01'").select(F.lit("one entity").alias("what"), "entity", "d", "vol"),
+        lies.select(F.lit("sorted").alias("what"), "entity", "d", place.alias("vol")),
+        spark.createDataFrame([(x,) for x in t.dates()], "d string").select(F.lit("date").alias("what"), none.cast("long").alias("entity"), F.to_date("d").alias("d"), none.cast("double").alias("vol")),
+        store.entities(now).select(F.lit("entity").alias("what"), "entity", none.cast("date").alias("d"), none.cast("double").alias("vol")),
+        spark.createDataFrame([(store.next_start(now),)], "d date").select(F.lit("after latest").alias("what"), none.cast("long").alias("entity"), "d", none.cast("double").alias("vol")),
+        t.read("1998-10-01", None, version=1).select(F.lit("before the change").alias("what"), "entity", "d", "vol"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"WITH {_UP}, s AS (SELECT count(DISTINCT d) AS n, max(d) AS last FROM a) SELECT column_name, n AS dates, n AS files, last, n_versions, positive FROM s, (VALUES ('entity'), ('d'), ('vol')) c(column_name), (VALUES (3, true)) v(n_versions, positive)")
+def store_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names from the files' footers, dates, files and bytes from the manifest and the listing."""
+    t = Versions(spark, shared_folder(spark, "statistics"))
+    m = P.bars(spark, sf_dir, "month").select("entity", "d", "vol")
+    t.replace(m)
+    t.upsert(m.where("d >= '1998-01-01'").withColumn("vol", F.col("vol") + 1), ["entity", "d"])
+    t.drop(t.dates()[0])
+    s, names = t.stats(), store.footer_columns(spark, f"{t.path}/{t.manifest().parts[t.dates()[0]][0]}")
+    rows = [(c, s["dates"], s["files"], dt.date.fromisoformat(s["latest"]), s["version"], s["bytes"] > 0) for c in store.column_names(spark.createDataFrame([], ", ".join(f"`{n}` int" for n in names)))]
+    return spark.createDataFrame(rows, "column_name string, dates long, files long, last date, n_versions int, positive boolean")
 
 
 @query(f"WITH {_M} SELECT CAST(entity AS BIGINT) AS entity, d, vol, d >= DATE '1997-01-01' AS late FROM m WHERE d >= DATE '1996-01-01'")
 def store_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file a year with its last date in its name, read strictly, from a date on, and tolerantly with a broken row."""
-    path, schema = _folder(spark, "csv"), "entity bigint, d string, vol double"
+    path, schema = shared_folder(spark, "csv"), "entity bigint, d string, vol double"
     m = P.bars(spark, sf_dir, "month").select("entity", F.date_format("d", "yyyyMMdd").alias("d"), "vol")
     years = [r[0] for r in m.select(F.substring("d", 1, 4).alias("y")).distinct().orderBy("y").collect()]
     for y in years:
@@ -266,11 +287,48 @@ def incremental_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(keep_old(old, new, ["entity", "d"]), 4)
 
 
+@query(ORACLE_SQL["factors_technical"])
+def incremental_technical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A family of recursions continued twice from saved states, each time reading the new rows alone: what the full run gives."""
+    named = FX.technical()
+    read = sorted(set().union(*map(FX.columns_of, named.values())))
+    made, _ = Y.in_ranges(bars(spark, sf_dir).select("entity", "d", *read), named, [dt.date(1995, 3, 1), dt.date(1997, 6, 1)])
+    return made.select("entity", "d", *[(F.col(n) if (k := _DIGITS.get(n, 6)) is None else F.round(n, k) + F.lit(0.0)).alias(n) for n in named])
+
+
+_DAILY = {k: v for k, v in FX.technical().items() if k in ("rsi", "kdj_d", "macd")} | {"vol_ma": X.mean(X.col("vol"), 6)}
+_F6 = "round({0}, 6) + 0.0 AS {0}"
+
+
+@query(
+    f"""WITH f0 AS ({oracle.select(f"WITH {_M}, base AS (SELECT * FROM m)", ["entity", "d", "circ_mv"], _DAILY, {"": None})}), {_DIM}, mi AS (SELECT f0.*, industry FROM f0 JOIN dim USING (entity)),
+    q AS (SELECT d, quantile_cont(rsi, 0.01) AS lo, quantile_cont(rsi, 0.99) AS hi FROM mi GROUP BY d), wz AS (SELECT mi.* REPLACE (CASE WHEN rsi IS NOT NULL THEN least(greatest(rsi, lo), hi) END AS rsi) FROM mi JOIN q USING (d)),
+    {_neutral_sql("rsi")}, z AS (SELECT *, stddev_samp(neutral) OVER (PARTITION BY d) AS sd, avg(neutral) OVER (PARTITION BY d) AS mu FROM nz)
+    SELECT z.entity, z.d, round(f0.rsi, 6) + 0.0 AS rsi, round(kdj_d, 3) + 0.0 AS kdj_d, round(macd, 3) + 0.0 AS macd, round(vol_ma, 6) + 0.0 AS vol_ma, round(CASE WHEN sd > 1e-9 THEN (neutral - mu) / sd END, 6) + 0.0 AS rsi_standard
+    FROM z JOIN f0 ON z.entity = f0.entity AND z.d = f0.d"""
+)
+def stream_daily_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O18 with O08, O13 and X11: month bars arrive in files; formulas go on from each entity's state; each batch is upserted, its dates standardised."""
+    path = shared_folder(spark, "daily")
+    m = P.with_values(P.bars(spark, sf_dir, "month"))
+    edges = [None, dt.date(1994, 1, 1), dt.date(1996, 1, 1), dt.date(1998, 1, 1), None]
+    for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):  # what would arrive over time
+        some = m if lo is None else m.where(F.col("d") >= F.lit(lo))
+        (some if hi is None else some.where(F.col("d") < F.lit(hi))).coalesce(1).write.parquet(f"{path}/raw/part={i}")
+    dim = P.dimension(spark, sf_dir).select("entity", "industry")
+    factors, standard = Versions(spark, f"{path}/factors"), Versions(spark, f"{path}/standard")
+    rows = increment.stream_files(spark, f"{path}/raw/*/*.parquet", m.schema, per_batch=1)
+    each = increment.daily(factors, standard, ["entity", "d"], lambda df: XS.standardize(df.join(dim, "entity"), "d", "industry", "circ_mv", ["rsi"]).select("entity", "d", "rsi_standard"))
+    increment.run_available(increment.with_formulas(rows, _DAILY), f"{path}/progress", each).awaitTermination()
+    both = factors.read().select("entity", "d", *_DAILY).join(standard.read(), ["entity", "d"])
+    return _round(both, 6, kdj_d=3, macd=3)
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT DISTINCT event_id, event_type, value FROM events) GROUP BY event_type")
 def stream_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a file stream, repeats dropped, every micro-batch upserted into a table of its own."""
+    """The events as a file stream, repeats dropped; a micro-batch writes a folder of its number, which it replaces when it runs again."""
     schema = P.table(spark, sf_dir, "events").schema
-    path = _folder(spark, "stream")
+    path = shared_folder(spark, "stream")
 
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
