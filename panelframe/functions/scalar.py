@@ -86,6 +86,11 @@ def eligible(df: DataFrame, flag_col: str = "is_st", name: str = "name", mv: str
     return df.where(~marked & (F.coalesce(F.col(mv), F.lit(0.0)) >= least))
 
 
+def open_days(calendar: DataFrame, day: str, is_open: str = "is_open") -> DataFrame:
+    """J06"""
+    return calendar.where(F.col(is_open) == 1).select(day)
+
+
 def next_open(calendar: DataFrame, day: str, after, is_open: str = "is_open"):
     """The first open day after the given one, or None."""
     return calendar.where((F.col(is_open) == 1) & (F.col(day) > F.lit(after))).agg(F.min(day)).first()[0]

@@ -37,15 +37,15 @@ def pick(scores: DataFrame, day: str, entity: str, score: str, n: int, capital:
     """The n best names of each signal date with equal notional; dates whose best score is too low are left out."""
     s = scores.where(F.col(score).isNotNull())
     if min_score is not None:
-        s = s.withColumn("_top", F.max(score).over(Window.partitionBy(day))).where(F.col("_top") >= min_score).drop("_top")
+        s = s.withColumn("\u0001top", F.max(score).over(Window.partitionBy(day))).where(F.col("\u0001top") >= min_score).drop("\u0001top")
     place = F.row_number().over(Window.partitionBy(day).orderBy(F.desc(score), entity))
     return s.withColumn("place", place).where(F.col("place") <= n).withColumn("notional", F.lit(capital / n))
 
 
 def entries(picks: DataFrame, prices: DataFrame, entity: str, at: str, day: str, price: str, change: str, limit: float = 9.8, slip: float = 0.001, lot: int = 100) -> DataFrame:
     """Bought at the entry day's price plus slippage in whole lots; limit-up, unpriced and lot-less names are skipped."""
-    p = prices.select(F.col(entity), F.col(day).alias(at), F.col(price).alias("raw_price"), F.col(change).alias("_chg"))
-    out = picks.join(p, [entity, at]).where((F.col("raw_price") > 0) & (F.coalesce("_chg", F.lit(0.0)) < limit)).drop("_chg")
+    p = prices.select(F.col(entity), F.col(day).alias(at), F.col(price).alias("raw_price"), F.col(change).alias("\u0001chg"))
+    out = picks.join(p, [entity, at]).where((F.col("raw_price") > 0) & (F.coalesce("\u0001chg", F.lit(0.0)) < limit)).drop("\u0001chg")
     out = out.withColumn("buy_price", F.col("raw_price") * (1 + slip))
     return out.withColumn("shares", F.floor(F.col("notional") / F.col("buy_price") / lot) * lot).where("shares > 0")
 
@@ -53,11 +53,11 @@ def entries(picks: DataFrame, prices: DataFrame, entity: str, at: str, day: str,
 def exits(bought: DataFrame, prices: DataFrame, entity: str, due: str, day: str, price: str, change: str, limit: float = -9.8, slip: float = 0.001, commission: float = 0.0003, stamp: float = 0.001) -> DataFrame:
     """Sold on the first tradable day at or after the due one (limit-down blocks), with costs."""
     ok = prices.where((F.col(price) > 0) & (F.coalesce(F.col(change), F.lit(0.0)) > limit))
-    w = Window.partitionBy(entity).orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
-    p = ok.select(F.col(entity), F.col(day).alias("_at"), F.lit(1).alias("_side"), F.struct(F.col(day).alias("sell_date"), F.col(price).alias("p")).alias("_s"))
-    b = bought.withColumns({"_at": F.col(due), "_side": F.lit(0), "_s": F.lit(None).cast(p.schema["_s"].dataType), "_own": F.lit(True)})
-    out = b.unionByName(p, allowMissingColumns=True).withColumn("_s", F.last("_s", ignorenulls=True).over(w)).where("_own")
-    out = out.select(*bought.columns, F.col("_s.sell_date").alias("sell_date"), (F.col("_s.p") * (1 - slip)).alias("sell_price"))
+    w = Window.partitionBy(entity).orderBy(F.desc("\u0001at"), F.desc("\u0001side")).rowsBetween(Window.unboundedPreceding, 0)
+    p = ok.select(F.col(entity), F.col(day).alias("\u0001at"), F.lit(1).alias("\u0001side"), F.struct(F.col(day).alias("sell_date"), F.col(price).alias("p")).alias("\u0001s"))
+    b = bought.withColumns({"\u0001at": F.col(due), "\u0001side": F.lit(0), "\u0001s": F.lit(None).cast(p.schema["\u0001s"].dataType), "\u0001own": F.lit(True)})
+    out = b.unionByName(p, allowMissingColumns=True).withColumn("\u0001s", F.last("\u0001s", ignorenulls=True).over(w)).where(F.col("\u0001own"))
+    out = out.select(*bought.columns, F.col("\u0001s.sell_date").alias("sell_date"), (F.col("\u0001s.p") * (1 - slip)).alias("sell_price"))
     amount = F.col("shares") * F.col("sell_price")
     return out.withColumns({"proceeds": amount * (1 - commission - stamp), "commission": amount * commission, "stamp": amount * stamp})
 
@@ -66,17 +66,17 @@ def marks(held: DataFrame, prices: DataFrame, calendar: DataFrame, entity: str,
     """Value of every position on every day it is held; the buy price where there is no price."""
     days = calendar.select(F.col(day)).distinct()
     span = held.withColumn(day, F.explode(F.sequence(F.col(start), F.col(end)))).join(F.broadcast(days), day)  # the calendar is bounded
-    out = span.join(prices.select(entity, day, F.col(price).alias("_p")), [entity, day], "left")
-    return out.withColumn("value", F.col("shares") * F.coalesce("_p", "buy_price")).drop("_p")
+    out = span.join(prices.select(entity, day, F.col(price).alias("\u0001p")), [entity, day], "left")
+    return out.withColumn("value", F.col("shares") * F.coalesce("\u0001p", "buy_price")).drop("\u0001p")
 
 
 def virtual_returns(picks: DataFrame, prices: DataFrame, calendar: DataFrame, day: str, entity: str, price: str, ahead: int = 6) -> DataFrame:
     """(idx, ret): for each signal date, by its calendar number, the mean return of its picks from the next date on to `ahead` dates after it."""
     i = calendar_index(calendar, day)
-    p = prices.where(F.col(price).isNotNull()).join(i, day).select(entity, "idx", F.col(price).alias("_price"))
+    p = prices.where(F.col(price).isNotNull()).join(i, day).select(entity, "idx", F.col(price).alias("\u0001price"))
     own = picks.join(i, day).select(entity, "idx")
-    at = lambda k, name: p.select(entity, (F.col("idx") - k).alias("idx"), F.col("_price").alias(name))
-    return own.join(at(1, "_buy"), [entity, "idx"]).join(at(ahead, "_sell"), [entity, "idx"]).where("_buy > 0").groupBy("idx").agg(F.avg(F.col("_sell") / F.col("_buy") - 1).alias("ret"))
+    at = lambda k, name: p.select(entity, (F.col("idx") - k).alias("idx"), F.col("\u0001price").alias(name))
+    return own.join(at(1, "\u0001buy"), [entity, "idx"]).join(at(ahead, "\u0001sell"), [entity, "idx"]).where(F.col("\u0001buy") > 0).groupBy("idx").agg(F.avg(F.col("\u0001sell") / F.col("\u0001buy") - 1).alias("ret"))
 
 
 def virtual_stop(signals: DataFrame, virtual: DataFrame, calendar: DataFrame, day: str, ahead: int = 6, holding: int = 5, check: int = 3, bound: float = -0.05, least: int = 2) -> DataFrame:
@@ -86,11 +86,11 @@ def virtual_stop(signals: DataFrame, virtual: DataFrame, calendar: DataFrame, da
     after it, one a date; as soon as `least` of them have lost more than the bound, before the holding time is over, the cohort is sold.
     """
     i = calendar_index(calendar, day)
-    s = signals.select(day).distinct().join(i, day).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(check))))
-    lost = s.join(virtual.select(F.col("idx").alias("_at"), "ret"), F.col("_at") == F.col("idx") - ahead + F.col("_k")).where(F.col("ret") < bound)
+    s = signals.select(day).distinct().join(i, day).withColumn("\u0001k", F.explode(F.sequence(F.lit(1), F.lit(check))))
+    lost = s.join(virtual.select(F.col("idx").alias("\u0001at"), "ret"), F.col("\u0001at") == F.col("idx") - ahead + F.col("\u0001k")).where(F.col("ret") < bound)
     # the least-th of at most `check` losses, in order of their ends
-    nth = lost.groupBy(day, "idx").agg(F.get(F.array_sort(F.collect_list("_k")), F.lit(least - 1)).alias("_k")).where(F.col("_k").isNotNull() & (F.col("_k") - 1 < holding))
-    stops = nth.select(day, (F.col("idx") + F.col("_k")).alias("idx")).join(i.withColumnRenamed(day, "stop_day"), "idx").select(day, "stop_day")
+    nth = lost.groupBy(day, "idx").agg(F.get(F.array_sort(F.collect_list("\u0001k")), F.lit(least - 1)).alias("\u0001k")).where(F.col("\u0001k").isNotNull() & (F.col("\u0001k") - 1 < holding))
+    stops = nth.select(day, (F.col("idx") + F.col("\u0001k")).alias("idx")).join(i.withColumnRenamed(day, "stop_day"), "idx").select(day, "stop_day")
     return signals.select(day).distinct().join(stops, day, "left")
 
 
@@ -102,19 +102,20 @@ def cohort_returns(trades: DataFrame, batch: str, buy: str = "buy_price", sell:
 def batch_profit(buys: DataFrame, sells: DataFrame, buy_day: str, sell_day: str, buy_amount: str, sell_amount: str) -> DataFrame:
     """Proceeds of the sells after a buy date up to and with the next one, over what was bought."""
     b = buys.groupBy(buy_day).agg(F.sum(buy_amount).alias("bought"))
-    keyed = asof(sells.withColumn("_k", F.lit(0)), b.select(F.lit(0).alias("_k"), F.col(buy_day), F.col(buy_day).alias("batch")), "_k", sell_day, buy_day, ["batch"], strict=True)
-    s = keyed.groupBy(F.col("batch").alias(buy_day)).agg(F.sum(sell_amount).alias("sold"))
+    daily = sells.groupBy(sell_day).agg(F.sum(sell_amount).alias("sold"))  # a row a day: what follows is as long as the calendar
+    keyed = asof(daily.withColumn("\u0001k", F.lit(0)), b.select(F.lit(0).alias("\u0001k"), F.col(buy_day), F.col(buy_day).alias("batch")), "\u0001k", sell_day, buy_day, ["batch"], strict=True)
+    s = keyed.groupBy(F.col("batch").alias(buy_day)).agg(F.sum("sold").alias("sold"))
     return b.join(s, buy_day, "left").withColumn("profit", div(F.col("sold"), F.col("bought")) - 1)
 
 
 def pair_trades(buys: DataFrame, sells: DataFrame, entity: str, day: str, price: str) -> DataFrame:
     """Every buy with the first sell of its entity at or after it, return and days held. A forward as-of: one sort by entity and day."""
-    least = sells.groupBy(entity, day).agg(F.min(price).alias("_price"))
-    s = least.select(F.col(entity), F.col(day).alias("_at"), F.lit(1).alias("_side"), F.struct(F.col(day).alias("sell_date"), F.col("_price").alias("sell_price")).alias("_sold"))
-    b = buys.withColumns({"_at": F.col(day), "_side": F.lit(0), "_sold": F.lit(None).cast(s.schema["_sold"].dataType), "_own": F.lit(True)})
-    w = Window.partitionBy(entity).orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
-    out = b.unionByName(s, allowMissingColumns=True).withColumn("_sold", F.last("_sold", ignorenulls=True).over(w)).where("_own")
-    return out.select(*buys.columns, "_sold.sell_date", "_sold.sell_price").withColumns({"ret": F.col("sell_price") / F.col(price) - 1, "days": F.datediff("sell_date", day)})
+    least = sells.groupBy(entity, day).agg(F.min(price).alias("\u0001price"))
+    s = least.select(F.col(entity), F.col(day).alias("\u0001at"), F.lit(1).alias("\u0001side"), F.struct(F.col(day).alias("sell_date"), F.col("\u0001price").alias("sell_price")).alias("\u0001sold"))
+    b = buys.withColumns({"\u0001at": F.col(day), "\u0001side": F.lit(0), "\u0001sold": F.lit(None).cast(s.schema["\u0001sold"].dataType), "\u0001own": F.lit(True)})
+    w = Window.partitionBy(entity).orderBy(F.desc("\u0001at"), F.desc("\u0001side")).rowsBetween(Window.unboundedPreceding, 0)
+    out = b.unionByName(s, allowMissingColumns=True).withColumn("\u0001sold", F.last("\u0001sold", ignorenulls=True).over(w)).where(F.col("\u0001own"))
+    return out.select(*buys.columns, "\u0001sold.sell_date", "\u0001sold.sell_price").withColumns({"ret": F.col("sell_price") / F.col(price) - 1, "days": F.datediff("sell_date", day)})
 
 
 def nav_metrics(nav: DataFrame, day: str, value: str, year: int = 252, trim: bool = False) -> DataFrame:
@@ -123,15 +124,15 @@ def nav_metrics(nav: DataFrame, day: str, value: str, year: int = 252, trim: boo
     d = nav.select(F.col(day).alias("d"), F.col(value).cast("double").alias("v")).withColumn("r", div(F.col("v"), F.lag("v").over(w)) - 1)
     if trim:
         active = F.min(F.when(F.abs("r") > 1e-9, F.col("d"))).over(Window.partitionBy())
-        d = d.withColumn("_a", active).where(F.col("d") >= F.date_sub(F.col("_a"), 1)).drop("_a")
+        d = d.withColumn("\u0001a", active).where(F.col("d") >= F.date_sub(F.col("\u0001a"), 1)).drop("\u0001a")
     so_far = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumns({"peak": F.max("v").over(so_far), "peak_at": F.max(F.struct("v", F.negate(F.unix_date("d")).alias("t"))).over(so_far)})
     d = d.withColumn("dd", F.col("v") / F.col("peak") - 1)
     s, n = F.stddev_samp("r"), F.count("r")
     total = F.max_by("v", "d") / F.min_by("v", "d") - 1
-    out = d.agg(total.alias("total"), n.alias("n"), (s * year**0.5).alias("volatility"), (div(F.avg("r"), F.when(s > TINY, s)) * year**0.5).alias("sharpe"), F.min("dd").alias("max_drawdown"), F.min(F.struct("dd", "d", "peak_at")).alias("_m"), F.avg(F.when(F.col("r").isNotNull(), (F.col("r") > 0).cast("double"))).alias("win_rate"))
+    out = d.agg(total.alias("total"), n.alias("n"), (s * year**0.5).alias("volatility"), (div(F.avg("r"), F.when(s > TINY, s)) * year**0.5).alias("sharpe"), F.min("dd").alias("max_drawdown"), F.min(F.struct("dd", "d", "peak_at")).alias("\u0001m"), F.avg(F.when(F.col("r").isNotNull(), (F.col("r") > 0).cast("double"))).alias("win_rate"))
     out = out.withColumn("annual", F.when(F.col("n") > 0, F.pow(1 + F.col("total"), F.lit(float(year)) / F.col("n")) - 1))
-    return out.select("total", "annual", "volatility", "sharpe", "max_drawdown", F.date_from_unix_date(F.negate(F.col("_m.peak_at.t"))).alias("peak_date"), F.col("_m.d").alias("trough_date"), div(F.col("annual"), F.abs("max_drawdown")).alias("calmar"), "win_rate", "n")
+    return out.select("total", "annual", "volatility", "sharpe", "max_drawdown", F.date_from_unix_date(F.negate(F.col("\u0001m.peak_at.t"))).alias("peak_date"), F.col("\u0001m.d").alias("trough_date"), div(F.col("annual"), F.abs("max_drawdown")).alias("calmar"), "win_rate", "n")
 
 
 def monthly(series: DataFrame, by: Sequence[str], day: str, value: str) -> DataFrame:
@@ -142,8 +143,8 @@ def monthly(series: DataFrame, by: Sequence[str], day: str, value: str) -> DataF
 def compare_picks(scored: DataFrame, day: str, entity: str, score: str, naive: str, label: str, n: int = 5) -> DataFrame:
     """By date, mean label of the model's n best, of the n best by a naive score, and of all."""
     place = lambda c: F.row_number().over(Window.partitionBy(day).orderBy(F.col(c).desc_nulls_last(), entity))
-    r = scored.where(F.col(label).isNotNull()).withColumns({"_m": place(score), "_n": place(naive)})
-    return r.groupBy(day).agg(F.avg(F.when(F.col("_m") <= n, F.col(label))).alias("model"), F.avg(F.when(F.col("_n") <= n, F.col(label))).alias("naive"), F.avg(label).alias("universe"))
+    r = scored.where(F.col(label).isNotNull()).withColumns({"\u0001m": place(score), "\u0001n": place(naive)})
+    return r.groupBy(day).agg(F.avg(F.when(F.col("\u0001m") <= n, F.col(label))).alias("model"), F.avg(F.when(F.col("\u0001n") <= n, F.col(label))).alias("naive"), F.avg(label).alias("universe"))
 
 
 def without_window(nav: DataFrame, day: str, value: str, start, end) -> DataFrame:
@@ -160,9 +161,9 @@ def survivors(panel: DataFrame, entity: str, day: str, early, late) -> DataFrame
 
 def robustness(trades: DataFrame, ret: str, order: str, drops: Sequence[int] = (0, 5, 10, 20, 30)) -> DataFrame:
     """Mean, deviation, win rate and t after the best trades are left out. The best max(drops) are found first."""
-    best = trades.where(F.col(ret).isNotNull()).orderBy(F.desc(ret), order).limit(max(drops)).select(order, F.row_number().over(Window.orderBy(F.desc(ret), order)).alias("_p"))
+    best = trades.where(F.col(ret).isNotNull()).orderBy(F.desc(ret), order).limit(max(drops)).select(order, F.row_number().over(Window.orderBy(F.desc(ret), order)).alias("\u0001p"))
     t = trades.where(F.col(ret).isNotNull()).join(F.broadcast(best), order, "left")  # max(drops) rows
-    t = t.withColumn("dropped", F.explode(F.array(*map(F.lit, drops)))).where(F.col("_p").isNull() | (F.col("_p") > F.col("dropped")))
+    t = t.withColumn("dropped", F.explode(F.array(*map(F.lit, drops)))).where(F.col("\u0001p").isNull() | (F.col("\u0001p") > F.col("dropped")))
     s = F.stddev_samp(ret)
     return t.groupBy("dropped").agg(F.count(F.lit(1)).alias("n"), F.avg(ret).alias("mean"), s.alias("std"), F.avg((F.col(ret) > 0).cast("double")).alias("win"), (div(F.avg(ret), F.when(s > TINY, s)) * F.sqrt(F.count(F.lit(1)))).alias("t"))
 
@@ -177,8 +178,8 @@ def bootstrap(trades: DataFrame, ret: str, key: str, reps: int = 5000, seed: int
         cuts.append(acc)
         p /= k
     weight = sum(((u >= c).cast("int") for c in cuts), F.lit(0))
-    each = trades.where(F.col(ret).isNotNull()).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_w", weight)
-    means = each.groupBy("rep").agg(div(F.sum(F.col(ret) * F.col("_w")), F.sum("_w")).alias("m"))
+    each = trades.where(F.col(ret).isNotNull()).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("\u0001w", weight)
+    means = each.groupBy("rep").agg(div(F.sum(F.col(ret) * F.col("\u0001w")), F.sum("\u0001w")).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
 
 
@@ -191,7 +192,7 @@ def log_share(nav: DataFrame, day: str, value: str, start, end) -> DataFrame:
 
 def participation(trades: DataFrame, market: DataFrame, keys: Sequence[str], amount: str, market_amount: str) -> DataFrame:
     """B25"""
-    return trades.join(market.select(*keys, F.col(market_amount).alias("_m")), list(keys), "left").withColumn("participation", div(F.col(amount), F.col("_m"))).drop("_m")
+    return trades.join(market.select(*keys, F.col(market_amount).alias("\u0001m")), list(keys), "left").withColumn("participation", div(F.col(amount), F.col("\u0001m"))).drop("\u0001m")
 
 
 def tails(trades: DataFrame, day: str, ret: str, bound: float = 0.1) -> DataFrame:
@@ -207,7 +208,7 @@ def size_tiers(picks: DataFrame, day: str, mv: str, tiers=TIERS) -> DataFrame:
     """Counts by right-open size bin and quantiles by date."""
     count = [F.count_if((F.col(mv) >= lo) & (F.col(mv) < hi)).alias(name) for lo, hi, name in tiers]
     q = F.percentile(mv, F.array(*map(F.lit, (0.1, 0.25, 0.75, 0.9))))
-    return picks.groupBy(day).agg(*count, q.alias("_q")).select(day, *[t[2] for t in tiers], *[F.col("_q")[i].alias(n) for i, n in enumerate(("p10", "p25", "p75", "p90"))])
+    return picks.groupBy(day).agg(*count, q.alias("\u0001q")).select(day, *[t[2] for t in tiers], *[F.col("\u0001q")[i].alias(n) for i, n in enumerate(("p10", "p25", "p75", "p90"))])
 
 
 def rebased(series: DataFrame, by: str, day: str, value: str) -> DataFrame:
@@ -217,7 +218,7 @@ def rebased(series: DataFrame, by: str, day: str, value: str) -> DataFrame:
 
 def excess_matrix(two: DataFrame, day: str, a: str, b: str, every: int = 5) -> DataFrame:
     """Excess of a over b between each pair of every n-th dates."""
-    k = two.withColumn("_rn", F.row_number().over(Window.orderBy(day)) - 1).where(F.col("_rn") % every == 0).drop("_rn")
+    k = two.withColumn("\u0001rn", F.row_number().over(Window.orderBy(day)) - 1).where(F.col("\u0001rn") % every == 0).drop("\u0001rn")
     p = pairs_before(k, day, [a, b])
     return p.select(f"{day}_i", f"{day}_j", (F.col(f"{a}_j") / F.col(f"{a}_i") - F.col(f"{b}_j") / F.col(f"{b}_i")).alias("excess"))
 
@@ -256,11 +257,11 @@ def pick_aggregates(picks: DataFrame, day: str, score: str) -> DataFrame:
 
 def dispersion_table(df: DataFrame, day: str, alias: str, profit: str, rows: int = 10) -> DataFrame:
     """Quartile of the dispersion, rolling correlation with the profit and compounded profit, over one series of batches."""
-    s = K.Spec("_one", day)
-    edges = df.agg(F.percentile(alias, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_edges")).withColumn("_one", F.lit(1))
-    d = df.withColumn("_one", F.lit(1)).join(F.broadcast(edges), "_one")  # one row
-    d = d.withColumns({"quartile": F.size(F.filter("_edges", lambda e: e < F.col(alias))) + 1, "corr": K.corr(s, F.col(alias), F.col(profit), rows, 3), "cumulative": K.cum_prod(s, 1 + F.coalesce(F.col(profit), F.lit(0.0))) - 1})
-    return d.drop("_one", "_edges")
+    s = K.Spec("\u0001one", day)
+    edges = df.agg(F.percentile(alias, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("\u0001edges")).withColumn("\u0001one", F.lit(1))
+    d = df.withColumn("\u0001one", F.lit(1)).join(F.broadcast(edges), "\u0001one")  # one row
+    d = d.withColumns({"quartile": F.size(F.filter("\u0001edges", lambda e: e < F.col(alias))) + 1, "corr": K.corr(s, F.col(alias), F.col(profit), rows, 3), "cumulative": K.cum_prod(s, 1 + F.coalesce(F.col(profit), F.lit(0.0))) - 1})
+    return d.drop("\u0001one", "\u0001edges")
 
 
 def bin_summary(df: DataFrame, by: Sequence[str], x: str, profit: str) -> DataFrame:

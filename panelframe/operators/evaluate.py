@@ -27,24 +27,24 @@ def safe_corr(x: str | Column, y: str | Column) -> Column:
 def rank_ic(df: DataFrame, by: Sequence[str], score: str, label: str, least: int = 2) -> DataFrame:
     """Spearman of score and label by group over rows that have both."""
     ok = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    r = ok.withColumns({"_rs": average_rank(score, *by), "_rl": average_rank(label, *by)})
-    return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), safe_corr("_rs", "_rl").alias("ic")).where(F.col("n") >= least)
+    r = ok.withColumns({"\u0001rs": average_rank(score, *by), "\u0001rl": average_rank(label, *by)})
+    return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), safe_corr("\u0001rs", "\u0001rl").alias("ic")).where(F.col("n") >= least)
 
 
 def quintiles(df: DataFrame, day: str, score: str, label: str) -> DataFrame:
     """Mean label of the five score bins of each date, and the top minus the bottom one."""
     ok = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    p = ok.withColumn("_p", average_rank(score, day) / F.count(F.lit(1)).over(Window.partitionBy(day)))
-    bucket = F.when(F.col("_p") <= 0.2, 1).when(F.col("_p") <= 0.4, 2).when(F.col("_p") <= 0.6, 3).when(F.col("_p") <= 0.8, 4).otherwise(5)
-    out = p.withColumn("_b", bucket).groupBy(day).agg(*[F.avg(F.when(F.col("_b") == i, F.col(label))).alias(f"q{i}") for i in range(1, 6)])
+    p = ok.withColumn("\u0001p", average_rank(score, day) / F.count(F.lit(1)).over(Window.partitionBy(day)))
+    bucket = F.when(F.col("\u0001p") <= 0.2, 1).when(F.col("\u0001p") <= 0.4, 2).when(F.col("\u0001p") <= 0.6, 3).when(F.col("\u0001p") <= 0.8, 4).otherwise(5)
+    out = p.withColumn("\u0001b", bucket).groupBy(day).agg(*[F.avg(F.when(F.col("\u0001b") == i, F.col(label))).alias(f"q{i}") for i in range(1, 6)])
     return out.withColumn("long_short", F.col("q5") - F.col("q1"))
 
 
 def top_returns(df: DataFrame, day: str, score: str, label: str, entity: str, tops: Sequence[int] = (10, 50, 100)) -> DataFrame:
     """Mean label of the best names, and over the mean of all."""
     place = F.row_number().over(Window.partitionBy(day).orderBy(F.col(score).desc_nulls_last(), entity))
-    r = df.where(F.col(label).isNotNull()).withColumn("_p", place)
-    out = r.groupBy(day).agg(F.avg(label).alias("market"), *[F.avg(F.when(F.col("_p") <= n, F.col(label))).alias(f"top{n}") for n in tops])
+    r = df.where(F.col(label).isNotNull()).withColumn("\u0001p", place)
+    out = r.groupBy(day).agg(F.avg(label).alias("market"), *[F.avg(F.when(F.col("\u0001p") <= n, F.col(label))).alias(f"top{n}") for n in tops])
     return out.withColumns({f"top{n}_excess": F.col(f"top{n}") - F.col("market") for n in tops})
 
 
@@ -56,19 +56,19 @@ def ic_summary(ics: DataFrame, by: Sequence[str] = (), ic: str = "ic") -> DataFr
 
 def non_overlapping(spread: DataFrame, day: str, x: str, every: int, year: int = 252) -> DataFrame:
     """Every n-th date of a series: compounded return, mean, deviation and annualised ratio."""
-    k = spread.where(F.col(x).isNotNull()).withColumn("_rn", F.row_number().over(Window.orderBy(day)) - 1).where(F.col("_rn") % every == 0)
+    k = spread.where(F.col(x).isNotNull()).withColumn("\u0001rn", F.row_number().over(Window.orderBy(day)) - 1).where(F.col("\u0001rn") % every == 0)
     s = F.stddev_samp(x)
     return k.agg(F.count(F.lit(1)).alias("n"), (F.product(1 + F.col(x)) - 1).alias("cumulative"), F.avg(x).alias("mean"), s.alias("std"), (div(F.avg(x), F.when(s > TINY, s)) * F.sqrt(F.lit(year / every))).alias("sharpe"))
 
 
 def ndcg(df: DataFrame, day: str, score: str, label: str, entity: str, k: int = 10) -> DataFrame:
     """Gain is the label's first rank, discount 1/log2(place + 1); equal scores share the mean gain of their places."""
-    ok = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumn("_s", F.round(score, 9))
+    ok = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumn("\u0001s", F.round(score, 9))
     gain = F.row_number().over(Window.partitionBy(day).orderBy(label, entity))
-    g = ok.withColumn("_g", gain)
-    g = g.withColumns({"_place": F.row_number().over(Window.partitionBy(day).orderBy(F.desc("_s"), entity)), "_best": F.row_number().over(Window.partitionBy(day).orderBy(F.desc("_g"))), "_mean": F.avg("_g").over(Window.partitionBy(day, "_s"))})
+    g = ok.withColumn("\u0001g", gain)
+    g = g.withColumns({"\u0001place": F.row_number().over(Window.partitionBy(day).orderBy(F.desc("\u0001s"), entity)), "\u0001best": F.row_number().over(Window.partitionBy(day).orderBy(F.desc("\u0001g"))), "\u0001mean": F.avg("\u0001g").over(Window.partitionBy(day, "\u0001s"))})
     at = lambda g_, p: F.sum(F.when(F.col(p) <= k, F.col(g_) / F.log2(F.col(p) + 1.0)))
-    return g.groupBy(day).agg(div(at("_mean", "_place"), at("_g", "_best")).alias("ndcg"))
+    return g.groupBy(day).agg(div(at("\u0001mean", "\u0001place"), at("\u0001g", "\u0001best")).alias("ndcg"))
 
 
 def activity(importances: DataFrame, metrics: DataFrame, day: str, factor: str, importance: str, names: Sequence[str], least: int = 10) -> DataFrame:
@@ -90,7 +90,7 @@ def dispersion(df: DataFrame, day: str, score: str, entity: str, n: int) -> Data
     """(score at place n - mean) / deviation of the date."""
     place = F.row_number().over(Window.partitionBy(day).orderBy(F.col(score).desc_nulls_last(), entity))
     s = F.stddev_samp(score)
-    return df.where(F.col(score).isNotNull()).withColumn("_p", place).groupBy(day).agg(div(F.max(F.when(F.col("_p") == n, F.col(score))) - F.avg(score), F.when(s > TINY, s)).alias("alias"))
+    return df.where(F.col(score).isNotNull()).withColumn("\u0001p", place).groupBy(day).agg(div(F.max(F.when(F.col("\u0001p") == n, F.col(score))) - F.avg(score), F.when(s > TINY, s)).alias("alias"))
 
 
 def report(df: DataFrame, day: str, entity: str, score: str, label: str, tops: Sequence[int] = (10, 50, 100)) -> DataFrame:

@@ -28,32 +28,66 @@ def left_with_default(df: DataFrame, other: DataFrame, keys: Sequence[str], defa
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
-def asof(left: DataFrame, right: DataFrame, by: str, left_at: str, right_at: str, values: Sequence[str], strict: bool = False) -> DataFrame:
-    """For each left row the values of the latest right row of its key at or before it (before it, if strict).
+def _bucket(df: DataFrame, at: str, days: int):
+    """The time bucket of a date or time, or None for other types."""
+    kind = df.schema[at].dataType.typeName()
+    if kind == "date":
+        return lambda x: F.floor(F.unix_date(x) / days)
+    return (lambda x: F.floor(F.unix_seconds(x) / (86400 * days))) if kind == "timestamp" else None
 
-    One union and one sort by key and time; right rows that share key and time must be one.
-    """
-    tag, at = "_asof_side", "_asof_at"
-    r = right.select(F.col(by), F.col(right_at).alias(at), F.struct(*values).alias("_asof"), F.lit(1 if strict else 0).alias(tag))
-    lf = left.withColumns({at: F.col(left_at), "_asof": F.lit(None).cast(r.schema["_asof"].dataType), tag: F.lit(0 if strict else 1)})
-    w = Window.partitionBy(by).orderBy(at, tag).rowsBetween(Window.unboundedPreceding, 0)
-    both = lf.withColumn("_left", F.lit(True)).unionByName(r.withColumn("_left", F.lit(False)), allowMissingColumns=True)
-    out = both.withColumn("_asof", F.last("_asof", ignorenulls=True).over(w)).where("_left")
-    return out.select(*left.columns, *[F.col(f"_asof.{v}").alias(v) for v in values])
 
+def asof(left: DataFrame, right: DataFrame, by: str, left_at: str, right_at: str, values: Sequence[str], strict: bool = False, days: int = 64) -> DataFrame:
+    """For each left row the values of the latest right row of its key at or before it (before it, if strict).
 
-def expand_intervals(spells: DataFrame, days: DataFrame, key: str, start: str, end: str, day: str, flag: str = "flag") -> DataFrame:
+    In two levels, so that a key of any size spreads over its time buckets of so many days: the last values of each bucket are carried to the
+    key's next buckets (a row a key and bucket), and stand first where the rows of a key and bucket are sorted. Right rows that share key and time must be one. Keys
+    whose time is neither date nor timestamp are sorted whole.
+    """
+    tag, at, side, found, bucket = "\u0001side", "\u0001at", "\u0001left", "\u0001asof", "\u0001bucket"
+    of = _bucket(right, right_at, days)
+    place = (lambda x: F.lit(0)) if of is None else of
+    r = right.select(F.col(by), F.col(right_at).alias(at), F.struct(*values).alias(found), F.lit(1 if strict else 0).alias(tag), place(F.col(right_at)).alias(bucket))
+    lf = left.withColumns({at: F.col(left_at).cast(r.schema[at].dataType), found: F.lit(None).cast(r.schema[found].dataType), tag: F.lit(0 if strict else 1)}).withColumn(bucket, place(F.col(at)))
+    both = lf.withColumn(side, F.lit(True)).unionByName(r.withColumn(side, F.lit(False)), allowMissingColumns=True)
+    if of is not None:
+        last = r.groupBy(by, bucket).agg(F.max_by(found, at).alias(found))
+        asked = lf.select(by, bucket).distinct().withColumn(found, F.lit(None).cast(r.schema[found].dataType))
+        before = Window.partitionBy(by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        each = last.unionByName(asked).groupBy(by, bucket).agg(F.first(found, ignorenulls=True).alias(found))
+        carried = each.withColumn(found, F.last(found, ignorenulls=True).over(before)).where(F.col(found).isNotNull())
+        both = both.unionByName(carried.withColumns({at: F.lit(None).cast(r.schema[at].dataType), tag: F.lit(0), side: F.lit(False)}), allowMissingColumns=True)
+    w = Window.partitionBy(by, bucket).orderBy(F.col(at).asc_nulls_first(), tag).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn(found, F.when(F.col(at).isNotNull(), F.last(found, ignorenulls=True).over(w))).where(F.col(side))
+    return out.select(*left.columns, *[F.col(f"{found}.{v}").alias(v) for v in values])
+
+
+def merged_spells(spells: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """(key, start, end): spells that overlap or touch as one; a null end is open; spells without a start, or that end before it, go."""
+    s = spells.select(key, F.col(start).alias("\u0001from"), F.coalesce(F.col(end), F.to_date(F.lit("9999-12-31"))).alias("\u0001to")).where(F.col("\u0001from") <= F.col("\u0001to"))
+    w = Window.partitionBy(key).orderBy("\u0001from", "\u0001to")
+    reach = F.max("\u0001to").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = reach.isNull() | (F.datediff(F.col("\u0001from"), reach) > 1)
+    s = s.withColumn("\u0001new", new.cast("int")).withColumn("\u0001n", F.sum("\u0001new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return s.groupBy(key, "\u0001n").agg(F.min("\u0001from").alias(start), F.max("\u0001to").alias(end)).drop("\u0001n")
+
+
+def expand_intervals(spells: DataFrame, days: DataFrame, key: str, start: str, end: str, day: str, flag: str = "flag", width: int = 64) -> DataFrame:
     """(key, day, flag) for every key with a spell and every day: 1 if the day lies in one of its spells (open end: for ever).
 
-    A spell is unrolled to its days and joined to them by equality; days is a calendar.
+    Spells are merged, cut to the calendar and laid into bins of `width` days; a day meets the spells of its key and bin. So a spell costs its bins,
+    not its days, and no day meets two of them.
     """
-    last = days.agg(F.max(day)).first()[0]
+    first, last = days.agg(F.min(day), F.max(day)).first()
+    keys = spells.select(key).distinct()
     if last is None:
-        return spells.select(key).limit(0).join(days, F.lit(True)).withColumn(flag, F.lit(0))
-    until = F.least(F.coalesce(F.col(end), F.lit(last)), F.lit(last))
-    hit = spells.where(F.col(start) <= until).select(key, F.explode(F.sequence(F.col(start), until)).alias(day)).distinct().withColumn(flag, F.lit(1))
-    grid = spells.select(key).distinct().crossJoin(F.broadcast(days.select(day).distinct()))
-    return grid.join(hit, [key, day], "left").withColumn(flag, F.coalesce(flag, F.lit(0)))
+        return keys.limit(0).join(days.select(day), F.lit(True)).withColumn(flag, F.lit(0))
+    bins = lambda x: F.floor(F.unix_date(x) / width)
+    s = merged_spells(spells, key, start, end).select(key, F.greatest(start, F.lit(first)).alias("\u0001from"), F.least(end, F.lit(last)).alias("\u0001to")).where(F.col("\u0001from") <= F.col("\u0001to"))
+    s = s.withColumn("\u0001bin", F.explode(F.sequence(bins(F.col("\u0001from")), bins(F.col("\u0001to")))))
+    grid = keys.crossJoin(F.broadcast(days.select(day).distinct())).withColumn("\u0001bin", bins(F.col(day)))  # days: a calendar, some thousands at most
+    own = s.select(F.col(key).alias("\u0001key"), F.col("\u0001bin").alias("\u0001b"), "\u0001from", "\u0001to")
+    met = grid.join(own, (F.col(key) == F.col("\u0001key")) & (F.col("\u0001bin") == F.col("\u0001b")) & F.col(day).between(F.col("\u0001from"), F.col("\u0001to")), "left")
+    return met.select(key, day, F.col("\u0001from").isNotNull().cast("int").alias(flag))
 
 
 def replicate(df: DataFrame, dates: DataFrame) -> DataFrame:
@@ -87,8 +121,8 @@ def pairs_before(df: DataFrame, at: str, columns: Sequence[str]) -> DataFrame:
 
 def between_batches(events: DataFrame, batches: DataFrame, at: str, start: str) -> DataFrame:
     """Events with the batch they fall in: after its start, up to and with the next one's. As-of, strict, on one series."""
-    one = batches.select(F.col(start)).distinct().withColumns({"_k": F.lit(0), "batch": F.col(start)})
-    return asof(events.withColumn("_k", F.lit(0)), one, "_k", at, start, ["batch"], strict=True).drop("_k")
+    one = batches.select(F.col(start)).distinct().withColumns({"\u0001k": F.lit(0), "batch": F.col(start)})
+    return asof(events.withColumn("\u0001k", F.lit(0)), one, "\u0001k", at, start, ["batch"], strict=True).drop("\u0001k")
 
 
 def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default: Column | None = None) -> DataFrame:

@@ -36,16 +36,32 @@ def join_statements(balance: DataFrame, income: DataFrame, cash: DataFrame, keys
 
 
 def latest_restatement(df: DataFrame, entity: str, end: str, announced: str) -> DataFrame:
-    """One row a period, the one announced last."""
-    return keep_one(df, [entity, end], [F.col(announced).desc_nulls_last()])
+    """One row a period, the one announced last; of several of that day the one with the largest values, column by column."""
+    rest = [c for c in df.columns if c not in (entity, end, announced)]
+    return keep_one(df, [entity, end], [F.col(announced).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in rest]])
+
+
+def validity(df: DataFrame, entity: str, end: str, announced: str, since: str = "valid_from", until: str = "valid_to") -> DataFrame:
+    """All versions of a period, each with the days from which on and before which it is the last one (null: still). One version an announcement day; unannounced ones go."""
+    one = best_version(df.where(F.col(announced).isNotNull()), [entity, end, announced], announced, [c for c in df.columns if c not in (entity, end, announced)])
+    return one.withColumns({since: F.col(announced), until: F.lead(announced).over(Window.partitionBy(entity, end).orderBy(announced))})
+
+
+def known_versions(panel: DataFrame, df: DataFrame, entity: str, day: str, end: str, announced: str, values: Sequence[str]) -> DataFrame:
+    """P04 with P14, bitemporal: each row of the panel with the latest period announced by its day and its values as they stood that day (before it is restated, the old ones)."""
+    one = best_version(df.where(F.col(announced).isNotNull()), [entity, end, announced], announced, list(values))
+    # at each announcement the latest period so far, in its latest version so far
+    state = F.max(F.struct(F.col(end).alias("end"), F.col(announced).alias("at"), F.struct(*values).alias("v"))).over(Window.partitionBy(entity).orderBy(announced).rangeBetween(Window.unboundedPreceding, 0))
+    known = keep_one(one.withColumn("\u0001s", state).select(entity, announced, F.col("\u0001s.end").alias(end), F.col("\u0001s.at").alias("\u0001since"), *[F.col(f"\u0001s.v.{v}").alias(v) for v in values]), [entity, announced], [F.col(end).desc_nulls_last()])
+    return asof(panel, known.withColumnRenamed("\u0001since", "version_of"), entity, day, announced, [end, "version_of", *values])
 
 
 def year_ago(df: DataFrame, entity: str, end: str, measures: Sequence[str]) -> DataFrame:
     """Adds <measure>_ya, the value of the period that ended a year before."""
-    back = df.select(entity, F.col(end).alias("_end"), *[F.col(c).alias(f"{c}_ya") for c in measures])
+    back = df.select(entity, F.col(end).alias("\u0001end"), *[F.col(c).alias(f"{c}_ya") for c in measures])
     same = F.add_months(F.col(end), -12)
     last_day = F.when(F.last_day(end) == F.col(end), F.last_day(same)).otherwise(same)
-    return df.withColumn("_end", last_day).join(back, [entity, "_end"], "left").drop("_end")
+    return df.withColumn("\u0001end", last_day).join(back, [entity, "\u0001end"], "left").drop("\u0001end")
 
 
 def growth(now: Column, before: Column) -> Column:

@@ -14,17 +14,17 @@ from panelframe.functions.kernels import div
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in a total order."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return df.withColumn("\u0001rn", F.row_number().over(w)).where(F.col("\u0001rn") == 1).drop("\u0001rn")
 
 
 def top_k(df: DataFrame, k: int, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The k first rows of each group."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rn") <= k).drop("_rn")
+    return df.withColumn("\u0001rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("\u0001rn") <= k).drop("\u0001rn")
 
 
 def every_nth(df: DataFrame, n: int, order: str) -> DataFrame:
     """Rows 0, n, 2n, ... of a date series (one row a date)."""
-    return df.withColumn("_rn", F.row_number().over(Window.orderBy(order)) - 1).where(F.col("_rn") % n == 0).drop("_rn")
+    return df.withColumn("\u0001rn", F.row_number().over(Window.orderBy(order)) - 1).where(F.col("\u0001rn") % n == 0).drop("\u0001rn")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -34,8 +34,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def append_distinct(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Old rows win over new ones; within a side the first in order."""
-    both = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)), allowMissingColumns=True)
-    return keep_one(both, keys, [F.col("_side"), *order]).drop("_side")
+    both = old.withColumn("\u0001side", F.lit(0)).unionByName(new.withColumn("\u0001side", F.lit(1)), allowMissingColumns=True)
+    return keep_one(both, keys, [F.col("\u0001side"), *order]).drop("\u0001side")
 
 
 def changes(state: DataFrame, now: DataFrame, key: str, value: str) -> DataFrame:
@@ -45,8 +45,8 @@ def changes(state: DataFrame, now: DataFrame, key: str, value: str) -> DataFrame
 
 def latest(df: DataFrame, key: str, order: str, values: Sequence[str]) -> DataFrame:
     """The last record of each key."""
-    last = df.groupBy(key).agg(F.max(F.struct(order, *values)).alias("_r"))
-    return last.select(key, *[F.col(f"_r.{c}").alias(c) for c in (order, *values)])
+    last = df.groupBy(key).agg(F.max(F.struct(order, *values)).alias("\u0001r"))
+    return last.select(key, *[F.col(f"\u0001r.{c}").alias(c) for c in (order, *values)])
 
 
 def carry_flags(flags: DataFrame, state: DataFrame, calendar: DataFrame, key: str, day: str, flag: str) -> DataFrame:
@@ -59,9 +59,9 @@ def carry_flags(flags: DataFrame, state: DataFrame, calendar: DataFrame, key: st
 def describe(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     """Count, mean, deviation, quantiles and extremes of a group."""
     q = F.percentile(x, F.array(*map(F.lit, (0.01, 0.25, 0.5, 0.75, 0.99))))
-    out = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("_q"), F.max(x).alias("max"), F.sum(x).alias("sum"), F.count_if(F.col(x) > 0).alias("n_pos"))
+    out = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("\u0001q"), F.max(x).alias("max"), F.sum(x).alias("sum"), F.count_if(F.col(x) > 0).alias("n_pos"))
     names = ("p01", "p25", "median", "p75", "p99")
-    return out.select(*by, "n", "mean", "std", "min", *[F.col("_q")[i].alias(c) for i, c in enumerate(names)], "max", "sum", "n_pos", t_stat(F.col("mean"), F.col("std"), F.col("n")).alias("t"))
+    return out.select(*by, "n", "mean", "std", "min", *[F.col("\u0001q")[i].alias(c) for i, c in enumerate(names)], "max", "sum", "n_pos", t_stat(F.col("mean"), F.col("std"), F.col("n")).alias("t"))
 
 
 def t_stat(mean: Column, std: Column, n: Column) -> Column:
@@ -73,9 +73,9 @@ def correlations(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Pearson and Spearman (average ranks) over pairs, slope and intercept of y on x."""
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     rank = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2.0
-    r = ok.withColumns({"_rx": rank(x), "_ry": rank(y)})
+    r = ok.withColumns({"\u0001rx": rank(x), "\u0001ry": rank(y)})
     safe = lambda a, b: div(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), safe(x, y).alias("pearson"), safe("_rx", "_ry").alias("spearman"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), safe(x, y).alias("pearson"), safe("\u0001rx", "\u0001ry").alias("spearman"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
 
 def cut(x: Column, edges: Sequence[float], labels: Sequence[str], right: bool = True) -> Column:
@@ -89,8 +89,8 @@ def cut(x: Column, edges: Sequence[float], labels: Sequence[str], right: bool =
 
 def qcut(df: DataFrame, by: Sequence[str], x: str, n: int, out: str = "bucket") -> DataFrame:
     """Quantile bins 0..n-1, right-closed, by exact interpolated edges of the group."""
-    edges = df.groupBy(*by).agg(F.percentile(x, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("_edges"))
-    return df.join(edges, list(by)).withColumn(out, F.when(F.col(x).isNotNull(), F.size(F.filter("_edges", lambda e: e < F.col(x))))).drop("_edges")
+    edges = df.groupBy(*by).agg(F.percentile(x, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("\u0001edges"))
+    return df.join(edges, list(by)).withColumn(out, F.when(F.col(x).isNotNull(), F.size(F.filter("\u0001edges", lambda e: e < F.col(x))))).drop("\u0001edges")
 
 
 def histogram(df: DataFrame, x: str, lo: float, hi: float, bins: int) -> DataFrame:

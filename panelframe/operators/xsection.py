@@ -13,9 +13,9 @@ from panelframe.functions.kernels import TINY, div
 
 def winsorize(df: DataFrame, day: str, columns: Sequence[str], lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     """Columns clipped to their exact interpolated quantiles of the date."""
-    q = df.groupBy(day).agg(*[F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias(f"_q_{c}") for c in columns])
-    clip = {c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"_q_{c}")[0]), F.col(f"_q_{c}")[1])) for c in columns}
-    return df.join(q, day).withColumns(clip).drop(*[f"_q_{c}" for c in columns])
+    q = df.groupBy(day).agg(*[F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias(f"\u0001q_{c}") for c in columns])
+    clip = {c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"\u0001q_{c}")[0]), F.col(f"\u0001q_{c}")[1])) for c in columns}
+    return df.join(q, day).withColumns(clip).drop(*[f"\u0001q_{c}" for c in columns])
 
 
 def neutralize(df: DataFrame, day: str, industry: str, size: str, columns: Sequence[str]) -> DataFrame:
@@ -25,21 +25,21 @@ def neutralize(df: DataFrame, day: str, industry: str, size: str, columns: Seque
     counts to the first one of the date. Rows without the value or the size, and dates with fewer than two rows, give null.
     """
     c = Window.partitionBy(day)
-    df = df.withColumns({"_g": F.coalesce(F.col(industry), F.min(industry).over(c), F.lit("")), "_x": F.when(F.col(size) > 0, F.ln(size))})
-    df = df.withColumn("_x", F.col("_x") - F.avg("_x").over(c))
+    df = df.withColumns({"\u0001g": F.coalesce(F.col(industry), F.min(industry).over(c), F.lit("")), "\u0001x": F.when(F.col(size) > 0, F.ln(size))})
+    df = df.withColumn("\u0001x", F.col("\u0001x") - F.avg("\u0001x").over(c))
     sums = []
     for i, name in enumerate(columns):
-        ok = F.col("_x").isNotNull() & F.col(name).isNotNull()
-        x, y = F.when(ok, F.col("_x")), F.when(ok, F.col(name))
-        sums += [F.count(x).alias(f"_n{i}"), F.avg(x).alias(f"_mx{i}"), F.avg(y).alias(f"_my{i}"), F.covar_pop(x, y).alias(f"_cxy{i}"), F.var_pop(x).alias(f"_vx{i}")]
-    groups = df.groupBy(day, "_g").agg(*sums)
+        ok = F.col("\u0001x").isNotNull() & F.col(name).isNotNull()
+        x, y = F.when(ok, F.col("\u0001x")), F.when(ok, F.col(name))
+        sums += [F.count(x).alias(f"\u0001n{i}"), F.avg(x).alias(f"\u0001mx{i}"), F.avg(y).alias(f"\u0001my{i}"), F.covar_pop(x, y).alias(f"\u0001cxy{i}"), F.var_pop(x).alias(f"\u0001vx{i}")]
+    groups = df.groupBy(day, "\u0001g").agg(*sums)
     fits = groups
     for i in range(len(columns)):
-        xy, xx = F.sum(F.col(f"_cxy{i}") * F.col(f"_n{i}")).over(c), F.sum(F.col(f"_vx{i}") * F.col(f"_n{i}")).over(c)
-        fits = fits.withColumns({f"_b{i}": F.coalesce(div(xy, F.when(xx > TINY, xx)), F.lit(0.0)), f"_all{i}": F.sum(f"_n{i}").over(c)})
-    out = df.join(fits, [day, "_g"])
-    residual = {f"{name}_neutral": F.when(F.col(f"_all{i}") >= 2, F.col(name) - F.col(f"_my{i}") - F.col(f"_b{i}") * (F.col("_x") - F.col(f"_mx{i}"))) for i, name in enumerate(columns)}
-    return out.select(*[x for x in df.columns if x not in ("_g", "_x")], *[v.alias(k) for k, v in residual.items()])
+        xy, xx = F.sum(F.col(f"\u0001cxy{i}") * F.col(f"\u0001n{i}")).over(c), F.sum(F.col(f"\u0001vx{i}") * F.col(f"\u0001n{i}")).over(c)
+        fits = fits.withColumns({f"\u0001b{i}": F.coalesce(div(xy, F.when(xx > TINY, xx)), F.lit(0.0)), f"\u0001all{i}": F.sum(f"\u0001n{i}").over(c)})
+    out = df.join(fits, [day, "\u0001g"])
+    residual = {f"{name}_neutral": F.when(F.col(f"\u0001all{i}") >= 2, F.col(name) - F.col(f"\u0001my{i}") - F.col(f"\u0001b{i}") * (F.col("\u0001x") - F.col(f"\u0001mx{i}"))) for i, name in enumerate(columns)}
+    return out.select(*[x for x in df.columns if x not in ("\u0001g", "\u0001x")], *[v.alias(k) for k, v in residual.items()])
 
 
 def zscore(x: Column, day: str) -> Column:
@@ -100,7 +100,7 @@ def attach(df: DataFrame, industries: DataFrame, market: DataFrame, day: str, in
     """Both tables back to the rows; infinite values become null."""
     key = F.coalesce(F.col(industry), F.lit("__UNKNOWN__"))
     added = [c for c in (*industries.columns, *market.columns) if c not in (day, industry)]
-    out = df.withColumn("_ind", key).join(industries.withColumnRenamed(industry, "_ind"), [day, "_ind"], "left").join(market, day, "left").drop("_ind")
+    out = df.withColumn("\u0001ind", key).join(industries.withColumnRenamed(industry, "\u0001ind"), [day, "\u0001ind"], "left").join(market, day, "left").drop("\u0001ind")
     return out.withColumns({c: F.when(F.abs(F.col(c)) != float("inf"), F.col(c)) for c in added})
 
 

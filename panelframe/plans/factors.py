@@ -241,9 +241,11 @@ def alpha101(rank: Callable[[Ex], Ex] = prank) -> dict[str, Ex]:
     }
 
 
-def price_distance(x: Ex = C) -> Ex:
+def price_distance(x: Ex = C, window: int | None = None) -> Ex:
+    """Up to the next 1, 10 or 100 by price band; its mean over the window, if there is one."""
     step = where(x < 10, 1.0, where(x < 100, 10.0, 100.0))
-    return ceil(x / step) * step - x
+    up = ceil(x / step) * step - x
+    return up if window is None else mean(up, window)
 
 
 def rsrs(n: int = 18, m: int = 200) -> Ex:
@@ -338,11 +340,24 @@ RAW = {"open_hfq": "open", "high_hfq": "high", "low_hfq": "low", "close_hfq": "c
 
 
 def on_raw(named: dict[str, Ex]) -> dict[str, Ex]:
-    """The same factors on unadjusted prices."""
+    """The same formulas on unadjusted prices."""
     swap = lambda e: col(RAW.get(e.params[0], e.params[0])) if e.op == "col" else Ex(e.op, tuple(map(swap, e.args)), e.params)
     return {n: swap(e) for n, e in named.items()}
 
 
+def legacy() -> dict[str, Ex]:
+    """The earlier definitions, on unadjusted prices: the label of the row's own price, and the looser second push of the trend.
+
+    The trend pushes again where the fast line is above the slow one, the bar is higher than the day before, and the day before
+    was a pullback: its bar not above zero, or lower than the one before it. The others are those of the technical family.
+    """
+    m = macd()
+    bar = m["macd"]
+    push = (m["dif"] > m["dea"]) & (bar > lag(bar, 1)) & ((lag(bar, 1) <= 0) | (lag(bar, 1) - lag(bar, 2) < 0))
+    now = {k: v for k, v in technical().items() if k not in ("adx", "macd_air_refuel")}
+    return on_raw({**now, "label": lead(C, 5) / C - 1, "macd_air_refuel": flag(push)})
+
+
 def columns_of(e: Ex) -> set[str]:
     return {e.params[0]} if e.op == "col" else set().union(*(columns_of(a) for a in e.args))
 

@@ -22,11 +22,13 @@ from panelframe.plans import factors as FX
 from panelframe.plans import panels as P
 from panelframe.queries import ORACLE_SQL, QUERIES, _DIGITS, bars, bars_sql, query
 from panelframe.sources import store
-from panelframe.sources.shared import shared_folder
+from panelframe.sources.shared import saved, shared_folder
 from panelframe.sources.versions import Versions
 from panelframe.streaming import increment
 
 _M = bars_sql("month", "m")
+#: Labels of the scored rows reach from the next date to the one after it.
+_AHEAD = 2
 _BASES = (dt.date(1996, 6, 1), dt.date(1997, 6, 1), dt.date(1998, 6, 1))
 _BASE_SQL = ", ".join(f"DATE '{d}'" for d in _BASES)
 
@@ -57,9 +59,10 @@ def train_graded_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.graded_label(_scores(spark, sf_dir), "d", "entity", "label", 5).select("entity", "d", "y")
 
 
-@query(f"WITH {_S}, c AS (SELECT d, percent_rank() OVER (ORDER BY d) AS p FROM (SELECT DISTINCT d FROM sc)), b AS (SELECT min(d) AS cut FROM c WHERE p >= 0.8) SELECT d, count(*) AS n, d >= cut AS valid FROM sc CROSS JOIN b GROUP BY ALL")
+@query(f"WITH {_S}, c AS (SELECT d, percent_rank() OVER (ORDER BY d) AS p FROM (SELECT DISTINCT d FROM sc)), b AS (SELECT min(d) AS cut FROM c WHERE p >= 0.8), e AS (SELECT d FROM c, b WHERE d < cut ORDER BY d DESC LIMIT 2) SELECT d, count(*) AS n, d >= cut AS valid FROM sc CROSS JOIN b WHERE d NOT IN (SELECT d FROM e) GROUP BY ALL")
 def train_split_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = T.chronological_split(_scores(spark, sf_dir), "d")
+    """Labels reach two dates ahead, so that the two dates before the validation dates are in neither part."""
+    a, b = T.chronological_split(_scores(spark, sf_dir), "d", ahead=_AHEAD)
     both = T.groups(a, "d").withColumn("valid", F.lit(False)).unionByName(T.groups(b, "d").withColumn("valid", F.lit(True)))
     return both.withColumnRenamed("count", "n")
 
@@ -92,7 +95,14 @@ def train_ic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(T.ic_score(df.where("d >= '1997-01-01'"), w, "d", "entity", names, 5))
 
 
-_FEATURES = ("score", "vol", "circ_mv")
+_FEATURES = ("score", "vol", "circ_mv", "reversal", "spread", "turnover", "volatility", "strength")
+_MADE = {"reversal": 0 - X.pct(FX.PX, 1), "spread": FX.technical()["high_low_spread"], "turnover": X.mean(FX.TURNOVER, 3), "volatility": X.std(FX.RET, 6), "strength": FX.rsi(6)}
+
+
+def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored month bars with eight features, standardised by date."""
+    m = P.with_values(P.bars(spark, sf_dir, "month"))
+    return T.standardized(_scores(spark, sf_dir).join(X.apply(m, _MADE).select("entity", "d", *_MADE), ["entity", "d"]), "d", _FEATURES)
 
 
 def _evaluated(model, df: DataFrame) -> DataFrame:
@@ -100,53 +110,72 @@ def _evaluated(model, df: DataFrame) -> DataFrame:
     return E.rank_ic(s, ["d"], "score", "label")
 
 
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return T.chronological_split(saved(_featured(spark, sf_dir), "featured"), "d", ahead=_AHEAD)
+
+
 @query()
 def model_elastic_net(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trained on the early dates, judged by rank correlation on the late ones."""
-    early, late = T.chronological_split(_scores(spark, sf_dir), "d")
+    """Trained on the early dates, judged by rank correlation on the late ones; no label of the early ones reaches into them."""
+    early, late = _split(spark, sf_dir)
     return _evaluated(T.fit_elastic_net(early, _FEATURES, "label"), late)
 
 
 @query()
 def model_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    early, late = T.chronological_split(_scores(spark, sf_dir), "d")
+    early, late = _split(spark, sf_dir)
     y = T.head_weight(T.rank_label(early, "d", "label", 5), "d", "label")
     return _evaluated(T.fit_trees(y, _FEATURES, "y", "w"), late)
 
 
 @query()
 def model_boosted_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    early, late = T.chronological_split(_scores(spark, sf_dir), "d")
+    early, late = _split(spark, sf_dir)
     y = T.balance(T.top_label(early, "d", "label", 0.2))
     return _evaluated(T.fit_trees(y, _FEATURES, "y", "w", classify=True, rounds=60), late)
 
 
 @query()
 def model_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.walk_forward(_scores(spark, sf_dir), _FEATURES, "d", "entity", "label", _BASES, lambda d, f, y: T.fit_trees(d, f, y, rounds=60), 24, 2)
+    fit = lambda d, f, y: T.fit_trees(d, f, y, "w", rounds=60)
+    return T.walk_forward(saved(_featured(spark, sf_dir), "featured"), _FEATURES, "d", "entity", "label", _BASES, fit, 24, _AHEAD, 12.0)[0]
 
 
 @query()
 def model_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees on graded labels, one group a date, judged by NDCG on the late dates."""
-    early, late = T.chronological_split(_scores(spark, sf_dir), "d")
-    graded = T.graded_label(T.sample_dates(early, "d", "entity", 500), "d", "entity", "label", 5)
+    early, late = _split(spark, sf_dir)
+    graded = T.graded_label(T.sample_dates(early, "d", "entity"), "d", "entity", "label")
+    if graded.isEmpty():  # small tables: fewer names a date than ten a level
+        graded = T.graded_label(T.sample_dates(early, "d", "entity"), "d", "entity", "label", 5)
     s = T.score(T.fit_trees(graded, _FEATURES, "y", rounds=60), late, _FEATURES, "d", "entity").join(late.select("d", "entity", "label"), ["d", "entity"])
     return E.ndcg(s, "d", "score", "label", "entity")
 
 
 @query()
 def model_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elastic nets over two settings, by mean rank correlation on late dates; best first."""
-    fit = lambda d, f, y, l1, penalties: T.fit_elastic_net(d, f, y, (l1,), penalties)
-    found = T.grid_search(_scores(spark, sf_dir), _FEATURES, "d", "entity", "label", fit, {"l1": (0.1, 0.5, 0.9), "penalties": (10, 50)})
-    return spark.createDataFrame([(i, how["l1"], how["penalties"], ic) for i, (how, ic) in enumerate(found)], "place int, l1 double, penalties int, ic double")
+    """Elastic nets over their settings, windows and half-lives, fitted side by side, by mean rank correlation on late dates; best first."""
+    fit = lambda d, f, y, l1, penalties: T.fit_elastic_net(d, f, y, (l1,), penalties, weight="w")
+    grid = {"l1": (0.1, 0.5, 0.9), "penalties": (10, 50), "window": (24, 60), "half": (12.0, None)}
+    found = T.grid_search(_featured(spark, sf_dir), _FEATURES, "d", "entity", "label", fit, grid, ahead=_AHEAD)
+    return spark.createDataFrame([(i, how["l1"], how["penalties"], how["window"], how["half"], ic) for i, (how, ic) in enumerate(found)], "place int, l1 double, penalties int, window int, half double, ic double")
+
+
+@query()
+def model_tuned_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refits every ten months; settings searched before the first and every 20 months, windows and half-lives with every second search; what each refit used, and how its scores did."""
+    df = saved(_featured(spark, sf_dir), "featured")
+    days = [r[0] for r in df.select("d").distinct().orderBy("d").collect()]
+    fit = lambda d, f, y, l1=0.5: T.fit_elastic_net(d, f, y, (l1,), 20, weight="w")
+    scored, used = T.walk_forward(df, _FEATURES, "d", "entity", "label", days[30::10], fit, 24, _AHEAD, 12.0, {"l1": (0.1, 0.9)}, {"window": (18, 30), "half": (6.0, None)}, 20, 2, 30)
+    said = spark.createDataFrame([(c.base, ", ".join(c.searched), str(dict(c.params)), c.window, c.half) for c in used], "base date, searched string, params string, window int, half double")
+    return said.join(E.rank_ic(scored, ["base", "d"], "score", "label").groupBy("base").agg(F.avg("ic").alias("ic"), F.count(F.lit(1)).alias("dates")), "base", "left")
 
 
-@query(f"WITH {_S}, p AS (SELECT d, count(*) AS n FROM sc GROUP BY d) SELECT d, least(n, 7) AS n FROM p")
+@query(f"WITH {_S} SELECT entity, d FROM (SELECT entity, d, row_number() OVER (PARTITION BY d ORDER BY md5(CAST(entity AS VARCHAR) || '|' || CAST(d AS VARCHAR) || '|0'), entity) AS p FROM sc) WHERE p <= 7")
 def train_sampled_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most seven rows a date."""
-    return T.sample_dates(_scores(spark, sf_dir), "d", "entity", 7).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    """Which seven rows of each date."""
+    return T.sample_dates(_scores(spark, sf_dir), "d", "entity", 7).select("entity", "d")
 
 
 # ---- scalar helpers, upkeep, stream -------------------------------------------------------------------
@@ -154,21 +183,45 @@ def train_sampled_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST(CAST(o_orderdate AS DATE) - INTERVAL 12 MONTH AS DATE) AS year_ago, CAST(CAST(o_orderdate AS DATE) + CASE dayofweek(o_orderdate) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS DATE) AS weekday,
-    round(ln(o_totalprice), 6) AS log_price, CAST(floor(o_totalprice / 100) * 100 AS BIGINT) AS lots, least(greatest(o_totalprice, 1000), 100000) AS clipped, TRY_CAST(o_orderpriority AS DOUBLE) AS number, CAST(upper(o_orderpriority) LIKE '%ST%' AS BOOLEAN) AS special, round(pow(2, -(o_orderkey % 100) / 20.0), 6) AS weight FROM orders"""
+    round(ln(o_totalprice), 6) AS log_price, CAST(floor(o_totalprice / 100) * 100 AS BIGINT) AS lots, least(greatest(o_totalprice, 1000), 100000) AS clipped, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderpriority[1] AS DOUBLE) WHEN 1 THEN o_custkey / 8 ELSE NULL END AS number, o_orderkey % 3 = 0 AS special, concat(right(o_orderpriority, 2), '.', substr(o_orderpriority, 3, 2)) AS ends, o_orderkey % 5 = 0 OR o_orderkey % 5 = 3 AS main, round(pow(2, -(o_orderkey % 100) / 20.0), 6) AS weight FROM orders"""
 )
 def scalar_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = P.table(spark, sf_dir, "orders")
-    day, p = F.to_date("o_orderdate"), F.col("o_totalprice")
+    day, p, k = F.to_date("o_orderdate"), F.col("o_totalprice"), F.col("o_orderkey")
+    # numbers as text, of which a half doesn't parse or is no number; names of which a third is marked; codes of two boards
+    said = F.when(k % 4 == 0, F.substring("o_orderpriority", 1, 1)).when(k % 4 == 1, (F.col("o_custkey") / 8).cast("string")).when(k % 4 == 2, F.lit("NaN")).otherwise(F.col("o_orderpriority"))
+    name = F.when(k % 3 == 0, F.concat(F.lit("*st "), F.col("o_orderpriority"))).when(k % 3 == 1, F.col("o_orderpriority"))
+    code = F.element_at(F.array(*map(F.lit, ("600000.SH", "688001.SH", "300001.SZ", "000001.sz", "430001.BJ"))), (k % 5 + 1).cast("int"))
     return o.select(
         "o_orderkey", C.normal_date(F.date_format(day, "yyyy/MM/dd")).alias("day"), C.year_before(day).alias("year_ago"), C.next_weekday(day).alias("weekday"), F.round(C.safe_log(p), 6).alias("log_price"),
-        C.lots(p).alias("lots"), C.clip(p, 1000.0, 100000.0).alias("clipped"), C.to_number(F.col("o_orderpriority")).alias("number"), C.special_name(F.col("o_orderpriority")).alias("special"), F.round(C.half_life(F.col("o_orderkey") % 100, 20.0), 6).alias("weight"),
+        C.lots(p).alias("lots"), C.clip(p, 1000.0, 100000.0).alias("clipped"), C.to_number(said).alias("number"), C.special_name(name).alias("special"), F.concat(F.right("o_orderpriority", F.lit(2)), F.lit("."), F.substring("o_orderpriority", 3, 2)).alias("ends"), C.main_board(code).alias("main"), F.round(C.half_life(F.col("o_orderkey") % 100, 20.0), 6).alias("weight"),
     )
 
 
-@query(f"WITH {_W}, {_DIM} SELECT w.entity, d, name FROM w JOIN dim USING (entity) WHERE circ_mv >= 50000 AND NOT upper(name) LIKE '%ST%'")
+_FLAG = "CASE nation % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END"
+
+
+@query(f"WITH {_W}, {_DIM} SELECT w.entity, d, industry FROM w JOIN dim USING (entity) WHERE circ_mv >= 50000 AND NOT coalesce({_FLAG} = 1, upper(industry) LIKE '%ST%')")
 def filter_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = P.with_values(P.bars(spark, sf_dir)).join(P.dimension(spark, sf_dir).select("entity", "name"), "entity")
-    return C.eligible(w, least=50000).select("entity", "d", "name")
+    """A third flagged, a third not, and the rest judged by name (that of the region, of which one is marked)."""
+    dim = P.dimension(spark, sf_dir).select("entity", "industry", F.expr(_FLAG).alias("is_st"))
+    return C.eligible(P.with_values(P.bars(spark, sf_dir)).join(dim, "entity"), name="industry", least=50000).select("entity", "d", "industry")
+
+
+@query(f"WITH {_W}, {_DIM} SELECT w.entity, d, industry, vol FROM w JOIN dim USING (entity) WHERE circ_mv >= 50000 AND upper(industry) NOT LIKE '%ST%'")
+def filter_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a flag the name decides; the key first and only the columns that exist."""
+    w = P.with_values(P.bars(spark, sf_dir)).join(P.dimension(spark, sf_dir).select("entity", "industry"), "entity")
+    return C.with_key(C.eligible(w, name="industry", least=50000), "entity", ["d", "industry", "vol", "no such column"])
+
+
+@query(f"WITH {_W}, c AS (SELECT d, isodow(d + CAST(day(d) % 5 AS INTEGER)) AS k FROM (SELECT DISTINCT d FROM w)), o AS (SELECT d FROM c WHERE k <= 3) SELECT (SELECT min(d) FROM o WHERE d > DATE '1995-06-05') AS next, (SELECT max(d) FROM o WHERE d <= DATE '1995-06-05') AS latest, (SELECT count(*) FROM o) AS n")
+def filter_open_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next and the latest open day of a calendar."""
+    days = P.bars(spark, sf_dir).select("d").distinct()
+    cal = days.withColumn("is_open", (F.weekday(F.date_add("d", F.day("d") % 5)) <= 2).cast("int"))
+    at = dt.date(1995, 6, 5)
+    return spark.createDataFrame([(C.next_open(cal, "d", at), C.latest_open(cal, "d", at), C.open_days(cal, "d").count())], "next date, latest date, n long")
 
 
 @query(f"WITH {_M}, p AS (SELECT entity, min(d) AS start_date, max(d) AS end_date FROM m GROUP BY entity) SELECT entity, start_date, least(end_date, DATE '1998-01-01') AS end_date FROM p")

@@ -120,8 +120,8 @@ def test_elastic_net_meets_its_conditions(spark):
     y = 3 + 2 * x[:, 0] - x[:, 1] + 0.01 * rng.normal(0, 1, 400)
     names = [f"f{i}" for i in range(5)]
     df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)], ", ".join(f"{n} double" for n in names) + ", y double").repartition(5)
-    parts = train.grams(df, names, "y", 3)
-    m = np.column_stack([np.ones(400), x, y])
+    parts, offset = train.grams(df, names, "y", 3)
+    m = np.column_stack([np.ones(400), x - offset[:-1], y - offset[-1]])
     assert np.allclose(sum(parts.values()), m.T @ m) and len(parts) == 3
     for l1, p in ((0.5, 0.3), (1.0, 0.1), (0.1, 1.0)):
         w = train.descend(sum(parts.values()), l1, p)
