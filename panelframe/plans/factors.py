@@ -56,8 +56,8 @@ def kdj(n: int = 9, k: int = 3, d: int = 3) -> dict[str, Ex]:
 
 def rsi(n: int = 14) -> Ex:
     """Simple means of gains and losses; all gain is 100, flat or short history 0."""
-    gain, loss = mean(greatest(delta(C, 1), 0.0), n), mean(0 - least(delta(C, 1), 0.0), n)
-    gain, loss = where(X.not_null(delta(C, 1)), gain), where(X.not_null(delta(C, 1)), loss)
+    move = delta(C, 1)
+    gain, loss = mean(where(X.not_null(move), greatest(move, 0.0)), n), mean(where(X.not_null(move), 0 - least(move, 0.0)), n)
     return where((loss > 1e-12), 100 - 100 / (1 + gain / loss), where(gain > 1e-12, 100.0, 0.0)).fill(0.0)
 
 
@@ -249,8 +249,8 @@ def price_distance(x: Ex = C, window: int | None = None) -> Ex:
 
 
 def rsrs(n: int = 18, m: int = 200) -> Ex:
-    """Slope of high on low over n rows, standardised over m."""
-    s = slope(H, L, n)
+    """Slope of low on high over n rows, standardised over m."""
+    s = slope(L, H, n)
     return ((s - mean(s, m)) / std(s, m)).fill(0.0)
 
 

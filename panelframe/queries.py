@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelframe import oracle
+from panelframe import factor_sql, oracle
 from panelframe.functions import expr as X
 from panelframe.functions.expr import Ex, col
 from panelframe.plans import factors as FX
@@ -71,33 +71,38 @@ _DIGITS = {"": 6} | dict.fromkeys(
 ) | {"amount_ma_20d": 4} | dict.fromkeys("lag_2 lead_3 delta_5 min_10_1 max_10 alpha101_9 alpha101_12 alpha101_23 alpha101_41 vwap positive_flow negative_flow raw_force_index force_index force_index_smoothed price_dist mtm_margin_balance_change alpha101_11 alpha101_20 alpha101_11_x alpha101_20_x".split())  # exact: not rounded
 
 
-def _family(name: str, named: dict[str, Ex], panel: Callable, sql: str) -> None:
+_DIGITS |= {f"{k}_raw": v for k, v in _DIGITS.items() if k}
+
+
+def _family(name: str, named: dict[str, Ex], panel: Callable, sql: str, by_hand: tuple[list, list] | None = None) -> None:
+    """by_hand: the family's steps and names in SQL that was written from the definitions; else the SQL is printed from the formulas."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         read = sorted(set().union(*map(FX.columns_of, named.values())))  # a pass over histories gets no other column
         return X.apply(panel(spark, sf_dir).select("entity", "d", *read), named, digits=_DIGITS).select("entity", "d", *named)
 
     run.__name__ = name
-    query(oracle.select(f"WITH {sql}", ["entity", "d"], named, _DIGITS))(run)
+    query(factor_sql.chain(sql, by_hand[0], list(named), _DIGITS) if by_hand else oracle.select(f"WITH {sql}", ["entity", "d"], named, _DIGITS))(run)
 
 
 _BARS, _DENSE = bars_sql(more=_EXTRA_SQL), dense_sql()
 _TECH = FX.technical()
-_family("factors_labels", FX.labels(), dense, _DENSE)
-_family("factors_technical", _TECH, bars, _BARS)
-_family("factors_size_value", FX.size_value(), bars, _BARS)
-_family("factors_margin_lists", FX.margin_and_lists(), bars, _BARS)
-_family("factors_momentum_shape", FX.momentum(), bars, _BARS)
-_family("factors_momentum_gaps", {k: v for k, v in FX.momentum().items() if k.startswith(("ret_", "dist", "close_ma", "up_day", "intraday"))}, dense, _DENSE)
-_family("factors_poly_shape", FX.poly_shape(), bars, _BARS)
-_family("factors_time_changes", FX.time_changes({**_TECH, "momentum_12_1": FX.size_value()["momentum_12_1"], "turnover_rate_x": col("turnover_rate_x"), "rzye": col("rzye")}), bars, _BARS)
-_family("factors_alpha101", FX.alpha101(), bars, _BARS)
+_family("factors_labels", FX.labels(), dense, _DENSE, factor_sql.labels())
+_family("factors_technical", _TECH, bars, _BARS, factor_sql.technical())
+_family("factors_size_value", FX.size_value(), bars, _BARS, factor_sql.size_value())
+_family("factors_margin_lists", FX.margin_and_lists(), bars, _BARS, factor_sql.margin_lists())
+_family("factors_momentum_shape", FX.momentum(), bars, _BARS, factor_sql.momentum())
+_family("factors_momentum_gaps", FX.momentum(), dense, _DENSE, factor_sql.momentum())
+_family("factors_poly_shape", FX.poly_shape(), bars, _BARS, factor_sql.poly_shape())
+_family("factors_time_changes", FX.time_changes({**_TECH, "momentum_12_1": FX.size_value()["momentum_12_1"], "turnover_rate_x": col("turnover_rate_x"), "rzye": col("rzye")}), bars, _BARS, factor_sql.time_changes())
+_family("factors_alpha101", FX.alpha101(), bars, _BARS, factor_sql.alpha101())
 _family("factors_alpha101_cross_section", {f"{k}_x": v for k, v in FX.alpha101(X.x_rank).items() if k in ("alpha101_3", "alpha101_11", "alpha101_20", "alpha101_33")}, bars, _BARS)
-_family("factors_risk", FX.risk(long=104, rsrs_rows=60), dense, _DENSE)
-_family("factors_risk_long", {k: v for k, v in FX.risk().items() if "750" in k or k == "rsrs"}, dense, _DENSE)
-_family("factors_liquidity", FX.liquidity(52, 104), dense, _DENSE)
-_family("factors_liquidity_long", {k: v for k, v in FX.liquidity().items() if "504" in k or "252d" in k}, dense, _DENSE)
-
-_family("factors_legacy_raw", {f"{k}_raw": v for k, v in FX.on_raw(_TECH).items() if k in ("rsi", "cci", "mfi", "volatility_20d", "reversal_5d", "high_low_spread", "macd_air_refuel")}, bars, _BARS)
+_family("factors_risk", FX.risk(long=104, rsrs_rows=60), dense, _DENSE, factor_sql.risk(104, 60))
+_family("factors_risk_long", {k: v for k, v in FX.risk().items() if "750" in k or k == "rsrs"}, dense, _DENSE, factor_sql.risk(750, 200))
+_family("factors_liquidity", FX.liquidity(52, 104), dense, _DENSE, factor_sql.liquidity(52, 104))
+_family("factors_liquidity_long", {k: v for k, v in FX.liquidity().items() if "504" in k or "252d" in k}, dense, _DENSE, factor_sql.liquidity(252, 504))
+_family("factors_price_distance", {"price_dist_5": FX.price_distance(window=5)}, bars, _BARS, ([[f"CASE WHEN close_hfq < 10 THEN ceil(close_hfq) - close_hfq WHEN close_hfq < 100 THEN ceil(close_hfq / 10) * 10 - close_hfq ELSE ceil(close_hfq / 100) * 100 - close_hfq END AS dist"], [f"{factor_sql.roll('avg', 'dist', 5)} AS price_dist_5"]], []))
+_family("factors_legacy_raw", {f"{k}_raw": v for k, v in FX.legacy().items()}, bars, _BARS, factor_sql.legacy())
 
 # ---- kernels -------------------------------------------------------------------------------
 
