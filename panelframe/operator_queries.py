@@ -13,12 +13,15 @@ from panelframe.operators import cohorts as B
 from panelframe.operators import evaluate as E
 from panelframe.operators import exposure as G
 from panelframe.operators import joins as N
+from panelframe.operators import order as OR
 from panelframe.operators import pit
 from panelframe.operators import relational as H
 from panelframe.operators import xsection as XS
 from panelframe.plans import factors as FX
 from panelframe.plans import panels as P
 from panelframe.queries import ORACLE_SQL, bars_sql, query
+from panelframe.sources.shared import shared_folder
+from panelframe.sources.versions import Versions
 
 
 def _round(df: DataFrame, n: int = 6, **other: int | None) -> DataFrame:
@@ -221,6 +224,40 @@ def factors_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FX.add(_quality_panel(spark, sf_dir), made, digits={"": 6}).select("entity", "d", *made)
 
 
+_VERSIONS = """v AS (SELECT c_nationkey AS nation, CAST(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH AS DATE) - 1 AS end_date, round(coalesce(sum(o_totalprice) FILTER (o_orderpriority[1] <> '5'), 0), 2) AS first_said,
+    round(sum(o_totalprice), 2) AS later_said FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+    vs AS (SELECT nation, end_date, end_date + CAST(20 + nation % 9 AS INTEGER) AS ann, first_said AS revenue FROM v UNION ALL SELECT nation, end_date, end_date + CAST(60 + nation % 50 AS INTEGER), later_said FROM v WHERE nation % 4 <> 1)"""
+
+
+def _restated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarterly revenue by nation in two versions: without the orders of least priority, and, but for some nations, with all of them weeks later (for some after the next quarter's first version)."""
+    o, c = P.table(spark, sf_dir, "orders"), P.table(spark, sf_dir, "customer")
+    end = F.date_sub(F.add_months(F.trunc("o_orderdate", "quarter"), 3), 1)
+    total = lambda x: F.round(F.coalesce(F.sum(x), F.lit(0)), 2).cast("double")
+    v = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("nation"), end.alias("end_date")).agg(total(F.when(~F.col("o_orderpriority").startswith("5"), F.col("o_totalprice"))).alias("early"), total("o_totalprice").alias("late"))
+    version = lambda days, said: v.select("nation", "end_date", F.date_add("end_date", days.cast("int")).alias("ann"), F.col(said).alias("revenue"))
+    n = F.col("nation")
+    return version(20 + n % 9, "early").unionByName(version(60 + n % 50, "late").where(n % 4 != 1))
+
+
+@query(f"WITH {_VERSIONS} SELECT nation, end_date, ann AS valid_from, lead(ann) OVER (PARTITION BY nation, end_date ORDER BY ann) AS valid_to, revenue FROM vs")
+def statement_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of a period with the days on which it is the last one."""
+    return pit.validity(_restated(spark, sf_dir), "nation", "end_date", "ann").select("nation", "end_date", "valid_from", "valid_to", "revenue")
+
+
+@query(
+    f"""WITH {_VERSIONS}, days AS (SELECT DISTINCT CAST(date_trunc('week', l_shipdate) AS DATE) AS d FROM lineitem), g AS (SELECT n_nationkey AS nation, d FROM nation, days),
+    k AS (SELECT g.nation, g.d, arg_max({{'end': vs.end_date, 'ann': vs.ann, 'revenue': vs.revenue}}, (vs.end_date, vs.ann)) AS x FROM g LEFT JOIN vs ON vs.nation = g.nation AND vs.ann <= g.d GROUP BY ALL)
+    SELECT nation, d, x['end'] AS end_date, x['ann'] AS version_of, x['revenue'] AS revenue FROM k"""
+)
+def statement_as_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each nation and week the latest period that had been announced, with the values it had then."""
+    days = P.bars(spark, sf_dir).select("d").distinct()
+    panel = P.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation")).crossJoin(days)  # 25 nations
+    return pit.known_versions(panel, _restated(spark, sf_dir), "nation", "d", "end_date", "ann", ["revenue"])
+
+
 # ---- cross-section ---------------------------------------------------------------------------
 
 
@@ -294,6 +331,49 @@ def xsection_pending_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return XS.pending_dates(m, m.where(F.month("d") != 3), "d")
 
 
+@query(f"WITH {_MI}, b AS (SELECT DISTINCT d, month(d) NOT IN (3, 7) AS built, month(d) NOT IN (3, 5, 7) AS done FROM mi) SELECT d, NOT built AS to_build FROM b WHERE NOT done")
+def xsection_unfinished_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates not built, and dates built but not standardised."""
+    m = P.bars(spark, sf_dir, "month").select("d").distinct()
+    return XS.unfinished_dates(m, m.where(~F.month("d").isin(3, 7)), m.where(~F.month("d").isin(3, 5, 7)), "d")
+
+
+@query(f"WITH {_MI}, q AS (SELECT d, quantile_cont(vol, [0.01, 0.25, 0.5, 0.99]) AS q FROM mi GROUP BY d) SELECT d, round(q[1], 6) AS p01, round(q[2], 6) AS p25, round(q[3], 6) AS p50, round(q[4], 6) AS p99 FROM q")
+def xsection_exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of dates of any size, from one range-partitioned table of values."""
+    q = OR.quantiles(_monthly(spark, sf_dir), "d", "vol", [0.01, 0.25, 0.5, 0.99])
+    return _round(q.select("d", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("p01", "p25", "p50", "p99"))]))
+
+
+@query(f"WITH {_MI} SELECT entity, d, round((rank() OVER (PARTITION BY d ORDER BY round(vol, 9)) + (count(*) OVER (PARTITION BY d, round(vol, 9)) - 1) / 2.0) / count(vol) OVER (PARTITION BY d), 6) AS x_rank, (rank() OVER (PARTITION BY entity ORDER BY round(close_hfq, 9)) + (count(*) OVER (PARTITION BY entity, round(close_hfq, 9)) - 1) / 2.0) AS own_rank FROM mi")
+def xsection_exact_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average ranks of groups of any size, by date and by history."""
+    df = OR.average_ranks(_monthly(spark, sf_dir).select("entity", "d", "vol", "close_hfq"), "d", "vol", "x_rank")
+    return OR.average_ranks(df, "entity", "close_hfq", "own_rank", share=False).select("entity", "d", F.round("x_rank", 6).alias("x_rank"), "own_rank")
+
+
+@query(f"WITH {_MI}, q AS (SELECT d, quantile_cont(vol, 0.01) AS lo, quantile_cont(vol, 0.99) AS hi FROM mi GROUP BY d) SELECT entity, mi.d, round(least(greatest(vol, lo), hi), 6) + 0.0 AS vol FROM mi JOIN q USING (d)")
+def xsection_winsorize_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(XS.winsorize(_monthly(spark, sf_dir).select("entity", "d", "vol"), "d", ["vol"], spread=True).select("entity", "d", "vol"))
+
+
+@query(f"WITH {_W}, a AS (SELECT DISTINCT entity FROM w WHERE vol > 60), b AS (SELECT DISTINCT entity FROM w WHERE amount_x < 40000) SELECT entity, 'both' AS part FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT entity, 'first' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT entity, 'either' FROM (SELECT * FROM a UNION SELECT * FROM b)")
+def set_key_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intersection, difference and union of keys."""
+    w = P.bars(spark, sf_dir)
+    return H.key_sets(w.where("vol > 60"), w.where("amount_x < 40000"), ["entity"])
+
+
+@query(f"""WITH {_M}, r AS (SELECT *, 1 AS source FROM m UNION ALL SELECT * REPLACE (vol + 7 AS vol), 2 FROM m WHERE entity % 3 = 0) SELECT entity, d, arg_min(vol, source) AS vol FROM r GROUP BY entity, d""")
+def set_transposed_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by entity to partitions by date, of an entity's rows of one date the first in a total order."""
+    m = P.bars(spark, sf_dir, "month").select("entity", "d", "vol")
+    both = m.withColumn("source", F.lit(1)).unionByName(m.where("entity % 3 = 0").withColumns({"vol": F.col("vol") + 7, "source": F.lit(2)}))
+    t = Versions(spark, shared_folder(spark, "transposed"))
+    t.replace(H.keep_one(both, ["entity", "d"], [F.col("source"), F.col("vol")]).select("entity", "d", "vol"))
+    return t.read()
+
+
 # ---- aggregates and sets -----------------------------------------------------------------------
 
 
@@ -405,6 +485,17 @@ def eval_ic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(E.ic_summary(E.rank_ic(_scores(spark, sf_dir), ["d"], "score", "label")))
 
 
+@query(
+    f"""WITH {_S}, l AS (SELECT d, label, 'score' AS factor, score AS value FROM sc UNION ALL SELECT d, label, 'vol', vol FROM sc UNION ALL SELECT d, label, 'circ_mv', circ_mv FROM sc),
+    k AS (SELECT d, factor, {_rk("value", "d, factor")} AS rs, {_rk("label", "d, factor")} AS rl FROM l), i AS (SELECT d, factor, covar_pop(rs, rl) / CASE WHEN stddev_pop(rs) * stddev_pop(rl) > 1e-9 THEN stddev_pop(rs) * stddev_pop(rl) END AS ic FROM k GROUP BY ALL HAVING count(*) >= 2)
+    SELECT factor, count(ic) AS n, round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_std, round(avg(ic) / stddev_samp(ic), 6) AS ic_ir, round(avg(CASE WHEN ic > 0 THEN 1.0 WHEN ic <= 0 THEN 0.0 END), 6) AS ic_pos FROM i GROUP BY factor"""
+)
+def eval_factor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlations by factor: mean, deviation, ratio, share above 0."""
+    long = _scores(spark, sf_dir).select("d", "label", "score", "vol", "circ_mv").unpivot(["d", "label"], ["score", "vol", "circ_mv"], "factor", "value")
+    return _round(E.ic_summary(E.rank_ic(long, ["d", "factor"], "value", "label"), ["factor"]))
+
+
 @query(
     f"""WITH {_S}, p AS (SELECT *, ({_rk("score")}) / count(*) OVER (PARTITION BY d) AS p FROM sc), b AS (SELECT *, CASE WHEN p <= 0.2 THEN 1 WHEN p <= 0.4 THEN 2 WHEN p <= 0.6 THEN 3 WHEN p <= 0.8 THEN 4 ELSE 5 END AS b FROM p)
     SELECT d, {", ".join(f"round(avg(label) FILTER (b = {i}), 6) + 0.0 AS q{i}" for i in range(1, 6))}, round(avg(label) FILTER (b = 5) - avg(label) FILTER (b = 1), 6) + 0.0 AS long_short FROM b GROUP BY d"""

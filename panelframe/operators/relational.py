@@ -32,6 +32,17 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def key_sets(a: DataFrame, b: DataFrame, keys: Sequence[str], part: str = "part") -> DataFrame:
+    """The distinct keys of both, with what they are in: 'both', 'first' (not in the second), and once more 'either'."""
+    a, b = a.select(*keys).distinct(), b.select(*keys).distinct()
+    named = {"both": a.intersect(b), "first": a.exceptAll(b), "either": a.union(b).distinct()}
+    out = None
+    for name, df in named.items():
+        one = df.withColumn(part, F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def append_distinct(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Old rows win over new ones; within a side the first in order."""
     both = old.withColumn("\u0001side", F.lit(0)).unionByName(new.withColumn("\u0001side", F.lit(1)), allowMissingColumns=True)

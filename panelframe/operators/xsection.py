@@ -9,10 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelframe.functions.kernels import TINY, div
-
-
-def winsorize(df: DataFrame, day: str, columns: Sequence[str], lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    """Columns clipped to their exact interpolated quantiles of the date."""
+from panelframe.operators import order
+
+
+def winsorize(df: DataFrame, day: str, columns: Sequence[str], lo: float = 0.01, hi: float = 0.99, spread: bool = False) -> DataFrame:
+    """Columns clipped to their exact interpolated quantiles of the date. spread: for dates of any size, whose values then never meet in one task."""
+    if spread:
+        q = None
+        for c in columns:
+            own = order.quantiles(df, day, c, [lo, hi], f"\u0001q_{c}")
+            q = own if q is None else q.join(own, day, "full")
+        clip = {c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"\u0001q_{c}")[0]), F.col(f"\u0001q_{c}")[1])) for c in columns}
+        return df.join(q, day, "left").withColumns(clip).drop(*[f"\u0001q_{c}" for c in columns])
     q = df.groupBy(day).agg(*[F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias(f"\u0001q_{c}") for c in columns])
     clip = {c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"\u0001q_{c}")[0]), F.col(f"\u0001q_{c}")[1])) for c in columns}
     return df.join(q, day).withColumns(clip).drop(*[f"\u0001q_{c}" for c in columns])
@@ -69,6 +77,18 @@ def pending_dates(calendar: DataFrame, manifest: DataFrame, day: str) -> DataFra
     return calendar.select(day).distinct().join(manifest.select(day), day, "left_anti")
 
 
+def unfinished_dates(calendar: DataFrame, built: DataFrame, standardized: DataFrame, day: str) -> DataFrame:
+    """(day, to_build) of the calendar dates that are not standardised; to_build: not even built."""
+    todo = pending_dates(calendar, standardized, day)
+    return todo.join(built.select(day).distinct().withColumn("\u0001b", F.lit(True)), day, "left").select(day, F.col("\u0001b").isNull().alias("to_build"))
+
+
+def rebuild_needed(have: Sequence[str], wanted: Sequence[str]) -> tuple[bool, list[str]]:
+    """Whether the newest partition lacks columns that are wanted (then all dates are built again), and which."""
+    lacking = [c for c in wanted if c not in set(have)]
+    return bool(lacking), lacking
+
+
 def industry_features(df: DataFrame, day: str, industry: str, ret: str, flow: str, size: str, pe: str) -> DataFrame:
     """By date and industry: sums, shares and ranks over rows of the industry's own history."""
     g = df.withColumn(industry, F.coalesce(F.col(industry), F.lit("__UNKNOWN__")))

@@ -1,15 +1,15 @@
 """Readers, sinks and upkeep of panel tables: CSV folders, date partitions, manifests.
 
 A table is a folder of Parquet partitions by date with a fixed schema. Writers replace
-whole partitions, so that a rerun of a date gives the same table.
+whole partitions, so that a rerun of a date gives the same table. Upserts, compaction, resets and rollbacks with
+readers at work are in panelframe.sources.versions.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -91,36 +91,6 @@ def entities(df: DataFrame, entity: str = "entity") -> DataFrame:
     return df.select(entity).distinct()
 
 
-def upsert_dates(spark: SparkSession, new: DataFrame, path: str, keys: Sequence[str] = ("entity", "d"), day: str = "d") -> None:
-    """New rows win by key inside the partitions they touch; others are not read."""
-    old = read_dates(spark, path).join(new.select(day).distinct(), day, "left_semi")
-    aside = f"{path.rstrip('/')}-upsert-{uuid.uuid4().hex}"
-    merged = upsert(old, new, keys)
-    merged.write.parquet(aside)  # whole before the table changes; the same call again gives the same table
-    write_dates(spark.read.schema(merged.schema).parquet(aside), path, day)
-
-
-def merge_columns(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """New values win on equal keys, columns are united, computed columns of old rows stay."""
-    return keep_old(old, new, keys)
-
-
-def compact(spark: SparkSession, path: str, target: str, day: str = "d") -> None:
-    """The same rows written anew, a file a date, to another path; the caller points readers there."""
-    write_dates(read_dates(spark, path), target, day, "errorifexists")
-
-
-def drop_date(spark: SparkSession, path: str, target: str, value, day: str = "d") -> None:
-    """All dates but one, to another path; the old table stays."""
-    write_dates(read_dates(spark, path).where(F.col(day) != F.lit(value)), target, day, "errorifexists")
-
-
-def stats(df: DataFrame, day: str = "d") -> DataFrame:
-    """Dates, rows, entities' files and the last date."""
-    own = df.select(day, F.input_file_name().alias("_file"))
-    return own.agg(F.count_distinct(day).alias("dates"), F.count(F.lit(1)).alias("rows"), F.count_distinct("_file").alias("files"), F.max(day).alias("latest"))
-
-
 def footer_columns(spark: SparkSession, path: str) -> list[str]:
     """Names without reading rows."""
     return spark.read.parquet(path).columns
@@ -159,10 +129,6 @@ def since_last(calendar: DataFrame, n: int, day: str = "d"):
     return row[0]
 
 
-def col_or(df: DataFrame, name: str, default) -> Column:
-    return F.col(name) if name in df.columns else F.lit(default)
-
-
 def extend_panel(old: DataFrame, sources: Sequence[DataFrame], keys: Sequence[str], day: str = "d") -> DataFrame:
     """The wide panel with the rows of its sources after its last date: only these are joined; old rows stay as they are."""
     last = latest_date(old, day)

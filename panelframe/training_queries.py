@@ -325,6 +325,21 @@ def filter_listed_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.select("entity", "d", "shares", "name")
 
 
+@query(
+    f"""WITH {_M}, {_DIM}, c AS (SELECT *, lpad(CAST(CASE entity % 4 WHEN 0 THEN 600000 WHEN 1 THEN 688000 WHEN 2 THEN 0 ELSE 300000 END + entity AS VARCHAR), 6, '0') || CASE WHEN entity % 4 < 2 THEN '.SH' ELSE '.SZ' END AS code FROM m),
+    f AS (SELECT d, avg(vol) AS market_vol FROM m GROUP BY d) SELECT code, c.d, industry AS name, market_vol_r AS market_vol FROM c JOIN dim USING (entity) LEFT JOIN (SELECT d, round(market_vol, 6) AS market_vol_r FROM f) USING (d)
+    WHERE nation < 20 AND entity % 4 IN (0, 2) AND circ_mv >= 1000 AND upper(industry) NOT LIKE '%ST%'"""
+)
+def filter_board_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed names of the main board by their codes, with market features attached, without marked and small ones."""
+    m = P.with_values(P.bars(spark, sf_dir, "month"))
+    base = F.element_at(F.array(*map(F.lit, (600000, 688000, 0, 300000))), (F.col("entity") % 4 + 1).cast("int"))
+    code = F.concat(F.lpad((base + F.col("entity")).cast("string"), 6, "0"), F.when(F.col("entity") % 4 < 2, ".SH").otherwise(".SZ"))
+    names = P.dimension(spark, sf_dir).where("nation < 20").select(code.alias("code"), F.col("industry").alias("name"))
+    features = m.groupBy("d").agg(F.round(F.avg("vol"), 6).alias("market_vol"))
+    return C.eligible_view(m.withColumn("code", code), names, "code", features, ["d"], board=True, least=1000).select("code", "d", "name", "market_vol")
+
+
 _VOL_MA = X.mean(X.col("vol"), 20)
 
 
