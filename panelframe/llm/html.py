@@ -1,23 +1,23 @@
 """Operator 9: main text of web pages by site template removal.
 
 A page is read once as a tree. The hash of an element's subtree covers its tag, class, id, role and
-text below. Spark counts by host on how many different articles' pages a hash occurs, over the whole page
-and before any name of an element or class is looked at:
+text below. Spark counts by host on how many different articles' pages a hash occurs, and what the counts say goes:
 
-- beside an article (or main) a container, which is a block element that is no passage, that recurs on `min_beside` of them is template;
-- inside an article, or on pages without one, so is a container on `min_pages` of them;
-- on pages without an article, so is a passage (paragraph, heading, list item, inline element) on `min_passages`;
-- a place beside the article (the path of tags and classes down to a container) is a template slot if `min_pages` of
-  what stands there recurs, and a quarter of all that stands there: what stands there once goes too (rotating adverts).
+- a container, which is a block element that is no passage, that recurs on `min_beside` of them beside an article (or main), or on `min_pages` inside one or
+  on pages without one, is template; so is a passage (paragraph, heading, list item, inline element) on `min_passages` pages without an article;
+- a place beside the article (the path of tags and classes down to an element) is a template slot if `min_pages` of
+  what stands there recurs, and a quarter of all that stands there: what stands there once goes too (rotating adverts);
+- a place where `sure` different things stand and less than a twentieth recurs holds text: it stays, though it lies outside the article;
+- where there are too few pages to say either, the article breaks the tie: what stands in such a place goes.
 
 Thresholds are counts of articles, or shares of one place beside articles, so that a host's growth never makes text of its template.
 Copies of an article on a host count once. Inside an article passages are never template: a paragraph that many
 articles quote is text.
 
-What the counts leave goes by its role, since it can't be counted or a host has too few pages: script, style and
-form controls, nav, footer, aside (ROLES), and classes of adverts and of reader comments, which differ from page to page
-(CLASSES). Then the page's article is what stays, or else main, or else the body; it is split at
-block elements. `report` says how many code points went by which of the four.
+What counts can't see goes by what it is: script, style and form controls, nav, footer, aside and a page's header (ROLES), and
+readers' comments, which differ from page to page, by whole names of classes or ids (COMMENTS). Text that stands in no block beside an article goes too.
+All else is the text, with all articles of the page and their headers; it is split at block elements. `report` says how
+many code points went by count, role, comment and article.
 
 Null and empty pages have empty text. Equal rows are equal results. A null or odd url is the host ''. An empty table
 gives an empty result. df's own columns may have any names; one called as the result is replaced.
@@ -46,14 +46,13 @@ PASSAGE = HEADING | frozenset("p li blockquote pre dd dt td th tr tbody thead tf
 CONTAINER = BLOCK - PASSAGE - frozenset("html head body main article hr title".split())
 WHOLE = RAW | frozenset("html head body main article".split())
 ROLES = frozenset("nav footer aside form script style noscript iframe template dialog menu button select textarea input svg head title canvas object audio video search".split())
-CLASSES = frozenset("ad ads advert adverts advertisement adsense banner sponsored promo cookie consent newsletter popup share sidebar comment comments disqus respond replies reply".split())
+COMMENTS = frozenset("comments comment-list commentlist comments-area disqus_thread respond".split())
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot body html head title".split())
 SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 PEERS = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
 
 # possessive: a tag is read once, whatever its quotes are
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)""", re.S)
-_WORD = re.compile("[a-z0-9]+")
 _MAIN = re.compile(r"""\brole\s*=\s*["']?main\b""", re.I)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
@@ -61,7 +60,7 @@ _HALF = 1 << 63
 
 
 class _Node:
-    __slots__ = ("attrs", "below", "by", "hash", "heading", "lead", "parent", "slot", "tag", "top")
+    __slots__ = ("attrs", "below", "by", "hash", "parent", "slot", "tag", "top")
 
     def __init__(self, tag: str, attrs: str, parent: _Node):
         self.tag, self.parent, self.attrs, words = tag, parent, "", ()
@@ -69,7 +68,7 @@ class _Node:
             said = [x for m in _ATTR.findall(attrs) for x in m[1:] if x]
             if said:
                 self.attrs = " ".join(sorted(" ".join(said).lower().split()))
-                words = _WORD.findall(self.attrs)
+                words = self.attrs.split()
         self.top = parent.top  # the outermost article around, or else the outermost main
         if tag == "article" and (self.top is None or self.top.tag != "article"):
             self.top = self
@@ -78,17 +77,15 @@ class _Node:
         self.by = parent.by  # what says itself what it is
         if self.by is None and (tag in ROLES or tag == "header" and parent.top is None):
             self.by = "role"
-        elif self.by is None and words and tag not in WHOLE and not CLASSES.isdisjoint(words):
-            self.by = "class"
-        self.lead = parent.lead or tag == "header"
-        self.heading = parent.heading or tag in HEADING
+        elif self.by is None and words and tag in CONTAINER and not COMMENTS.isdisjoint(words):
+            self.by = "comment"
         self.slot = xxhash.xxh64_intdigest(f"{tag}\1{self.attrs}", parent.slot)
         self.below: list[str] = []
         self.hash = 0
 
 
 class _Root:
-    tag, parent, top, by, lead, heading, attrs, slot = "#root", None, None, None, False, False, "", 0
+    tag, parent, top, by, attrs, slot = "#root", None, None, None, "", 0
 
     def __init__(self):
         self.below = []
@@ -180,77 +177,82 @@ def parse(page: str) -> tuple[list[tuple[str, _Node, int]], list[_Node]]:
     return pieces, nodes
 
 
-def _scope(pieces: list[tuple[str, _Node, int]]) -> _Node | None:
-    """The article with most text, or else the main; None if there is neither."""
-    sizes: dict[_Node, int] = {}
-    for said, node, _ in pieces:
-        if node.top is not None and node.by is None:
-            sizes[node.top] = sizes.get(node.top, 0) + len(said.strip())
-    articles = {k: v for k, v in sizes.items() if k.tag == "article"} or sizes
-    return max(articles, key=articles.get) if articles else None
+# the last three bits of a key say what it is
+PASSAGES, INSIDE, BESIDE, SLOT, OPEN = range(5)
 
 
-def _around(scope: _Node | None) -> set[_Node]:
-    """The article and what it stands in, which is never template."""
-    out = set()
-    while scope is not None and scope.parent is not None:
-        out.add(scope)
-        scope = scope.parent
-    return out
+class _Page:
+    """A page's pieces and elements, and which of them counts can remove."""
 
+    def __init__(self, page: str):
+        self.pieces, self.nodes = parse(page)
+        tops = {x.top for x in self.nodes if x.top is not None}
+        self.tops = {x for x in tops if x.tag == "article"} or tops
+        self.around: set[_Node] = set()  # the articles and what they stand in, which is never template
+        for x in self.tops:
+            while x.parent is not None and x not in self.around:
+                self.around.add(x)
+                x = x.parent
 
-# the last two bits of a key say what it is
-PASSAGES, INSIDE, BESIDE, SLOT = range(4)
+    def inside(self, x: _Node) -> bool:
+        return not self.tops or x.top in self.tops
 
+    def identity(self) -> int:
+        """Of the article; of all text if there is none."""
+        own = "".join(f" {said}" for said, node, _ in self.pieces if self.inside(node))
+        return xxhash.xxh64_intdigest(" ".join(own.split())) - _HALF
 
-def _may(x: _Node, scope: _Node | None) -> bool:
-    return x.tag in CONTAINER or scope is None and x.tag not in WHOLE
-
-
-def _key(x: _Node, scope: _Node | None) -> int:
-    """The subtree with its kind."""
-    return x.hash & ~3 | (PASSAGES if x.tag not in CONTAINER else INSIDE if scope is None or x.top is scope else BESIDE)
-
-
-def _slot(x: _Node, scope: _Node | None) -> int:
-    """The place beside an article, else 0."""
-    return x.slot - _HALF | SLOT if x.tag in CONTAINER and scope is not None and x.top is not scope else 0
+    def keys(self, x: _Node) -> tuple[int, int]:
+        """The subtree with its kind, and the place beside an article; 0 where there is nothing to count."""
+        if x in self.around or not x.below:
+            return 0, 0
+        if self.inside(x):
+            kind = INSIDE if x.tag in CONTAINER else PASSAGES if not self.tops and x.tag not in WHOLE else None
+            return (0, 0) if kind is None else (x.hash & ~7 | kind, 0)
+        if x.tag in CONTAINER or x.tag in BLOCK - WHOLE and (x.parent.tag in ("body", "html", "#root") or x.parent in self.around):
+            return x.hash & ~7 | BESIDE, (x.slot - _HALF) & ~7 | SLOT
+        return 0, 0
 
 
 def read_page(page: str | None) -> tuple[int, list[tuple[int, int]]]:
     """Hash of the article, and (subtree, slot) of what may be template."""
     if not page:
         return 0, []
-    pieces, nodes = parse(page)
-    scope = _scope(pieces)
-    around = _around(scope)
-    own = "".join(f" {said}" for said, node, _ in pieces if scope is None or node.top is scope)
-    found = {(_key(x, scope), _slot(x, scope)) for x in nodes if x.below and x not in around and _may(x, scope)}
-    return xxhash.xxh64_intdigest(" ".join(own.split())) - _HALF, sorted(found)
+    p = _Page(page)
+    return p.identity(), sorted({k for x in p.nodes if (k := p.keys(x))[0]})
 
 
 def main_text(page: str | None, gone: set[int]) -> tuple[str, int, int, int, int]:
-    """The main text without the template subtrees and slots, and the code points that went by count, role, class and place."""
-    went = {"count": 0, "role": 0, "class": 0, "place": 0}
+    """The text that the counts leave, and the code points that went by count, role, comment and article.
+
+    gone: template subtrees and slots, and the slots that are open. Nothing is known of a page for which it is empty: then all
+    that is visible stays.
+    """
+    went = {"count": 0, "role": 0, "comment": 0, "article": 0}
     if not page:
         return "", 0, 0, 0, 0
-    pieces, nodes = parse(page)
-    scope, dead = _scope(pieces), set()
-    around = _around(scope)
-    for x in nodes:  # parents come first
-        if x.parent in dead or gone and x not in around and _may(x, scope) and (_key(x, scope) in gone or _slot(x, scope) in gone):
-            dead.add(x)
+    p, why, counted = _Page(page), {}, set()
+    for x in p.nodes:  # parents come first
+        subtree, slot = p.keys(x)
+        if subtree or x.parent in counted:
+            counted.add(x)
+        if x.parent in why:
+            why[x] = why[x.parent]
+        elif subtree and (subtree in gone or slot and slot in gone):
+            why[x] = "count"
+        elif slot and slot - SLOT + OPEN in gone:
+            why[x] = "article"
     blocks: list[tuple[int, list[str]]] = []
-    for said, node, block in pieces:
-        why = "count" if node in dead else node.by or ("role" if node.lead and not node.heading else "place" if scope is not None and node.top is not scope else None)
-        if why:
-            went[why] += len(" ".join(said.split()))
+    for said, node, block in p.pieces:
+        reason = why.get(node) or node.by or (None if p.inside(node) or node in counted else "article")
+        if reason:
+            went[reason] += len(" ".join(said.split()))
         elif blocks and blocks[-1][0] == block:
             blocks[-1][1].append(said)
         else:
             blocks.append((block, [said]))
     parts = (" ".join("".join(x).split()) for _, x in blocks)
-    return "\n\n".join(p for p in parts if p), *went.values()
+    return "\n\n".join(x for x in parts if x), *went.values()
 
 
 def _subtrees(column: pa.Array) -> pa.Array:
@@ -263,39 +265,47 @@ def _subtrees(column: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(whole, pa.int64()), pa.array(found, kind)], names=["article", "subtrees"])
 
 
-_SAID = "struct<text:string,by_count:bigint,by_role:bigint,by_class:bigint,by_place:bigint>"
+_SAID = "struct<text:string,by_count:bigint,by_role:bigint,by_comment:bigint,by_article:bigint>"
 
 
 def _text(page: pa.Array, gone: pa.Array) -> pa.Array:
     rows = [main_text(p.as_py(), set(g.as_py() or ())) for p, g in zip(page, gone, strict=True)]
     kinds = [pa.string(), *[pa.int64()] * 4]
-    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(5)], names=["text", "by_count", "by_role", "by_class", "by_place"])
+    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(5)], names=["text", "by_count", "by_role", "by_comment", "by_article"])
 
 
-def template_keys(pages: DataFrame, min_beside: int = 2, min_pages: int = 3, min_passages: int = 10) -> DataFrame:
-    """(page, host, html) to (page, gone): the subtrees and slots of the page that are its host's template."""
+def template_keys(pages: DataFrame, min_beside: int = 2, min_pages: int = 3, min_passages: int = 10, sure: int = 30) -> DataFrame:
+    """(page, host, html) to (page, gone): the subtrees and slots of the page that are its host's template, and its open slots."""
     found = pages.select("page", "host", F.arrow_udf(_subtrees, "article bigint, subtrees array<struct<subtree:bigint,slot:bigint>>")("html").alias("f"))
     found = saved(found.select("page", "host", "f.*"), "html-subtrees")
     each = found.select("host", "article", F.explode("subtrees").alias("s")).groupBy("host", "article", "s.subtree").agg(F.min("s.slot").alias("slot"))
     on = saved(each.groupBy("host", "subtree", "slot").agg(F.count(F.lit(1)).alias("pages")), "html-counts")
-    least = F.element_at(F.array(*map(F.lit, (min_passages, min_pages, min_beside))), F.col("subtree").bitwiseAND(F.lit(3)).cast("int") + 1)
-    often = on.groupBy("host", "subtree").agg(F.sum("pages").alias("n")).where(F.col("n") >= least).select("host", "subtree")
-    slots = on.where("slot <> 0").join(often.withColumn("often", F.lit(True)), ["host", "subtree"], "left").groupBy("host", F.col("slot").alias("key"))
-    slots = slots.agg(F.sum("pages").alias("n"), F.sum(F.when(F.col("often"), F.col("pages")).otherwise(0)).alias("recur")).where((F.col("recur") >= min_pages) & (4 * F.col("recur") >= F.col("n")))
-    keys = often.withColumnRenamed("subtree", "key").unionByName(slots.select("host", "key"))
-    own = found.select("page", "host", F.explode(F.array_distinct(F.concat(F.col("subtrees.subtree"), F.col("subtrees.slot")))).alias("key"))
-    return own.join(keys, ["host", "key"]).groupBy("page").agg(F.collect_set("key").alias("gone"))
-
-
-def extract(df: DataFrame, url: str = "url", page: str = "html", min_beside: int = 2, min_pages: int = 3, min_passages: int = 10, out: str = "text", report: str | None = None) -> DataFrame:
-    """df's columns but the page's source, and its main text as `out`; `report` names a struct of what went by count, role, class and place."""
+    least = F.element_at(F.array(*map(F.lit, (min_passages, min_pages, min_beside))), F.col("subtree").bitwiseAND(F.lit(7)).cast("int") + 1)
+    often = on.groupBy("host", "subtree").agg(F.sum("pages").alias("n")).where(F.col("n") >= least)
+    slots = on.where("slot <> 0").join(often.select("host", "subtree", F.lit(True).alias("often")), ["host", "subtree"], "left").groupBy("host", "slot")
+    slots = slots.agg(F.sum("pages").alias("n"), F.sum(F.when(F.col("often"), F.col("pages")).otherwise(0)).alias("recur"))
+    template = (F.col("recur") >= min_pages) & (4 * F.col("recur") >= F.col("n"))
+    text = (F.col("n") >= sure) & (20 * F.col("recur") < F.col("n"))
+    slots = slots.where(template | ~text).select("host", (F.col("slot") + F.when(template, 0).otherwise(OPEN - SLOT)).alias("key"), "n")
+    keys = saved(often.select("host", F.col("subtree").alias("key"), "n").unionByName(slots), "html-keys")
+    places = F.filter("subtrees.slot", lambda x: x != 0)
+    own = found.select("page", "host", F.explode(F.array_distinct(F.concat(F.col("subtrees.subtree"), places, F.transform(places, lambda x: x + (OPEN - SLOT))))).alias("key"))
+    # keys of very many pages (a large host's menu) are few: a hundred thousand at most by the bound, so that they are broadcast; no other key is hot
+    bound = max(10_000, (keys.agg(F.sum("n")).first()[0] or 0) // 100_000)
+    hot = F.broadcast(keys.where(F.col("n") >= bound).select("host", "key"))
+    rest = own.join(hot, ["host", "key"], "left_anti").join(keys.where(F.col("n") < bound).select("host", "key"), ["host", "key"])
+    return own.join(hot, ["host", "key"]).unionByName(rest).groupBy("page").agg(F.collect_set("key").alias("gone"))
+
+
+def extract(df: DataFrame, url: str = "url", page: str = "html", min_beside: int = 2, min_pages: int = 3, min_passages: int = 10, sure: int = 30, out: str = "text", report: str | None = None) -> DataFrame:
+    """df's columns but the page's source, and its main text as `out`; `report` names a struct of what went by count, role, comment and article."""
     bounded_batches(df.sparkSession)
     made = [out, *([report] if report else [])]
     keep = [c for c in df.columns if c != page and c not in made]
     key = F.xxhash64(*[F.col(f"`{c}`") for c in (url, page)])
     own = narrow(df, url=url, html=page).select(F.xxhash64("url", "html").alias("page"), F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"), F.col("html").cast("string").alias("html"))
     # as a table of known size: Spark broadcasts it if it is small, else it sorts both sides
-    gone = saved(template_keys(own, min_beside, min_pages, min_passages), "html-template").select(F.col("page").alias("\u0001page"), F.col("gone").alias("\u0001gone"))
+    gone = saved(template_keys(own, min_beside, min_pages, min_passages, sure), "html-template").select(F.col("page").alias("\u0001page"), F.col("gone").alias("\u0001gone"))
     found = df.withColumn("\u0001key", key).join(gone, F.col("\u0001key") == F.col("\u0001page"), "left")
     found = found.withColumn("\u0001said", F.arrow_udf(_text, _SAID)(F.col(f"`{page}`").cast("string"), F.col("\u0001gone")))
     said = F.col("\u0001said")

@@ -102,7 +102,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
     out = html.extract(pages, report="went")
-    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "went.by_count", "went.by_role", "went.by_class", "went.by_place")
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "went.by_count", "went.by_role", "went.by_comment", "went.by_article")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,9 +20,9 @@ def text_of(page):
 
 def test_article_without_the_rest():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
-      <header><p>site</p></header><nav><ul><li><a href="/x">x</a></li></ul></nav><div class="ad">buy</div><aside>side</aside>
+      <header><p>site</p></header><nav><ul><li><a href="/x">x</a></li></ul></nav>loose <b>words</b><aside>side</aside>
       <article><h1>Head &amp; line</h1><p><b>One.<br><p>Two&nbsp;three
-      four &lt;x&gt;</p><ul><li>a<li>b</ul><form>q<input></form><div id="comments"><p>reader</p></div><div class="cookie-notice">c</div></article>
+      four &lt;x&gt;</p><ul><li>a<li>b</ul><form>q<input></form><div id="comments"><p>reader</p></div></article>
       <footer>&copy; f</footer></body></html>"""
     assert text_of(page) == "Head & line\n\nOne.\n\nTwo three four <x>\n\na\n\nb"
 
