@@ -17,7 +17,8 @@ frequent context's partial counts meet in several tasks, and a task folds them a
 Neighbouring cells then make shards of about equal numbers of grams; a shard is built by one task and written under the
 shared folder, which workers map into memory: it has to be a folder that they
 can open (a plain path or file:); a mark that the driver leaves there has to be seen by tasks. What one context has of distinct
-successors lies in one shard. The number of shards grows with the number of tokens.
+successors lies in one shard. The number of shards grows with the tokens, and from 2**38 of them on with their root; where shards
+begin is in files that tasks map as well (`directory`): the driver holds three numbers a level.
 
 Null and empty texts have no words and one end. Documents with a null doc_id have no
 remainder: they are held out. An empty training set leaves every token unknown. Extra
@@ -26,7 +27,9 @@ columns are not looked at.
 
 from __future__ import annotations
 
+import functools
 import json
+import math
 import os
 import uuid
 from collections.abc import Iterator
@@ -37,6 +40,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelframe.llm import words as W
 from panelframe.llm.shared import bounded_batches, new_path, partitions, saved
@@ -167,14 +171,10 @@ def map_arrays(path: str) -> dict[str, np.ndarray]:
 
 @dataclass(frozen=True)
 class Level:
-    """Where each shard's ranks begin and where its contexts begin (each one more than shards)."""
+    """The number of shards and of grams. Where each shard's ranks (`starts`) and contexts (`edges`) begin is in files that tasks map."""
 
-    starts: tuple[int, ...]
-    edges: tuple[int, ...] = ()
-
-    @property
-    def shards(self) -> int:
-        return len(self.starts) - 1
+    shards: int
+    size: int
 
 
 @dataclass(frozen=True)
@@ -185,18 +185,19 @@ class Trie:
 
     @property
     def words(self) -> int:
-        return self.levels[0].starts[-1] if self.levels else 0
+        return self.levels[0].size if self.levels else 0
 
 
-_open: dict[str, dict] = {}
+@functools.lru_cache(64)
+def directory(folder: str, level: int, what: str) -> np.ndarray:
+    """One place more than shards; 8 bytes each, mapped."""
+    return map_arrays(f"{folder}/{level}-{what}")["places"]
 
 
+@functools.lru_cache(512)  # what falls out is unmapped
 def _shard(folder: str, level: int, shard: int) -> dict:
-    path = f"{folder}/{level}-{shard}"
-    if path not in _open:
-        arrays = map_arrays(path)
-        _open[path] = {"arrays": arrays, "keys": EliasFano(arrays, "keys"), "pointers": EliasFano(arrays, "pointers") if "pointers.low" in arrays else None, "scale": float(arrays["scale"][0]) if "scale" in arrays else 1.0}
-    return _open[path]
+    arrays = map_arrays(f"{folder}/{level}-{shard}")
+    return {"arrays": arrays, "keys": EliasFano(arrays, "keys"), "pointers": EliasFano(arrays, "pointers") if "pointers.low" in arrays else None, "scale": float(arrays["scale"][0]) if "scale" in arrays else 1.0}
 
 
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -211,15 +212,15 @@ def word_ids(trie: Trie, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
     if not trie.words:
         return ids, counts
-    bits = trie.levels[0].shards.bit_length() - 1
+    bits, starts = trie.levels[0].shards.bit_length() - 1, directory(trie.folder, 1, "starts")
     shard = (hashes >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
     for s, at in _by_shard(shard):
-        if trie.levels[0].starts[s] == trie.levels[0].starts[s + 1]:
+        if starts[s] == starts[s + 1]:
             continue
         own = _shard(trie.folder, 1, s)
         place = own["keys"].find(hashes[at] & U64((1 << (64 - bits)) - 1))
         ok = place >= 0
-        ids[at[ok]] = place[ok] + trie.levels[0].starts[s]
+        ids[at[ok]] = place[ok] + starts[s]
         counts[at[ok]] = own["arrays"]["counts"][place[ok]]
     return ids, counts
 
@@ -227,15 +228,15 @@ def word_ids(trie: Trie, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def follow(trie: Trie, level: int, contexts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For contexts of a level and the ids after them: rank in the level (-1: absent), discounted probability, back-off weight."""
     rank, p, weight = np.full(len(ids), -1, np.int64), np.zeros(len(ids)), np.ones(len(ids))
-    here, span = trie.levels[level - 1], trie.words + 1
+    starts, edges, span = directory(trie.folder, level, "starts"), directory(trie.folder, level, "edges"), trie.words + 1
     known = np.flatnonzero(contexts >= 0)
     each, back = np.unique(contexts[known], return_inverse=True)  # few contexts make many tokens
-    shards = np.searchsorted(np.array(here.edges), each, "right") - 1
+    shards = np.searchsorted(edges, each, "right") - 1
     first, size = np.zeros(len(each), np.int64), np.zeros(len(each), np.int64)
     back_off = np.ones(len(each))
     for s, at in _by_shard(shards):
-        if here.starts[s] < here.starts[s + 1]:
-            own, c = _shard(trie.folder, level, s), each[at] - here.edges[s]
+        if starts[s] < starts[s + 1]:
+            own, c = _shard(trie.folder, level, s), each[at] - edges[s]
             edge = own["pointers"].access(np.concatenate([c, c + 1])).astype(np.int64)
             first[at], size[at] = edge[: len(c)], edge[len(c) :] - edge[: len(c)]
             back_off[at] = np.exp2(own["arrays"]["weights"][c] / -own["scale"])
@@ -244,10 +245,10 @@ def follow(trie: Trie, level: int, contexts: np.ndarray, ids: np.ndarray) -> tup
     at, context, back = known[seen], contexts[known[seen]], back[seen]
     for s, some in _by_shard(shards[back]):
         own, at_, of = _shard(trie.folder, level, s), at[some], back[some]
-        key = (context[some] - here.edges[s]).astype(U64) * U64(span) + ids[at_].astype(U64)
+        key = (context[some] - edges[s]).astype(U64) * U64(span) + ids[at_].astype(U64)
         place = own["keys"].find(key, first[of], first[of] + size[of])
         ok = place >= 0
-        rank[at_[ok]] = place[ok] + here.starts[s]
+        rank[at_[ok]] = place[ok] + starts[s]
         p[at_[ok]] = np.exp2(own["arrays"]["values"][place[ok]] / -own["scale"])
     return rank, p, weight
 
@@ -389,29 +390,56 @@ def _merge(parts: DataFrame, name: str) -> DataFrame:
 _MADE = "shard long, size long, total long"
 
 
-def _build(parts: DataFrame, build) -> list:
-    """Builds each shard's file from its packed rows; (shard, size, total) rows, as many as there are shards."""
+def _build(parts: DataFrame, build, folder: str, level: int, shards: int) -> tuple[int, int]:
+    """Builds each shard's file from its packed rows and the file of their starts; the grams and the counts of all."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = _folded(batches)
         shard = key[0].as_py()
         yield _rows([(shard, build(shard, keys, counts), int(counts.sum()))], ("shard", "size", "total"), (pa.int64(),) * 3)
 
-    return parts.groupBy("shard").applyInArrow(run, _MADE).collect()
+    made = saved(parts.groupBy("shard").applyInArrow(run, _MADE), f"ngrams-{level}-made")
+
+    def starts(shard: np.ndarray, size: np.ndarray) -> np.ndarray:
+        out = np.zeros(shards + 1, np.int64)
+        out[shard + 1] = size
+        return np.cumsum(out)
+
+    _write_directory(made.select("shard", "size"), f"{folder}/{level}-starts", starts)
+    row = made.agg(F.sum("size"), F.sum("total")).first()
+    return row[0] or 0, row[1] or 0
 
 
-def _starts(made: list, shards: int) -> tuple[int, ...]:
-    sizes = np.zeros(shards, np.int64)
-    for r in made:
-        sizes[r["shard"]] = r["size"]
-    return tuple(int(x) for x in np.concatenate([[0], np.cumsum(sizes)]))
+def _write_directory(table: DataFrame, path: str, places) -> None:
+    """Two columns of longs, a row a shard, to a file of places: one task, 16 bytes a shard, and shards grow with the root of the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = [[], []]
+        for b in batches:
+            for i in (0, 1):
+                cols[i].append(b.column(i).to_numpy(zero_copy_only=False))
+        none = np.zeros(0, np.int64)
+        write_arrays(path, {"places": places(np.concatenate([none, *cols[0]]), np.concatenate([none, *cols[1]]))})
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["done"])
+
+    table.repartition(1).mapInArrow(run, "done long").collect()
 
 
-def _cut(sizes: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each cell: neighbours together, about equal in grams; a cell above the mean stands alone or ends a shard."""
-    mean = max(1, -(-int(sizes.sum()) // shards))
-    before = np.cumsum(sizes) - sizes
-    return np.unique(before // mean, return_inverse=True)[1]
+_BLOCK = 4096
+
+
+def _cut(sizes: DataFrame, shards: int) -> DataFrame:
+    """(cell, n) to (cell, shard): neighbours together, about equal in grams; a cell above the mean stands alone or ends a shard.
+
+    Running sums in two steps: over blocks of cells, and within each block.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    mean = max(1, -(-total // shards))
+    block = sizes.withColumn("block", F.floor(F.col("cell") / _BLOCK))
+    sums = block.groupBy("block").agg(F.sum("n").alias("own"))
+    before = sums.select("block", (F.sum("own").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("own")).alias("before"))  # a row a block
+    inside = F.sum("n").over(Window.partitionBy("block").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return block.withColumn("inside", inside).join(before, "block").select("cell", F.floor((F.col("inside") + F.col("before")) / mean).alias("shard"))
 
 
 def _folder(spark) -> str:
@@ -434,13 +462,14 @@ def _folder(spark) -> str:
 
 
 def train(docs: DataFrame, order: int = 3, shard_tokens: int = 1 << 21) -> Trie:
-    """The trie of the texts (column text) of docs. A shard takes about shard_tokens tokens, or one frequent context."""
+    """The trie of the texts (column text) of docs. A shard takes about shard_tokens tokens, or one frequent context; from 2**38 tokens on four times their root."""
     spark = docs.sparkSession
     bounded_batches(spark)
     local = _folder(spark)
     # about one token to six bytes; the size sets the shards alone
     length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = 1 << max(3, (length // 6 // shard_tokens).bit_length())
+    each = shard_tokens if length // 6 < 1 << 38 else max(shard_tokens, 4 * math.isqrt(length // 6))
+    shards = 1 << max(3, (length // 6 // each).bit_length())
     bits = shards.bit_length() - 1
 
     def first(shard: int, keys: np.ndarray, counts: np.ndarray) -> int:
@@ -449,12 +478,12 @@ def train(docs: DataFrame, order: int = 3, shard_tokens: int = 1 << 21) -> Trie:
         return len(keys)
 
     parts = _counted(docs, lambda t: _tokens(t)[0], lambda k: (k >> U64(64 - bits)).astype(np.int64))
-    made = _build(parts.select(F.col("cell").alias("shard"), "payload"), first)
-    trie = Trie(local, (Level(_starts(made, shards)),), sum(r["total"] for r in made))
+    words, tokens = _build(parts.select(F.col("cell").alias("shard"), "payload"), first, local, 1, shards)
+    trie = Trie(local, (Level(shards, words),), tokens)
     for level in range(2, order + 1):
         if not trie.words:
             break
-        contexts, span = trie.levels[-1].starts[-1], trie.words + 1
+        contexts, span = trie.levels[-1].size, trie.words + 1
         if contexts * span >= 2**64:
             raise ValueError("grams of this order pass 64 bits")
         cells = min(contexts, 16 * shards)
@@ -467,16 +496,20 @@ def train(docs: DataFrame, order: int = 3, shard_tokens: int = 1 << 21) -> Trie:
             return past[ok].astype(U64) * U64(span) + ids[ok].astype(U64)
 
         merged = _merge(_counted(docs, keys_of, lambda k, span=span, width=width: (k // U64(span)).astype(np.int64) // width), f"ngrams-{level}")
-        sizes = np.zeros(cells, np.int64)
-        for row in merged.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a row a cell, 16 to a shard
-            sizes[row["cell"]] = row["n"]
-        shard_of = _cut(sizes, shards)
-        edges = tuple(int(x) * width for x in np.searchsorted(shard_of, np.arange(shard_of[-1] + 1))) + (contexts,)
-        starts_at = spark.createDataFrame([(int(c), int(x)) for c, x in enumerate(shard_of)], "cell long, shard long")
-
-        def build(shard: int, keys: np.ndarray, counts: np.ndarray, level=level, span=span, edges=edges) -> int:
+        shard_of = saved(_cut(merged.groupBy("cell").agg(F.sum("n").alias("n")), shards), f"ngrams-{level}-cells")
+
+        def edges(shard: np.ndarray, cell: np.ndarray, contexts=contexts, width=width) -> np.ndarray:
+            out = np.full(shards + 1, contexts, np.int64)
+            out[shard] = cell * width
+            out[0] = 0
+            return np.minimum.accumulate(out[::-1])[::-1]  # a shard without cells begins where the next one does
+
+        _write_directory(shard_of.groupBy("shard").agg(F.min("cell").alias("cell")), f"{local}/{level}-edges", edges)
+
+        def build(shard: int, keys: np.ndarray, counts: np.ndarray, level=level, span=span) -> int:
+            edges = directory(local, level, "edges")
             context = (keys // U64(span)).astype(np.int64) - edges[shard]
-            n = edges[shard + 1] - edges[shard]
+            n = int(edges[shard + 1] - edges[shard])
             once, twice = int((counts == 1).sum()), int((counts == 2).sum())
             discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
             total, kinds = np.bincount(context, counts, n), np.bincount(context, minlength=n)
@@ -488,8 +521,8 @@ def train(docs: DataFrame, order: int = 3, shard_tokens: int = 1 << 21) -> Trie:
             write_arrays(f"{local}/{level}-{shard}", arrays)
             return len(keys)
 
-        made = _build(merged.join(starts_at, "cell").select("shard", "payload"), build)
-        trie = Trie(local, (*trie.levels, Level(_starts(made, len(edges) - 1), edges)), trie.tokens)
+        grams, _ = _build(merged.join(shard_of, "cell").select("shard", "payload"), build, local, level, shards)
+        trie = Trie(local, (*trie.levels, Level(shards, grams)), trie.tokens)
     return trie
 
 

@@ -116,11 +116,15 @@ def test_large_pieces_are_dealt_out_and_folded():
     assert (k == keys).all() and (c == np.arange(len(keys)) + (np.arange(len(keys)) < 100)).all()
 
 
-def test_shards_by_grams():
-    sizes = np.array([5, 0, 5, 90, 1, 1, 1, 90, 5])
-    shard = L._cut(sizes, 4)
-    assert (np.diff(shard) >= 0).all() and shard[0] == 0 and set(np.diff(shard)) <= {0, 1}
-    assert max(sizes[shard == s].sum() for s in set(shard.tolist())) < 110
+def test_shards_by_grams(spark):
+    sizes = [5, 0, 5, 90, 1, 1, 1, 90, 5] + [3] * 5000  # more cells than a block of sums
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes) if n], "cell long, n long").repartition(5)
+    for shards in (4, 64):
+        got = {r.cell: r.shard for r in L._cut(df, shards).collect()}
+        before = np.cumsum(sizes) - sizes
+        mean = -(-sum(sizes) // shards)
+        assert got == {i: int(before[i] // mean) for i, n in enumerate(sizes) if n} and max(got.values()) < shards
+    assert L._cut(df.limit(0), 8).count() == 0
 
 
 @pytest.mark.parametrize("total", [10, 2**20, 2**33, 2**60])
@@ -154,7 +158,7 @@ def test_trigram_against_plain_dicts(spark):
     ids = {w: int(L.word_ids(trie, L._tokens(pa.array([w or ""]))[0][:1])[0][0]) for w in one}
     ranks = {g: i for i, g in enumerate(sorted(grams[2], key=lambda g: (ids[g[0]], ids[g[1]])))}
     place = {2: lambda g: ids[g[0]], 3: lambda g: ranks[g[:2]]}
-    shard = lambda k, g: int(np.searchsorted(trie.levels[k - 1].edges, place[k](g), "right")) - 1
+    shard = lambda k, g: int(np.searchsorted(L.directory(trie.folder, k, "edges"), place[k](g), "right")) - 1
     for k in (2, 3):
         for s in range(trie.levels[k - 1].shards):
             c = [x for g, x in grams[k].items() if shard(k, g) == s]
