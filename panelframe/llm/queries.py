@@ -69,9 +69,8 @@ def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    order = cascade.ordered(cascade.estimate(docs))
-    judged = cascade.verdict(docs.withColumn("counts", counts_of("text")), order)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("counts", counts_of("text"))
+    judged = cascade.verdict(docs, cascade.ordered(cascade.estimate(docs, counts="counts")))  # every row gets its counts: no rule pays for them
     c = F.col("counts")
     failed = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
     return judged.select(
