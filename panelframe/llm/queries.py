@@ -150,6 +150,10 @@ QUERIES = {
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+# a row's leaf, with an expression for n_chars; and the CRC-32 of doc_id's decimals, bit by bit
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST({0} AS VARCHAR)", "text")) + ")"
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+            lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_perspectives": """
         WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
@@ -192,4 +196,19 @@ ORACLE_SQL: dict[str, str] = {
         f AS (SELECT q, item_id, r, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))))::BIGINT AS score
               FROM a JOIN w USING (term) JOIN c USING (term), s GROUP BY ALL)
         SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM f WHERE score > 0 QUALIFY rank <= 20""",
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS k, {_LEAF.format("n_chars")} AS leaf,
+            CASE WHEN {_CRC} % 7 = 0 THEN {_LEAF.format("n_chars + 1")} ELSE {_LEAF.format("n_chars")} END AS used FROM documents),
+        l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n FROM d),
+        t AS (SELECT k, 0 AS level, pos, leaf AS h, n FROM l UNION ALL SELECT k, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY k, level, pos // 2, n),
+        g AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS pos, h AS subroot, count(*) OVER () AS n FROM t WHERE n = 1),
+        u AS (SELECT 0 AS level, pos, subroot AS h, n FROM g UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY level, pos // 2, n),
+        f AS (SELECT r, k, 0 AS level, pos, used AS h, '' AS said, n FROM l UNION ALL
+              SELECT f.r, f.k, f.level + 1, f.pos // 2, CASE WHEN t.h IS NULL THEN sha256(f.h) WHEN f.pos % 2 = 1 THEN sha256(t.h || f.h) ELSE sha256(f.h || t.h) END, f.said || coalesce(t.h, ''), (f.n + 1) // 2
+              FROM f LEFT JOIN t ON t.k = f.k AND t.level = f.level AND t.pos = f.pos + 1 - 2 * (f.pos % 2) WHERE f.n > 1),
+        e AS (SELECT f.r, 0 AS level, g.pos, f.h, f.said, g.n FROM f JOIN g ON g.k = f.k WHERE f.n = 1 UNION ALL
+              SELECT e.r, e.level + 1, e.pos // 2, CASE WHEN u.h IS NULL THEN sha256(e.h) WHEN e.pos % 2 = 1 THEN sha256(u.h || e.h) ELSE sha256(e.h || u.h) END, e.said || coalesce(u.h, ''), (e.n + 1) // 2
+              FROM e LEFT JOIN u ON u.level = e.level AND u.pos = e.pos + 1 - 2 * (e.pos % 2) WHERE e.n > 1)
+        SELECT doc_id, leaf, subroot, root, sha256(e.said) AS proof_sha256, e.h AS folded_root, e.h = root AS verified
+        FROM e JOIN l ON l.r = e.r JOIN g ON g.k = l.k CROSS JOIN (SELECT h AS root FROM u WHERE n = 1) WHERE e.n = 1""",
 }
