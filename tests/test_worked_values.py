@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -32,42 +31,33 @@ def test_a_batch_without_loss_resets(spark):
     assert ratios(exposure.after_losses(df, "d", "p", floor=0.2)) == [0.5, 1.0, 0.5, 0.25, 0.2, 1.0]
 
 
-def series(n=260):
-    rng = np.random.default_rng(5)
-    common = rng.normal(0, 0.01, n)
-    s, g = common + rng.normal(0, 0.004, n), common * rng.choice([1, -0.2], n) + rng.normal(0, 0.006, n)
-    s[100:112] = 0.004  # constant stretches have no correlation
-    return pd.DataFrame({"d": [day(i) for i in range(n)], "s": s, "g": g, "close": 100 * np.cumprod(1 + s)})
-
-
-def test_blind_window_against_pandas(spark):
-    p = series()
-    x = pd.DataFrame({"s": p.s, "g": p.g, "close": p.close, "d": p.d})
-    x["c"] = x.s.rolling(7).corr(x.g)
-    x.loc[x.s.rolling(7).std() < 1e-9, "c"] = np.nan
-    x["v"] = x.g.rolling(7).std()
-    x = x.dropna()
-    qc, qv = x.c.rolling(80, min_periods=40).quantile(0.2), x.v.rolling(80, min_periods=40).quantile(0.33)
-    calm = (x.close.shift(1) > x.close.rolling(20).mean().shift(1)).fillna(False)
-    apart, quiet = x.c < qc, x.v < qv
-    want = pd.Series(np.where((apart | quiet) & ~(quiet & ~apart & calm), 0.0, 1.0), index=x.d).shift(1).fillna(1.0).reindex(p.d).fillna(1.0)
-    got = ratios(exposure.blind_window(spark.createDataFrame(p), "d", "s", "g", "close"))
-    assert got == want.tolist() and 20 < sum(v == 0 for v in got) < 150
-    assert ratios(exposure.blind_window(spark.createDataFrame(p), "d", "s", "g", "close", trend=0)) != got
-
-
-def test_factor_drift_against_pandas(spark):
-    rng = np.random.default_rng(6)
-    p = pd.DataFrame({"d": [day(i) for i in range(150)], "a": rng.normal(0, 1, 150).cumsum(), "b": rng.normal(0, 1, 150), "k": 3.0})
-    drift = {}
-    for t in range(6, 150):
-        train, blind = p.iloc[max(0, t - 39) : t - 5][["a", "b", "k"]], p.iloc[t - 5 : t + 1][["a", "b", "k"]]
-        drift[p.d[t]] = ((blind.mean() - train.mean()) / train.std().clip(lower=1e-8)).abs().mean()
-    s = pd.Series(drift)
-    ratio = pd.Series(np.where(s >= s.rolling(40, min_periods=10).quantile(0.75), 0.0, 1.0), index=s.index).shift(1).reindex(p.d).fillna(1.0)
-    got = exposure.factor_drift(spark.createDataFrame(p), "d", ["a", "b", "k"]).orderBy("d").collect()
-    assert [r.ratio for r in got] == ratio.tolist() and 0 in ratio.tolist()
-    assert [r.drift for r in got][8:] == pytest.approx(s.tolist()[2:], rel=1e-9)
+def test_blind_window(spark):
+    """Two rows a statistic: a correlation is the sign of the two steps, a deviation the large step's size over the root of 2 (below in units of that).
+
+    Row 3: steps of opposite sign, -1 below the quantile -0.2 of (1, 1, -1). Row 4: size 0.5 below 0.995, and 9 is under its mean 10. Row 7: size 0.1
+    below 0.496, but the close of the row before, 12, stands over its mean 11. A verdict holds for the next row.
+    """
+    small, large = (0, 1, 2, 3, 4, 5, 4, 5, 6), (0, 1, 3, 2, 2.5, 6.5, 6, 6.1, 7)
+    close = (0, 10, 11, 9, 10, 10, 12, 10, 10)
+    df = spark.createDataFrame([(day(i), float(s), float(g), float(c)) for i, (s, g, c) in enumerate(zip(small, large, close, strict=True))], "d date, s double, g double, close double")
+    how = {"n": 2, "history": 4, "p_corr": 0.2, "p_vol": 0.33}
+    assert ratios(exposure.blind_window(df, "d", "s", "g", "close", trend=2, **how)) == [1, 1, 1, 1, 0, 0, 1, 1, 1]
+    assert ratios(exposure.blind_window(df, "d", "s", "g", "close", trend=0, **how)) == [1, 1, 1, 1, 0, 0, 1, 1, 0]
+    assert ratios(exposure.blind_window(df, "d", "s", "g", "close", trend=2, avoid=0.4, **how))[4] == 0.4
+
+
+def test_factor_drift(spark):
+    """Two training rows, then two recent ones. Row 3: 0, 2 against 3, 3 is 2 over the root of 2. Rows 5, 7 and 8 train on constants: distances 2, 0.5 and 2 over 1e-8.
+
+    From five values on the quantile at 0.75 decides: 5e7 on row 7 (met), 1.625e8 on row 8 (passed), 1.25e8 on row 9 (not reached). A verdict holds for the next row.
+    """
+    values = (0, 2, 3, 3, 1, 1, 1, 2, 4, 4, 4)
+    df = spark.createDataFrame([(day(i), float(v), None) for i, v in enumerate(values)], "d date, a double, none double")
+    got = exposure.factor_drift(df, "d", ["a", "none"], window=4, ahead=2, history=8).orderBy("d").collect()
+    root = 2**0.5
+    assert [r.drift for r in got[:3]] == [None] * 3
+    assert [r.drift for r in got[3:10]] == pytest.approx([2 / root, 0.5 * root, 2e8, 1 / root, 5e7, 2e8, 2.5 * root])
+    assert [r.ratio for r in got] == [1] * 8 + [0, 0, 1]
 
 
 def test_factor_kinds(spark):
