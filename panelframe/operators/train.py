@@ -220,14 +220,22 @@ def fit_elastic_net(df: DataFrame, features: Sequence[str], y: str, l1_ratios: S
     return Linear(tuple(features), float(at[-1] - at[:-1] @ w), tuple(map(float, w)), best[1], best[2], best[0] / n)
 
 
-def fit_trees(df: DataFrame, features: Sequence[str], y: str, weight: str | None = None, classify: bool = False, rounds: int = 300, rate: float = 0.05, depth: int = 4, seed: int = 1) -> Model:
+def fit_trees(df: DataFrame, features: Sequence[str], y: str, weight: str | None = None, classify: bool = False, rounds: int = 300, rate: float = 0.05, depth: int = 4, seed: int = 1, sample: float = 0.8) -> Model:
     """Boosted trees; graded or ranked labels are fitted pointwise."""
     d = _filled(df.where(F.col(y).isNotNull()), features).withColumn("\u0001y", F.col(y).cast("double"))
     kind = GBTClassifier if classify else GBTRegressor
-    t = kind(labelCol="\u0001y", maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed, subsamplingRate=0.8)
+    t = kind(labelCol="\u0001y", maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed, subsamplingRate=sample)
     return (t.setWeightCol(weight) if weight else t).fit(d)
 
 
+def fit_linear(df: DataFrame, features: Sequence[str], y: str, l1: float, penalty: float, weight: str | None = None) -> Linear:
+    """The elastic net at a given share and penalty, without a search."""
+    parts, offset = grams(df, features, y, 1, weight)
+    whole = parts[0]
+    w, mean = descend(whole, l1, penalty), whole[0, 1:] / whole[0, 0] + offset
+    return Linear(tuple(features), float(mean[-1] - mean[:-1] @ w), tuple(map(float, w)), l1, penalty, float("nan"))
+
+
 def score(model: Model | Linear, df: DataFrame, features: Sequence[str], day: str, entity: str) -> DataFrame:
     """(day, entity, score); the probability of 1 for classifiers."""
     if isinstance(model, Linear):

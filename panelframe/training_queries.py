@@ -13,8 +13,11 @@ from panelframe.functions import expr as X
 from panelframe.functions import scalar as C
 from panelframe.operator_queries import _DIM, _S, _W, _neutral_sql, _round, _rk, _scores
 from panelframe import oracle
+from panelframe.operators import cohorts as B
 from panelframe.operators import evaluate as E
+from panelframe.operators import exposure as G
 from panelframe.operators import history as Y
+from panelframe.operators import joins as N
 from panelframe.operators import train as T
 from panelframe.operators import xsection as XS
 from panelframe.operators.joins import keep_old
@@ -172,6 +175,108 @@ def model_tuned_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.join(E.rank_ic(scored, ["base", "d"], "score", "label").groupBy("base").agg(F.avg("ic").alias("ic"), F.count(F.lit(1)).alias("dates")), "base", "left")
 
 
+# ---- models with a closed form -------------------------------------------------------------------------
+
+_ONE = "mo AS (SELECT covar_pop(score, label) AS c, var_pop(score) AS v, avg(score) AS mx, avg(label) AS my FROM sc), wt AS (SELECT *, sign(c) * greatest(abs(c) - {p} * {l}, 0) / (v + {p} * (1 - {l})) AS w FROM mo)"
+
+
+@query("WITH " + _S + ", " + _ONE.format(p=0.0005, l=0.5) + " SELECT entity, d, round(my + (score - mx) * w, 6) + 0.0 AS score FROM sc, wt")
+def model_one_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elastic net of one factor is a soft threshold over its variance; every row scored."""
+    df = _scores(spark, sf_dir)
+    return _round(T.score(T.fit_linear(df, ["score"], "label", 0.5, 0.0005), df, ["score"], "d", "entity"))
+
+
+_STUMP = """b AS (SELECT {x} AS x, {y} AS y FROM {t}), s AS (SELECT x, count(*) AS n, sum(y) AS s FROM b GROUP BY x), r AS (SELECT x, sum(n) OVER o AS n, sum(s) OVER o AS s, sum(n) OVER () AS na, sum(s) OVER () AS sa FROM s WINDOW o AS (ORDER BY x)),
+    c AS (SELECT x AS cut, s / n AS low, (sa - s) / (na - n) AS high FROM r WHERE n < na ORDER BY s * s / n + (sa - s) * (sa - s) / (na - n) DESC, x LIMIT 1)"""
+
+
+def _eighths(df: DataFrame) -> DataFrame:
+    """The score's place in its date in eighths: a feature of nine values at most."""
+    ok = df.where(F.col("score").isNotNull())
+    return ok.withColumn("place", F.floor(8 * E.average_rank("score", "d") / F.count(F.lit(1)).over(Window.partitionBy("d"))).cast("double"))
+
+
+_EIGHTHS = f"e AS (SELECT *, floor(8 * ({_rk('score')}) / count(*) OVER (PARTITION BY d)) AS place FROM sc)"
+
+
+@query(f"WITH {_S}, {_EIGHTHS}, {_STUMP.format(x='place', y='label', t='e')} SELECT entity, d, round(CASE WHEN place <= cut THEN low ELSE high END, 6) + 0.0 AS score FROM e, c")
+def model_one_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of depth one is the split of least squared error."""
+    df = _eighths(_scores(spark, sf_dir))
+    return _round(T.score(T.fit_trees(df, ["place"], "label", rounds=1, depth=1, sample=1.0), df, ["place"], "d", "entity"))
+
+
+@query(
+    f"""WITH {_S}, {_EIGHTHS}, t AS (SELECT d, quantile_cont(label, 0.8) AS q FROM e GROUP BY d), k AS (SELECT e.*, CASE WHEN label >= q THEN 1.0 ELSE -1.0 END AS side FROM e JOIN t USING (d)),
+    {_STUMP.format(x='place', y='side', t='k')} SELECT entity, d, round(1 / (1 + exp(-2 * CASE WHEN place <= cut THEN low ELSE high END)), 6) AS score FROM k, c"""
+)
+def model_one_split_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round on the top fifth of each date; the log-loss turns the mean side of a leaf into a probability."""
+    df = T.top_label(_eighths(_scores(spark, sf_dir)), "d", "label", 0.2)
+    return _round(T.score(T.fit_trees(df, ["place"], "y", classify=True, rounds=1, depth=1, sample=1.0), df, ["place"], "d", "entity"))
+
+
+@query(
+    f"""WITH {_S}, {_EIGHTHS}, q AS (SELECT d, quantile_cont(label, 0.1) AS lo, quantile_cont(label, 0.9) AS hi, count(*) AS n FROM e GROUP BY d HAVING count(*) >= 50),
+    g AS (SELECT entity, d, place, n, round(least(greatest(label, lo), hi), 9) AS v FROM e JOIN q USING (d)), k AS (SELECT *, ceil(row_number() OVER (PARTITION BY d ORDER BY v, entity) * 5 / n) - 1 AS grade FROM g),
+    {_STUMP.format(x='place', y='grade', t='k')} SELECT entity, d, round(CASE WHEN place <= cut THEN low ELSE high END, 6) + 0.0 AS score FROM k, c"""
+)
+def model_one_split_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round on graded labels."""
+    df = T.graded_label(_eighths(_scores(spark, sf_dir)), "d", "entity", "label", 5)
+    return _round(T.score(T.fit_trees(df, ["place"], "y", rounds=1, depth=1, sample=1.0), df, ["place"], "d", "entity"))
+
+
+@query(f"WITH {_S}, t AS (SELECT d, quantile_cont(label, 0.8) AS q FROM sc GROUP BY d), y AS (SELECT entity, sc.d, CAST(label >= q AS INTEGER) AS y FROM sc JOIN t USING (d)) SELECT entity, d, y, CASE y WHEN 1 THEN (count(*) FILTER (y = 0) OVER ()) / (count(*) FILTER (y = 1) OVER ()) ELSE 1.0 END AS w FROM y")
+def train_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positives weigh as much as all negatives."""
+    return T.balance(T.top_label(_scores(spark, sf_dir), "d", "label", 0.2)).select("entity", "d", "y", "w")
+
+
+@query("""WITH c AS (SELECT column_name AS name, column_type AS kind FROM (DESCRIBE SELECT l_shipdate, l_quantity, l_tax, l_tax AS label_1, l_tax AS tax_standard, l_orderkey, l_comment AS said FROM (SELECT *, l_returnflag AS l_comment FROM lineitem)))
+    SELECT name, 'discovered' AS what FROM c WHERE kind IN ('DOUBLE', 'FLOAT', 'INTEGER', 'BIGINT') AND name NOT LIKE 'label%' AND name NOT LIKE '%\\_standard' ESCAPE '\\' AND name <> 'l_orderkey'
+    UNION ALL SELECT coalesce(s.name, c.name), 'resolved' FROM (VALUES ('tax'), ('l_quantity'), ('nothing')) f(f) LEFT JOIN c s ON s.name = f || '_standard' LEFT JOIN c ON c.name = f WHERE coalesce(s.name, c.name) IS NOT NULL""")
+def train_feature_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric columns that are neither keys, labels nor derived; the standardised column of a factor, or else the raw one."""
+    df = P.table(spark, sf_dir, "lineitem").select("l_shipdate", "l_quantity", "l_tax", F.col("l_tax").alias("label_1"), F.col("l_tax").alias("tax_standard"), "l_orderkey", F.col("l_returnflag").alias("said"))
+    rows = [(n, "discovered") for n in T.discover(df, ["l_orderkey"])] + [(n, "resolved") for n in T.feature_columns(df, ["tax", "l_quantity", "nothing"])]
+    return spark.createDataFrame(rows, "name string, what string")
+
+
+@query(f"""WITH {_M}, y AS (SELECT entity % 7 AS factor, CAST(date_trunc('year', d) AS DATE) AS d, round(avg(vol), 6) AS importance FROM m GROUP BY ALL)
+    SELECT factor, d, round(list_reduce(list(importance) OVER (PARTITION BY factor ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, b: 0.3 * b + 0.7 * a), 6) AS smoothed FROM y""")
+def model_smoothed_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is averaged over refits."""
+    y = P.bars(spark, sf_dir, "month").groupBy((F.col("entity") % 7).alias("factor"), F.trunc("d", "year").alias("d")).agg(F.round(F.avg("vol"), 6).alias("importance"))
+    return _round(Y.ewm_over_refits(y, "importance", "factor", "d").select("factor", "d", "smoothed"))
+
+
+@query(f"WITH {_W}, {_DIM} SELECT w.entity, d, coalesce(industry, 'none') AS industry FROM w LEFT JOIN (SELECT * FROM dim WHERE nation < 15) t USING (entity)")
+def join_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapped value, or the default."""
+    return N.lookup(P.bars(spark, sf_dir).select("entity", "d"), P.dimension(spark, sf_dir).where("nation < 15"), "entity", "industry", F.lit("none"))
+
+
+@query(f"WITH {_W}, c AS (SELECT DISTINCT d FROM w) SELECT (SELECT min(d) FROM (SELECT d FROM c ORDER BY d DESC LIMIT 11)) AS since, (SELECT min(d) FROM c WHERE d >= DATE '1994-02-03') AS first, (SELECT max(d) FROM c WHERE d <= DATE '1996-11-01') AS last")
+def store_calendar_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The date ten rows before the last; a range aligned to the calendar."""
+    w = P.bars(spark, sf_dir)
+    first, last = B.align(w, "d", dt.date(1994, 2, 3), dt.date(1996, 11, 1))
+    return spark.createDataFrame([(store.since_last(w, 10), first, last)], "since date, first date, last date")
+
+
+@query(f"""WITH {_M}, i AS (SELECT d, avg(close_hfq) AS c FROM m GROUP BY d), a AS (SELECT d, CASE WHEN c > 40000 THEN 1.0 ELSE 0.3 END AS r FROM i WHERE month(d) <> 6), b AS (SELECT d, CASE WHEN month(d) IN (1, 2) THEN 0.5 ELSE 1.0 END AS r FROM i WHERE month(d) <> 9)
+    SELECT i.d, least(coalesce(a.r, 1), coalesce(b.r, 1)) AS ratio FROM i LEFT JOIN a ON a.d = i.d LEFT JOIN b ON b.d = i.d""")
+def exposure_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates without a word are fully exposed; of several rules the smallest ratio holds."""
+    i = P.bars(spark, sf_dir, "month").groupBy("d").agg(F.avg("close_hfq").alias("c"))
+    a = i.where(F.month("d") != 6).select("d", F.when(F.col("c") > 40000, 1.0).otherwise(0.3).alias("ratio"))
+    b = i.where(F.month("d") != 9).select("d", F.when(F.month("d") <= 2, 0.5).otherwise(1.0).alias("ratio"))
+    full = [G.exposure_on(i, x, "d").withColumnRenamed("ratio", f"r{k}") for k, x in enumerate((a, b))]
+    return full[0].join(full[1], "d").select("d", G.combine(F.col("r0"), F.col("r1")).alias("ratio"))
+
+
 @query(f"WITH {_S} SELECT entity, d FROM (SELECT entity, d, row_number() OVER (PARTITION BY d ORDER BY md5(CAST(entity AS VARCHAR) || '|' || CAST(d AS VARCHAR) || '|0'), entity) AS p FROM sc) WHERE p <= 7")
 def train_sampled_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which seven rows of each date."""
