@@ -14,7 +14,7 @@ Blocks are formed by hash of the row, never by where it happens to lie, and the
 draws are hashes too: the result depends on the rows alone. Rows equal in all columns
 count as one item and get the same number of copies. A null text has size 0 and a
 null source is a source, the last in order. Documents without words get the whole part
-and a fraction drawn alone. An empty table gives an empty result.
+and a fraction drawn alone. Ids are integers or cast to them: an id that is another text raises an error. An empty table gives an empty result.
 """
 
 from __future__ import annotations

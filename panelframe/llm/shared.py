@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the setting is absent (tests)."""
+    """The cluster's shared folder; without the setting a temporary one for a local session (tests), and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if named is None:
         if sc.getCheckpointDir() is None:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="panelframe-"))
         return sc.getCheckpointDir()
     if sc.getCheckpointDir() is None:

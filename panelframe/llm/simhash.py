@@ -11,8 +11,8 @@ forest, so that groups of any size cost as many links as members.
 The number of bands follows from the number of distinct fingerprints and changes the
 cost only. Null and empty texts have fingerprint 0 and are linked like any other. Rows
 with a null doc_id get the component of their fingerprint if a document with an id has
-it too, else null; they link nothing. Rows with one doc_id are one document. An empty table gives an
-empty result.
+it too, else null; they link nothing. Rows with one doc_id are one document. Ids are integers or cast to them: an id that is
+another text raises an error. An empty table gives an empty result.
 """
 
 from __future__ import annotations
