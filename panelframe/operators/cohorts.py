@@ -6,8 +6,10 @@ capital that compounds from batch to batch.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -170,16 +172,32 @@ def robustness(trades: DataFrame, ret: str, order: str, drops: Sequence[int] = (
 
 def bootstrap(trades: DataFrame, ret: str, key: str, reps: int = 5000, seed: int = 7) -> DataFrame:
     """Percentile interval of the mean over replicates. A row's weight in a replicate is Poisson(1), drawn by hash, in place of n draws with
-    replacement, whose counts tend to it: no replicate needs the number of rows. Weights beyond 16 have a probability of 1e-15 and count as 16."""
-    u = F.pmod(F.xxhash64(F.col(key), F.col("rep"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    replacement, whose counts tend to it: no replicate needs the number of rows. Weights beyond 16 have a probability of 1e-15 and count as 16.
+
+    A task adds up its rows' weighted returns and weights for all replicates and sends two numbers a replicate."""
     cuts, p, acc = [], 2.718281828459045**-1, 0.0
     for k in range(1, 17):
         acc += p
         cuts.append(acc)
         p /= k
-    weight = sum(((u >= c).cast("int") for c in cuts), F.lit(0))
-    each = trades.where(F.col(ret).isNotNull()).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("\u0001w", weight)
-    means = each.groupBy("rep").agg(div(F.sum(F.col(ret) * F.col("\u0001w")), F.sum("\u0001w")).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each, total = spread(np.arange(reps, dtype=np.uint64) + np.uint64(1)), np.zeros((2, reps))
+        for batch in batches:
+            h, r = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("r").to_numpy(zero_copy_only=False)
+            for lo in range(0, len(h), 128):
+                u = (spread(h[lo : lo + 128, None] ^ each[None, :]) >> np.uint64(11)) / 2.0**53
+                w = np.searchsorted(cuts, u, "right").astype(float)
+                total += np.stack([r[lo : lo + 128] @ w, w.sum(0)])
+        yield pa.RecordBatch.from_arrays([pa.array(range(reps), pa.int32()), pa.array(total[0]), pa.array(total[1])], names=["rep", "s", "w"])
+
+    def spread(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    rows = trades.where(F.col(ret).isNotNull()).select(F.xxhash64(F.col(key), F.lit(seed)).alias("h"), F.col(ret).cast("double").alias("r"))
+    means = rows.mapInArrow(run, "rep int, s double, w double").groupBy("rep").agg(div(F.sum("s"), F.sum("w")).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
 
 

@@ -64,9 +64,9 @@ def clipped_zscore(x: Column, day: str, bound: float = 3.0, least: int = 30) ->
     return F.when((n >= least) & (s > 1e-8), F.coalesce(F.least(F.greatest((x - F.avg(x).over(w)) / s, F.lit(-bound)), F.lit(bound)), F.lit(0.0)))
 
 
-def standardize(df: DataFrame, day: str, industry: str, size: str, neutral: Sequence[str], plain: Sequence[str] = ()) -> DataFrame:
-    """X11: winsorize, neutralize and z-score the factors; z-score the plain columns. Adds <name>_standard."""
-    out = neutralize(winsorize(df, day, [*neutral, *plain]), day, industry, size, neutral)
+def standardize(df: DataFrame, day: str, industry: str, size: str, neutral: Sequence[str], plain: Sequence[str] = (), spread: bool = False) -> DataFrame:
+    """X11: winsorize (spread: dates of any size), neutralize and z-score the factors; z-score the plain columns. Adds <name>_standard."""
+    out = neutralize(winsorize(df, day, [*neutral, *plain], spread=spread), day, industry, size, neutral)
     w = Window.partitionBy(day)
     out = out.withColumns({f"{c}_neutral": F.when(F.count(c).over(w) == 0, F.lit(0.0)).otherwise(F.col(f"{c}_neutral")) for c in neutral})
     return out.withColumns({f"{c}_standard": zscore(F.col(f"{c}_neutral"), day) for c in neutral} | {f"{c}_standard": zscore(F.col(c), day) for c in plain})
