@@ -105,13 +105,13 @@ def scaled(df: DataFrame, factors: dict[str, float]) -> DataFrame:
     return df.withColumns({c: F.col(c) * F.lit(float(k)) for c, k in factors.items() if c in df.columns})
 
 
-def eligible_view(df: DataFrame, names: DataFrame, key: str, features: DataFrame | None = None, keys: Sequence[str] = (), board: bool = False, **how) -> DataFrame:
-    """Rows whose entity is listed, with its name and attached features, without special or small names, of the main board if asked."""
+def eligible_view(df: DataFrame, names: DataFrame, key: str, features: DataFrame | None = None, keys: Sequence[str] = (), board: bool | str = False, **how) -> DataFrame:
+    """Rows whose entity is listed, with its name and attached features, without special or small names, of the main board if asked (by the key, or by the column of codes that `board` names)."""
     out = df.join(names, key)
     if features is not None:
         out = out.join(features, list(keys), "left")
     out = eligible(out, **how)
-    return out.where(main_board(F.col(key))) if board else out
+    return out.where(main_board(F.col(board if isinstance(board, str) else key))) if board else out
 
 
 def only_listed(df: DataFrame, names: DataFrame, key: str) -> DataFrame:
