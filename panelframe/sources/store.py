@@ -132,8 +132,12 @@ def since_last(calendar: DataFrame, n: int, day: str = "d"):
 def extend_panel(old: DataFrame, sources: Sequence[DataFrame], keys: Sequence[str], day: str = "d") -> DataFrame:
     """The wide panel with the rows of its sources after its last date: only these are joined; old rows stay as they are."""
     last = latest_date(old, day)
-    newer = sources if last is None else [s.where(F.col(day) > F.lit(last)) for s in sources]
-    return keep_old(old, outer_join(newer, keys), keys)
+    if last is None:
+        return keep_old(old, outer_join(sources, keys), keys)
+    newer = outer_join([s.where(F.col(day) > F.lit(last)) for s in sources], keys)
+    if day in keys:  # none of these keys is in the old panel: nothing to look for
+        return old.unionByName(newer, allowMissingColumns=True)
+    return keep_old(old, newer, keys)
 
 
 def lookback_start(calendar: DataFrame, start, rows: int, day: str = "d"):
