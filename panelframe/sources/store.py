@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from panelframe.functions.scalar import normal_date
 from panelframe.operators.joins import keep_old, outer_join
@@ -101,6 +102,17 @@ def export_sorted(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.option("compression", "snappy").parquet(path)
 
 
+def numbered(spark: SparkSession, path: str, out: str = "place") -> DataFrame:
+    """The rows of a folder of Parquet files with their place (from 1) in the order of the files' names and the rows in them.
+
+    A file's first place follows from the counts of the files before it, a row a file; no row is moved.
+    """
+    rows = spark.read.parquet(path).withColumns({"\u0001file": F.col("_metadata.file_name"), "\u0001row": F.col("_metadata.row_index")})
+    before = Window.orderBy("\u0001file").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("\u0001file").count().withColumn("\u0001before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    return rows.join(F.broadcast(counts), "\u0001file").withColumn(out, F.col("\u0001before") + F.col("\u0001row") + 1).drop("\u0001file", "\u0001row", "\u0001before")
+
+
 def write_results(tables: dict[str, DataFrame], path: str, form: str = "csv") -> None:
     """Each table under its name."""
     for name, df in tables.items():
