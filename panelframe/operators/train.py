@@ -221,8 +221,9 @@ def fit_elastic_net(df: DataFrame, features: Sequence[str], y: str, l1_ratios: S
 
 
 def fit_trees(df: DataFrame, features: Sequence[str], y: str, weight: str | None = None, classify: bool = False, rounds: int = 300, rate: float = 0.05, depth: int = 4, seed: int = 1, sample: float = 0.8) -> Model:
-    """Boosted trees; graded or ranked labels are fitted pointwise."""
-    d = _filled(df.where(F.col(y).isNotNull()), features).withColumn("\u0001y", F.col(y).cast("double"))
+    """Boosted trees; graded or ranked labels are fitted pointwise. The fit reads its rows several times: they are saved first."""
+    rows = saved(df.where(F.col(y).isNotNull()).select(*dict.fromkeys([*features, y, *([weight] if weight else [])])), "tree-rows")
+    d = _filled(rows, features).withColumn("\u0001y", F.col(y).cast("double"))
     kind = GBTClassifier if classify else GBTRegressor
     t = kind(labelCol="\u0001y", maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed, subsamplingRate=sample)
     return (t.setWeightCol(weight) if weight else t).fit(d)
