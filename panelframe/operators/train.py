@@ -184,12 +184,12 @@ def descend(gram: np.ndarray, l1: float, penalty: float, start: np.ndarray | Non
     return w
 
 
-def fit_elastic_net(df: DataFrame, features: Sequence[str], y: str, l1_ratios: Sequence[float] = (0.1, 0.5, 0.9), penalties: int = 50, folds: int = 3, least: int = 30, weight: str | None = None) -> Linear | None:
+def fit_elastic_net(df: DataFrame, features: Sequence[str], y: str, l1_ratios: Sequence[float] = (0.1, 0.5, 0.9), penalties: int = 50, folds: int = 3, least: int = 30, weight: str | None = None, sums: tuple[dict[int, np.ndarray], np.ndarray] | None = None) -> Linear | None:
     """The l1 share and penalty with the least squared error over folds, refitted on all; None below `least` rows.
 
-    Penalties fall from the least one that leaves no weight to a thousandth of it. The rows are read twice, whatever the grid's size. Features should be standardised (`standardized`).
+    Penalties fall from the least one that leaves no weight to a thousandth of it. The rows are read twice, whatever the grid's size, or not at all if `sums` has their `grams`. Features should be standardised (`standardized`).
     """
-    parts, offset = grams(df, features, y, folds, weight)
+    parts, offset = sums or grams(df, features, y, folds, weight)
     whole = sum(parts.values()) if parts else np.zeros((1, 1))
     n = whole[0, 0]
     if n < least:
@@ -237,13 +237,13 @@ def fit_linear(df: DataFrame, features: Sequence[str], y: str, l1: float, penalt
     return Linear(tuple(features), float(mean[-1] - mean[:-1] @ w), tuple(map(float, w)), l1, penalty, float("nan"))
 
 
-def score(model: Model | Linear, df: DataFrame, features: Sequence[str], day: str, entity: str) -> DataFrame:
-    """(day, entity, score); the probability of 1 for classifiers."""
+def score(model: Model | Linear, df: DataFrame, features: Sequence[str], day: str, entity: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(day, entity, the columns to keep, score); the probability of 1 for classifiers."""
     if isinstance(model, Linear):
-        return df.select(day, entity, (F.lit(model.intercept) + linear_score(model.features, model.weights)).alias("score"))
+        return df.select(day, entity, *keep, (F.lit(model.intercept) + linear_score(model.features, model.weights)).alias("score"))
     out = model.transform(_filled(df, features))
     s = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
-    return out.select(day, entity, s.alias("score"))
+    return out.select(day, entity, *keep, s.alias("score"))
 
 
 def linear_score(features: Sequence[str], weights: Sequence[float]) -> Column:
@@ -288,25 +288,34 @@ def training_rows(df: DataFrame, day: str, window: int | None = None, half: floa
     return d.withColumn(out, w * F.col(out) if out in df.columns else w).drop(age)
 
 
-def grid_search(df: DataFrame, features: Sequence[str], day: str, entity: str, label: str, fit: Callable[..., Model | Linear], grid: dict[str, Sequence], share: float = 0.2, ahead: int = 0, window: int | None = None, half: float | None = None, parallelism: int = 4) -> list[tuple[dict, float | None]]:
+def grid_search(df: DataFrame, features: Sequence[str], day: str, entity: str, label: str, fit: Callable[..., Model | Linear], grid: dict[str, Sequence], share: float = 0.2, ahead: int = 0, window: int | None = None, half: float | None = None, parallelism: int = 4, shared: Callable[..., object] | None = None) -> list[tuple[dict, float | None]]:
     """Every combination fitted on the early dates, judged by mean daily rank correlation on the late ones; best first (of equals the first of the grid).
 
     The split keeps `ahead` dates apart, so that no label of the training rows lies in the validation dates. `window` and `half` in the grid choose
     training dates and their weights (column w); all else goes to `fit(rows, features, label, **how)`. Fits share one saved set of rows, `parallelism` of them at a time.
+    What `shared(rows, features, label)` gives is made once for each choice of training dates and weights, and given to `fit` as `sums`.
     """
     rows = saved(df.where(F.col(label).isNotNull()), "grid-rows")
     train, valid = chronological_split(rows, day, share, ahead)
     combos = [dict(zip(grid, v, strict=True)) for v in itertools.product(*grid.values())]
 
+    chosen = lambda how: (how.get("window", window), how.get("half", half))
+
+    def prepared(which: tuple) -> tuple[DataFrame, dict]:
+        some = training_rows(train, day, *which)
+        return some, {"sums": shared(some, features, label)} if shared else {}
+
     def one(how: dict) -> float | None:
         own = {k: v for k, v in how.items() if k not in ("window", "half")}
-        some = training_rows(train, day, how.get("window", window), how.get("half", half))
-        model = fit(some, features, label, **own)
+        some, more = sets[chosen(how)]
+        model = fit(some, features, label, **own, **more)
         if model is None:
             return None
-        return mean_ic(score(model, valid, features, day, entity).join(valid.select(day, entity, label), [day, entity]), day, "score", label)
+        return mean_ic(score(model, valid, features, day, entity, [label]), day, "score", label)
 
     with ThreadPool(max(1, min(parallelism, len(combos)))) as pool:  # the driver only waits: Spark runs the fits' jobs side by side
+        kinds = list(dict.fromkeys(map(chosen, combos)))
+        sets = dict(zip(kinds, pool.map(inheritable_thread_target(df.sparkSession)(prepared), kinds), strict=True))
         found = pool.map(inheritable_thread_target(df.sparkSession)(one), combos)
     return sorted(zip(combos, found, strict=True), key=lambda x: -(x[1] if x[1] is not None and x[1] == x[1] else float("-inf")))
 
@@ -329,7 +338,7 @@ class Choice:
 
 def walk_forward(
     df: DataFrame, features: Sequence[str], day: str, entity: str, label: str, refits: Sequence, fit: Callable[..., Model | Linear | None], window: int, ahead: int = 6,
-    half: float | None = None, grid: dict[str, Sequence] | None = None, second: dict[str, Sequence] | None = None, every: int = 20, second_every: int = 3, lookback: int = 120, share: float = 0.2, parallelism: int = 4,
+    half: float | None = None, grid: dict[str, Sequence] | None = None, second: dict[str, Sequence] | None = None, every: int = 20, second_every: int = 3, lookback: int = 120, share: float = 0.2, parallelism: int = 4, shared: Callable[..., object] | None = None,
 ) -> tuple[DataFrame, list[Choice]]:
     """A model for each refit date from the window before it, scoring the dates up to the next one; and what each used.
 
@@ -347,12 +356,12 @@ def walk_forward(
         made: list[str] = []
         if grid and at - ahead > 0 and (last is None or at - last >= every):
             recent = known.where(F.col(day) > F.lit(calendar[max(0, at - lookback)]))
-            found = grid_search(recent, features, day, entity, label, fit, grid, share, ahead, None, half, parallelism)
+            found = grid_search(recent, features, day, entity, label, fit, grid, share, ahead, None, half, parallelism, shared)
             params, last, searches = dict(found[0][0]), at, searches + 1
             made.append("grid")
             if second and searches % second_every == 0:
                 kept = params
-                found = grid_search(recent, features, day, entity, label, lambda *a, kept=kept, **k: fit(*a, **kept, **k), second, share, ahead, window, half, parallelism)
+                found = grid_search(recent, features, day, entity, label, lambda *a, kept=kept, **k: fit(*a, **kept, **k), second, share, ahead, window, half, parallelism, shared)
                 window, half = found[0][0].get("window", window), found[0][0].get("half", half)
                 made.append("window and half-life")
         first = calendar[max(0, at - window + 1)]
@@ -363,7 +372,7 @@ def walk_forward(
         use = df.where(F.col(day) >= F.lit(base))
         if i + 1 < len(dates):
             use = use.where(F.col(day) < F.lit(dates[i + 1]))
-        scored = score(model, use, features, day, entity).join(use.select(day, entity, label), [day, entity]).withColumn("base", F.lit(base))
+        scored = score(model, use, features, day, entity, [label]).withColumn("base", F.lit(base))
         scored = saved(scored, "walk-forward")
         out = scored if out is None else out.unionByName(scored)
     return out, choices
