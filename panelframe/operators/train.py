@@ -12,16 +12,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext, inheritable_thread_target
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelframe.functions.kernels import TINY, div
 from panelframe.functions.scalar import half_life
+from panelframe.operators import boosting
 from panelframe.operators.evaluate import average_rank, rank_ic
 from panelframe.operators.xsection import clipped_zscore, zscore
 from panelframe.sources.shared import saved
@@ -220,13 +219,10 @@ def fit_elastic_net(df: DataFrame, features: Sequence[str], y: str, l1_ratios: S
     return Linear(tuple(features), float(at[-1] - at[:-1] @ w), tuple(map(float, w)), best[1], best[2], best[0] / n)
 
 
-def fit_trees(df: DataFrame, features: Sequence[str], y: str, weight: str | None = None, classify: bool = False, rounds: int = 300, rate: float = 0.05, depth: int = 4, seed: int = 1, sample: float = 0.8) -> Model:
-    """Boosted trees; graded or ranked labels are fitted pointwise. The fit reads its rows several times: they are saved first."""
+def fit_trees(df: DataFrame, features: Sequence[str], y: str, weight: str | None = None, classify: bool = False, rounds: int = 300, rate: float = 0.05, depth: int = 4, seed: int = 1, sample: float = 0.8) -> boosting.Boosted:
+    """Boosted trees (panelframe.operators.boosting); graded or ranked labels are fitted pointwise. The fit reads its rows several times: they are saved first."""
     rows = saved(df.where(F.col(y).isNotNull()).select(*dict.fromkeys([*features, y, *([weight] if weight else [])])), "tree-rows")
-    d = _filled(rows, features).withColumn("\u0001y", F.col(y).cast("double"))
-    kind = GBTClassifier if classify else GBTRegressor
-    t = kind(labelCol="\u0001y", maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed, subsamplingRate=sample)
-    return (t.setWeightCol(weight) if weight else t).fit(d)
+    return boosting.fit(rows, features, y, weight, classify, rounds, rate, depth, seed, sample)
 
 
 def fit_linear(df: DataFrame, features: Sequence[str], y: str, l1: float, penalty: float, weight: str | None = None) -> Linear:
@@ -237,10 +233,12 @@ def fit_linear(df: DataFrame, features: Sequence[str], y: str, l1: float, penalt
     return Linear(tuple(features), float(mean[-1] - mean[:-1] @ w), tuple(map(float, w)), l1, penalty, float("nan"))
 
 
-def score(model: Model | Linear, df: DataFrame, features: Sequence[str], day: str, entity: str, keep: Sequence[str] = ()) -> DataFrame:
+def score(model: Model | Linear | boosting.Boosted, df: DataFrame, features: Sequence[str], day: str, entity: str, keep: Sequence[str] = ()) -> DataFrame:
     """(day, entity, the columns to keep, score); the probability of 1 for classifiers."""
     if isinstance(model, Linear):
         return df.select(day, entity, *keep, (F.lit(model.intercept) + linear_score(model.features, model.weights)).alias("score"))
+    if isinstance(model, boosting.Boosted):
+        return boosting.scored(model, df, [day, entity, *keep])
     out = model.transform(_filled(df, features))
     s = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
     return out.select(day, entity, *keep, s.alias("score"))
@@ -320,9 +318,10 @@ def grid_search(df: DataFrame, features: Sequence[str], day: str, entity: str, l
     return sorted(zip(combos, found, strict=True), key=lambda x: -(x[1] if x[1] is not None and x[1] == x[1] else float("-inf")))
 
 
-def importances(model: Model, features: Sequence[str]) -> list[tuple[str, float]]:
+def importances(model: Model | boosting.Boosted, features: Sequence[str]) -> list[tuple[str, float]]:
     """T25"""
-    return [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)]
+    found = model.importances if isinstance(model, boosting.Boosted) else model.featureImportances.toArray()
+    return [(f, float(v)) for f, v in zip(features, found, strict=True)]
 
 
 @dataclass(frozen=True)
