@@ -209,35 +209,66 @@ def _replaced(e: Ex, by: dict[str, str]) -> Ex:
     return col(by[e.key]) if e.key in by else Ex(e.op, tuple(_replaced(a, by) for a in e.args), e.params)
 
 
-def apply(df: DataFrame, named: dict[str, Ex], entity: str = "entity", order: str = "d", digits: dict[str, int | None] | None = None) -> DataFrame:
-    """df with the named expressions added.
+def _of_dates(e: Ex) -> Iterable[Ex]:
+    """The ranks among the entities of a date in a settled formula."""
+    if e.op == "x_rank":
+        yield e
+    else:
+        for a in e.args:
+            yield from _of_dates(a)
+
+
+def apply(df: DataFrame, named: dict[str, Ex], entity: str = "entity", order: str = "d", digits: dict[str, int | None] | None = None, keep: Iterable[str] | None = None) -> DataFrame:
+    """df with the named expressions added; of df's own columns those to keep, or all.
 
     Short frames stay in Spark's windows. Formulas with recursions, long frames or order statistics run in one pass over
     histories (panelframe.operators.history), all of them together, unless some look across entities: then only the
-    steps that windows can't do take a pass each.
+    steps that windows can't do take a pass each. Ranks within dates wait for each other: all that can be made by then take one pass over dates.
     """
     from panelframe.operators import history
 
-    known = list(df.columns)
+    known = list(df.columns) if keep is None else [c for c in df.columns if c in set(keep)]
     if any(map(history.by_history, named.values())) and history.able(named):
-        aside = {n: n + "\u0001" if n in known else n for n in named}  # a formula may read the column that it replaces
-        df = history.evaluate(df, {aside[n]: e for n, e in named.items()}, entity, order).drop(*[n for n in named if n in known])
+        aside = {n: n + "\u0001" if n in df.columns else n for n in named}  # a formula may read the column that it replaces
+        df = history.evaluate(df, {aside[n]: e for n, e in named.items()}, entity, order).drop(*[n for n in named if n in df.columns])
         df = df.withColumnsRenamed({a: n for n, a in aside.items()})
         return df.select(*[c for c in known if c not in named], *[_rounded(n, digits) for n in named])
     spec, done = K.Spec(entity, order), {}
-    steps = layers(named)
-    for i, step in enumerate(steps):
-        wanted = {x.key: x for e in step.values() for x in _by_history(e) if x.key not in done}
-        if wanted:
-            done |= {key: f"_e{len(done) + k}" for k, key in enumerate(wanted)}
-            df = history.evaluate(df, {done[k]: x for k, x in wanted.items()}, entity, order)
-        df = df.withColumns({n: to_column(_replaced(e, done), spec) for n, e in step.items()})
-        # what a pass over histories sends is all that it gets: only columns that are read later stay
-        read = set().union(*(_read(_replaced(e, done)) for later in steps[i + 1 :] for e in later.values()))
-        df = df.select(*[c for c in df.columns if c in read or c in named or c in known])
+    pending = [dict(step) for step in layers(named)]
+    while any(pending):
+        made: set[str] = set()  # by this wave: later steps may read it
+        for i, step in enumerate(pending):
+            waits = set().union(*pending[:i])  # of earlier steps, not there yet
+            asked = set().union(*(_read(_replaced(e, done)) for earlier in pending[:i] for e in earlier.values()))  # not to be replaced yet
+            ready = {n: e for n, e in ((n, _replaced(e, done)) for n, e in step.items()) if not any(True for _ in _of_dates(e)) and not waits & _read(e) and n not in asked}
+            wanted = {x.key: x for e in ready.values() for x in _by_history(e) if x.key not in done}
+            if wanted:
+                done |= {key: f"_e{len(done) + k}" for k, key in enumerate(wanted)}
+                df = history.evaluate(df, {done[k]: x for k, x in wanted.items()}, entity, order)
+            if ready:
+                df = df.withColumns({n: to_column(_replaced(e, done), spec) for n, e in ready.items()})
+                made |= set(ready)
+                pending[i] = {n: e for n, e in step.items() if n not in ready}
+                df = _still_read(df, pending, done, [*named, *known, entity, order])
+        waiting = set().union(*pending)
+        ranks = {x.key: x for step in pending for e in step.values() for x in _of_dates(e) if x.key not in done and not waiting & _read(x)}
+        if ranks:
+            new = {key: f"_x{len(done) + k}" for k, key in enumerate(ranks)}
+            args = {new[k]: to_column(x.args[0], spec) for k, x in ranks.items()}
+            done |= new
+            later = set(_still_read(df, pending, done, [*named, *known, entity, order]).columns)
+            df = K.ranks_of_dates(df, args, [c for c in df.columns if c in later or c == order], order)
+        elif not made:
+            raise ValueError("formulas that read each other")
     return df.select(*[c for c in known if c not in named], *[_rounded(n, digits) for n in named])
 
 
+def _still_read(df: DataFrame, pending: list[dict[str, Ex]], done: dict[str, str], kept: Iterable[str]) -> DataFrame:
+    """What a pass over histories or dates sends is all that it gets: only columns that are read later stay."""
+    read = set(kept).union(*(_read(_replaced(e, done)) for step in pending for e in step.values()))
+    return df.select(*[c for c in df.columns if c in read])
+
+
 def _rounded(name: str, digits: dict[str, int | None] | None) -> Column:
     n = None if digits is None else digits.get(name, digits.get("", 6))
     return F.col(name) if n is None else (F.round(F.col(name), n) + F.lit(0.0)).alias(name)

@@ -7,9 +7,12 @@ below 1e-9 counts as zero. Ranks compare to nine decimals and average ties.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -158,6 +161,28 @@ def x_rank(s: Spec, x: Column) -> Column:
     return _ranked(x, s.order)
 
 
+def ranks_of_dates(df: DataFrame, values: dict[str, Column], keep: Sequence[str], order: str) -> DataFrame:
+    """The columns to keep and under their names the `x_rank` of each value: one exchange by date for all of them, a date a group."""
+    names = list(values)
+    d = df.select(*keep, *[_held(x.cast("double")).alias(n) for n, x in values.items()])
+
+    def ranked(table: pa.Table) -> pa.Table:
+        for n in names:
+            column = table.column(n)
+            there = np.flatnonzero(column.is_valid().to_numpy())
+            found = np.zeros(table.num_rows)
+            if len(there):
+                _, value, count = np.unique(column.drop_null().to_numpy(), return_inverse=True, return_counts=True)
+                below = count.cumsum() - count
+                found[there] = ((below + 1 + (count - 1) / 2.0) / len(there))[value]
+            none = np.ones(table.num_rows, bool)
+            none[there] = False
+            table = table.set_column(table.column_names.index(n), n, pa.array(found, mask=none))
+        return table
+
+    return d.groupBy(order).applyInArrow(ranked, d.select(*keep, *[F.col(n) for n in names]).schema)
+
+
 def cum_sum(s: Spec, x: Column) -> Column:
     return F.sum(x).over(s.so_far)
 

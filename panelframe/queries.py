@@ -79,7 +79,7 @@ def _family(name: str, named: dict[str, Ex], panel: Callable, sql: str, by_hand:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         read = sorted(set().union(*map(FX.columns_of, named.values())))  # a pass over histories gets no other column
-        return X.apply(panel(spark, sf_dir).select("entity", "d", *read), named, digits=_DIGITS).select("entity", "d", *named)
+        return X.apply(panel(spark, sf_dir).select("entity", "d", *read), named, digits=_DIGITS, keep=("entity", "d")).select("entity", "d", *named)
 
     run.__name__ = name
     query(factor_sql.chain(sql, by_hand[0], list(named), _DIGITS) if by_hand else oracle.select(f"WITH {sql}", ["entity", "d"], named, _DIGITS))(run)
