@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelframe.llm import bpe, cascade, linededup, mixing, similar
-from panelframe.llm.shared import saved
+from panelframe.llm.shared import saved, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +67,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return _after(spark, sf_dir, len(STAGES))
+
+
+def _after(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The rows of the first k stages, saved; the rows of the stage before, and what a stage saved on its way, go then."""
+    if not k:
+        return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    name, stage = STAGES[k - 1]
+    with scratch(spark):
+        return saved(stage(spark, _after(spark, sf_dir, k - 1), sf_dir), f"pipeline-{name}", keep=True)

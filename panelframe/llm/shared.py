@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,11 +41,46 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The same rows read back from a table in the shared folder: computed once, lineage cut."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_scratch: ContextVar[list[tuple[str, bool]] | None] = ContextVar("scratch", default=None)
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """The same rows read back from a table in the shared folder: computed once, lineage cut. keep: the table outlives the innermost scratch block."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    with _shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    if (tables := _scratch.get()) is not None:
+        tables.append((path, keep))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """The tables saved inside go at its end, but those to keep, which are the outer block's from then on: nothing that leaves the block may read the others."""
+    tables, outer = [], _scratch.get()
+    token = _scratch.set(tables)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path, keep in tables:
+            if not keep:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            elif outer is not None:
+                outer.append((path, False))
+
+
+@contextlib.contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the job that wrote them ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -181,6 +182,14 @@ def test_whole_run_agrees_with_the_stages_and_empty_tables_stay_empty(spark, sta
         assert stage(spark, empty, sf).count() == 0
 
 
+def test_whole_run_leaves_its_result_only(spark, stages):
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = {*os.listdir(shared)}
+    n = corpus_pipeline.run(spark, stages[0]).count()
+    left = [x for x in {*os.listdir(shared)} - before if len(x) > 36]  # without Spark's own checkpoints
+    assert [x.rsplit("-", 1)[0] for x in left] == ["pipeline-bpe_round_trip"] and n > 0
+
+
 def test_odd_ids_pass_all_stages(spark):
     """Null and repeated ids, repeated rows, no n_chars."""
     base = " ".join(f"word{i} thing{i * 7}" for i in range(40))

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -89,3 +90,52 @@ def test_overlaps():
     sets = [np.unique(rng.integers(0, 9000, int(n)).astype(np.uint64)) for n in rng.integers(1, 6000, 12)]
     got = similar.overlaps(sets[:5], sets[5:])
     assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
+
+
+def test_quoted_passage_sends_no_sets(spark, monkeypatch):
+    """Documents that share a passage and are unlike otherwise grow with the table: their whole sets must not meet."""
+    rng, rows, save = random.Random(5), {}, similar.saved
+
+    def counted(df, name, **how):
+        out = save(df, name, **how)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(similar, "saved", counted)
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = [(i, " ".join([*(f"a{rng.randrange(10**9)}" for _ in range(80)), passage, *(f"b{rng.randrange(10**9)}" for _ in range(80))])) for i in range(240)]
+    docs += [(1000, docs[7][1] + " end"), (1001, docs[8][1].replace("p3 ", "other "))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for how in ({}, {"tile": 700}):
+        assert {r.doc_id for r in similar.drop_similar(df, **how).collect()} == set(range(240))
+        assert rows["similar-sets"] == 4
+
+
+def test_sketches():
+    rng, agree = np.random.default_rng(13), similar.agreed(32, (4, 5))
+    assert agree == 10
+    least, want, most = np.full((400, 2, 32), 2**64 - 1, np.uint64), [], []
+    for k in range(400):
+        shared, own = (4 * (n := int(rng.integers(1, 60)))), n  # at just 0.8
+        h = rng.choice(10**6, shared + own, replace=False).astype(np.uint64)
+        cut = shared + int(rng.integers(0, own + 1))
+        sets = [{int(x) for x in h[:cut]}, {int(x) for x in [*h[:shared], *h[cut:]]}]
+        for side, s in enumerate(sets):
+            x = sorted(s)[:32]
+            least[k, side, : len(x)] = x
+        union = sorted(sets[0] | sets[1])[:32]
+        want.append((len(union), len({*union} & sets[0] & sets[1])))
+    seen, common = similar.in_common(least[:, 0], least[:, 1])
+    assert [*zip(seen.tolist(), common.tolist(), strict=True)] == want
+    assert (32 * common >= agree * seen).all()
+
+
+def test_nothing_is_left_but_the_ids_that_go(spark):
+    """Neither tables in the shared folder nor shuffle files of what was saved there."""
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = {*os.listdir(shared)}
+    df = spark.createDataFrame(list(documents().items()), "doc_id long, text string")
+    out = similar.drop_similar(df)
+    left = {x.rsplit("-", 1)[0] for x in {*os.listdir(shared)} - before if x.startswith("similar-")}
+    assert left == {"similar-rest"}
+    assert out.count() == out.count() > 60
