@@ -240,8 +240,10 @@ def links(docs: DataFrame, groups: DataFrame, size: int, share: tuple[int, int],
     """(doc_id, text) and (node, component) of candidates to links (a, b) between nodes that connect what the similarity connects."""
     chosen = docs.join(groups, F.col("doc_id") == F.col("node")).select(F.col("component").alias("key"), F.col("node").alias("rep"), _sets(size)("text").alias("s"))
     chosen = saved(chosen.select("key", "rep", "s.set", "s.fp"), "similar-sets")
-    chunks = chosen.groupBy("key").agg(F.greatest(F.ceil(F.sum(F.size("set")) / tile), F.ceil(F.count(F.lit(1)) / most)).alias("chunks"))
-    rows = chosen.join(chunks, "key").select("key", F.pmod(F.xxhash64("rep"), "chunks").alias("chunk"), "chunks", F.struct("rep", "set", "fp").alias("row"))
+    chunks = chosen.groupBy("key").agg(F.greatest(F.ceil(F.sum(F.size("set")) / tile), F.ceil(F.count(F.lit(1)) / most)).alias("chunks")).where("chunks > 1")
+    # a row for a tile's worth of sets at most; without a shuffle by key, which would bring a group's sets to one task
+    rows = chosen.join(F.broadcast(chunks), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = rows.select("key", F.pmod(F.xxhash64("rep"), "chunks").alias("chunk"), "chunks", F.struct("rep", "set", "fp").alias("row"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

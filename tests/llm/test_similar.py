@@ -139,3 +139,23 @@ def test_nothing_is_left_but_the_ids_that_go(spark):
     left = {x.rsplit("-", 1)[0] for x in {*os.listdir(shared)} - before if x.startswith("similar-")}
     assert left == {"similar-rest"}
     assert out.count() == out.count() > 60
+
+
+def test_sets_of_a_large_group_lie_in_several_tasks(spark, monkeypatch):
+    plans, save = {}, similar.saved
+
+    def seen(df, name, **how):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return save(df, name, **how)
+
+    monkeypatch.setattr(similar, "saved", seen)
+    base = [f"p{i}" for i in range(100)]
+    df = spark.createDataFrame([(i, " ".join([*base[:i], f"q{i}", *base[i + 1 :]])) for i in range(60)], "doc_id long, text string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert [r.doc_id for r in similar.drop_similar(df, tile=2000, most=16).collect()] == [0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert set(re.findall(r"hashpartitioning\((.*?), \d+\)", re.sub(r"#\d+L?", "", plans["similar-tiles"]))) == {"key", "key, chunk, chunks"}
+    assert plans["similar-tiles"].count("BroadcastHashJoin") == 1
